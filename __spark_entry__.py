@@ -22,7 +22,7 @@ from quire.operators.match import covers
 from quire.operators.headline import top_covers
 from quire.operators.query import compile_query
 from quire.plans.index import TextIndex
-from quire.plans.search import match, search_fast
+from quire.plans.search import file_contents, file_matches, match, search_fast, search_full
 from quire.sources.corpus import corpus_files
 
 FRAGMENT_TOKENS = O.FRAGMENT_TOKENS
@@ -36,6 +36,8 @@ Q_NOT = "!the"
 Q_DISTANCE = "of <2> the"
 Q_FILES = "(of <-> the) & !and"
 Q_FAST = "(of <-> the) | (was & with)"
+Q_FULL = "(of <-> the) & this"
+Q_MATCHES = "(of <-> the) | with"
 
 
 def _index(spark: SparkSession, sf_dir: str, config: str = "simple") -> TextIndex:
@@ -123,6 +125,23 @@ def q_search_fast(spark, sf_dir):
     return search_fast(_index(spark, sf_dir), Q_FAST, "logical")
 
 
+def q_search_headline(spark, sf_dir):
+    return search_full(_index(spark, sf_dir), Q_FULL, "logical", semantic=False)
+
+
+def q_search_semantic(spark, sf_dir):
+    return search_full(_index(spark, sf_dir), Q_FULL, "logical", semantic=True)
+
+
+def q_file_contents(spark, sf_dir):
+    return file_contents(_index(spark, sf_dir))
+
+
+def q_file_matches(spark, sf_dir):
+    m = file_matches(_index(spark, sf_dir), Q_MATCHES, "logical")
+    return m.select(*_long("file_id", "sequence_no", "s"), "term")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: fast-headline corpus search on sf0.001."""
     return q_search_fast(spark, SMOKE_DIR)
@@ -142,6 +161,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cover_density": q_cover_density,
         "top5_covers": q_top5_covers,
         "search_fast": q_search_fast,
+        "search_headline": q_search_headline,
+        "search_semantic": q_search_semantic,
+        "file_contents": q_file_contents,
+        "file_matches": q_file_matches,
     }
 
 
@@ -159,4 +182,8 @@ def oracle_sql() -> dict[str, str]:
         "cover_density": O.COVER_DENSITY,
         "top5_covers": O.TOP5_COVERS,
         "search_fast": O.SEARCH_FAST,
+        "search_headline": O.SEARCH_HEADLINE,
+        "search_semantic": O.SEARCH_SEMANTIC,
+        "file_contents": O.FILE_CONTENTS,
+        "file_matches": O.FILE_MATCHES,
     }

@@ -235,3 +235,95 @@ SEARCH_FAST = headline_sql(
     SEARCH_FAST_ATOMS,
     "IN_ofthe OR (IN_was AND IN_with)",
 )
+
+
+# --- whole-book headlines (E2 / E3) -----------------------------------------
+def whole_book_sql(match_cond: str, atoms: dict[str, str], start_expr: str, words: list[str], semantic: bool) -> str:
+    """Books with a fragment matching ``match_cond``; headline over the
+    whole book. ``atoms`` select spans from ``wpost``; ``start_expr`` combines the
+    running starts ``r_<atom>`` (AND = least when all present, OR = greatest)."""
+    sp = " UNION ALL ".join(f"SELECT '{n}' AS atom, * FROM ({q})" for n, q in atoms.items())
+    pe_cols = ", ".join(f"max(CASE WHEN atom = '{n}' THEN s END) AS m_{n}" for n in atoms)
+    run_cols = ", ".join(f"max(m_{n}) OVER w AS r_{n}" for n in atoms)
+    wl = ", ".join(f"'{w}'" for w in words)
+    if semantic:
+        mark = """
+         EXISTS (SELECT 1 FROM wsp x WHERE x.file_id = w.file_id AND x.s <= k.pos AND k.pos <= x.e) AS c0,
+         EXISTS (SELECT 1 FROM wsp x WHERE x.file_id = w.file_id AND x.s <= k.pos - 1 AND k.pos - 1 <= x.e) AS cp,
+         EXISTS (SELECT 1 FROM wsp x WHERE x.file_id = w.file_id AND x.s <= k.pos + 1 AND k.pos + 1 <= x.e) AS cn"""
+        cell = ("CASE WHEN c0 AND (pos = ws OR NOT cp) THEN '<b>' ELSE '' END || tok "
+                "|| CASE WHEN c0 AND (pos = we OR NOT cn) THEN '</b>' ELSE '' END")
+    else:
+        mark = " k.lexeme IN (" + wl + ") AS c0"
+        cell = "CASE WHEN c0 THEN '<b>' || tok || '</b>' ELSE tok END"
+    return with_base(f"""
+m AS (SELECT DISTINCT f.file_id FROM frag f WHERE {match_cond}),
+wtok AS MATERIALIZED (
+  SELECT r.file_id, CAST(row_number() OVER (PARTITION BY r.file_id ORDER BY r.i) AS BIGINT) AS pos, r.tok,
+         regexp_replace(lower(r.tok), '{EDGE}', '', 'g') AS lexeme
+  FROM raw r JOIN m USING (file_id) WHERE regexp_matches(r.tok, '{WORD}')),
+wpost AS (SELECT lexeme, file_id, 1 AS sequence_no, pos FROM wtok),
+wsp AS MATERIALIZED ({sp}),
+pe AS (SELECT file_id, e, {pe_cols} FROM wsp GROUP BY file_id, e),
+run AS (SELECT file_id, e, {run_cols} FROM pe
+        WINDOW w AS (PARTITION BY file_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+st AS (SELECT file_id, e, {start_expr} AS s FROM run),
+cv AS (SELECT file_id, s, e, 16.0 / greatest(16, e - s + 1) AS density
+       FROM (SELECT *, lag(s) OVER (PARTITION BY file_id ORDER BY e) AS prev FROM st)
+       WHERE s IS NOT NULL AND (prev IS NULL OR s > prev)),
+r AS (SELECT m.file_id, cv.s, cv.e, cv.density FROM m LEFT JOIN cv USING (file_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY file_id
+                    ORDER BY density DESC NULLS FIRST, (e - s) ASC NULLS FIRST, s ASC NULLS FIRST) AS rn
+        FROM r QUALIFY rn <= 5),
+nl AS (SELECT file_id, max(pos) AS n FROM wtok GROUP BY file_id),
+w0 AS (SELECT t.file_id, t.rn, t.s, t.e, nl.n,
+              CASE WHEN t.e - t.s + 1 >= 15 THEN t.s ELSE t.s - (15 - (t.e - t.s + 1)) // 2 END AS ws0
+       FROM top t JOIN nl USING (file_id)),
+w AS (SELECT *, CASE WHEN s IS NULL THEN 1 ELSE greatest(1, ws0) END AS ws,
+             CASE WHEN s IS NULL THEN least(n, 15)
+                  ELSE least(n, CASE WHEN e - s + 1 >= 15 THEN least(e, s + 34) ELSE ws0 + 14 END) END AS we
+      FROM w0),
+cells AS (SELECT w.file_id, w.rn, w.s AS cs, k.pos, k.tok, w.ws, w.we, {mark}
+          FROM w JOIN wtok k ON k.file_id = w.file_id AND k.pos BETWEEN w.ws AND w.we),
+pc AS (SELECT file_id, rn, coalesce(min(cs), 0) AS o, string_agg({cell}, ' ' ORDER BY pos) AS piece
+       FROM cells GROUP BY file_id, rn),
+hl AS (SELECT file_id, trim(regexp_replace(string_agg(piece, ' ... ' ORDER BY o), '\\s+', ' ', 'g')) AS headline
+       FROM pc GROUP BY file_id)
+SELECT files.file_id, files.filename, files.title, files.author, hl.headline
+FROM m JOIN files USING (file_id) LEFT JOIN hl USING (file_id)
+""")
+
+
+def wterm(lexeme: str) -> str:
+    return f"SELECT file_id, sequence_no, pos AS s, pos AS e FROM wpost WHERE lexeme = '{lexeme}'"
+
+
+def wphrase(*lexemes: str) -> str:
+    return phrase_spans(*lexemes).replace("post ", "wpost ")
+
+
+# "(of <-> the) & this"
+_FULL_MATCH = (
+    f"EXISTS (SELECT 1 FROM ({phrase_spans('of', 'the')}) z WHERE z.file_id = f.file_id "
+    f"AND z.sequence_no = f.sequence_no) AND {has('this')}"
+)
+_FULL_ATOMS = {"ofthe": wphrase("of", "the"), "this": wterm("this")}
+_FULL_START = "CASE WHEN r_ofthe IS NOT NULL AND r_this IS NOT NULL THEN least(r_ofthe, r_this) END"
+SEARCH_HEADLINE = whole_book_sql(_FULL_MATCH, _FULL_ATOMS, _FULL_START, ["of", "the", "this"], False)
+SEARCH_SEMANTIC = whole_book_sql(_FULL_MATCH, _FULL_ATOMS, _FULL_START, ["of", "the", "this"], True)
+
+FILE_CONTENTS = with_base("""
+x AS (SELECT 1)
+SELECT file_id, filename, title, author, content FROM files
+""")
+
+# "(of <-> the) | with": passages per fragment, first 50 by position
+FILE_MATCHES = with_base(f"""
+sp AS (SELECT * FROM ({phrase_spans('of', 'the')}) UNION ALL SELECT * FROM ({term_spans('with')})),
+d AS (SELECT DISTINCT file_id, sequence_no, s, e FROM sp),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, sequence_no ORDER BY s, e) AS rn FROM d QUALIFY rn <= 50)
+SELECT r.file_id, r.sequence_no, r.s,
+       trim(regexp_replace(string_agg(t.tok, ' ' ORDER BY t.pos), '\\s+', ' ', 'g')) AS term
+FROM r JOIN tok t ON t.file_id = r.file_id AND t.sequence_no = r.sequence_no AND t.pos BETWEEN r.s AND r.e
+GROUP BY r.file_id, r.sequence_no, r.s, r.e
+""")
