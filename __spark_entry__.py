@@ -142,6 +142,119 @@ def q_file_matches(spark, sf_dir):
     return m.select(*_long("file_id", "sequence_no", "s"), "term")
 
 
+# --- presentation ------------------------------------------------------------
+def q_terms_ordered(spark, sf_dir):
+    from quire.plans.render import file_terms
+
+    t = file_terms(_index(spark, sf_dir), Q_MATCHES, "logical")
+    x = t.select("file_id", F.posexplode("terms").alias("i", "term"))
+    return x.select(F.col("file_id").cast("long").alias("file_id"), (F.col("i") + 1).cast("long").alias("term_rank"), "term")
+
+
+def q_highlight_results(spark, sf_dir):
+    from quire.functions.present import highlight
+    from quire.plans.render import file_terms
+
+    idx = _index(spark, sf_dir)
+    t = file_terms(idx, Q_MATCHES, "logical")
+    books = idx.files.select("file_id", "content").join(t, "file_id")
+    return books.select("file_id", highlight(F.col("terms"), F.col("content")).alias("html"))
+
+
+def q_result_count(spark, sf_dir):
+    from quire.functions.present import count_marks
+
+    h = q_highlight_results(spark, sf_dir)
+    return h.select("file_id", count_marks(F.col("html")).alias("n_results"))
+
+
+def q_clean_content(spark, sf_dir):
+    from quire.functions.present import clean_content
+
+    files = corpus_files(spark, sf_dir)
+    body = F.concat(F.lit("Title: "), F.col("title"), F.lit("\r\n\r\n"), F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")))
+    return files.select("file_id", clean_content(body).alias("html"))
+
+
+def q_render_file(spark, sf_dir):
+    from quire.plans.render import render_file
+
+    return render_file(_index(spark, sf_dir), Q_MATCHES, "logical")
+
+
+def q_link_headlines(spark, sf_dir):
+    from quire.plans.render import render_list
+
+    return render_list(q_search_fast(spark, sf_dir))
+
+
+# --- ingest ------------------------------------------------------------------
+CHUNK_WORDS = O.CHUNK_WORDS
+
+
+def _raw_books(spark, sf_dir):
+    from quire.sources.books import raw_books_from_files
+
+    return raw_books_from_files(corpus_files(spark, sf_dir))
+
+
+def q_parse_books_strict(spark, sf_dir):
+    from quire.sources.books import parse_books
+
+    books, _ = parse_books(_raw_books(spark, sf_dir))
+    return books
+
+
+def q_parse_books_all(spark, sf_dir):
+    from quire.sources.books import parse_books_all
+
+    return parse_books_all(_raw_books(spark, sf_dir))
+
+
+def q_word_chunks(spark, sf_dir):
+    from quire.sources.books import word_chunks
+
+    return word_chunks(q_parse_books_strict(spark, sf_dir), CHUNK_WORDS)
+
+
+def q_ingest_files(spark, sf_dir):
+    from quire.sources.books import ingest
+
+    files, _ = ingest(_raw_books(spark, sf_dir))
+    return files
+
+
+# --- upkeep ------------------------------------------------------------------
+def q_index_upsert(spark, sf_dir):
+    """Books flagged low quality in ``labels`` are re-cleaned (title line added
+    again) and re-indexed; all other fragments stay as they are."""
+    from quire.operators.upkeep import upsert
+    from quire.sources.corpus import table
+
+    idx = _index(spark, sf_dir)
+    flagged = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("file_id"))
+    changed = idx.files.join(flagged, "file_id", "left_semi").withColumn(
+        "content", F.concat(F.col("title"), F.lit("\n"), F.col("content"))
+    )
+    fr = upsert(idx, changed).fragments
+    return fr.select(
+        *_long("file_id", "sequence_no"),
+        F.size("content_array").cast("long").alias("n_words"),
+        F.array_join("content_array", " ").alias("words"),
+    )
+
+
+def q_index_delete(spark, sf_dir):
+    """Books flagged toxic in ``labels`` are deleted with their fragments."""
+    from quire.operators.upkeep import delete
+    from quire.sources.corpus import table
+
+    idx = _index(spark, sf_dir)
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_id"))
+    fr = delete(idx, gone).fragments
+    return fr.select(*_long("file_id", "sequence_no"), F.size("content_array").cast("long").alias("n_words"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: fast-headline corpus search on sf0.001."""
     return q_search_fast(spark, SMOKE_DIR)
@@ -165,6 +278,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_semantic": q_search_semantic,
         "file_contents": q_file_contents,
         "file_matches": q_file_matches,
+        "terms_ordered": q_terms_ordered,
+        "highlight_results": q_highlight_results,
+        "result_count": q_result_count,
+        "clean_content": q_clean_content,
+        "render_file": q_render_file,
+        "link_headlines": q_link_headlines,
+        "parse_books_strict": q_parse_books_strict,
+        "parse_books_all": q_parse_books_all,
+        "word_chunks": q_word_chunks,
+        "ingest_files": q_ingest_files,
+        "index_upsert": q_index_upsert,
+        "index_delete": q_index_delete,
     }
 
 
@@ -186,4 +311,16 @@ def oracle_sql() -> dict[str, str]:
         "search_semantic": O.SEARCH_SEMANTIC,
         "file_contents": O.FILE_CONTENTS,
         "file_matches": O.FILE_MATCHES,
+        "terms_ordered": O.TERMS_ORDERED,
+        "highlight_results": O.HIGHLIGHT_RESULTS,
+        "result_count": O.RESULT_COUNT,
+        "clean_content": O.CLEAN_CONTENT,
+        "render_file": O.RENDER_FILE,
+        "link_headlines": O.LINK_HEADLINES,
+        "parse_books_strict": O.PARSE_BOOKS_STRICT,
+        "parse_books_all": O.PARSE_BOOKS_ALL,
+        "word_chunks": O.WORD_CHUNKS,
+        "ingest_files": O.INGEST_FILES,
+        "index_upsert": O.INDEX_UPSERT,
+        "index_delete": O.INDEX_DELETE,
     }

@@ -13,15 +13,18 @@ WORD = r"[\p{L}\p{N}]"
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
-def base(max_tokens: int | None = FRAGMENT_TOKENS) -> str:
-    """CTEs: files, raw tokens, word tokens with (sequence_no, pos, lexeme), postings."""
-    k = "0" if max_tokens is None else f"(i - 1) // {int(max_tokens)}"
-    return f"""
-files AS (
+FILES = """
   SELECT CAST(doc_id AS BIGINT) AS file_id,
          source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS filename,
          split_part(text, chr(10), 1) AS title, source AS author, text AS content
-  FROM documents),
+  FROM documents"""
+
+
+def base(max_tokens: int | None = FRAGMENT_TOKENS, files_sql: str = FILES) -> str:
+    """CTEs: files, raw tokens, word tokens with (sequence_no, pos, lexeme), postings."""
+    k = "0" if max_tokens is None else f"(i - 1) // {int(max_tokens)}"
+    return f"""
+files AS ({files_sql}),
 raw AS MATERIALIZED (
   SELECT file_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS i
   FROM (SELECT file_id, regexp_extract_all(content, '\\S+') AS toks FROM files)),
@@ -38,8 +41,8 @@ frag AS MATERIALIZED (
 post AS (SELECT lexeme, file_id, sequence_no, pos FROM tok)"""
 
 
-def with_base(body: str, max_tokens: int | None = FRAGMENT_TOKENS) -> str:
-    return "WITH " + base(max_tokens) + ",\n" + body
+def with_base(body: str, max_tokens: int | None = FRAGMENT_TOKENS, files_sql: str = FILES) -> str:
+    return "WITH " + base(max_tokens, files_sql) + ",\n" + body
 
 
 FRAGMENTS = with_base("""
@@ -327,3 +330,152 @@ SELECT r.file_id, r.sequence_no, r.s,
 FROM r JOIN tok t ON t.file_id = r.file_id AND t.sequence_no = r.sequence_no AND t.pos BETWEEN r.s AND r.e
 GROUP BY r.file_id, r.sequence_no, r.s, r.e
 """)
+
+
+# --- presentation (P1-P5, E7, E8) ----------------------------------------------
+_MATCH_TERMS = f"""
+sp AS (SELECT * FROM ({phrase_spans('of', 'the')}) UNION ALL SELECT * FROM ({term_spans('with')})),
+d AS (SELECT DISTINCT file_id, sequence_no, s, e FROM sp),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, sequence_no ORDER BY s, e) AS rn FROM d QUALIFY rn <= 50),
+mt AS (
+  SELECT r.file_id, trim(regexp_replace(string_agg(t.tok, ' ' ORDER BY t.pos), '\\s+', ' ', 'g')) AS term
+  FROM r JOIN tok t ON t.file_id = r.file_id AND t.sequence_no = r.sequence_no AND t.pos BETWEEN r.s AND r.e
+  GROUP BY r.file_id, r.sequence_no, r.s, r.e),
+dt AS (SELECT DISTINCT file_id, term FROM mt WHERE term IS NOT NULL),
+tl AS (SELECT file_id, list(term ORDER BY length(term) DESC, term) AS terms FROM dt GROUP BY file_id)"""
+
+_Q = "'"
+_MARK = "<span class=" + _Q * 2 + "search-result" + _Q * 2 + ">"
+
+
+def highlight_sql(terms: str, content: str) -> str:
+    return (
+        f"list_reduce({terms}, lambda acc, t: replace(acc, ' ' || t, "
+        f"' {_MARK}' || trim(t) || '</span> '), {content})"
+    )
+
+
+def count_sql(h: str) -> str:
+    return f"CAST((length({h}) - length(replace({h}, '{_MARK}', ''))) / length('{_MARK}') AS BIGINT)"
+
+
+TERMS_ORDERED = with_base(_MATCH_TERMS + """
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY length(term) DESC, term) AS BIGINT) AS term_rank,
+       term
+FROM dt
+""")
+
+HIGHLIGHT_RESULTS = with_base(_MATCH_TERMS + f"""
+SELECT f.file_id, {highlight_sql('tl.terms', 'f.content')} AS html FROM files f JOIN tl USING (file_id)
+""")
+
+RESULT_COUNT = with_base(_MATCH_TERMS + f""",
+h AS (SELECT f.file_id, {highlight_sql('tl.terms', 'f.content')} AS html FROM files f JOIN tl USING (file_id))
+SELECT file_id, {count_sql('html')} AS n_results FROM h
+""")
+
+JS_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+CHAPTER = r"\n[Cc][Hh][Aa][Pp][Tt][Ee][Rr]" + JS_SPACE + r"[^\n]+"
+_DIV = "<div class=" + _Q * 2 + "chapter-title" + _Q * 2 + ">"
+
+
+def clean_sql(col: str) -> str:
+    return (
+        f"replace(regexp_replace({col}, '{CHAPTER}', '{_DIV}\\0</div>', 'g'), "
+        f"chr(10) || chr(13), chr(10) || '&nbsp;<br>&nbsp;<br>')"
+    )
+
+
+CRLF = "chr(13) || chr(10)"
+CRLF_BODY = f"'Title: ' || title || {CRLF} || {CRLF} || replace(content, chr(10), {CRLF})"
+
+CLEAN_CONTENT = with_base(f"""
+x AS (SELECT 1)
+SELECT file_id, {clean_sql(CRLF_BODY)} AS html FROM files
+""")
+
+RENDER_FILE = with_base(_MATCH_TERMS + f""",
+c AS (SELECT f.file_id, {clean_sql('f.content')} AS cleaned, tl.terms FROM files f LEFT JOIN tl USING (file_id)),
+h AS (SELECT file_id, CASE WHEN len(coalesce(terms, [])) > 0 THEN {highlight_sql('terms', 'cleaned')}
+                          ELSE cleaned END AS html FROM c)
+SELECT file_id, html, {count_sql('html')} AS n_results FROM h
+""")
+
+_LINK = "<a class=" + _Q * 2 + "file-link" + _Q * 2 + " href=" + _Q * 2 + "#file/"
+LINK_HEADLINES = SEARCH_FAST.replace(
+    "SELECT b.file_id, hl.headline, files.title, files.author",
+    "SELECT b.file_id, replace(replace(hl.headline, '<b>', "
+    f"'{_LINK}' || CAST(b.file_id AS VARCHAR) || '{_Q * 2}>'), '</b>', '</a>') AS headline, files.title, files.author",
+)
+
+# --- ingest (S4-S13, E6) ---------------------------------------------------------
+RAW_BOOKS = f"""
+rb AS (
+  SELECT file_id, filename AS path,
+         'Title: ' || title || {CRLF} || 'Author: ' || author || {CRLF} || {CRLF}
+         || '*** START OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF}
+         || replace(content, chr(10), {CRLF}) || {CRLF}
+         || '*** END OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF} AS value
+  FROM files),
+pt AS (
+  SELECT path, value,
+         nullif(regexp_extract(value, 'Title: ([^\\r\\n]+)[\\r\\n]', 1), '') AS title,
+         nullif(regexp_extract(value, 'Author: ([^\\r\\n]+)[\\r\\n]', 1), '') AS author
+  FROM rb),
+pb AS (
+  SELECT string_split(path, '/')[-1] AS filename, title, author,
+         nullif(regexp_extract(value,
+           '(?s)\\*\\*\\* START OF THE PROJECT GUTENBERG EBOOK \\Q' || upper(title)
+           || '\\E \\*\\*\\*(.+)\\*\\*\\* END OF THE PROJECT GUTENBERG EBOOK \\Q'
+           || upper(title) || '\\E \\*\\*\\*', 1), '') AS content
+  FROM pt),
+books AS (SELECT * FROM pb WHERE title IS NOT NULL AND author IS NOT NULL AND content IS NOT NULL)"""
+
+PARSE_BOOKS_STRICT = with_base(RAW_BOOKS + """
+SELECT filename, title, author, content FROM books
+""")
+
+PARSE_BOOKS_ALL = with_base(RAW_BOOKS + """
+SELECT rb.path AS filename, t.title, a.author, c.content
+FROM rb,
+     unnest(regexp_extract_all(rb.value, 'Title: ([^\\r]+)', 1)) AS t(title),
+     unnest(regexp_extract_all(rb.value, 'Author: ([^\\r]+)', 1)) AS a(author),
+     unnest(regexp_extract_all(rb.value,
+       '\\*\\*\\* START OF THE PROJECT GUTENBERG EBOOK [^\\r]+\\r([\\w|\\W]+)\\*\\*\\* END OF THE PROJECT GUTENBERG EBOOK',
+       1)) AS c(content)
+""")
+
+CHUNK_WORDS = 1000
+WORD_CHUNKS = with_base(RAW_BOOKS + f""",
+ws AS (SELECT filename, title, author, string_split_regex(content, '\\s') AS w FROM books),
+wn AS (SELECT filename, title, author, unnest(w) AS word, unnest(generate_series(1, len(w))) AS wordno FROM ws),
+ch AS (SELECT filename, title, max(author) AS author, wordno // {CHUNK_WORDS} AS chunk,
+              string_agg(word, ' ' ORDER BY wordno) AS content
+       FROM wn GROUP BY filename, title, wordno // {CHUNK_WORDS})
+SELECT CAST(row_number() OVER (PARTITION BY filename ORDER BY chunk) AS BIGINT) AS seq_no,
+       filename, title, author, content
+FROM ch
+""")
+
+INGEST_FILES = with_base(RAW_BOOKS + """
+SELECT CAST(row_number() OVER (ORDER BY filename) AS BIGINT) AS file_id, filename, title, author, content FROM books
+""")
+
+# --- upkeep (T8, T10) --------------------------------------------------------------
+UPDATED_FILES = """
+  SELECT f.file_id, f.filename, f.title, f.author,
+         CASE WHEN f.file_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+              THEN f.title || chr(10) || f.content ELSE f.content END AS content
+  FROM (""" + FILES + """) f"""
+
+INDEX_UPSERT = with_base("""
+wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORDER BY pos) AS words
+       FROM tok GROUP BY file_id, sequence_no)
+SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
+""", files_sql=UPDATED_FILES)
+
+INDEX_DELETE = with_base("""
+wd AS (SELECT file_id, sequence_no, count(*) AS n_words FROM tok GROUP BY file_id, sequence_no)
+SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words FROM wd
+WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
