@@ -94,3 +94,53 @@ def join_pieces(piece: Column, order: Column) -> Column:
     """``STRING_AGG(piece, ' ... ')`` in ``order``; nulls skipped, null if none."""
     parts = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(order.alias("o"), piece.alias("p")))))
     return F.when(F.size(parts) > 0, present_text(F.array_join(F.transform(parts, lambda x: x["p"]), PIECE_SEPARATOR)))
+
+
+def lexeme_window(tokens: Column, ws: Column, we: Column, reach: int, config: str) -> tuple[Column, Column]:
+    """``(lo, lexemes)``: lexemes of tokens ``lo .. min(n, we + reach)`` with
+    ``lo = max(1, ws - reach)``; only the window and its reach are analysed."""
+    lo = F.greatest(F.lit(1), ws - reach)
+    hi = F.least(F.size(tokens), we + reach)
+    return lo, F.transform(F.sequence(lo, hi), lambda p: lexeme(F.element_at(tokens, p), config))
+
+
+def piece_by_chains(tokens: Column, lo: Column, lexemes: Column, chains, ws: Column, we: Column) -> Column:
+    """Tokens ``ws..we``; each run of positions inside an occurrence of one of
+    ``chains`` (words or phrases) is wrapped in one ``<b>…</b>``.
+
+    Occurrences are re-checked on the window's own lexemes (``lexemes`` starts
+    at position ``lo``), so no list of match spans has to travel with the row.
+    """
+    n_lex = F.size(lexemes)
+
+    def lex_at(p):
+        i = p - lo + 1
+        return F.when((i >= 1) & (i <= n_lex), F.element_at(lexemes, F.greatest(i, F.lit(1))))
+
+    def covered(p):
+        alts = []
+        for ch in chains:
+            for off_j, _ in ch.terms:
+                cond = None
+                for off_i, term in ch.terms:
+                    c = F.coalesce(lex_at(p - off_j + off_i) == F.lit(term), F.lit(False))
+                    cond = c if cond is None else cond & c
+                alts.append(cond)
+        if not alts:
+            return F.lit(False)
+        out = alts[0]
+        for a in alts[1:]:
+            out = out | a
+        return out
+
+    def render(p):
+        on = covered(p)
+        open_ = on & ((p == ws) | ~covered(p - 1))
+        close = on & ((p == we) | ~covered(p + 1))
+        return F.concat(
+            F.when(open_, F.lit(MARK_OPEN)).otherwise(F.lit("")),
+            F.element_at(tokens, p),
+            F.when(close, F.lit(MARK_CLOSE)).otherwise(F.lit("")),
+        )
+
+    return F.array_join(F.transform(F.sequence(ws, we), render), " ")

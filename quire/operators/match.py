@@ -119,20 +119,37 @@ def _truth(node, q: Query) -> Column:
     raise TypeError(node)
 
 
+def _flags(q: Query) -> list[Column]:
+    """Per-fragment presence of each atom, as whole-partition window values."""
+    frag = Window.partitionBy(*KEYS)
+    return [F.max(F.when(F.col("atom") == i, F.lit(True))).over(frag).alias(f"_a{i}") for i in range(len(q.atoms))]
+
+
+def with_truth(spans: DataFrame, q: Query) -> DataFrame:
+    """Spans of fragments where the query holds (``content_tsv @@ q``); the
+    boolean flags are window aggregates on the spans' own partitioning, so no
+    join or extra shuffle is needed."""
+    x = spans.select("*", *_flags(q))
+    return x.filter(_truth(q.root, q)).select(*spans.columns)
+
+
+def universe_only(universe: DataFrame, spans: DataFrame) -> DataFrame:
+    """Fragment keys without any hit (true for a query holding on empty fragments)."""
+    return universe.select(*KEYS).join(spans.select(*KEYS).distinct(), KEYS, "left_anti")
+
+
 def matching_fragments(spans: DataFrame, q: Query, universe: DataFrame | None) -> DataFrame:
     """Fragments ``(file_id, sequence_no)`` where the query is true (``@@``).
 
     A query that is true on a fragment without any atom (a negation) needs the
     fragment universe; otherwise only fragments with hits are looked at.
     """
-    flags = spans.groupBy(*KEYS).agg(
-        *[F.max(F.when(F.col("atom") == i, F.lit(True))).alias(f"_a{i}") for i in range(len(q.atoms))]
-    )
+    keys = with_truth(spans, q).select(*KEYS).distinct()
     if truth_when_absent(q.root):
         if universe is None:
             raise ValueError("this query needs the fragment universe")
-        flags = universe.select(*KEYS).join(flags, KEYS, "left")
-    return flags.filter(_truth(q.root, q)).select(*KEYS)
+        keys = keys.unionByName(universe_only(universe, spans))
+    return keys
 
 
 def _start(node, q: Query) -> Column | None:
@@ -151,32 +168,69 @@ def _start(node, q: Query) -> Column | None:
     return F.greatest(*parts)
 
 
-def covers(spans: DataFrame, q: Query) -> DataFrame:
-    """Minimal covers ``(file_id, sequence_no, s, e, density)`` of ``spans``.
+def _density(s: Column, e: Column) -> Column:
+    return F.lit(float(DENSITY_TOKENS)) / F.greatest(F.lit(DENSITY_TOKENS), e - s + 1)
+
 
-    Rows are end positions in order; each atom keeps the latest start seen so far,
-    AND takes the least of its parts, OR the greatest, negations are ignored. A
-    cover ``[start, end]`` is minimal when its start moved past the previous one.
+def cover_rows(
+    spans: DataFrame,
+    q: Query,
+    universe: DataFrame | None = None,
+    truth: bool = True,
+    keep_empty: bool = True,
+) -> DataFrame:
+    """Minimal covers ``(file_id, sequence_no, s, e, density)`` of each fragment.
+
+    Rows are end positions in order; each atom keeps the latest start seen so
+    far, AND takes the least of its parts, OR the greatest, negations are
+    ignored; a cover ``[start, end]`` is minimal when its start moved past the
+    previous one. With ``truth`` only fragments where the query holds are kept.
+    With ``keep_empty`` a kept fragment without any cover gives one row of
+    nulls (the outer lateral join of the reference); ``universe`` adds such rows
+    for fragments without hits when the query holds there. All steps are
+    windows over the spans' ``(file_id, sequence_no)`` partitioning.
     """
-    start = _start(q.root, q)
-    if start is None:
-        return spans.sparkSession.createDataFrame(
-            [], "file_id long, sequence_no int, s int, e int, density double"
-        )
     n = len(q.atoms)
     per_end = spans.groupBy(*KEYS, "e").agg(
         *[F.max(F.when(F.col("atom") == i, F.col("s"))).alias(f"_m{i}") for i in range(n)]
     )
-    upto = Window.partitionBy(*KEYS).orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per_end.select(*KEYS, "e", *[F.max(f"_m{i}").over(upto).alias(f"_r{i}") for i in range(n)])
-    cov = run.select(*KEYS, "e", start.alias("s"))
-    cov = cov.withColumn("_prev", F.lag("s").over(Window.partitionBy(*KEYS).orderBy("e")))
-    cov = cov.filter(F.col("s").isNotNull() & (F.col("_prev").isNull() | (F.col("s") > F.col("_prev"))))
-    return cov.select(
+    frag = Window.partitionBy(*KEYS)
+    upto = frag.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [*KEYS, "e", *[F.max(f"_m{i}").over(upto).alias(f"_r{i}") for i in range(n)]]
+    if truth:
+        cols += [F.max(f"_m{i}").over(frag).isNotNull().alias(f"_a{i}") for i in range(n)]
+    x = per_end.select(*cols)
+    if truth:
+        x = x.filter(_truth(q.root, q))
+    start = _start(q.root, q)
+    x = x.select(*KEYS, "e", (start if start is not None else F.lit(None).cast("int")).alias("s"))
+    ordered = frag.orderBy("e")
+    x = x.withColumn("_prev", F.lag("s").over(ordered))
+    x = x.withColumn("_cov", F.col("s").isNotNull() & (F.col("_prev").isNull() | (F.col("s") > F.col("_prev"))))
+    if keep_empty:
+        x = x.withColumn("_any", F.max(F.col("_cov").cast("int")).over(frag))
+        x = x.withColumn("_first", F.row_number().over(ordered))
+        x = x.filter(F.col("_cov") | ((F.col("_any") == 0) & (F.col("_first") == 1)))
+    else:
+        x = x.filter(F.col("_cov"))
+    cov = F.col("_cov")
+    rows = x.select(
         *KEYS,
-        F.col("s").cast("int").alias("s"),
-        F.col("e").cast("int").alias("e"),
-        (F.lit(float(DENSITY_TOKENS)) / F.greatest(F.lit(DENSITY_TOKENS), F.col("e") - F.col("s") + 1)).alias(
-            "density"
-        ),
+        F.when(cov, F.col("s")).cast("int").alias("s"),
+        F.when(cov, F.col("e")).cast("int").alias("e"),
+        F.when(cov, _density(F.col("s"), F.col("e"))).alias("density"),
     )
+    if keep_empty and universe is not None and (not truth or truth_when_absent(q.root)):
+        extra = universe_only(universe, spans).select(
+            *KEYS,
+            F.lit(None).cast("int").alias("s"),
+            F.lit(None).cast("int").alias("e"),
+            F.lit(None).cast("double").alias("density"),
+        )
+        rows = rows.unionByName(extra)
+    return rows
+
+
+def covers(spans: DataFrame, q: Query) -> DataFrame:
+    """Minimal covers of the fragments where ``q`` holds (no null rows)."""
+    return cover_rows(spans, q, None, truth=True, keep_empty=False)

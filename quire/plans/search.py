@@ -16,13 +16,14 @@ from quire.functions.text import present_text
 from quire.operators.analyze import fragments, postings
 from quire.operators.headline import (
     join_pieces,
-    piece_by_spans,
+    lexeme_window,
+    piece_by_chains,
     piece_by_words,
     span_marks,
     top_covers,
     window_bounds,
 )
-from quire.operators.match import KEYS, atom_spans, covers, matching_fragments
+from quire.operators.match import KEYS, atom_spans, cover_rows, matching_fragments, with_truth
 from quire.operators.query import And, Chain, Follow, Not, Or, Query, compile_query
 from quire.plans.index import TextIndex
 
@@ -66,21 +67,85 @@ def match(index: TextIndex, q: Query, file_id: int | None = None) -> tuple[DataF
     """
     spans = atom_spans(index.hits(q.lexemes, file_id), q)
     frags = matching_fragments(spans, q, index.universe(file_id))
-    return spans.join(frags, KEYS, "left_semi"), frags
+    return with_truth(spans, q), frags
+
+
+def _positive_ids(q: Query) -> list[int]:
+    return [q.atom_id(a) for a in q.positive]
+
+
+def _with_pieces(top: DataFrame, q: Query, config: str, spans: DataFrame | None, tokens: str = "content_array") -> DataFrame:
+    """Add ``piece``: the cover window of each row with its match runs marked.
+
+    Word and phrase atoms are re-checked on the window's tokens; only a query
+    with a word-distance atom brings its spans along (one join on the top rows).
+    """
+    chains = [a for a in q.positive if isinstance(a, Chain)]
+    follows = [a for a in q.positive if isinstance(a, Follow)]
+    ws, we = window_bounds(F.col("s"), F.col("e"), F.size(tokens))
+    x = top.withColumn("_ws", ws).withColumn("_we", we)
+    reach = max([c.last for c in chains], default=0)
+    lo, lx = lexeme_window(F.col(tokens), F.col("_ws"), F.col("_we"), reach, config)
+    x = x.withColumn("_lo", lo).withColumn("_lx", lx)
+    if follows:
+        ids = [q.atom_id(a) for a in follows]
+        marks = span_marks(spans.filter(F.col("atom").isin(ids)))
+        x = x.join(marks, KEYS, "left")
+        # a position is marked when a chain occurrence or a distance span covers it
+        piece = _merge_marks(F.col(tokens), F.col("_lo"), F.col("_lx"), chains, F.col("marks"), F.col("_ws"), F.col("_we"))
+    else:
+        piece = piece_by_chains(F.col(tokens), F.col("_lo"), F.col("_lx"), chains, F.col("_ws"), F.col("_we"))
+    return x.withColumn("piece", piece)
+
+
+def _merge_marks(tokens, lo, lexemes, chains, marks, ws, we):
+    from quire.operators.headline import MARK_CLOSE, MARK_OPEN
+
+    n_lex = F.size(lexemes)
+    near = F.filter(F.coalesce(marks, F.array()), lambda m: (m["e"] >= ws) & (m["s"] <= we))
+
+    def lex_at(p):
+        i = p - lo + 1
+        return F.when((i >= 1) & (i <= n_lex), F.element_at(lexemes, F.greatest(i, F.lit(1))))
+
+    def covered(p):
+        out = F.exists(near, lambda m: (m["s"] <= p) & (p <= m["e"]))
+        for ch in chains:
+            for off_j, _ in ch.terms:
+                cond = F.lit(True)
+                for off_i, term in ch.terms:
+                    cond = cond & F.coalesce(lex_at(p - off_j + off_i) == F.lit(term), F.lit(False))
+                out = out | cond
+        return out
+
+    def render(p):
+        on = covered(p)
+        return F.concat(
+            F.when(on & ((p == ws) | ~covered(p - 1)), F.lit(MARK_OPEN)).otherwise(F.lit("")),
+            F.element_at(tokens, p),
+            F.when(on & ((p == we) | ~covered(p + 1)), F.lit(MARK_CLOSE)).otherwise(F.lit("")),
+        )
+
+    return F.array_join(F.transform(F.sequence(ws, we), render), " ")
 
 
 def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFrame:
     """``file_id, headline, title, author``; headline = up to 5 best covers
-    over pre-computed fragments, joined by ' ... '."""
+    over pre-computed fragments, joined by ' ... ' (best last).
+
+    One postings lookup, one shuffle of the hits by fragment, then windows on
+    that partitioning (truth, covers, the null row of a matching fragment
+    without cover); a shuffle of at most 5 rows per book and partition for the
+    top-5, and the token arrays of the chosen fragments joined last.
+    """
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
         return _empty(index, FAST_SCHEMA)
-    spans, frags = match(index, q)
-    rows = frags.join(covers(spans, q), KEYS, "left")  # lateral join on TRUE: keep fragments without covers
-    top = top_covers(rows).join(span_marks(spans), KEYS, "left")
-    top = top.join(index.fragments.select(*KEYS, "content_array"), KEYS)
-    ws, we = window_bounds(F.col("s"), F.col("e"), F.size("content_array"))
-    piece = F.when(F.col("s").isNotNull(), piece_by_spans(F.col("content_array"), F.col("marks"), ws, we))
+    spans = atom_spans(index.hits(q.lexemes), q)
+    rows = cover_rows(spans, q, index.universe())
+    top = top_covers(rows).join(index.fragments.select(*KEYS, "content_array"), KEYS)
+    top = _with_pieces(top, q, index.config, with_truth(spans, q))
+    piece = F.when(F.col("s").isNotNull(), F.col("piece"))
     heads = top.groupBy("file_id").agg(join_pieces(piece, -F.col("rn")).alias("headline"))
     return heads.join(index.files.select("file_id", "title", "author"), "file_id").select(
         "file_id", "headline", "title", "author"
@@ -92,7 +157,8 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     matching fragment; the headline is cut from the whole book analysed now.
 
     ``semantic`` marks whole match spans (a phrase is one mark); otherwise each
-    query word is marked on its own.
+    query word is marked on its own. A book without any cover shows its first
+    words unmarked.
     """
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
@@ -101,17 +167,16 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     books = index.files.join(frags.select("file_id").distinct(), "file_id", "left_semi")
     whole = fragments(books.select("file_id", "content"), None, index.config)
     spans = atom_spans(postings(whole, q.lexemes), q)
-    rows = whole.select(*KEYS).join(covers(spans, q), KEYS, "left")
-    top = top_covers(rows)
-    if semantic:
-        top = top.join(span_marks(spans), KEYS, "left")
-    top = top.join(whole.select(*KEYS, "content_array"), KEYS)
-    ws, we = window_bounds(F.col("s"), F.col("e"), F.size("content_array"))
+    rows = cover_rows(spans, q, whole.select(*KEYS), truth=False)
+    top = top_covers(rows).join(whole.select(*KEYS, "content_array"), KEYS)
     if semantic:
-        piece = piece_by_spans(F.col("content_array"), F.col("marks"), ws, we)
+        top = _with_pieces(top, q, index.config, spans)
     else:
-        piece = piece_by_words(F.col("content_array"), positive_lexemes(q.root), index.config, ws, we)
-    heads = top.groupBy("file_id").agg(join_pieces(piece, F.coalesce(F.col("s"), F.lit(0))).alias("headline"))
+        ws, we = window_bounds(F.col("s"), F.col("e"), F.size("content_array"))
+        top = top.withColumn(
+            "piece", piece_by_words(F.col("content_array"), positive_lexemes(q.root), index.config, ws, we)
+        )
+    heads = top.groupBy("file_id").agg(join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline"))
     return books.select("file_id", "filename", "title", "author").join(heads, "file_id")
 
 
@@ -145,7 +210,7 @@ def file_matches(index: TextIndex, query: str, mode: str = "logical", file_id: i
         return _empty(index, schema)
     fid = None if file_id is None else int(file_id)
     spans, _ = match(index, q, fid)
-    spans = spans.select(*KEYS, "s", "e").distinct()
+    spans = spans.filter(F.col("atom").isin(_positive_ids(q))).select(*KEYS, "s", "e").distinct()
     from pyspark.sql import Window
 
     w = Window.partitionBy(*KEYS).orderBy("s", "e")
