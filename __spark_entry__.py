@@ -255,6 +255,33 @@ def q_index_delete(spark, sf_dir):
     return fr.select(*_long("file_id", "sequence_no"), F.size("content_array").cast("long").alias("n_words"))
 
 
+def q_index_stream(spark, sf_dir):
+    """The documents table arrives as a file stream; every micro-batch is
+    upserted into a written index under the shared checkpoint folder."""
+    import os
+    import uuid
+
+    from quire.plans.index import TextIndex
+    from quire.session import checkpoint_dir
+    from quire.streaming.feed import start_index_feed
+
+    root = checkpoint_dir(spark)
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    run = os.path.join(root, "quire-index-stream-" + uuid.uuid4().hex)
+    q = start_index_feed(
+        spark, os.path.join(sf_dir, "documents*.parquet"), run + "/index", run + "/checkpoint",
+        max_tokens=FRAGMENT_TOKENS,
+    )
+    q.awaitTermination()
+    fr = TextIndex.load(spark, run + "/index", max_tokens=FRAGMENT_TOKENS).fragments
+    return fr.select(
+        *_long("file_id", "sequence_no"),
+        F.size("content_array").cast("long").alias("n_words"),
+        F.array_join("content_array", " ").alias("words"),
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: fast-headline corpus search on sf0.001."""
     return q_search_fast(spark, SMOKE_DIR)
@@ -290,6 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_files": q_ingest_files,
         "index_upsert": q_index_upsert,
         "index_delete": q_index_delete,
+        "index_stream": q_index_stream,
     }
 
 
@@ -323,4 +351,5 @@ def oracle_sql() -> dict[str, str]:
         "ingest_files": O.INGEST_FILES,
         "index_upsert": O.INDEX_UPSERT,
         "index_delete": O.INDEX_DELETE,
+        "index_stream": O.INDEX_STREAM,
     }

@@ -479,3 +479,10 @@ wd AS (SELECT file_id, sequence_no, count(*) AS n_words FROM tok GROUP BY file_i
 SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words FROM wd
 WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
 """)
+
+# The streamed index holds the fragments of every document
+INDEX_STREAM = with_base("""
+wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORDER BY pos) AS words
+       FROM tok GROUP BY file_id, sequence_no)
+SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
+""")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.analyze import fragments, postings
-from quire.plans.index import DEFAULT_BUCKETS, TextIndex, bucket_of
+from quire.plans.index import DEFAULT_BUCKETS, TextIndex, bucket_of, read_table
 
 
 def latest_versions(changes: DataFrame, order_col: str | None) -> DataFrame:
@@ -71,7 +71,7 @@ def _rewrite(spark, table_path: str, new_rows: DataFrame, touched: list[int], so
     new_rows.repartitionByRange("bucket", *sort_cols[:2]).sortWithinPartitions("bucket", *sort_cols).write.mode(
         "overwrite"
     ).partitionBy("bucket").parquet(stage)
-    staged = spark.read.parquet(stage)
+    staged = spark.read.schema(new_rows.schema).parquet(stage)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
     present = {r[0] for r in staged.select("bucket").distinct().collect()}  # at most `touched` values
     schema = staged.drop("bucket").schema
@@ -108,7 +108,7 @@ def apply_changes(
         frags = frags.unionByName(fresh)
     _rewrite(spark, os.path.join(path, "files"), files, touched, ["file_id"])
     _rewrite(spark, os.path.join(path, "fragments"), frags, touched, ["file_id", "sequence_no"])
-    frags_now = spark.read.parquet(os.path.join(path, "fragments")).filter(F.col("bucket").isin(touched))
+    frags_now = read_table(spark, path, "fragments").filter(F.col("bucket").isin(touched))
     posts = postings(frags_now.drop("bucket")).withColumn("bucket", bucket_of("file_id"))
     _rewrite(spark, os.path.join(path, "postings"), posts, touched, ["lexeme", "file_id", "sequence_no", "pos"])
     return TextIndex.load(spark, path, index.config, index.max_tokens)

@@ -21,10 +21,22 @@ from quire.operators.analyze import check_config, fragments, postings
 
 KEYS = ["file_id", "sequence_no"]
 DEFAULT_BUCKETS = 64
+FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
+# Schemas of the written tables (read with them, so an empty table still loads).
+TABLE_SCHEMAS = {
+    "files": FILES_SCHEMA + ", bucket int",
+    "fragments": "file_id long, sequence_no int, content_array array<string>, "
+    "content_tsv array<struct<lexeme:string,pos:int>>, content string, bucket int",
+    "postings": "lexeme string, file_id long, sequence_no int, pos int, bucket int",
+}
 
 
 def bucket_of(file_id) -> F.Column:
-    return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(DEFAULT_BUCKETS))
+    return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(DEFAULT_BUCKETS)).cast("int")
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(os.path.join(path, name))
 
 
 class TextIndex:
@@ -106,7 +118,7 @@ class TextIndex:
             .partitionBy("bucket")
             .parquet(os.path.join(path, "fragments"))
         )
-        frags_written = self.spark.read.parquet(os.path.join(path, "fragments"))
+        frags_written = read_table(self.spark, path, "fragments").drop("bucket")
         posts = postings(frags_written).withColumn("bucket", bucket_of("file_id"))
         (
             posts.repartitionByRange("bucket", "lexeme", "file_id")
@@ -117,15 +129,28 @@ class TextIndex:
         )
         return TextIndex.load(self.spark, path, self.config, self.max_tokens)
 
+    @classmethod
+    def create_empty(
+        cls, spark: SparkSession, path: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS
+    ) -> "TextIndex":
+        """Write an empty index (schemas only) at ``path``."""
+        files = spark.createDataFrame([], FILES_SCHEMA)
+        return cls.build(files, max_tokens, config).write(path)
+
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "postings"))
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
     @classmethod
     def load(
         cls, spark: SparkSession, path: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS
     ) -> "TextIndex":
-        r = spark.read
         return cls(
-            r.parquet(os.path.join(path, "files")),
-            r.parquet(os.path.join(path, "fragments")),
-            r.parquet(os.path.join(path, "postings")),
+            read_table(spark, path, "files"),
+            read_table(spark, path, "fragments"),
+            read_table(spark, path, "postings"),
             config,
             max_tokens,
         )
