@@ -64,10 +64,10 @@ def txt_like(name: Column) -> Column:
 
 def read_texts(spark: SparkSession, directory: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
     """``(path, value)`` with each whole file as one UTF-8 string."""
-    r = spark.read.option("wholetext", "true").option("pathGlobFilter", glob)
+    r = spark.read.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.text(directory).select(F.col("_metadata.file_path").alias("path"), "value")
+    return r.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def base_name(path: Column) -> Column:
