@@ -38,6 +38,7 @@ Q_FILES = "(of <-> the) & !and"
 Q_FAST = "(of <-> the) | (was & with)"
 Q_FULL = "(of <-> the) & this"
 Q_MATCHES = "(of <-> the) | with"
+Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
 
 
 def _index(spark: SparkSession, sf_dir: str, config: str = "simple") -> TextIndex:
@@ -282,6 +283,21 @@ def q_index_stream(spark, sf_dir):
     )
 
 
+# --- english configuration ---------------------------------------------------
+def q_english_vocabulary(spark, sf_dir):
+    """T6 vocabulary job: every distinct simple lexeme with its english lexeme
+    (Porter stem; null for a stop word)."""
+    from quire.functions.stem import english_lexeme
+    from quire.operators.analyze import postings
+
+    lex = postings(_index(spark, sf_dir).fragments).select("lexeme").distinct()
+    return lex.select("lexeme", english_lexeme(F.col("lexeme")).alias("stem"))
+
+
+def q_search_english(spark, sf_dir):
+    return search_fast(_index(spark, sf_dir, "english"), Q_ENGLISH, "logical")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: fast-headline corpus search on sf0.001."""
     return q_search_fast(spark, SMOKE_DIR)
@@ -318,6 +334,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_upsert": q_index_upsert,
         "index_delete": q_index_delete,
         "index_stream": q_index_stream,
+        "english_vocabulary": q_english_vocabulary,
+        "search_english": q_search_english,
     }
 
 
@@ -352,4 +370,6 @@ def oracle_sql() -> dict[str, str]:
         "index_upsert": O.INDEX_UPSERT,
         "index_delete": O.INDEX_DELETE,
         "index_stream": O.INDEX_STREAM,
+        "english_vocabulary": O.ENGLISH_VOCABULARY,
+        "search_english": O.SEARCH_ENGLISH,
     }

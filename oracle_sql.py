@@ -185,9 +185,9 @@ FROM r QUALIFY rn <= 5
 )
 
 
-def headline_sql(match_cond: str, atoms: dict[str, str], holds: str) -> str:
+def headline_sql(match_cond: str, atoms: dict[str, str], holds: str, english: bool = False) -> str:
     """E1 (fast headline) for fragments matching ``match_cond`` (SQL over alias f)."""
-    return with_base(
+    return (with_base_english if english else with_base)(
         covers_sql(atoms, holds)
         + f""",
 m AS (SELECT f.file_id, f.sequence_no FROM frag f WHERE {match_cond}),
@@ -486,3 +486,161 @@ wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORD
        FROM tok GROUP BY file_id, sequence_no)
 SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
 """)
+
+
+# --- english configuration (T6): Porter (1980) rules rendered as DuckDB SQL -----------
+def _stem_tables():
+    from quire.functions import stem as S
+
+    return S
+
+
+class _Vars:
+    n = 0
+
+    @classmethod
+    def new(cls) -> str:
+        cls.n += 1
+        return f"v{cls.n}"
+
+
+def _cv_sql(x: str) -> str:
+    p = f"regexp_replace({x}, '[aeiou]', 'V', 'g')"
+    p = f"regexp_replace({p}, '[^Vy]', 'C', 'g')"
+    p = f"regexp_replace({p}, '^y', 'C')"
+    p = f"regexp_replace({p}, 'Cy', 'CV', 'g')"
+    return f"regexp_replace({p}, 'y', 'C', 'g')"
+
+
+def _m_sql(p: str) -> str:
+    c = f"regexp_replace(regexp_replace({p}, 'C+', 'C', 'g'), 'V+', 'V', 'g')"
+    return f"CAST((length({c}) - length(replace({c}, 'VC', ''))) / 2 AS INTEGER)"
+
+
+def _cut_sql(s: str, k: int) -> str:
+    return f"substr({s}, 1, length({s}) - {k})"
+
+
+def _cvc_sql(stem: str, pstem: str) -> str:
+    return f"(regexp_matches({pstem}, 'CVC$') AND NOT regexp_matches({stem}, '[wxy]$'))"
+
+
+def _cond_sql(cond: str, stem: str, pstem: str) -> str:
+    return {
+        "": "TRUE",
+        "m>0": f"{_m_sql(pstem)} > 0",
+        "m>1": f"{_m_sql(pstem)} > 1",
+        "*v*": f"contains({pstem}, 'V')",
+        "ion": f"({_m_sql(pstem)} > 1 AND regexp_matches({stem}, '[st]$'))",
+    }[cond]
+
+
+def _let_sql(x: str, body) -> str:
+    """``body(w, p)`` with ``x`` and its C/V pattern bound once (lambda variables)."""
+    a, b = _Vars.new(), _Vars.new()
+    inner = body(f"{b}.w", f"{b}.p")
+    return (
+        f"list_transform([{x}], lambda {a}: list_transform([struct_pack(w := {a}, p := {_cv_sql(a)})], "
+        f"lambda {b}: {inner})[1])[1]"
+    )
+
+
+def _rules_sql(x: str, rules) -> str:
+    def body(w, p):
+        parts = []
+        for suffix, repl, cond in sorted(rules, key=lambda r: -len(r[0])):
+            k = len(suffix)
+            stem, pstem = _cut_sql(w, k), _cut_sql(p, k)
+            parts.append(
+                f"WHEN ends_with({w}, '{suffix}') THEN "
+                f"CASE WHEN {_cond_sql(cond, stem, pstem)} THEN {stem} || '{repl}' ELSE {w} END"
+            )
+        return "CASE " + " ".join(parts) + f" ELSE {w} END"
+
+    return _let_sql(x, body)
+
+
+def _step1b_sql(x: str) -> str:
+    S = _stem_tables()
+
+    def tidy(s: str, ps: str) -> str:
+        parts = [f"WHEN ends_with({s}, '{a}') THEN {_cut_sql(s, len(a))} || '{b}'" for a, b in S.STEP_1B_TAILS]
+        parts.append(
+            f"WHEN regexp_matches({s}, '{S.DOUBLE_CONSONANT}') AND NOT regexp_matches({s}, '[lsz]$') "
+            f"THEN {_cut_sql(s, 1)}"
+        )
+        parts.append(f"WHEN {_m_sql(ps)} = 1 AND {_cvc_sql(s, ps)} THEN {s} || 'e'")
+        return "CASE " + " ".join(parts) + f" ELSE {s} END"
+
+    def body(w, p):
+        s3, p3, s2, p2 = _cut_sql(w, 3), _cut_sql(p, 3), _cut_sql(w, 2), _cut_sql(p, 2)
+        return (
+            f"CASE WHEN ends_with({w}, 'eed') THEN CASE WHEN {_m_sql(p3)} > 0 THEN {s3} || 'ee' ELSE {w} END "
+            f"WHEN ends_with({w}, 'ed') THEN CASE WHEN contains({p2}, 'V') THEN {tidy(s2, p2)} ELSE {w} END "
+            f"WHEN ends_with({w}, 'ing') THEN CASE WHEN contains({p3}, 'V') THEN {tidy(s3, p3)} ELSE {w} END "
+            f"ELSE {w} END"
+        )
+
+    return _let_sql(x, body)
+
+
+def _step5_sql(x: str) -> str:
+    def drop_e(w, p):
+        stem, pstem = _cut_sql(w, 1), _cut_sql(p, 1)
+        m = _m_sql(pstem)
+        return (
+            f"CASE WHEN ends_with({w}, 'e') AND ({m} > 1 OR ({m} = 1 AND NOT {_cvc_sql(stem, pstem)})) "
+            f"THEN {stem} ELSE {w} END"
+        )
+
+    def drop_l(w, p):
+        return f"CASE WHEN ends_with({w}, 'll') AND {_m_sql(p)} > 1 THEN {_cut_sql(w, 1)} ELSE {w} END"
+
+    return _let_sql(_let_sql(x, drop_e), drop_l)
+
+
+def porter_sql(x: str) -> str:
+    S = _stem_tables()
+    s = _rules_sql(x, S.STEP_1A)
+    s = _step1b_sql(s)
+    s = _rules_sql(s, S.STEP_1C)
+    s = _rules_sql(s, S.STEP_2)
+    s = _rules_sql(s, S.STEP_3)
+    s = _rules_sql(s, S.STEP_4)
+    s = _step5_sql(s)
+    return f"CASE WHEN length({x}) >= {S.MIN_STEM_LENGTH} THEN {s} ELSE {x} END"
+
+
+def english_sql(simple: str) -> str:
+    S = _stem_tables()
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in S.ENGLISH_STOP_WORDS)
+    return f"CASE WHEN {simple} IN ({stops}) THEN NULL ELSE {porter_sql(simple)} END"
+
+
+def with_base_english(body: str, max_tokens: int | None = FRAGMENT_TOKENS) -> str:
+    """Base CTEs of the ``english`` configuration: lexemes stemmed, stop words
+    without lexeme (their positions stay taken), postings without them."""
+    sql = with_base(body, max_tokens)
+    simple = f"regexp_replace(lower(tok), '{EDGE}', '', 'g')"
+    sql = sql.replace(f"{simple} AS lexeme", f"{english_sql(simple)} AS lexeme", 1)
+    return sql.replace(
+        "post AS (SELECT lexeme, file_id, sequence_no, pos FROM tok)",
+        "post AS (SELECT lexeme, file_id, sequence_no, pos FROM tok WHERE lexeme IS NOT NULL)",
+        1,
+    )
+
+
+ENGLISH_VOCABULARY = with_base(f"""
+v AS (SELECT DISTINCT lexeme FROM tok)
+SELECT lexeme, {english_sql('lexeme')} AS stem FROM v
+""")
+
+# "(tion <-> ing) | (ble & ly)" on the english index
+_EN_PH = phrase_spans("tion", "ing")
+SEARCH_ENGLISH = headline_sql(
+    f"EXISTS (SELECT 1 FROM ({_EN_PH}) z WHERE z.file_id = f.file_id AND z.sequence_no = f.sequence_no) "
+    f"OR ({has('ble')} AND {has('ly')})",
+    {"tioning": _EN_PH, "ble": term_spans("ble"), "ly": term_spans("ly")},
+    "IN_tioning OR (IN_ble AND IN_ly)",
+    english=True,
+)

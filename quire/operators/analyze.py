@@ -32,13 +32,12 @@ def lexeme(token: Column, config: str = "simple") -> Column:
     return english_lexeme(base)
 
 
-def lexeme_vector(words: Column, config: str = "simple") -> Column:
-    """``array<struct<lexeme,pos>>`` of a word array; positions are 1-based and
-    count dropped words too, so a stop word still takes its place."""
-    vec = F.transform(words, lambda t, i: F.struct(lexeme(t, config).alias("lexeme"), (i + 1).alias("pos")))
-    if config == "simple":
-        return vec
-    return F.filter(vec, lambda x: x["lexeme"].isNotNull())
+def lexeme_vector(words: Column) -> Column:
+    """``array<struct<lexeme,pos>>`` of a word array with ``simple`` lexemes;
+    positions are 1-based. Other configurations map these lexemes through the
+    vocabulary (``vocabulary`` / ``postings``), so positions of dropped words
+    (stop words) stay taken."""
+    return F.transform(words, lambda t, i: F.struct(simple_lexeme(t).alias("lexeme"), (i + 1).alias("pos")))
 
 
 def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, config: str = "simple") -> DataFrame:
@@ -48,7 +47,8 @@ def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, con
     content_tsv, content)``. Fragment ``k`` holds raw tokens ``k*m+1 .. (k+1)*m``;
     its ``content_array`` keeps the word tokens, so ``content_array[pos-1]`` is the
     token at ``pos``. Fragments without any word are dropped before numbering.
-    ``max_tokens=None`` keeps each book whole (one fragment).
+    ``max_tokens=None`` keeps each book whole (one fragment). ``content_tsv``
+    holds ``simple`` lexemes whatever the configuration (see ``postings``).
     """
     check_config(config)
     raw = files.select("file_id", tokens(F.col("content")).alias("_raw"))
@@ -70,25 +70,69 @@ def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, con
         "file_id",
         (F.col("_i") + 1).cast("int").alias("sequence_no"),
         F.col("_f.words").alias("content_array"),
-        lexeme_vector(F.col("_f.words"), config).alias("content_tsv"),
+        lexeme_vector(F.col("_f.words")).alias("content_tsv"),
         F.col("_f.content").alias("content"),
     )
 
 
-def postings(frags: DataFrame, lexemes: list[str] | None = None) -> DataFrame:
+def vocabulary(frags: DataFrame, config: str = "english") -> DataFrame:
+    """T6 vocabulary job: ``(lexeme, term)`` for every distinct simple lexeme
+    that the configuration keeps (stop words left out), each stemmed once."""
+    check_config(config)
+    lex = frags.select(F.explode("content_tsv.lexeme").alias("lexeme")).distinct()
+    if config == "simple":
+        return lex.select("lexeme", F.col("lexeme").alias("term"))
+    from quire.functions.stem import ENGLISH_STOP_WORDS, porter_stem
+
+    kept = lex.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
+    return kept.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
+
+
+def variants(frags: DataFrame, terms: list[str], config: str) -> dict[str, str]:
+    """Corpus words whose configured lexeme is one of ``terms``: a bounded
+    lookup (only the query's own terms come back to the driver)."""
+    if config == "simple":
+        return {t: t for t in terms}
+    rows = vocabulary(frags, config).filter(F.col("term").isin(sorted(set(terms)))).collect()
+    return {r["lexeme"]: r["term"] for r in rows}
+
+
+def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "simple") -> DataFrame:
     """Inverted index rows ``(lexeme, file_id, sequence_no, pos)``.
 
     With ``lexemes`` the vector is filtered *before* the explode, so only query
-    hits become rows (the in-plan equivalent of an index lookup).
+    hits become rows (the in-plan equivalent of an index lookup). Under a
+    configuration other than ``simple`` the simple lexemes are mapped to the
+    configured ones: through a literal map of the query's word variants when
+    ``lexemes`` is given, else by a join with the vocabulary (stop words are
+    dropped before that join, so its hottest keys never shuffle).
     """
+    check_config(config)
     tsv = F.col("content_tsv")
+    mapping = None
     if lexemes is not None:
-        wanted = sorted(set(lexemes))
-        tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted))
+        if config == "simple":
+            wanted = sorted(set(lexemes))
+        else:
+            mapping = variants(frags, lexemes, config)
+            wanted = sorted(mapping)
+        tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted)) if wanted else F.array().cast(frags.schema["content_tsv"].dataType)
     rows = frags.select("file_id", "sequence_no", F.explode(tsv).alias("_p"))
-    return rows.select(
+    rows = rows.select(
         F.col("_p.lexeme").alias("lexeme"),
         "file_id",
         "sequence_no",
         F.col("_p.pos").alias("pos"),
     )
+    if config == "simple":
+        return rows
+    if mapping is not None:
+        if not mapping:
+            return rows
+        lookup = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+        return rows.select(F.element_at(lookup, F.col("lexeme")).alias("lexeme"), "file_id", "sequence_no", "pos")
+    from quire.functions.stem import ENGLISH_STOP_WORDS
+
+    rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
+    voc = vocabulary(frags, config)
+    return rows.join(voc, "lexeme").select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos")

@@ -109,7 +109,7 @@ def apply_changes(
     _rewrite(spark, os.path.join(path, "files"), files, touched, ["file_id"])
     _rewrite(spark, os.path.join(path, "fragments"), frags, touched, ["file_id", "sequence_no"])
     frags_now = read_table(spark, path, "fragments").filter(F.col("bucket").isin(touched))
-    posts = postings(frags_now.drop("bucket")).withColumn("bucket", bucket_of("file_id"))
+    posts = postings(frags_now.drop("bucket"), config=index.config).withColumn("bucket", bucket_of("file_id"))
     _rewrite(spark, os.path.join(path, "postings"), posts, touched, ["lexeme", "file_id", "sequence_no", "pos"])
     return TextIndex.load(spark, path, index.config, index.max_tokens)
 

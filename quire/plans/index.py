@@ -75,7 +75,7 @@ class TextIndex:
         frags = self.fragments
         if file_id is not None:
             frags = frags.filter(F.col("file_id") == file_id)
-        return postings(frags, lexemes)
+        return postings(frags, lexemes, self.config)
 
     def fragment_rows(self, file_id: int | None = None) -> DataFrame:
         f = self.fragments
@@ -119,7 +119,7 @@ class TextIndex:
             .parquet(os.path.join(path, "fragments"))
         )
         frags_written = read_table(self.spark, path, "fragments").drop("bucket")
-        posts = postings(frags_written).withColumn("bucket", bucket_of("file_id"))
+        posts = postings(frags_written, config=self.config).withColumn("bucket", bucket_of("file_id"))
         (
             posts.repartitionByRange("bucket", "lexeme", "file_id")
             .sortWithinPartitions("bucket", "lexeme", "file_id", "sequence_no", "pos")

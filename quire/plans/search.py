@@ -166,7 +166,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     _, frags = match(index, q)
     books = index.files.join(frags.select("file_id").distinct(), "file_id", "left_semi")
     whole = fragments(books.select("file_id", "content"), None, index.config)
-    spans = atom_spans(postings(whole, q.lexemes), q)
+    spans = atom_spans(postings(whole, q.lexemes, index.config), q)
     rows = cover_rows(spans, q, whole.select(*KEYS), truth=False)
     top = top_covers(rows).join(whole.select(*KEYS, "content_array"), KEYS)
     if semantic:
