@@ -40,7 +40,9 @@ def lexeme_vector(words: Column) -> Column:
     return F.transform(words, lambda t, i: F.struct(simple_lexeme(t).alias("lexeme"), (i + 1).alias("pos")))
 
 
-def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, config: str = "simple") -> DataFrame:
+def fragments(
+    files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, config: str = "simple", keep: tuple = ()
+) -> DataFrame:
     """Cut each book into fragments.
 
     ``files(file_id, content)`` -> ``fragments(file_id, sequence_no, content_array,
@@ -49,9 +51,10 @@ def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, con
     token at ``pos``. Fragments without any word are dropped before numbering.
     ``max_tokens=None`` keeps each book whole (one fragment). ``content_tsv``
     holds ``simple`` lexemes whatever the configuration (see ``postings``).
+    ``keep`` names further columns of ``files`` carried to every fragment.
     """
     check_config(config)
-    raw = files.select("file_id", tokens(F.col("content")).alias("_raw"))
+    raw = files.select("file_id", *keep, tokens(F.col("content")).alias("_raw"))
     if max_tokens is None:
         pieces = F.array(F.col("_raw"))
     else:
@@ -65,9 +68,10 @@ def fragments(files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, con
         lambda f: F.struct(F.array_join(f, " ").alias("content"), F.filter(f, is_word).alias("words")),
     )
     kept = F.filter(parts, lambda p: F.size(p["words"]) > 0)
-    out = raw.select("file_id", F.posexplode(kept).alias("_i", "_f"))
+    out = raw.select("file_id", *keep, F.posexplode(kept).alias("_i", "_f"))
     return out.select(
         "file_id",
+        *keep,
         (F.col("_i") + 1).cast("int").alias("sequence_no"),
         F.col("_f.words").alias("content_array"),
         lexeme_vector(F.col("_f.words")).alias("content_tsv"),

@@ -57,39 +57,6 @@ def window_bounds(s: Column, e: Column, n: Column) -> tuple[Column, Column]:
     return ws, we
 
 
-def piece_by_spans(tokens: Column, marks: Column, ws: Column, we: Column) -> Column:
-    """Tokens ``ws..we`` joined by blanks; each run of positions covered by a
-    span is wrapped in one ``<b>…</b>``."""
-    near = F.filter(F.coalesce(marks, F.array()), lambda m: (m["e"] >= ws) & (m["s"] <= we))
-
-    def covered(p):
-        return F.exists(near, lambda m: (m["s"] <= p) & (p <= m["e"]))
-
-    def render(p):
-        on = covered(p)
-        open_ = on & ((p == ws) | ~covered(p - 1))
-        close = on & ((p == we) | ~covered(p + 1))
-        return F.concat(
-            F.when(open_, F.lit(MARK_OPEN)).otherwise(F.lit("")),
-            F.element_at(tokens, p),
-            F.when(close, F.lit(MARK_CLOSE)).otherwise(F.lit("")),
-        )
-
-    return F.array_join(F.transform(F.sequence(ws, we), render), " ")
-
-
-def piece_by_words(tokens: Column, words: list[str], config: str, ws: Column, we: Column) -> Column:
-    """Tokens ``ws..we``; every token whose lexeme is a query word is marked."""
-    wanted = sorted(set(words))
-
-    def render(p):
-        t = F.element_at(tokens, p)
-        hit = lexeme(t, config).isin(wanted) if wanted else F.lit(False)
-        return F.when(hit, F.concat(F.lit(MARK_OPEN), t, F.lit(MARK_CLOSE))).otherwise(t)
-
-    return F.array_join(F.transform(F.sequence(ws, we), render), " ")
-
-
 def join_pieces(piece: Column, order: Column) -> Column:
     """``STRING_AGG(piece, ' ... ')`` in ``order``; nulls skipped, null if none."""
     parts = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(order.alias("o"), piece.alias("p")))))
@@ -104,43 +71,50 @@ def lexeme_window(tokens: Column, ws: Column, we: Column, reach: int, config: st
     return lo, F.transform(F.sequence(lo, hi), lambda p: lexeme(F.element_at(tokens, p), config))
 
 
-def piece_by_chains(tokens: Column, lo: Column, lexemes: Column, chains, ws: Column, we: Column) -> Column:
-    """Tokens ``ws..we``; each run of positions inside an occurrence of one of
-    ``chains`` (words or phrases) is wrapped in one ``<b>…</b>``.
-
-    Occurrences are re-checked on the window's own lexemes (``lexemes`` starts
-    at position ``lo``), so no list of match spans has to travel with the row.
-    """
-    n_lex = F.size(lexemes)
-
-    def lex_at(p):
-        i = p - lo + 1
-        return F.when((i >= 1) & (i <= n_lex), F.element_at(lexemes, F.greatest(i, F.lit(1))))
-
-    def covered(p):
-        alts = []
-        for ch in chains:
-            for off_j, _ in ch.terms:
-                cond = None
-                for off_i, term in ch.terms:
-                    c = F.coalesce(lex_at(p - off_j + off_i) == F.lit(term), F.lit(False))
-                    cond = c if cond is None else cond & c
-                alts.append(cond)
-        if not alts:
-            return F.lit(False)
-        out = alts[0]
-        for a in alts[1:]:
-            out = out | a
-        return out
-
-    def render(p):
-        on = covered(p)
-        open_ = on & ((p == ws) | ~covered(p - 1))
-        close = on & ((p == we) | ~covered(p + 1))
-        return F.concat(
-            F.when(open_, F.lit(MARK_OPEN)).otherwise(F.lit("")),
-            F.element_at(tokens, p),
-            F.when(close, F.lit(MARK_CLOSE)).otherwise(F.lit("")),
-        )
-
-    return F.array_join(F.transform(F.sequence(ws, we), render), " ")
+def sql_str(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def covered_flags(chains, with_marks: bool = False) -> Column:
+    """``_cov``: for positions ``_lo .. _lo+size(_lx)-1`` whether an occurrence
+    of one of ``chains`` (words or phrases) covers it, checked on the window's
+    own lexemes ``_lx``; with ``with_marks`` also whether a span of ``marks``
+    does. One SQL expression, evaluated once per position."""
+
+    def lex_at(x: str) -> str:
+        return f"get(_lx, {x} - _lo)"
+
+    alts = []
+    for ch in chains:
+        for off_j, _ in ch.terms:
+            conds = [f"{lex_at(f'q + {off_i - off_j}')} = {sql_str(term)}" for off_i, term in ch.terms]
+            alts.append("coalesce(" + " AND ".join(conds) + ", false)")
+    if with_marks:
+        alts.append("exists(coalesce(marks, array()), m -> m.s <= q AND q <= m.e)")
+    body = " OR ".join(alts) if alts else "false"
+    return F.expr(f"transform(sequence(_lo, _lo + size(_lx) - 1), q -> {body})")
+
+
+def render_runs(tokens: str = "content_array") -> Column:
+    """Tokens ``_ws.._we`` joined by blanks; each run of covered positions
+    (``_cov``) is wrapped in one ``<b>…</b>``."""
+    c = "coalesce(get(_cov, {x} - _lo), false)"
+    here, prev, nxt = c.format(x="p"), c.format(x="p - 1"), c.format(x="p + 1")
+    return F.expr(
+        f"array_join(transform(sequence(_ws, _we), p -> concat("
+        f"CASE WHEN {here} AND (p = _ws OR NOT {prev}) THEN {sql_str(MARK_OPEN)} ELSE '' END, "
+        f"element_at({tokens}, p), "
+        f"CASE WHEN {here} AND (p = _we OR NOT {nxt}) THEN {sql_str(MARK_CLOSE)} ELSE '' END)), ' ')"
+    )
+
+
+def render_words(words: list[str], tokens: str = "content_array") -> Column:
+    """Tokens ``_ws.._we``; each token whose lexeme is a query word is marked on its own."""
+    wanted = ", ".join(sql_str(w) for w in sorted(set(words))) or "NULL"
+    hit = f"coalesce(get(_lx, p - _lo) IN ({wanted}), false)"
+    return F.expr(
+        f"array_join(transform(sequence(_ws, _we), p -> CASE WHEN {hit} "
+        f"THEN concat({sql_str(MARK_OPEN)}, element_at({tokens}, p), {sql_str(MARK_CLOSE)}) "
+        f"ELSE element_at({tokens}, p) END), ' ')"
+    )

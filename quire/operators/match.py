@@ -24,7 +24,7 @@ SPAN_COLS = ["file_id", "sequence_no", "s", "e"]
 DENSITY_TOKENS = 16
 
 
-def chain_spans(hits: DataFrame, q: Query) -> DataFrame:
+def chain_spans(hits: DataFrame, q: Query, partitioned: bool = False) -> DataFrame:
     """Spans ``(file_id, sequence_no, cid, s, e)`` of every chain of the query.
 
     Each hit is moved to its chain anchor (``pos - offset``); an anchor is a match
@@ -35,20 +35,15 @@ def chain_spans(hits: DataFrame, q: Query) -> DataFrame:
     for cid, ch in enumerate(q.chains):
         for off, lx in ch.terms:
             entries.setdefault(lx, []).append((cid, off, len(ch.terms), ch.last))
+    from quire.operators.headline import sql_str
+
     pairs = []
     for lx in sorted(entries):
-        pairs.append(F.lit(lx))
-        pairs.append(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("cid"), F.lit(o).alias("off"), F.lit(n).alias("n"), F.lit(l).alias("last")
-                    )
-                    for c, o, n, l in entries[lx]
-                ]
-            )
+        items = ", ".join(
+            f"named_struct('cid', {c}, 'off', {o}, 'n', {n}, 'last', {l})" for c, o, n, l in entries[lx]
         )
-    lookup = F.create_map(*pairs)
+        pairs.append(f"{sql_str(lx)}, array({items})")
+    lookup = F.expr("map(" + ", ".join(pairs) + ")")  # one literal map: lexeme -> its (chain, offset) slots
     x = hits.select(*KEYS, "pos", F.explode(F.element_at(lookup, F.col("lexeme"))).alias("t")).select(
         *KEYS,
         F.col("t.cid").alias("cid"),
@@ -56,7 +51,8 @@ def chain_spans(hits: DataFrame, q: Query) -> DataFrame:
         F.col("t.n").alias("n"),
         F.col("t.last").alias("last"),
     )
-    x = x.repartition(*KEYS)
+    if not partitioned:  # hits of a bucketed index already sit with their book
+        x = x.repartition(*KEYS)
     g = x.groupBy(*KEYS, "cid", "s").agg(
         F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("last").alias("last")
     )
@@ -89,9 +85,11 @@ def _node_spans(node, cs: DataFrame, q: Query) -> DataFrame:
     raise ValueError(f"no span meaning for {node!r}")
 
 
-def atom_spans(hits: DataFrame, q: Query) -> DataFrame:
-    """Spans ``(file_id, sequence_no, atom, s, e)`` of the boolean-level atoms."""
-    cs = chain_spans(hits, q)
+def atom_spans(hits: DataFrame, q: Query, partitioned: bool = False) -> DataFrame:
+    """Spans ``(file_id, sequence_no, atom, s, e)`` of the boolean-level atoms.
+
+    ``partitioned``: the hits are already hash-partitioned by ``file_id``."""
+    cs = chain_spans(hits, q, partitioned)
     parts = []
     chain_atoms = [(q.atom_id(a), q.chain_id(a)) for a in q.atoms if isinstance(a, Chain)]
     if chain_atoms:
@@ -208,8 +206,9 @@ def cover_rows(
     x = x.withColumn("_prev", F.lag("s").over(ordered))
     x = x.withColumn("_cov", F.col("s").isNotNull() & (F.col("_prev").isNull() | (F.col("s") > F.col("_prev"))))
     if keep_empty:
-        x = x.withColumn("_any", F.max(F.col("_cov").cast("int")).over(frag))
-        x = x.withColumn("_first", F.row_number().over(ordered))
+        x = x.withColumns(
+            {"_any": F.max(F.col("_cov").cast("int")).over(frag), "_first": F.row_number().over(ordered)}
+        )
         x = x.filter(F.col("_cov") | ((F.col("_any") == 0) & (F.col("_first") == 1)))
     else:
         x = x.filter(F.col("_cov"))

@@ -21,6 +21,10 @@ from quire.operators.analyze import check_config, fragments, postings
 
 KEYS = ["file_id", "sequence_no"]
 DEFAULT_BUCKETS = 64
+# Buckets of the catalog-table layout (size to ~1-2 GB of postings per bucket).
+DEFAULT_TABLE_BUCKETS = 64
+FILES_COLUMNS = ["file_id", "filename", "title", "author", "content"]
+FRAGMENT_COLUMNS = ["file_id", "sequence_no", "content_array", "content_tsv", "content"]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
@@ -49,12 +53,16 @@ class TextIndex:
         posts: DataFrame | None = None,
         config: str = "simple",
         max_tokens: int | None = DEFAULT_MAX_TOKENS,
+        co_partitioned: bool = False,
     ):
         self.files = files
         self.fragments = frags
         self.postings = posts
         self.config = check_config(config)
         self.max_tokens = max_tokens
+        # True when all three tables are bucketed by file_id alike (catalog tables):
+        # hits then need no shuffle, and per-book joins are co-located.
+        self.co_partitioned = co_partitioned
 
     @property
     def spark(self) -> SparkSession:
@@ -70,7 +78,9 @@ class TextIndex:
         if self.postings is not None:
             p = self.postings
             if file_id is not None:
-                p = p.filter((F.col("bucket") == file_id % DEFAULT_BUCKETS) & (F.col("file_id") == file_id))
+                if "bucket" in p.columns:  # path layout: prune the bucket directory
+                    p = p.filter(F.col("bucket") == file_id % DEFAULT_BUCKETS)
+                p = p.filter(F.col("file_id") == file_id)  # bucketed tables prune buckets themselves
             return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select("lexeme", *KEYS, "pos")
         frags = self.fragments
         if file_id is not None:
@@ -97,6 +107,57 @@ class TextIndex:
             f = f.filter(F.col("file_id") == file_id)
         return f
 
+    # --- catalog tables bucketed by file_id ---------------------------------
+    def write_tables(
+        self, name: str, buckets: int = DEFAULT_TABLE_BUCKETS, files_per_bucket: int = 1, path: str | None = None
+    ) -> "TextIndex":
+        """Save ``<name>_files``, ``<name>_fragments``, ``<name>_postings`` as
+        catalog tables, all ``bucketBy(buckets, file_id)``.
+
+        Books, fragments and postings of one ``file_id`` share a bucket, so a
+        search reads the postings of its lexemes already partitioned by book:
+        fragment windows, the top covers per book and the join back to the
+        token arrays run without an exchange (with
+        ``spark.sql.requireAllClusterKeysForCoPartition=false``, so the
+        ``(file_id, sequence_no)`` joins may use the ``file_id`` buckets).
+        Postings are sorted by lexeme inside every bucket file, so Parquet
+        statistics skip row groups of other lexemes. ``files_per_bucket`` tasks
+        write each bucket, keeping write tasks small at any scale. ``path`` puts
+        the (then external) tables under that folder instead of the warehouse.
+        """
+        n = buckets * max(1, int(files_per_bucket))
+
+        def save(df: DataFrame, table: str, sort_cols: list[str]) -> None:
+            w = (
+                df.repartition(n, "file_id")
+                .write.mode("overwrite")
+                .format("parquet")
+                .bucketBy(buckets, "file_id")
+                .sortBy(*sort_cols)
+            )
+            if path is not None:
+                w = w.option("path", os.path.join(path, table))
+            w.saveAsTable(table)
+
+        save(self.files.select(*FILES_COLUMNS), f"{name}_files", ["file_id"])
+        save(self.fragments.select(*FRAGMENT_COLUMNS), f"{name}_fragments", ["file_id", "sequence_no"])
+        frags = self.spark.table(f"{name}_fragments")
+        save(postings(frags, config=self.config), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
+        return TextIndex.load_tables(self.spark, name, self.config, self.max_tokens)
+
+    @classmethod
+    def load_tables(
+        cls, spark: SparkSession, name: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS
+    ) -> "TextIndex":
+        return cls(
+            spark.table(f"{name}_files"),
+            spark.table(f"{name}_fragments"),
+            spark.table(f"{name}_postings"),
+            config,
+            max_tokens,
+            co_partitioned=True,
+        )
+
     # --- persistence -----------------------------------------------------
     def write(self, path: str, mode: str = "overwrite") -> "TextIndex":
         """Write files, fragments and postings under ``path``; return the loaded index."""

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from quire.functions.text import present_text
 from quire.operators.analyze import fragments, postings
 from quire.operators.headline import (
+    covered_flags,
     join_pieces,
     lexeme_window,
-    piece_by_chains,
-    piece_by_words,
+    render_runs,
+    render_words,
     span_marks,
     top_covers,
     window_bounds,
@@ -65,7 +66,7 @@ def match(index: TextIndex, q: Query, file_id: int | None = None) -> tuple[DataF
     ``spans(file_id, sequence_no, atom, s, e)`` are the atom matches inside those
     fragments; ``fragments(file_id, sequence_no)`` the matching fragment keys.
     """
-    spans = atom_spans(index.hits(q.lexemes, file_id), q)
+    spans = atom_spans(index.hits(q.lexemes, file_id), q, index.co_partitioned)
     frags = matching_fragments(spans, q, index.universe(file_id))
     return with_truth(spans, q), frags
 
@@ -74,59 +75,33 @@ def _positive_ids(q: Query) -> list[int]:
     return [q.atom_id(a) for a in q.positive]
 
 
-def _with_pieces(top: DataFrame, q: Query, config: str, spans: DataFrame | None, tokens: str = "content_array") -> DataFrame:
-    """Add ``piece``: the cover window of each row with its match runs marked.
+def _with_pieces(
+    top: DataFrame, q: Query, config: str, spans, words: bool = False, tokens: str = "content_array"
+) -> DataFrame:
+    """Add ``piece``: the cover window of each row with its matches marked.
 
-    Word and phrase atoms are re-checked on the window's tokens; only a query
-    with a word-distance atom brings its spans along (one join on the top rows).
+    The window's lexemes are computed once (``_lx`` from ``_lo``); word and
+    phrase atoms are re-checked on them, so no list of match spans travels with
+    the row; only a query with a word-distance atom joins its spans (to the
+    top rows only). ``words`` marks every query word on its own instead.
+    ``spans`` is a frame of atom spans, or a function giving it (built only
+    when needed).
     """
     chains = [a for a in q.positive if isinstance(a, Chain)]
     follows = [a for a in q.positive if isinstance(a, Follow)]
     ws, we = window_bounds(F.col("s"), F.col("e"), F.size(tokens))
-    x = top.withColumn("_ws", ws).withColumn("_we", we)
+    x = top.withColumns({"_ws": ws, "_we": we})
     reach = max([c.last for c in chains], default=0)
     lo, lx = lexeme_window(F.col(tokens), F.col("_ws"), F.col("_we"), reach, config)
-    x = x.withColumn("_lo", lo).withColumn("_lx", lx)
+    x = x.withColumns({"_lo": lo, "_lx": lx})
+    if words:
+        return x.withColumn("piece", render_words(positive_lexemes(q.root), tokens))
     if follows:
         ids = [q.atom_id(a) for a in follows]
-        marks = span_marks(spans.filter(F.col("atom").isin(ids)))
-        x = x.join(marks, KEYS, "left")
-        # a position is marked when a chain occurrence or a distance span covers it
-        piece = _merge_marks(F.col(tokens), F.col("_lo"), F.col("_lx"), chains, F.col("marks"), F.col("_ws"), F.col("_we"))
-    else:
-        piece = piece_by_chains(F.col(tokens), F.col("_lo"), F.col("_lx"), chains, F.col("_ws"), F.col("_we"))
-    return x.withColumn("piece", piece)
-
-
-def _merge_marks(tokens, lo, lexemes, chains, marks, ws, we):
-    from quire.operators.headline import MARK_CLOSE, MARK_OPEN
-
-    n_lex = F.size(lexemes)
-    near = F.filter(F.coalesce(marks, F.array()), lambda m: (m["e"] >= ws) & (m["s"] <= we))
-
-    def lex_at(p):
-        i = p - lo + 1
-        return F.when((i >= 1) & (i <= n_lex), F.element_at(lexemes, F.greatest(i, F.lit(1))))
-
-    def covered(p):
-        out = F.exists(near, lambda m: (m["s"] <= p) & (p <= m["e"]))
-        for ch in chains:
-            for off_j, _ in ch.terms:
-                cond = F.lit(True)
-                for off_i, term in ch.terms:
-                    cond = cond & F.coalesce(lex_at(p - off_j + off_i) == F.lit(term), F.lit(False))
-                out = out | cond
-        return out
-
-    def render(p):
-        on = covered(p)
-        return F.concat(
-            F.when(on & ((p == ws) | ~covered(p - 1)), F.lit(MARK_OPEN)).otherwise(F.lit("")),
-            F.element_at(tokens, p),
-            F.when(on & ((p == we) | ~covered(p + 1)), F.lit(MARK_CLOSE)).otherwise(F.lit("")),
-        )
-
-    return F.array_join(F.transform(F.sequence(ws, we), render), " ")
+        spans = spans() if callable(spans) else spans
+        x = x.join(span_marks(spans.filter(F.col("atom").isin(ids))), KEYS, "left")
+    x = x.withColumn("_cov", covered_flags(chains, with_marks=bool(follows)))
+    return x.withColumn("piece", render_runs(tokens))
 
 
 def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFrame:
@@ -141,10 +116,10 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
         return _empty(index, FAST_SCHEMA)
-    spans = atom_spans(index.hits(q.lexemes), q)
+    spans = atom_spans(index.hits(q.lexemes), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
     top = top_covers(rows).join(index.fragments.select(*KEYS, "content_array"), KEYS)
-    top = _with_pieces(top, q, index.config, with_truth(spans, q))
+    top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
     heads = top.groupBy("file_id").agg(join_pieces(piece, -F.col("rn")).alias("headline"))
     return heads.join(index.files.select("file_id", "title", "author"), "file_id").select(
@@ -165,19 +140,17 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
         return _empty(index, FULL_SCHEMA)
     _, frags = match(index, q)
     books = index.files.join(frags.select("file_id").distinct(), "file_id", "left_semi")
-    whole = fragments(books.select("file_id", "content"), None, index.config)
+    meta = ("filename", "title", "author")
+    whole = fragments(books.select("file_id", *meta, "content"), None, index.config, keep=meta)
     spans = atom_spans(postings(whole, q.lexemes, index.config), q)
-    rows = cover_rows(spans, q, whole.select(*KEYS), truth=False)
-    top = top_covers(rows).join(whole.select(*KEYS, "content_array"), KEYS)
-    if semantic:
-        top = _with_pieces(top, q, index.config, spans)
-    else:
-        ws, we = window_bounds(F.col("s"), F.col("e"), F.size("content_array"))
-        top = top.withColumn(
-            "piece", piece_by_words(F.col("content_array"), positive_lexemes(q.root), index.config, ws, we)
-        )
-    heads = top.groupBy("file_id").agg(join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline"))
-    return books.select("file_id", "filename", "title", "author").join(heads, "file_id")
+    top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False))
+    # every matched book once: its best covers, or one row of nulls (first words shown)
+    rows = whole.select(*KEYS, *meta, "content_array").join(top, KEYS, "left")
+    rows = _with_pieces(rows, q, index.config, spans, words=not semantic)
+    heads = rows.groupBy("file_id", *meta).agg(
+        join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline")
+    )
+    return heads.select("file_id", "filename", "title", "author", "headline")
 
 
 def search_files(index: TextIndex, query: str, mode: str = "logical", strategy: str = "ts_fast_headline") -> DataFrame:

@@ -26,8 +26,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def local_session(cpus: int | str = "*", app: str = "quire", shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session tuned for this engine (AQE on, no UI)."""
+def local_session(
+    cpus: int | str = "*", app: str = "quire", shuffle_partitions: int | None = None, extra: dict | None = None
+) -> SparkSession:
+    """A local session tuned for this engine (AQE on, no UI).
+
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` lets joins on
+    ``(file_id, sequence_no)`` use tables bucketed by ``file_id`` as they are.
+    """
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -38,7 +44,10 @@ def local_session(cpus: int | str = "*", app: str = "quire", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     s = b.getOrCreate()

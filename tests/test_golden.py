@@ -113,3 +113,28 @@ def test_file_matches(golden):
     assert terms == ["old"]
     terms = sorted(r.term for r in file_matches(golden, "old man", "phrase", 1).collect())
     assert terms == ["old man"]
+
+
+def test_bucketed_tables_same_results(spark, tmpdir_path):
+    """The catalog-table layout (bucketed by file_id, no shuffle of hits) and the
+    path layout give the same answers as the in-plan index."""
+    from quire.sources.corpus import corpus_files
+
+    files = corpus_files(spark, "/root/testdata/sf0.001")
+    lazy = TextIndex.build(files, 60)
+    tables = lazy.write_tables("golden_t", buckets=4, path=tmpdir_path + "/tables")
+    written = lazy.write(tmpdir_path + "/paths")
+    assert tables.co_partitioned
+    for text, mode, strategy in [
+        ("(of <-> the) | (was & with)", "logical", "ts_fast_headline"),
+        ("of the", "phrase", "ts_semantic_headline"),
+        ("and & !the", "logical", "ts_fast_headline"),
+        ("the <2> of", "logical", "ts_headline"),
+    ]:
+        want = sorted(tuple(r) for r in search_files(lazy, text, mode, strategy).collect())
+        assert want, text
+        for idx in (tables, written):
+            got = sorted(tuple(r) for r in search_files(idx, text, mode, strategy).collect())
+            assert got == want, (text, strategy)
+    want = sorted(tuple(r) for r in file_matches(lazy, "of <-> the", "logical").collect())
+    assert sorted(tuple(r) for r in file_matches(tables, "of <-> the", "logical").collect()) == want
