@@ -95,21 +95,21 @@ def apply_changes(
     if not parts:
         return index
     ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ids = ids.distinct().withColumn("bucket", bucket_of("file_id"))
-    # touched bucket numbers: at most DEFAULT_BUCKETS values
+    ids = ids.distinct().withColumn("bucket", bucket_of("file_id", index.buckets))
+    # touched bucket numbers: at most index.buckets values
     touched = [r[0] for r in ids.select("bucket").distinct().collect()]
     tb = F.col("bucket").isin(touched)
 
     files = index.files.filter(tb).join(ids.select("file_id"), "file_id", "left_anti")
     frags = index.fragments.filter(tb).join(ids.select("file_id"), "file_id", "left_anti")
     if changes is not None:
-        files = files.unionByName(changes.withColumn("bucket", bucket_of("file_id")), allowMissingColumns=True)
-        fresh = fragments(changes, index.max_tokens, index.config).withColumn("bucket", bucket_of("file_id"))
+        files = files.unionByName(changes.withColumn("bucket", bucket_of("file_id", index.buckets)), allowMissingColumns=True)
+        fresh = fragments(changes, index.max_tokens, index.config).withColumn("bucket", bucket_of("file_id", index.buckets))
         frags = frags.unionByName(fresh)
     _rewrite(spark, os.path.join(path, "files"), files, touched, ["file_id"])
     _rewrite(spark, os.path.join(path, "fragments"), frags, touched, ["file_id", "sequence_no"])
     frags_now = read_table(spark, path, "fragments").filter(F.col("bucket").isin(touched))
-    posts = postings(frags_now.drop("bucket"), config=index.config).withColumn("bucket", bucket_of("file_id"))
+    posts = postings(frags_now.drop("bucket"), config=index.config).withColumn("bucket", bucket_of("file_id", index.buckets))
     _rewrite(spark, os.path.join(path, "postings"), posts, touched, ["lexeme", "file_id", "sequence_no", "pos"])
     return TextIndex.load(spark, path, index.config, index.max_tokens)
 

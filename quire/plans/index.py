@@ -26,6 +26,7 @@ DEFAULT_TABLE_BUCKETS = 64
 FILES_COLUMNS = ["file_id", "filename", "title", "author", "content"]
 FRAGMENT_COLUMNS = ["file_id", "sequence_no", "content_array", "content_tsv", "content"]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
+META_SCHEMA = "buckets int, config string, max_tokens int"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
     "files": FILES_SCHEMA + ", bucket int",
@@ -35,8 +36,8 @@ TABLE_SCHEMAS = {
 }
 
 
-def bucket_of(file_id) -> F.Column:
-    return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(DEFAULT_BUCKETS)).cast("int")
+def bucket_of(file_id, buckets: int = DEFAULT_BUCKETS) -> F.Column:
+    return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(int(buckets))).cast("int")
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -54,6 +55,7 @@ class TextIndex:
         config: str = "simple",
         max_tokens: int | None = DEFAULT_MAX_TOKENS,
         co_partitioned: bool = False,
+        buckets: int = DEFAULT_BUCKETS,
     ):
         self.files = files
         self.fragments = frags
@@ -63,6 +65,8 @@ class TextIndex:
         # True when all three tables are bucketed by file_id alike (catalog tables):
         # hits then need no shuffle, and per-book joins are co-located.
         self.co_partitioned = co_partitioned
+        # number of bucket directories of the path layout
+        self.buckets = int(buckets)
 
     @property
     def spark(self) -> SparkSession:
@@ -79,7 +83,7 @@ class TextIndex:
             p = self.postings
             if file_id is not None:
                 if "bucket" in p.columns:  # path layout: prune the bucket directory
-                    p = p.filter(F.col("bucket") == file_id % DEFAULT_BUCKETS)
+                    p = p.filter(F.col("bucket") == file_id % self.buckets)
                 p = p.filter(F.col("file_id") == file_id)  # bucketed tables prune buckets themselves
             return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select("lexeme", *KEYS, "pos")
         frags = self.fragments
@@ -91,7 +95,7 @@ class TextIndex:
         f = self.fragments
         if file_id is not None:
             if "bucket" in f.columns:
-                f = f.filter(F.col("bucket") == file_id % DEFAULT_BUCKETS)
+                f = f.filter(F.col("bucket") == file_id % self.buckets)
             f = f.filter(F.col("file_id") == file_id)
         return f
 
@@ -103,7 +107,7 @@ class TextIndex:
         f = self.files
         if file_id is not None:
             if "bucket" in f.columns:
-                f = f.filter(F.col("bucket") == file_id % DEFAULT_BUCKETS)
+                f = f.filter(F.col("bucket") == file_id % self.buckets)
             f = f.filter(F.col("file_id") == file_id)
         return f
 
@@ -159,12 +163,17 @@ class TextIndex:
         )
 
     # --- persistence -----------------------------------------------------
-    def write(self, path: str, mode: str = "overwrite") -> "TextIndex":
-        """Write files, fragments and postings under ``path``; return the loaded index."""
+    def write(self, path: str, mode: str = "overwrite", buckets: int | None = None) -> "TextIndex":
+        """Write files, fragments and postings under ``path``; return the loaded index.
+
+        ``buckets`` (default: this index's) sets the number of ``bucket=``
+        directories; upkeep rewrites whole buckets, so size them to the
+        update batches (thousands at 100 TB)."""
+        n = int(buckets or self.buckets)
         # Range partitioning on (bucket, key): many tasks share a big bucket, each
         # writes one sorted key range, so file statistics stay tight at any size.
-        files = self.files.withColumn("bucket", bucket_of("file_id"))
-        frags = self.fragments.withColumn("bucket", bucket_of("file_id"))
+        files = self.files.withColumn("bucket", bucket_of("file_id", n))
+        frags = self.fragments.withColumn("bucket", bucket_of("file_id", n))
         (
             files.repartitionByRange("bucket", "file_id")
             .sortWithinPartitions("bucket", "file_id")
@@ -180,7 +189,7 @@ class TextIndex:
             .parquet(os.path.join(path, "fragments"))
         )
         frags_written = read_table(self.spark, path, "fragments").drop("bucket")
-        posts = postings(frags_written, config=self.config).withColumn("bucket", bucket_of("file_id"))
+        posts = postings(frags_written, config=self.config).withColumn("bucket", bucket_of("file_id", n))
         (
             posts.repartitionByRange("bucket", "lexeme", "file_id")
             .sortWithinPartitions("bucket", "lexeme", "file_id", "sequence_no", "pos")
@@ -188,7 +197,9 @@ class TextIndex:
             .partitionBy("bucket")
             .parquet(os.path.join(path, "postings"))
         )
-        return TextIndex.load(self.spark, path, self.config, self.max_tokens)
+        meta = [(n, self.config, self.max_tokens)]
+        self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
+        return TextIndex.load(self.spark, path)
 
     @classmethod
     def create_empty(
@@ -206,12 +217,15 @@ class TextIndex:
 
     @classmethod
     def load(
-        cls, spark: SparkSession, path: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS
+        cls, spark: SparkSession, path: str, config: str | None = None, max_tokens: int | None = None
     ) -> "TextIndex":
+        """Open a written index; settings not given come from its ``_meta``."""
+        meta = spark.read.schema(META_SCHEMA).json(os.path.join(path, "_meta")).first()
         return cls(
             read_table(spark, path, "files"),
             read_table(spark, path, "fragments"),
             read_table(spark, path, "postings"),
-            config,
-            max_tokens,
+            config or meta["config"],
+            max_tokens if max_tokens is not None else meta["max_tokens"],
+            buckets=meta["buckets"],
         )
