@@ -140,3 +140,25 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
     rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
     voc = vocabulary(frags, config)
     return rows.join(voc, "lexeme").select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos")
+
+
+def word_hits(frags: DataFrame, lexemes: list[str]) -> DataFrame:
+    """Hits ``(lexeme, file_id, sequence_no, pos)`` of ``simple`` lexemes read
+    straight from ``content_array``: a literal substring test on the lower-cased
+    token first (a lexeme is a substring of its token), the lexeme expression
+    only on the candidates. Used where books are analysed at query time."""
+    wanted = sorted(set(lexemes))
+    if not wanted:
+        return frags.sparkSession.createDataFrame([], "lexeme string, file_id long, sequence_no int, pos int")
+
+    def candidate(x):
+        low = F.lower(x["t"])
+        out = low.contains(wanted[0])
+        for w in wanted[1:]:
+            out = out | low.contains(w)
+        return out
+
+    marked = F.transform("content_array", lambda t, i: F.struct(t.alias("t"), (i + 1).alias("pos")))
+    rows = frags.select("file_id", "sequence_no", F.explode(F.filter(marked, candidate)).alias("_h"))
+    rows = rows.select(simple_lexeme(F.col("_h.t")).alias("lexeme"), "file_id", "sequence_no", F.col("_h.pos").alias("pos"))
+    return rows.filter(F.col("lexeme").isin(wanted))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import present_text
-from quire.operators.analyze import fragments, postings
+from quire.operators.analyze import fragments, postings, word_hits
 from quire.operators.headline import (
     covered_flags,
     join_pieces,
@@ -142,7 +142,11 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     books = index.files.join(frags.select("file_id").distinct(), "file_id", "left_semi")
     meta = ("filename", "title", "author")
     whole = fragments(books.select("file_id", *meta, "content"), None, index.config, keep=meta)
-    spans = atom_spans(postings(whole, q.lexemes, index.config), q)
+    if index.config == "simple":
+        hits = word_hits(whole, q.lexemes)  # no lexeme computed for tokens that cannot match
+    else:
+        hits = postings(whole, q.lexemes, index.config)
+    spans = atom_spans(hits, q)
     top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False))
     # every matched book once: its best covers, or one row of nulls (first words shown)
     rows = whole.select(*KEYS, *meta, "content_array").join(top, KEYS, "left")
