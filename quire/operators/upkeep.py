@@ -77,6 +77,13 @@ def _rewrite(spark, table_path: str, new_rows: DataFrame, touched: list[int], so
     schema = staged.drop("bucket").schema
     for b in sorted(set(touched) - present):
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(os.path.join(table_path, f"bucket={b}"))
+    _remove(spark, stage)  # its rows are committed to the table now
+
+
+def _remove(spark, path: str) -> None:
+    """Delete a staging folder through the Hadoop file system of the session."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def apply_changes(
