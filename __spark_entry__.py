@@ -39,6 +39,7 @@ Q_FAST = "(of <-> the) | (was & with)"
 Q_FULL = "(of <-> the) & this"
 Q_MATCHES = "(of <-> the) | with"
 Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
+Q_FAST_NOT = "with | !the"
 
 
 def _index(spark: SparkSession, sf_dir: str, config: str = "simple") -> TextIndex:
@@ -126,6 +127,10 @@ def q_search_fast(spark, sf_dir):
     return search_fast(_index(spark, sf_dir), Q_FAST, "logical")
 
 
+def q_search_fast_not(spark, sf_dir):
+    return search_fast(_index(spark, sf_dir), Q_FAST_NOT, "logical")
+
+
 def q_search_headline(spark, sf_dir):
     return search_full(_index(spark, sf_dir), Q_FULL, "logical", semantic=False)
 
@@ -317,6 +322,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cover_density": q_cover_density,
         "top5_covers": q_top5_covers,
         "search_fast": q_search_fast,
+        "search_fast_not": q_search_fast_not,
         "search_headline": q_search_headline,
         "search_semantic": q_search_semantic,
         "file_contents": q_file_contents,
@@ -353,6 +359,7 @@ def oracle_sql() -> dict[str, str]:
         "cover_density": O.COVER_DENSITY,
         "top5_covers": O.TOP5_COVERS,
         "search_fast": O.SEARCH_FAST,
+        "search_fast_not": O.SEARCH_FAST_NOT,
         "search_headline": O.SEARCH_HEADLINE,
         "search_semantic": O.SEARCH_SEMANTIC,
         "file_contents": O.FILE_CONTENTS,

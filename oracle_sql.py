@@ -644,3 +644,10 @@ SEARCH_ENGLISH = headline_sql(
     "IN_tioning OR (IN_ble AND IN_ly)",
     english=True,
 )
+
+# E1 with a negation: "with | !the" (fragments without 'the' join as null rows, first in the top-5)
+SEARCH_FAST_NOT = headline_sql(
+    f"{has('with')} OR NOT {has('the')}",
+    {"with": term_spans("with")},
+    "IN_with",
+)

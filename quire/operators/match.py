@@ -131,9 +131,17 @@ def with_truth(spans: DataFrame, q: Query) -> DataFrame:
     return x.filter(_truth(q.root, q)).select(*spans.columns)
 
 
-def universe_only(universe: DataFrame, spans: DataFrame) -> DataFrame:
-    """Fragment keys without any hit (true for a query holding on empty fragments)."""
-    return universe.select(*KEYS).join(spans.select(*KEYS).distinct(), KEYS, "left_anti")
+def with_universe(rows: DataFrame, q: Query, universe: DataFrame | None, fill: dict) -> DataFrame:
+    """Add one row per fragment of ``universe`` (columns ``fill`` null) when the
+    query holds on a fragment without any atom (a negation): such fragments then
+    go through the same per-fragment windows, with no anti-join and no second
+    read of the postings."""
+    if not truth_when_absent(q.root):
+        return rows
+    if universe is None:
+        raise ValueError("this query needs the fragment universe")
+    empty = universe.select(*KEYS, *[F.lit(None).cast(t).alias(c) for c, t in fill.items()])
+    return rows.unionByName(empty)
 
 
 def matching_fragments(spans: DataFrame, q: Query, universe: DataFrame | None) -> DataFrame:
@@ -142,12 +150,9 @@ def matching_fragments(spans: DataFrame, q: Query, universe: DataFrame | None) -
     A query that is true on a fragment without any atom (a negation) needs the
     fragment universe; otherwise only fragments with hits are looked at.
     """
-    keys = with_truth(spans, q).select(*KEYS).distinct()
-    if truth_when_absent(q.root):
-        if universe is None:
-            raise ValueError("this query needs the fragment universe")
-        keys = keys.unionByName(universe_only(universe, spans))
-    return keys
+    rows = with_universe(spans.select(*KEYS, "atom"), q, universe, {"atom": "int"})
+    x = rows.select(*KEYS, *_flags(q))
+    return x.filter(_truth(q.root, q)).select(*KEYS).distinct()
 
 
 def _start(node, q: Query) -> Column | None:
@@ -192,6 +197,14 @@ def cover_rows(
     per_end = spans.groupBy(*KEYS, "e").agg(
         *[F.max(F.when(F.col("atom") == i, F.col("s"))).alias(f"_m{i}") for i in range(n)]
     )
+    if keep_empty and universe is not None and (not truth or truth_when_absent(q.root)):
+        # every fragment of the universe gets a row without end (sorted first);
+        # one without any cover keeps just that row
+        fill = {"e": "int", **{f"_m{i}": "int" for i in range(n)}}
+        if truth:
+            per_end = with_universe(per_end, q, universe, fill)
+        else:
+            per_end = per_end.unionByName(universe.select(*KEYS, *[F.lit(None).cast(t).alias(c) for c, t in fill.items()]))
     frag = Window.partitionBy(*KEYS)
     upto = frag.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [*KEYS, "e", *[F.max(f"_m{i}").over(upto).alias(f"_r{i}") for i in range(n)]]
@@ -213,21 +226,12 @@ def cover_rows(
     else:
         x = x.filter(F.col("_cov"))
     cov = F.col("_cov")
-    rows = x.select(
+    return x.select(
         *KEYS,
         F.when(cov, F.col("s")).cast("int").alias("s"),
         F.when(cov, F.col("e")).cast("int").alias("e"),
         F.when(cov, _density(F.col("s"), F.col("e"))).alias("density"),
     )
-    if keep_empty and universe is not None and (not truth or truth_when_absent(q.root)):
-        extra = universe_only(universe, spans).select(
-            *KEYS,
-            F.lit(None).cast("int").alias("s"),
-            F.lit(None).cast("int").alias("e"),
-            F.lit(None).cast("double").alias("density"),
-        )
-        rows = rows.unionByName(extra)
-    return rows
 
 
 def covers(spans: DataFrame, q: Query) -> DataFrame:
