@@ -52,6 +52,7 @@ def fragments(
     ``max_tokens=None`` keeps each book whole (one fragment). ``content_tsv``
     holds ``simple`` lexemes whatever the configuration (see ``postings``).
     ``keep`` names further columns of ``files`` carried to every fragment.
+    ``word_offset`` / ``n_words`` place the fragment among the book's words.
     """
     check_config(config)
     raw = files.select("file_id", *keep, tokens(F.col("content")).alias("_raw"))
@@ -68,7 +69,10 @@ def fragments(
         lambda f: F.struct(F.array_join(f, " ").alias("content"), F.filter(f, is_word).alias("words")),
     )
     kept = F.filter(parts, lambda p: F.size(p["words"]) > 0)
-    out = raw.select("file_id", *keep, F.posexplode(kept).alias("_i", "_f"))
+    # word_offset: words of the book before this fragment (fragments tile the
+    # book's words in order), so book position = word_offset + pos
+    sizes = F.transform(kept, lambda p: F.size(p["words"]))
+    out = raw.select("file_id", *keep, sizes.alias("_n"), F.posexplode(kept).alias("_i", "_f"))
     return out.select(
         "file_id",
         *keep,
@@ -76,6 +80,8 @@ def fragments(
         F.col("_f.words").alias("content_array"),
         lexeme_vector(F.col("_f.words")).alias("content_tsv"),
         F.col("_f.content").alias("content"),
+        F.aggregate(F.slice("_n", 1, F.col("_i")), F.lit(0), lambda a, x: a + x).cast("int").alias("word_offset"),
+        F.size("_f.words").cast("int").alias("n_words"),
     )
 
 
@@ -141,24 +147,3 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
     voc = vocabulary(frags, config)
     return rows.join(voc, "lexeme").select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos")
 
-
-def word_hits(frags: DataFrame, lexemes: list[str]) -> DataFrame:
-    """Hits ``(lexeme, file_id, sequence_no, pos)`` of ``simple`` lexemes read
-    straight from ``content_array``: a literal substring test on the lower-cased
-    token first (a lexeme is a substring of its token), the lexeme expression
-    only on the candidates. Used where books are analysed at query time."""
-    wanted = sorted(set(lexemes))
-    if not wanted:
-        return frags.sparkSession.createDataFrame([], "lexeme string, file_id long, sequence_no int, pos int")
-
-    def candidate(x):
-        low = F.lower(x["t"])
-        out = low.contains(wanted[0])
-        for w in wanted[1:]:
-            out = out | low.contains(w)
-        return out
-
-    marked = F.transform("content_array", lambda t, i: F.struct(t.alias("t"), (i + 1).alias("pos")))
-    rows = frags.select("file_id", "sequence_no", F.explode(F.filter(marked, candidate)).alias("_h"))
-    rows = rows.select(simple_lexeme(F.col("_h.t")).alias("lexeme"), "file_id", "sequence_no", F.col("_h.pos").alias("pos"))
-    return rows.filter(F.col("lexeme").isin(wanted))

@@ -96,25 +96,28 @@ def covered_flags(chains, with_marks: bool = False) -> Column:
     return F.expr(f"transform(sequence(_lo, _lo + size(_lx) - 1), q -> {body})")
 
 
-def render_runs(tokens: str = "content_array") -> Column:
+def render_runs(tokens: str = "content_array", token_at: str | None = None) -> Column:
     """Tokens ``_ws.._we`` joined by blanks; each run of covered positions
-    (``_cov``) is wrapped in one ``<b>…</b>``."""
+    (``_cov``) is wrapped in one ``<b>…</b>``. ``token_at`` is the SQL of the
+    token at position ``p`` (default ``element_at(<tokens>, p)``)."""
+    tok = token_at or f"element_at({tokens}, p)"
     c = "coalesce(get(_cov, {x} - _lo), false)"
     here, prev, nxt = c.format(x="p"), c.format(x="p - 1"), c.format(x="p + 1")
     return F.expr(
         f"array_join(transform(sequence(_ws, _we), p -> concat("
         f"CASE WHEN {here} AND (p = _ws OR NOT {prev}) THEN {sql_str(MARK_OPEN)} ELSE '' END, "
-        f"element_at({tokens}, p), "
+        f"{tok}, "
         f"CASE WHEN {here} AND (p = _we OR NOT {nxt}) THEN {sql_str(MARK_CLOSE)} ELSE '' END)), ' ')"
     )
 
 
-def render_words(words: list[str], tokens: str = "content_array") -> Column:
+def render_words(words: list[str], tokens: str = "content_array", token_at: str | None = None) -> Column:
     """Tokens ``_ws.._we``; each token whose lexeme is a query word is marked on its own."""
+    tok = token_at or f"element_at({tokens}, p)"
     wanted = ", ".join(sql_str(w) for w in sorted(set(words))) or "NULL"
     hit = f"coalesce(get(_lx, p - _lo) IN ({wanted}), false)"
     return F.expr(
         f"array_join(transform(sequence(_ws, _we), p -> CASE WHEN {hit} "
-        f"THEN concat({sql_str(MARK_OPEN)}, element_at({tokens}, p), {sql_str(MARK_CLOSE)}) "
-        f"ELSE element_at({tokens}, p) END), ' ')"
+        f"THEN concat({sql_str(MARK_OPEN)}, {tok}, {sql_str(MARK_CLOSE)}) "
+        f"ELSE {tok} END), ' ')"
     )

@@ -24,14 +24,14 @@ DEFAULT_BUCKETS = 64
 # Buckets of the catalog-table layout (size to ~1-2 GB of postings per bucket).
 DEFAULT_TABLE_BUCKETS = 64
 FILES_COLUMNS = ["file_id", "filename", "title", "author", "content"]
-FRAGMENT_COLUMNS = ["file_id", "sequence_no", "content_array", "content_tsv", "content"]
+FRAGMENT_COLUMNS = ["file_id", "sequence_no", "content_array", "content_tsv", "content", "word_offset", "n_words"]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
 META_SCHEMA = "buckets int, config string, max_tokens int"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
     "files": FILES_SCHEMA + ", bucket int",
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
-    "content_tsv array<struct<lexeme:string,pos:int>>, content string, bucket int",
+    "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, bucket int",
     "postings": "lexeme string, file_id long, sequence_no int, pos int, bucket int",
 }
 

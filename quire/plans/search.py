@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import present_text
-from quire.operators.analyze import fragments, postings, word_hits
+from quire.operators.analyze import lexeme
 from quire.operators.headline import (
     covered_flags,
     join_pieces,
@@ -129,32 +129,71 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
 
 def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: bool = False) -> DataFrame:
     """``file_id, filename, title, author, headline`` for books with a
-    matching fragment; the headline is cut from the whole book analysed now.
+    matching fragment; the headline is cut from the whole book.
 
     ``semantic`` marks whole match spans (a phrase is one mark); otherwise each
     query word is marked on its own. A book without any cover shows its first
     words unmarked.
+
+    The book is not re-analysed: fragments tile its words in order, so a
+    posting's book position is ``word_offset + pos``. Covers are computed per
+    book on those positions (phrases may cross fragment borders, as in the
+    whole text), and each window's tokens are gathered from the few fragments
+    it overlaps (a join on ``file_id`` with a range condition, at most five
+    windows per book).
     """
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
         return _empty(index, FULL_SCHEMA)
     _, frags = match(index, q)
-    books = index.files.join(frags.select("file_id").distinct(), "file_id", "left_semi")
-    meta = ("filename", "title", "author")
-    whole = fragments(books.select("file_id", *meta, "content"), None, index.config, keep=meta)
-    if index.config == "simple":
-        hits = word_hits(whole, q.lexemes)  # no lexeme computed for tokens that cannot match
-    else:
-        hits = postings(whole, q.lexemes, index.config)
+    books = frags.select("file_id").distinct()
+    layout = index.fragment_rows().select(*KEYS, "word_offset", "n_words").join(books, "file_id", "left_semi")
+    hits = index.hits(q.lexemes).join(layout, KEYS).select(
+        "lexeme", "file_id", F.lit(1).alias("sequence_no"), (F.col("pos") + F.col("word_offset")).alias("pos")
+    )
     spans = atom_spans(hits, q)
-    top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False))
-    # every matched book once: its best covers, or one row of nulls (first words shown)
-    rows = whole.select(*KEYS, *meta, "content_array").join(top, KEYS, "left")
-    rows = _with_pieces(rows, q, index.config, spans, words=not semantic)
-    heads = rows.groupBy("file_id", *meta).agg(
+    top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False)).drop("sequence_no")
+    sizes = layout.groupBy("file_id").agg(F.max(F.col("word_offset") + F.col("n_words")).alias("_n"))
+    rows = sizes.join(top, "file_id", "left")  # a book without cover keeps one row of nulls
+
+    chains = [a for a in q.positive if isinstance(a, Chain)]
+    reach = max([c.last for c in chains], default=0)
+    ws, we = window_bounds(F.col("s"), F.col("e"), F.col("_n"))
+    rows = rows.withColumns({"_ws": ws, "_we": we, "_rk": F.coalesce(F.col("rn"), F.lit(0))})
+    rows = rows.withColumns(
+        {"_lo": F.greatest(F.lit(1), F.col("_ws") - reach), "_hi": F.least(F.col("_n"), F.col("_we") + reach)}
+    )
+    # tokens of positions _lo.._hi from the fragments that overlap them
+    f = index.fragment_rows().select(
+        F.col("file_id").alias("_f"), "sequence_no", "word_offset", "n_words", "content_array"
+    )
+    pairs = rows.join(
+        f,
+        (rows["file_id"] == f["_f"])
+        & (f["word_offset"] < rows["_hi"])
+        & (f["word_offset"] + f["n_words"] >= rows["_lo"]),
+    )
+    first = F.greatest(F.col("_lo"), F.col("word_offset") + 1)
+    last = F.least(F.col("_hi"), F.col("word_offset") + F.col("n_words"))
+    part = F.slice("content_array", first - F.col("word_offset"), last - first + 1)
+    keys = ["file_id", "_rk", "s", "e", "_ws", "_we", "_lo"]
+    win = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sequence_no", part.alias("t")))).alias("_p"))
+    win = win.withColumn("_toks", F.flatten(F.transform("_p", lambda x: x["t"])))
+    win = win.withColumn("_lx", F.transform("_toks", lambda t: lexeme(t, index.config)))
+    token_at = "element_at(_toks, p - _lo + 1)"
+    if semantic:
+        follows = [a for a in q.positive if isinstance(a, Follow)]
+        if follows:
+            ids = [q.atom_id(a) for a in follows]
+            win = win.join(span_marks(spans.filter(F.col("atom").isin(ids))).drop("sequence_no"), "file_id", "left")
+        win = win.withColumn("_cov", covered_flags(chains, with_marks=bool(follows)))
+        piece = render_runs(token_at=token_at)
+    else:
+        piece = render_words(positive_lexemes(q.root), token_at=token_at)
+    heads = win.withColumn("piece", piece).groupBy("file_id").agg(
         join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline")
     )
-    return heads.select("file_id", "filename", "title", "author", "headline")
+    return index.files.select("file_id", "filename", "title", "author").join(heads, "file_id")
 
 
 def search_files(index: TextIndex, query: str, mode: str = "logical", strategy: str = "ts_fast_headline") -> DataFrame:
