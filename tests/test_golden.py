@@ -138,3 +138,27 @@ def test_bucketed_tables_same_results(spark, tmpdir_path):
             assert got == want, (text, strategy)
     want = sorted(tuple(r) for r in file_matches(lazy, "of <-> the", "logical").collect())
     assert sorted(tuple(r) for r in file_matches(tables, "of <-> the", "logical").collect()) == want
+
+
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("(old | sea) <1> was", {(1, 1, 6, 7)}),  # sea6 was7; old2 man3, old8 end
+        ("(old & sea) <1> was", {(1, 1, 6, 7)}),  # AND spans inside a distance operand
+        ("!was <1> old", {(1, 1, 2, 2)}),  # old8 follows was7, old2 follows the1
+        ("!old <1> man", set()),
+        ("the <-> old <-> man", {(1, 1, 1, 3)}),  # chain of three words
+        ("(the <-> old) <2> and", {(1, 1, 1, 4)}),
+    ],
+)
+def test_distance_shapes(golden, text, spans):
+    got, _ = spans_of(golden, text, "logical")
+    assert {s for s in got if s[0] == 1} == spans
+
+
+def test_query_grammar_errors(golden):
+    for bad in ["a &", "(a | b", "a <x> b", "!a <1> !b", "a | <1> b", ")"]:
+        with pytest.raises(ValueError):
+            compile_query(golden.spark, bad, "logical")
+    assert compile_query(golden.spark, "   ", "logical").empty
+    assert compile_query(golden.spark, "... ---", "phrase").empty
