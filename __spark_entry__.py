@@ -196,6 +196,7 @@ def q_link_headlines(spark, sf_dir):
 
 # --- ingest ------------------------------------------------------------------
 CHUNK_WORDS = O.CHUNK_WORDS
+STREAM_BUCKETS = 8  # index buckets of the streamed corpus
 
 
 def _raw_books(spark, sf_dir):
@@ -277,7 +278,7 @@ def q_index_stream(spark, sf_dir):
     run = os.path.join(root, "quire-index-stream-" + uuid.uuid4().hex)
     q = start_index_feed(
         spark, os.path.join(sf_dir, "documents*.parquet"), run + "/index", run + "/checkpoint",
-        max_tokens=FRAGMENT_TOKENS,
+        max_tokens=FRAGMENT_TOKENS, buckets=STREAM_BUCKETS,
     )
     q.awaitTermination()
     fr = TextIndex.load(spark, run + "/index", max_tokens=FRAGMENT_TOKENS).fragments

@@ -203,11 +203,16 @@ class TextIndex:
 
     @classmethod
     def create_empty(
-        cls, spark: SparkSession, path: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS
+        cls,
+        spark: SparkSession,
+        path: str,
+        config: str = "simple",
+        max_tokens: int | None = DEFAULT_MAX_TOKENS,
+        buckets: int = DEFAULT_BUCKETS,
     ) -> "TextIndex":
         """Write an empty index (schemas only) at ``path``."""
         files = spark.createDataFrame([], FILES_SCHEMA)
-        return cls.build(files, max_tokens, config).write(path)
+        return cls.build(files, max_tokens, config).write(path, buckets=buckets)
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:

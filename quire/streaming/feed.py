@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.upkeep import apply_changes
-from quire.plans.index import TextIndex
+from quire.plans.index import DEFAULT_BUCKETS, TextIndex
 from quire.sources.corpus import files_from_documents
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,6 +29,7 @@ def upsert_batches(
     config: str = "simple",
     max_tokens: int | None = None,
     key_col: str = "doc_id",
+    buckets: int | None = None,
 ):
     """``foreachBatch`` function: upsert each micro-batch into the index at
     ``index_path``; with ``order_col`` the newest row per ``key_col`` wins."""
@@ -42,7 +43,7 @@ def upsert_batches(
             w = Window.partitionBy(key_col).orderBy(F.col(order_col).desc())
             batch = batch.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
         if not TextIndex.exists(spark, index_path):
-            TextIndex.create_empty(spark, index_path, config, tokens)
+            TextIndex.create_empty(spark, index_path, config, tokens, buckets or DEFAULT_BUCKETS)
         index = TextIndex.load(spark, index_path, config, tokens)
         apply_changes(index, index_path, changes=to_files(batch))
 
@@ -62,13 +63,16 @@ def start_index_feed(
     max_tokens: int | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    buckets: int | None = None,
 ) -> StreamingQuery:
-    """Start the feed; ``available_now`` processes what is there and stops."""
+    """Start the feed; ``available_now`` processes what is there and stops.
+    ``buckets`` sizes a new index (each micro-batch rewrites the buckets its
+    books fall in)."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source)
-    run = upsert_batches(index_path, to_files, order_col, config, max_tokens)
+    run = upsert_batches(index_path, to_files, order_col, config, max_tokens, buckets=buckets)
     writer = stream.writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
