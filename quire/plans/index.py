@@ -99,6 +99,17 @@ class TextIndex:
             f = f.filter(F.col("file_id") == file_id)
         return f
 
+    def join_fragments(self, rows: DataFrame, cols: list[str], file_id: int | None = None) -> DataFrame:
+        """``rows`` joined to the fragment columns ``cols`` on (file_id, sequence_no).
+
+        On the path layout the ``bucket`` directory is a join key too, so dynamic
+        partition pruning reads only the buckets of the joined books."""
+        frags = self.fragment_rows(file_id)
+        if "bucket" in frags.columns:
+            rows = rows.withColumn("bucket", bucket_of("file_id", self.buckets))
+            return rows.join(frags.select("bucket", *KEYS, *cols), ["bucket", *KEYS]).drop("bucket")
+        return rows.join(frags.select(*KEYS, *cols), KEYS)
+
     def universe(self, file_id: int | None = None) -> DataFrame:
         """All fragment keys (needed by negations)."""
         return self.fragment_rows(file_id).select(*KEYS)

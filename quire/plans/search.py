@@ -118,7 +118,7 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
         return _empty(index, FAST_SCHEMA)
     spans = atom_spans(index.hits(q.lexemes), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
-    top = top_covers(rows).join(index.fragments.select(*KEYS, "content_array"), KEYS)
+    top = index.join_fragments(top_covers(rows), ["content_array"])
     top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
     heads = top.groupBy("file_id").agg(join_pieces(piece, -F.col("rn")).alias("headline"))
@@ -231,8 +231,7 @@ def file_matches(index: TextIndex, query: str, mode: str = "logical", file_id: i
 
     w = Window.partitionBy(*KEYS).orderBy("s", "e")
     spans = spans.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MATCHES_PER_FRAGMENT)
-    text = index.fragment_rows(fid).select(*KEYS, "content_array")
-    out = spans.join(text, KEYS).select(
+    out = index.join_fragments(spans, ["content_array"], fid).select(
         *KEYS,
         "s",
         present_text(
