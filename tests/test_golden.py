@@ -162,3 +162,23 @@ def test_query_grammar_errors(golden):
             compile_query(golden.spark, bad, "logical")
     assert compile_query(golden.spark, "   ", "logical").empty
     assert compile_query(golden.spark, "... ---", "phrase").empty
+
+
+def test_full_headline_without_cover_shows_first_words(golden):
+    for strategy in ("ts_headline", "ts_semantic_headline"):
+        rows = {r.file_id: r.headline for r in search_files(golden, "!whale", "logical", strategy).collect()}
+        assert rows == {1: G1, 3: G3}, strategy  # G3 spans two fragments: gathered in order
+
+
+def test_full_headline_crosses_fragment_border(golden):
+    # G3 is cut after 'four'; the whole-book headline still finds the phrase across the border
+    rows = {r.file_id: r.headline for r in search_files(golden, "four five", "phrase", "ts_semantic_headline").collect()}
+    assert rows == {}  # no fragment matches, so the book is not listed (matching is per fragment)
+    rows = {r.file_id: r.headline for r in search_files(golden, "whale & (four <-> five)", "logical", "ts_semantic_headline").collect()}
+    assert rows == {}
+    rows = {r.file_id: r.headline for r in search_files(golden, "whale | nine", "logical", "ts_headline").collect()}
+    # two covers [1,1] and [10,10], each widened to 15 words and clipped, in text order
+    assert rows[3] == (
+        "<b>whale</b> one two three four five six seven eight <b>nine</b>"
+        " ... two three four five six seven eight <b>nine</b>"
+    )
