@@ -177,8 +177,9 @@ def test_full_headline_crosses_fragment_border(golden):
     rows = {r.file_id: r.headline for r in search_files(golden, "whale & (four <-> five)", "logical", "ts_semantic_headline").collect()}
     assert rows == {}
     rows = {r.file_id: r.headline for r in search_files(golden, "whale | nine", "logical", "ts_headline").collect()}
-    # two covers [1,1] and [10,10], each widened to 15 words and clipped, in text order
+    # two covers [1,1] and [10,10], widened evenly to 15 words ([-6,8] and [3,17])
+    # and clipped to the book's 10 words, joined in text order
     assert rows[3] == (
-        "<b>whale</b> one two three four five six seven eight <b>nine</b>"
+        "<b>whale</b> one two three four five six seven"
         " ... two three four five six seven eight <b>nine</b>"
     )
