@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.analyze import fragments, postings
 from quire.plans.index import DEFAULT_BUCKETS, TextIndex, bucket_of, read_table
+from quire.session import require_checkpoint_dir
 
 
 def latest_versions(changes: DataFrame, order_col: str | None) -> DataFrame:
@@ -93,12 +94,17 @@ def apply_changes(
     """T8/T10 on a written index: rewrite only the buckets of changed or deleted
     books. Returns the reloaded index."""
     spark = index.spark
+    require_checkpoint_dir(spark)
     parts = []
+    # Inputs are pinned by a reliable checkpoint (bounded by the batch) before any
+    # table is rewritten: they may be derived from the very tables rewritten below.
     if changes is not None:
         changes = latest_versions(changes, order_col).select("file_id", "filename", "title", "author", "content")
+        changes = changes.checkpoint(eager=True)
         parts.append(changes.select("file_id"))
     if deleted_ids is not None:
-        parts.append(deleted_ids.select("file_id"))
+        deleted_ids = deleted_ids.select("file_id").checkpoint(eager=True)
+        parts.append(deleted_ids)
     if not parts:
         return index
     ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -14,6 +14,19 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def require_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder, made the context's checkpoint dir; raises
+    when the cluster names none (no machine-local fallback in library code)."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    d = checkpoint_dir(spark)
+    if not d:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    spark.sparkContext.setCheckpointDir(d)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     """Use the session's checkpoint folder; set ``fallback`` only where none is set
     (local runs and tests)."""

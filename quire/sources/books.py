@@ -178,13 +178,9 @@ def consecutive_ids(keys: DataFrame, key: str, start: Column | int = 0, name: st
     ranked = keys.select(key).repartitionByRange(key).sortWithinPartitions(key)
     mid = F.monotonically_increasing_id()
     ranked = ranked.select(key, (mid.bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_local"), F.shiftright(mid, 33).alias("_part"))
-    if not spark.sparkContext.getCheckpointDir():
-        from quire.session import checkpoint_dir
+    from quire.session import require_checkpoint_dir
 
-        d = checkpoint_dir(spark)
-        if not d:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(d)
+    require_checkpoint_dir(spark)
     ranked = ranked.checkpoint(eager=True)
     sizes = ranked.groupBy("_part").agg(F.max("_local").alias("_n"))
     from pyspark.sql import Window
@@ -198,14 +194,26 @@ def consecutive_ids(keys: DataFrame, key: str, start: Column | int = 0, name: st
     )
 
 
-def assign_file_ids(books: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def assign_file_ids(books: DataFrame, existing: DataFrame | None = None, reuse: bool = False) -> DataFrame:
     """Ids continue after ``max(existing.file_id)`` in filename order; ids are
-    computed on the filename column alone and joined back."""
+    computed on the filename column alone and joined back.
+
+    ``reuse``: a book whose filename is already in ``existing`` keeps its id (an
+    update of its content rather than a new row)."""
+    cols = ["file_id", "filename", "title", "author", "content"]
     start = 0
+    old = None
     if existing is not None:
         start = existing.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+        if reuse:
+            # only the batch's own names are looked up in the (large) files table
+            known = existing.select("filename", "file_id").join(books.select("filename"), "filename", "left_semi")
+            tagged = books.join(known.dropDuplicates(["filename"]), "filename", "left")
+            old = tagged.filter(F.col("file_id").isNotNull()).select(*cols)
+            books = tagged.filter(F.col("file_id").isNull()).drop("file_id")
     ids = consecutive_ids(books.select("filename").distinct(), "filename", int(start), "file_id")
-    return books.join(ids, "filename").select("file_id", "filename", "title", "author", "content")
+    new = books.join(ids, "filename").select(*cols)
+    return new if old is None else old.unionByName(new)
 
 
 def require_not_null(df: DataFrame, cols=("filename", "title", "author", "content")) -> DataFrame:

@@ -77,3 +77,73 @@ def start_index_feed(
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def book_batches(
+    index_path: str,
+    config: str = "simple",
+    max_tokens: int | None = None,
+    buckets: int | None = None,
+    strict: bool = False,
+):
+    """``foreachBatch`` function for raw book files ``(path, mtime, value)``:
+    parse (strict parser), keep the newest delivery of each file name, reuse the
+    id of a known file name and number new ones after the largest id, then
+    rewrite the touched buckets. Rejected files are appended to
+    ``<index_path>/_rejects`` (or raise with ``strict``)."""
+    from quire.functions.text import DEFAULT_MAX_TOKENS
+    from quire.sources.books import assign_file_ids, parse_books
+
+    tokens = DEFAULT_MAX_TOKENS if max_tokens is None else max_tokens
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        w = Window.partitionBy("_name").orderBy(F.col("mtime").desc(), F.col("path").desc())
+        latest = (
+            batch.withColumn("_name", F.element_at(F.split("path", "/"), -1))
+            .withColumn("_v", F.row_number().over(w))
+            .filter("_v = 1")
+            .select("path", "value")
+        )
+        books, rejects = parse_books(latest, strict=strict)
+        rejects.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(index_path + "/_rejects")
+        if not TextIndex.exists(spark, index_path):
+            TextIndex.create_empty(spark, index_path, config, tokens, buckets or DEFAULT_BUCKETS)
+        index = TextIndex.load(spark, index_path, config, tokens)
+        changes = assign_file_ids(books, index.files, reuse=True)
+        apply_changes(index, index_path, changes=changes)
+
+    return run
+
+
+def start_book_feed(
+    spark: SparkSession,
+    directory: str,
+    index_path: str,
+    checkpoint: str,
+    glob: str = "*.txt",
+    config: str = "simple",
+    max_tokens: int | None = None,
+    buckets: int | None = None,
+    strict: bool = False,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """S1/S4/S5/S9 + T8 as files arrive: each new book file under ``directory``
+    (a path or glob) is read whole, parsed and upserted into the index. A file
+    source reads every path once, so a new version of a book arrives under a new
+    path with the same file name (e.g. a new drop folder) and keeps its id."""
+    stream = (
+        spark.readStream.format("text")
+        .option("wholetext", "true")
+        .option("pathGlobFilter", glob)
+        .load(directory)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_modification_time").alias("mtime"),
+            "value",
+        )
+    )
+    writer = stream.writeStream.foreachBatch(book_batches(index_path, config, max_tokens, buckets, strict))
+    writer = writer.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

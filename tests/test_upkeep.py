@@ -89,3 +89,47 @@ def test_stream_two_drops_equals_batch(spark, tmpdir_path):
     )
     batch = TextIndex.build(files_from_documents(final_docs), 50)
     assert frag_set(streamed) == frag_set(batch)
+
+
+BOOK = (
+    "Title: {t}\r\nAuthor: {a}\r\n\r\n*** START OF THE PROJECT GUTENBERG EBOOK {T} ***\r\n"
+    "{body}\r\n*** END OF THE PROJECT GUTENBERG EBOOK {T} ***\r\n"
+)
+
+
+def test_book_file_feed(spark, tmpdir_path):
+    """Book files arrive in two drops; a re-delivered file keeps its id and
+    replaces its text, a new file gets the next id, a bad file is rejected."""
+    import time
+
+    from quire.plans.search import search_files
+    from quire.streaming.feed import start_book_feed
+
+    src, path, ckpt = (os.path.join(tmpdir_path, x) for x in ("books", "index", "ckpt"))
+    folder = {"now": "drop1"}
+
+    def drop(name, text):
+        d = os.path.join(src, folder["now"])
+        os.makedirs(d, exist_ok=True)
+        with open(os.path.join(d, name), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+
+    drop("a.txt", BOOK.format(t="Sea", a="Ann", T="SEA", body="the old man and the sea"))
+    drop("b.txt", BOOK.format(t="Whale", a="Bo", T="WHALE", body="a whale"))
+    drop("bad.txt", "no header at all")
+    start_book_feed(spark, src + "/*", path, ckpt, max_tokens=8, buckets=4).awaitTermination()
+    idx = TextIndex.load(spark, path)
+    assert sorted((r.file_id, r.filename) for r in idx.files.collect()) == [(1, "a.txt"), (2, "b.txt")]
+
+    time.sleep(1.1)  # a later modification time
+    folder["now"] = "drop2"  # a file source reads each path once: new versions come as new paths
+    drop("a.txt", BOOK.format(t="Sea", a="Ann", T="SEA", body="an old whale"))
+    drop("c.txt", BOOK.format(t="Sky", a="Cy", T="SKY", body="old sky"))
+    start_book_feed(spark, src + "/*", path, ckpt, max_tokens=8, buckets=4).awaitTermination()
+    idx = TextIndex.load(spark, path)
+    assert sorted((r.file_id, r.filename) for r in idx.files.collect()) == [(1, "a.txt"), (2, "b.txt"), (3, "c.txt")]
+    hits = {r.file_id for r in search_files(idx, "old & whale", "logical").collect()}
+    assert hits == {1}
+    assert search_files(idx, "old <-> man", "logical").count() == 0  # old text of a.txt is gone
+    rejected = spark.read.parquet(os.path.join(path, "_rejects")).collect()
+    assert [os.path.basename(r.path) for r in rejected] == ["bad.txt"]
