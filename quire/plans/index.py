@@ -154,7 +154,9 @@ class TextIndex:
                 w = w.option("path", os.path.join(path, table))
             w.saveAsTable(table)
 
-        save(self.files.select(*FILES_COLUMNS), f"{name}_files", ["file_id"])
+        from quire.sources.books import not_null_checked
+
+        save(not_null_checked(self.files.select(*FILES_COLUMNS)), f"{name}_files", ["file_id"])
         save(self.fragments.select(*FRAGMENT_COLUMNS), f"{name}_fragments", ["file_id", "sequence_no"])
         frags = self.spark.table(f"{name}_fragments")
         save(postings(frags, config=self.config), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
@@ -183,7 +185,9 @@ class TextIndex:
         n = int(buckets or self.buckets)
         # Range partitioning on (bucket, key): many tasks share a big bucket, each
         # writes one sorted key range, so file statistics stay tight at any size.
-        files = self.files.withColumn("bucket", bucket_of("file_id", n))
+        from quire.sources.books import not_null_checked
+
+        files = not_null_checked(self.files.select(*FILES_COLUMNS)).withColumn("bucket", bucket_of("file_id", n))
         frags = self.fragments.withColumn("bucket", bucket_of("file_id", n))
         (
             files.repartitionByRange("bucket", "file_id")

@@ -216,12 +216,14 @@ def assign_file_ids(books: DataFrame, existing: DataFrame | None = None, reuse:
     return new if old is None else old.unionByName(new)
 
 
-def require_not_null(df: DataFrame, cols=("filename", "title", "author", "content")) -> DataFrame:
-    """NOT NULL check of the ``files`` sink: raise if any row has a null."""
-    bad = df.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in cols]) > 0).limit(1).count()
-    if bad:
-        raise ValueError(f"null in NOT NULL column(s) {cols}")
-    return df
+def not_null_checked(df: DataFrame, cols=("file_id", "filename", "title", "author", "content")) -> DataFrame:
+    """NOT NULL check of the ``files`` sink, evaluated by the write itself: a
+    row with a null in ``cols`` fails the job (no separate counting pass)."""
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | F.col(c).isNull()
+    msg = F.concat(F.lit("null in a NOT NULL column of files: "), F.coalesce(F.col("filename"), F.lit("?")))
+    return df.withColumn("file_id", F.when(bad, F.raise_error(msg).cast("long")).otherwise(F.col("file_id")))
 
 
 def ingest(raw: DataFrame, existing: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:

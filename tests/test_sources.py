@@ -80,3 +80,13 @@ def test_ingest_ids_continue(spark, book_dir):
     files, _ = ingest(read_texts(spark, book_dir), existing)
     ids = sorted((r.filename, r.file_id) for r in files.collect())
     assert ids == [("a.txt", 42), ("b.txt", 43)]
+
+
+def test_files_sink_rejects_nulls(spark, tmpdir_path):
+    from quire.plans.index import TextIndex
+
+    files = spark.createDataFrame(
+        [(1, "a.txt", "A", None, "some text")], "file_id long, filename string, title string, author string, content string"
+    )
+    with pytest.raises(Exception, match="NOT NULL"):
+        TextIndex.build(files).write(os.path.join(tmpdir_path, "idx"))
