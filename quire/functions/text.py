@@ -39,7 +39,7 @@ def simple_lexeme(token: Column) -> Column:
 
 
 def present_text(text: Column) -> Column:
-    """Collapse blank runs into one blank and trim (``tsp_present_text``)."""
+    """Collapse blank runs into one blank and trim (H6: internal text to readable text)."""
     return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
