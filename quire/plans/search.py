@@ -1,15 +1,15 @@
 """Whole search operations (the public API).
 
 * ``search_files(index, query, mode, strategy)`` - corpus search with a headline
-  per book: ``ts_fast_headline`` (pre-computed fragments), ``ts_headline`` and
-  ``ts_semantic_headline`` (whole books analysed at query time).
+  per book: ``ts_fast_headline`` (covers within fragments), ``ts_headline`` and
+  ``ts_semantic_headline`` (covers over whole books, served from the index).
 * ``file_contents`` - one book (or all).
 * ``file_matches`` - matched passages of one book (or all), at most 50 per fragment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import present_text
@@ -108,10 +108,11 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     """``file_id, headline, title, author``; headline = up to 5 best covers
     over pre-computed fragments, joined by ' ... ' (best last).
 
-    One postings lookup, one shuffle of the hits by fragment, then windows on
-    that partitioning (truth, covers, the null row of a matching fragment
-    without cover); a shuffle of at most 5 rows per book and partition for the
-    top-5, and the token arrays of the chosen fragments joined last.
+    One postings lookup, one shuffle of the hits by fragment (none on bucketed
+    tables), then windows on that partitioning (truth, covers, the null row of
+    a matching fragment without cover); a shuffle of at most 5 rows per book
+    and partition for the top-5, and the token arrays of the chosen fragments
+    joined last.
     """
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
@@ -227,8 +228,6 @@ def file_matches(index: TextIndex, query: str, mode: str = "logical", file_id: i
     fid = None if file_id is None else int(file_id)
     spans, _ = match(index, q, fid)
     spans = spans.filter(F.col("atom").isin(_positive_ids(q))).select(*KEYS, "s", "e").distinct()
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*KEYS).orderBy("s", "e")
     spans = spans.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MATCHES_PER_FRAGMENT)
     out = index.join_fragments(spans, ["content_array"], fid).select(
