@@ -120,3 +120,28 @@ def test_null_first_top5(spark):
     )
     kept = sorted((r.rn, r.density) for r in top_covers(rows).collect())
     assert kept == [(1, None), (2, 0.9), (3, 0.8), (4, 0.7), (5, 0.6)]
+
+
+def test_books_without_words(spark):
+    files = spark.createDataFrame(
+        [(1, "a", "A", "x", "--- ... !!"), (2, "b", "B", "y", ""), (3, "c", "C", "z", "the sea")],
+        "file_id long, filename string, title string, author string, content string",
+    )
+    idx = TextIndex.build(files, 4)
+    assert {r.file_id for r in idx.fragments.collect()} == {3}  # no fragment without a word
+    assert {r.file_id for r in search_files(idx, "!whale", "logical").collect()} == {3}
+    assert {r.file_id for r in search_files(idx, "!whale", "logical", "ts_headline").collect()} == {3}
+    from quire.plans.search import file_contents
+
+    assert file_contents(idx, 1).first().content == "--- ... !!"
+
+
+def test_english_written_index_same_results(spark, tmpdir_path):
+    files = corpus_files(spark, SF)
+    lazy = TextIndex.build(files, M, "english")
+    written = lazy.write(tmpdir_path + "/en")
+    assert written.config == "english"
+    for text, strategy in [("(tion <-> ing) | (ble & ly)", "ts_fast_headline"), ("ing & !tion", "ts_headline")]:
+        want = sorted(tuple(r) for r in search_files(lazy, text, "logical", strategy).collect())
+        got = sorted(tuple(r) for r in search_files(written, text, "logical", strategy).collect())
+        assert got == want and want, text
