@@ -89,8 +89,9 @@ def book_batches(
     """``foreachBatch`` function for raw book files ``(path, mtime, value)``:
     parse (strict parser), keep the newest delivery of each file name, reuse the
     id of a known file name and number new ones after the largest id, then
-    rewrite the touched buckets. Rejected files are appended to
-    ``<index_path>/_rejects`` (or raise with ``strict``)."""
+    rewrite the touched buckets. Rejected files go to
+    ``<index_path>/_rejects/epoch=<batch>`` (or raise with ``strict``). Every
+    step is idempotent, so a replayed batch leaves the same index."""
     from quire.functions.text import DEFAULT_MAX_TOKENS
     from quire.sources.books import assign_file_ids, parse_books
 
@@ -106,7 +107,8 @@ def book_batches(
             .select("path", "value")
         )
         books, rejects = parse_books(latest, strict=strict)
-        rejects.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(index_path + "/_rejects")
+        # one folder per epoch, overwritten: a replayed batch writes the same rows once
+        rejects.write.mode("overwrite").parquet(f"{index_path}/_rejects/epoch={epoch_id}")
         if not TextIndex.exists(spark, index_path):
             TextIndex.create_empty(spark, index_path, config, tokens, buckets or DEFAULT_BUCKETS)
         index = TextIndex.load(spark, index_path, config, tokens)
