@@ -152,7 +152,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     hits = index.hits(q.lexemes).join(layout, KEYS).select(
         "lexeme", "file_id", F.lit(1).alias("sequence_no"), (F.col("pos") + F.col("word_offset")).alias("pos")
     )
-    spans = atom_spans(hits, q)
+    spans = atom_spans(hits, q, index.co_partitioned)  # book keys: (file_id, 1)
     top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False)).drop("sequence_no")
     sizes = layout.groupBy("file_id").agg(F.max(F.col("word_offset") + F.col("n_words")).alias("_n"))
     rows = sizes.join(top, "file_id", "left")  # a book without cover keeps one row of nulls
