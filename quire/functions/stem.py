@@ -13,6 +13,8 @@ of ``VC`` pairs in the run-collapsed pattern.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,3 +189,97 @@ def porter_stem(w: Column) -> Column:
 def english_lexeme(simple: Column) -> Column:
     """Stem of a simple lexeme; null for a stop word (its position stays taken)."""
     return F.when(simple.isin(list(ENGLISH_STOP_WORDS)), F.lit(None).cast("string")).otherwise(porter_stem(simple))
+
+
+# --- the same rules for the query's own words (driver side, a handful of words) ---
+def _cv_py(w: str) -> str:
+    p = re.sub("[aeiou]", "V", w)
+    p = re.sub("[^Vy]", "C", p)
+    p = re.sub("^y", "C", p)
+    p = re.sub("Cy", "CV", p)
+    return p.replace("y", "C")
+
+
+def _m_py(p: str) -> int:
+    c = re.sub("V+", "V", re.sub("C+", "C", p))
+    return c.count("VC")
+
+
+def _cvc_py(stem: str, pstem: str) -> bool:
+    return pstem.endswith("CVC") and not re.search("[wxy]$", stem)
+
+
+def _cond_py(cond: str, stem: str, pstem: str) -> bool:
+    if cond == "":
+        return True
+    if cond == "m>0":
+        return _m_py(pstem) > 0
+    if cond == "m>1":
+        return _m_py(pstem) > 1
+    if cond == "*v*":
+        return "V" in pstem
+    if cond == "ion":
+        return _m_py(pstem) > 1 and bool(re.search("[st]$", stem))
+    raise ValueError(cond)
+
+
+def _rules_py(w: str, rules) -> str:
+    p = _cv_py(w)
+    for suffix, repl, cond in sorted(rules, key=lambda x: -len(x[0])):
+        if w.endswith(suffix):
+            k = len(suffix)
+            return w[: len(w) - k] + repl if _cond_py(cond, w[: len(w) - k], p[: len(p) - k]) else w
+    return w
+
+
+def _step1b_py(w: str) -> str:
+    p = _cv_py(w)
+
+    def tidy(x: str, px: str) -> str:
+        for suffix, repl in STEP_1B_TAILS:
+            if x.endswith(suffix):
+                return x[: len(x) - len(suffix)] + repl
+        if re.search(DOUBLE_CONSONANT, x) and not re.search("[lsz]$", x):
+            return x[:-1]
+        if _m_py(px) == 1 and _cvc_py(x, px):
+            return x + "e"
+        return x
+
+    if w.endswith("eed"):
+        return w[:-3] + "ee" if _m_py(p[:-3]) > 0 else w
+    if w.endswith("ed"):
+        return tidy(w[:-2], p[:-2]) if "V" in p[:-2] else w
+    if w.endswith("ing"):
+        return tidy(w[:-3], p[:-3]) if "V" in p[:-3] else w
+    return w
+
+
+def porter_stem_py(w: str) -> str:
+    """Python twin of ``porter_stem`` for a query's own words (same rule tables;
+    tests check both agree on a whole corpus vocabulary)."""
+    if len(w) < MIN_STEM_LENGTH:
+        return w
+    s = _rules_py(w, STEP_1A)
+    s = _step1b_py(s)
+    s = _rules_py(s, STEP_1C)
+    s = _rules_py(s, STEP_2)
+    s = _rules_py(s, STEP_3)
+    s = _rules_py(s, STEP_4)
+    p = _cv_py(s)
+    if s.endswith("e"):
+        m = _m_py(p[:-1])
+        if m > 1 or (m == 1 and not _cvc_py(s[:-1], p[:-1])):
+            s = s[:-1]
+    if s.endswith("ll") and _m_py(_cv_py(s)) > 1:
+        s = s[:-1]
+    return s
+
+
+def english_lexeme_py(simple: str | None) -> str | None:
+    """Python twin of ``english_lexeme``."""
+    if simple is None or simple in _STOP_SET:
+        return None
+    return porter_stem_py(simple)
+
+
+_STOP_SET = frozenset(ENGLISH_STOP_WORDS)

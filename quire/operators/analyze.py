@@ -103,7 +103,21 @@ def variants(frags: DataFrame, terms: list[str], config: str) -> dict[str, str]:
     lookup (only the query's own terms come back to the driver)."""
     if config == "simple":
         return {t: t for t in terms}
-    rows = vocabulary(frags, config).filter(F.col("term").isin(sorted(set(terms)))).collect()
+    if not terms:
+        return {}
+    from quire.functions.stem import ENGLISH_STOP_WORDS, porter_stem
+
+    # Porter rewrites suffixes only and never lengthens a word: a word stems to
+    # t only if it starts with t's first letter and is at least as long, so only
+    # those words of the vocabulary are stemmed.
+    lex = frags.select(F.explode("content_tsv.lexeme").alias("lexeme")).distinct()
+    cand = lex.filter(
+        F.substring("lexeme", 1, 1).isin(sorted({t[0] for t in terms}))
+        & (F.length("lexeme") >= min(len(t) for t in terms))
+        & ~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS))
+    )
+    stems = cand.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
+    rows = stems.filter(F.col("term").isin(sorted(set(terms)))).collect()
     return {r["lexeme"]: r["term"] for r in rows}
 
 

@@ -56,3 +56,19 @@ def test_stop_word_keeps_position(spark):
     assert q.root.terms == ((0, "hill"), (2, "hill"))
     heads = search_files(idx, "plastering", "logical").collect()
     assert heads and "<b>plastered</b>" in heads[0].headline
+
+
+def test_python_twin_agrees_on_corpus_vocabulary(spark):
+    """Query words are stemmed on the driver by the Python twin of the rules:
+    it must agree with the Column stemmer on every word of a real vocabulary."""
+    from quire.functions.stem import english_lexeme, english_lexeme_py
+    from quire.operators.analyze import fragments, postings
+    from quire.sources.corpus import corpus_files
+
+    lex = postings(fragments(corpus_files(spark, "/root/testdata/sf0.01"), 100)).select("lexeme").distinct()
+    rows = lex.select("lexeme", english_lexeme(F.col("lexeme")).alias("s")).collect()
+    bad = [(r.lexeme, r.s, english_lexeme_py(r.lexeme)) for r in rows if english_lexeme_py(r.lexeme) != r.s]
+    assert len(rows) > 60000 and not bad[:10]
+    from quire.functions.stem import porter_stem_py
+
+    assert {w: porter_stem_py(w) for w in {**GOLDEN, **MORE}} == {**GOLDEN, **MORE}
