@@ -1,8 +1,11 @@
 """Headlines: top covers per book, widened windows over the token array, <b> marks.
 
-Pieces are array slices of ``content_array`` (no re-tokenising); marks come
-either from the match spans of the fragment (phrase aware: one mark per run) or
-from the query lexemes (every query word marked on its own).
+Pieces are token ranges of ``content_array`` (no re-tokenising). Marks are
+decided on the window's own lexemes (``_lx``, computed once per row): either
+every occurrence of a positive word or phrase of the query, one mark per run
+(``covered_flags`` + ``render_runs``), or every query word on its own
+(``render_words``). Only word-distance atoms bring their spans (``marks``).
+The renderers are single SQL expressions (one parse, evaluated per position).
 """
 
 from __future__ import annotations
