@@ -160,8 +160,34 @@ class TextIndex:
         save(self.fragments.select(*FRAGMENT_COLUMNS), f"{name}_fragments", ["file_id", "sequence_no"])
         frags = self.spark.table(f"{name}_fragments")
         save(postings(frags, config=self.config), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
+        if path is not None:
+            meta = [(buckets, self.config, self.max_tokens)]
+            self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(
+                os.path.join(path, "_meta")
+            )
         return TextIndex.load_tables(self.spark, name, self.config, self.max_tokens)
 
+    @classmethod
+    def attach_tables(cls, spark: SparkSession, name: str, path: str) -> "TextIndex":
+        """Register tables written by ``write_tables(name, path=path)`` in this
+        session's catalog (bucketing declared again) and load them; for
+        sessions without a shared metastore."""
+        meta = spark.read.schema(META_SCHEMA).json(os.path.join(path, "_meta")).first()
+        sorts = {
+            "files": "file_id",
+            "fragments": "file_id, sequence_no",
+            "postings": "lexeme, file_id, sequence_no, pos",
+        }
+        for table, sort in sorts.items():
+            cols = TABLE_SCHEMAS[table].replace(", bucket int", "")
+            location = os.path.join(path, f"{name}_{table}").replace("'", "\\'")
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name}_{table} ({cols}) USING parquet "
+                f"CLUSTERED BY (file_id) SORTED BY ({sort}) INTO {int(meta['buckets'])} BUCKETS "
+                f"LOCATION '{location}'"
+            )
+        return cls.load_tables(spark, name, meta["config"], meta["max_tokens"])
+
     @classmethod
     def load_tables(
         cls, spark: SparkSession, name: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS

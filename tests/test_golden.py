@@ -183,3 +183,17 @@ def test_full_headline_crosses_fragment_border(golden):
         "<b>whale</b> one two three four five six seven"
         " ... two three four five six seven eight <b>nine</b>"
     )
+
+
+def test_attach_tables_in_a_fresh_catalog(spark, tmpdir_path):
+    from quire.sources.corpus import corpus_files
+
+    lazy = TextIndex.build(corpus_files(spark, "/root/testdata/sf0.001"), 60)
+    first = lazy.write_tables("attach_a", buckets=4, path=tmpdir_path + "/t")
+    for t in ("files", "fragments", "postings"):  # forget the catalog entries, keep the data
+        spark.sql(f"DROP TABLE attach_a_{t}")
+    again = TextIndex.attach_tables(spark, "attach_a", tmpdir_path + "/t")
+    assert again.co_partitioned and again.max_tokens == 60
+    want = sorted(tuple(r) for r in search_files(lazy, "of <-> the", "logical").collect())
+    assert sorted(tuple(r) for r in search_files(again, "of <-> the", "logical").collect()) == want
+    del first
