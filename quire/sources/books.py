@@ -62,12 +62,18 @@ def txt_like(name: Column) -> Column:
     return F.regexp_extract(name, TXT_NAME, 0) != ""
 
 
+def file_path() -> Column:
+    """The source file of a row as a plain path (``_metadata.file_path`` is URL
+    encoded; a literal '+' is protected from the decoding)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_texts(spark: SparkSession, directory: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
     """``(path, value)`` with each whole file as one UTF-8 string."""
     r = spark.read.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return r.text(directory, wholetext=True).select(file_path().alias("path"), "value")
 
 
 def base_name(path: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.upkeep import apply_changes
 from quire.plans.index import DEFAULT_BUCKETS, TextIndex
+from quire.sources.books import file_path
 from quire.sources.corpus import files_from_documents
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -140,7 +141,7 @@ def start_book_feed(
         .option("pathGlobFilter", glob)
         .load(directory)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            file_path().alias("path"),
             F.col("_metadata.file_modification_time").alias("mtime"),
             "value",
         )

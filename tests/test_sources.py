@@ -90,3 +90,9 @@ def test_files_sink_rejects_nulls(spark, tmpdir_path):
     )
     with pytest.raises(Exception, match="NOT NULL"):
         TextIndex.build(files).write(os.path.join(tmpdir_path, "idx"))
+
+
+def test_file_names_are_plain(spark, tmpdir_path):
+    write(tmpdir_path, "my book+é.txt", BOOK.format(t="T", a="A", T="T", body="x"))
+    books, _ = parse_books(read_texts(spark, tmpdir_path))
+    assert [r.filename for r in books.collect()] == ["my book+é.txt"]
