@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.analyze import fragments, postings
-from quire.plans.index import DEFAULT_BUCKETS, TextIndex, bucket_of, read_table
+from quire.plans.index import BOOK_FIELDS, DEFAULT_BUCKETS, TextIndex, bucket_of, read_table
 from quire.session import require_checkpoint_dir
 
 
@@ -37,7 +37,7 @@ def upsert(index: TextIndex, changes: DataFrame, order_col: str | None = None) -
     changes = latest_versions(changes, order_col).select("file_id", "filename", "title", "author", "content")
     ids = changes.select("file_id")
     files = index.files.select(*changes.columns).join(ids, "file_id", "left_anti").unionByName(changes)
-    fresh = fragments(changes, index.max_tokens, index.config)
+    fresh = fragments(changes, index.max_tokens, index.config, keep=BOOK_FIELDS)
     frags = index.fragments.select(*fresh.columns).join(ids, "file_id", "left_anti").unionByName(fresh)
     return TextIndex(files, frags, None, index.config, index.max_tokens)
 
@@ -117,7 +117,9 @@ def apply_changes(
     frags = index.fragments.filter(tb).join(ids.select("file_id"), "file_id", "left_anti")
     if changes is not None:
         files = files.unionByName(changes.withColumn("bucket", bucket_of("file_id", index.buckets)), allowMissingColumns=True)
-        fresh = fragments(changes, index.max_tokens, index.config).withColumn("bucket", bucket_of("file_id", index.buckets))
+        fresh = fragments(changes, index.max_tokens, index.config, keep=BOOK_FIELDS).withColumn(
+            "bucket", bucket_of("file_id", index.buckets)
+        )
         frags = frags.unionByName(fresh)
     _rewrite(spark, os.path.join(path, "files"), files, touched, ["file_id"])
     _rewrite(spark, os.path.join(path, "fragments"), frags, touched, ["file_id", "sequence_no"])

@@ -24,14 +24,20 @@ DEFAULT_BUCKETS = 64
 # Buckets of the catalog-table layout (size to ~1-2 GB of postings per bucket).
 DEFAULT_TABLE_BUCKETS = 64
 FILES_COLUMNS = ["file_id", "filename", "title", "author", "content"]
-FRAGMENT_COLUMNS = ["file_id", "sequence_no", "content_array", "content_tsv", "content", "word_offset", "n_words"]
+# Book fields copied onto every fragment: result rows take them from the fragment
+# rows they join anyway, instead of joining (and scanning) the files table.
+BOOK_FIELDS = ("filename", "title", "author")
+FRAGMENT_COLUMNS = [
+    "file_id", "sequence_no", "content_array", "content_tsv", "content", "word_offset", "n_words", *BOOK_FIELDS,
+]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
 META_SCHEMA = "buckets int, config string, max_tokens int"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
     "files": FILES_SCHEMA + ", bucket int",
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
-    "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, bucket int",
+    "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, "
+    "filename string, title string, author string, bucket int",
     "postings": "lexeme string, file_id long, sequence_no int, pos int, bucket int",
 }
 
@@ -68,6 +74,10 @@ class TextIndex:
         # number of bucket directories of the path layout
         self.buckets = int(buckets)
 
+    @property
+    def book_fields_on_fragments(self) -> bool:
+        return all(c in self.fragments.columns for c in BOOK_FIELDS)
+
     @property
     def spark(self) -> SparkSession:
         return self.files.sparkSession
@@ -75,7 +85,7 @@ class TextIndex:
     @classmethod
     def build(cls, files: DataFrame, max_tokens: int | None = DEFAULT_MAX_TOKENS, config: str = "simple") -> "TextIndex":
         """Lazy index over ``files`` (nothing runs until a read)."""
-        return cls(files, fragments(files, max_tokens, config), None, config, max_tokens)
+        return cls(files, fragments(files, max_tokens, config, keep=BOOK_FIELDS), None, config, max_tokens)
 
     def hits(self, lexemes: list[str], file_id: int | None = None) -> DataFrame:
         """Posting rows ``(lexeme, file_id, sequence_no, pos)`` of the given lexemes."""

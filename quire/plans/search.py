@@ -26,7 +26,7 @@ from quire.operators.headline import (
 )
 from quire.operators.match import KEYS, atom_spans, cover_rows, matching_fragments, with_truth
 from quire.operators.query import And, Chain, Follow, Not, Or, Query, compile_query
-from quire.plans.index import TextIndex
+from quire.plans.index import BOOK_FIELDS, TextIndex
 
 STRATEGIES = ("ts_headline", "ts_semantic_headline", "ts_fast_headline")
 # Fixed value: matches listed per fragment.
@@ -119,13 +119,14 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
         return _empty(index, FAST_SCHEMA)
     spans = atom_spans(index.hits(q.lexemes), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
-    top = index.join_fragments(top_covers(rows), ["content_array"])
+    meta = ["title", "author"] if index.book_fields_on_fragments else []
+    top = index.join_fragments(top_covers(rows), ["content_array", *meta])
     top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
-    heads = top.groupBy("file_id").agg(join_pieces(piece, -F.col("rn")).alias("headline"))
-    return heads.join(index.files.select("file_id", "title", "author"), "file_id").select(
-        "file_id", "headline", "title", "author"
-    )
+    heads = top.groupBy("file_id", *meta).agg(join_pieces(piece, -F.col("rn")).alias("headline"))
+    if not meta:  # fragments without book fields: take them from files
+        heads = heads.join(index.files.select("file_id", "title", "author"), "file_id")
+    return heads.select("file_id", "headline", "title", "author")
 
 
 def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: bool = False) -> DataFrame:
@@ -164,9 +165,11 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     rows = rows.withColumns(
         {"_lo": F.greatest(F.lit(1), F.col("_ws") - reach), "_hi": F.least(F.col("_n"), F.col("_we") + reach)}
     )
-    # tokens of positions _lo.._hi from the fragments that overlap them
+    # tokens of positions _lo.._hi from the fragments that overlap them (with the
+    # book fields, when fragments carry them)
+    meta = list(BOOK_FIELDS) if index.book_fields_on_fragments else []
     f = index.fragment_rows().select(
-        F.col("file_id").alias("_f"), "sequence_no", "word_offset", "n_words", "content_array"
+        F.col("file_id").alias("_f"), "sequence_no", "word_offset", "n_words", "content_array", *meta
     )
     pairs = rows.join(
         f,
@@ -177,7 +180,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     first = F.greatest(F.col("_lo"), F.col("word_offset") + 1)
     last = F.least(F.col("_hi"), F.col("word_offset") + F.col("n_words"))
     part = F.slice("content_array", first - F.col("word_offset"), last - first + 1)
-    keys = ["file_id", "_rk", "s", "e", "_ws", "_we", "_lo"]
+    keys = ["file_id", "_rk", "s", "e", "_ws", "_we", "_lo", *meta]
     win = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sequence_no", part.alias("t")))).alias("_p"))
     win = win.withColumn("_toks", F.flatten(F.transform("_p", lambda x: x["t"])))
     win = win.withColumn("_lx", F.transform("_toks", lambda t: lexeme(t, index.config)))
@@ -191,10 +194,12 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
         piece = render_runs(token_at=token_at)
     else:
         piece = render_words(positive_lexemes(q.root), token_at=token_at)
-    heads = win.withColumn("piece", piece).groupBy("file_id").agg(
+    heads = win.withColumn("piece", piece).groupBy("file_id", *meta).agg(
         join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline")
     )
-    return index.files.select("file_id", "filename", "title", "author").join(heads, "file_id")
+    if not meta:
+        heads = heads.join(index.files.select("file_id", "filename", "title", "author"), "file_id")
+    return heads.select("file_id", "filename", "title", "author", "headline")
 
 
 def search_files(index: TextIndex, query: str, mode: str = "logical", strategy: str = "ts_fast_headline") -> DataFrame:
