@@ -23,6 +23,12 @@ KEYS = ["file_id", "sequence_no"]
 DEFAULT_BUCKETS = 64
 # Buckets of the catalog-table layout (size to ~1-2 GB of postings per bucket).
 DEFAULT_TABLE_BUCKETS = 64
+# Two-step reads of fragments: when the fragments table is at least this large
+# (Spark's size statistics) and a result has at most PRUNE_BOOKS books, their ids
+# are fetched first and the token arrays read with a literal IN filter (bucket /
+# partition pruning) instead of scanning every fragment.
+PRUNE_MIN_BYTES = 8 << 30
+PRUNE_BOOKS = 20_000
 FILES_COLUMNS = ["file_id", "filename", "title", "author", "content"]
 # Book fields copied onto every fragment: result rows take them from the fragment
 # rows they join anyway, instead of joining (and scanning) the files table.
@@ -109,12 +115,34 @@ class TextIndex:
             f = f.filter(F.col("file_id") == file_id)
         return f
 
-    def join_fragments(self, rows: DataFrame, cols: list[str], file_id: int | None = None) -> DataFrame:
+    def table_bytes(self, df: DataFrame) -> int:
+        """Spark's size estimate of a scan (file sizes for written tables)."""
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+    def fragments_of(self, rows: DataFrame, min_bytes: int = PRUNE_MIN_BYTES, limit: int = PRUNE_BOOKS) -> DataFrame:
+        """Fragments of the books in ``rows``. On a large written index a result
+        with few books is read through a literal ``file_id IN (...)`` (bucket or
+        partition pruning, row-group statistics); the ids come back in one
+        bounded action (at most ``limit + 1`` rows). Otherwise all fragments."""
+        frags = self.fragment_rows()
+        if self.postings is None or self.table_bytes(frags) < min_bytes:
+            return frags
+        ids = [r[0] for r in rows.select("file_id").distinct().limit(limit + 1).collect()]
+        if len(ids) > limit:
+            return frags
+        if "bucket" in frags.columns:
+            frags = frags.filter(F.col("bucket").isin(sorted({i % self.buckets for i in ids})))
+        return frags.filter(F.col("file_id").isin(ids))
+
+    def join_fragments(
+        self, rows: DataFrame, cols: list[str], file_id: int | None = None, frags: DataFrame | None = None
+    ) -> DataFrame:
         """``rows`` joined to the fragment columns ``cols`` on (file_id, sequence_no).
 
         On the path layout the ``bucket`` directory is a join key too, so dynamic
-        partition pruning reads only the buckets of the joined books."""
-        frags = self.fragment_rows(file_id)
+        partition pruning reads only the buckets of the joined books. ``frags``:
+        an already narrowed fragment frame (see ``fragments_of``)."""
+        frags = self.fragment_rows(file_id) if frags is None else frags
         if "bucket" in frags.columns:
             rows = rows.withColumn("bucket", bucket_of("file_id", self.buckets))
             return rows.join(frags.select("bucket", *KEYS, *cols), ["bucket", *KEYS]).drop("bucket")

@@ -26,7 +26,7 @@ from quire.operators.headline import (
 )
 from quire.operators.match import KEYS, atom_spans, cover_rows, matching_fragments, with_truth
 from quire.operators.query import And, Chain, Follow, Not, Or, Query, compile_query
-from quire.plans.index import BOOK_FIELDS, TextIndex
+from quire.plans.index import BOOK_FIELDS, PRUNE_MIN_BYTES, TextIndex
 
 STRATEGIES = ("ts_headline", "ts_semantic_headline", "ts_fast_headline")
 # Fixed value: matches listed per fragment.
@@ -104,7 +104,7 @@ def _with_pieces(
     return x.withColumn("piece", render_runs(tokens))
 
 
-def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFrame:
+def search_fast(index: TextIndex, query: str, mode: str = "logical", prune_bytes: int = PRUNE_MIN_BYTES) -> DataFrame:
     """``file_id, headline, title, author``; headline = up to 5 best covers
     over pre-computed fragments, joined by ' ... ' (best last).
 
@@ -120,7 +120,8 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     spans = atom_spans(index.hits(q.lexemes), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
     meta = ["title", "author"] if index.book_fields_on_fragments else []
-    top = index.join_fragments(top_covers(rows), ["content_array", *meta])
+    top = top_covers(rows)
+    top = index.join_fragments(top, ["content_array", *meta], frags=index.fragments_of(top, prune_bytes))
     top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
     heads = top.groupBy("file_id", *meta).agg(join_pieces(piece, -F.col("rn")).alias("headline"))
@@ -129,7 +130,9 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     return heads.select("file_id", "headline", "title", "author")
 
 
-def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: bool = False) -> DataFrame:
+def search_full(
+    index: TextIndex, query: str, mode: str = "logical", semantic: bool = False, prune_bytes: int = PRUNE_MIN_BYTES
+) -> DataFrame:
     """``file_id, filename, title, author, headline`` for books with a
     matching fragment; the headline is cut from the whole book.
 
@@ -168,7 +171,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     # tokens of positions _lo.._hi from the fragments that overlap them (with the
     # book fields, when fragments carry them)
     meta = list(BOOK_FIELDS) if index.book_fields_on_fragments else []
-    f = index.fragment_rows().select(
+    f = index.fragments_of(books, prune_bytes).select(
         F.col("file_id").alias("_f"), "sequence_no", "word_offset", "n_words", "content_array", *meta
     )
     pairs = rows.join(
