@@ -1,12 +1,19 @@
 """The text index: ``files``, ``fragments`` and ``postings`` tables.
 
-An index is either built lazily from a ``files`` frame (every read re-derives
-it, used by the registered queries so their work grows with the input), or
-written once and loaded. The written layout is partitioned by
-``bucket = pmod(file_id, buckets)`` for all three tables, so one book's rows
-share a directory (partition pruning for single-book reads, and upkeep
-rewrites only touched buckets); postings are sorted by lexeme inside each
-file so Parquet min/max statistics skip row groups for ``lexeme IN (...)``.
+Three forms, one API (``TextIndex``):
+
+* lazy - built from a ``files`` frame, re-derived by every read (the registered
+  queries use it, so their work grows with the input);
+* path layout (``write`` / ``load``) - all three tables partitioned by
+  ``bucket = pmod(file_id, buckets)``: one book's rows share a directory
+  (partition pruning for single-book reads and for selective results, upkeep
+  rewrites only touched buckets);
+* catalog tables (``write_tables`` / ``load_tables`` / ``attach_tables``) - all
+  three bucketed by ``file_id`` into the same number of buckets, so searches
+  run co-located, without shuffles.
+
+In both written forms postings are sorted by lexeme inside each file, so Parquet
+statistics skip row groups and pages for ``lexeme IN (...)``.
 """
 
 from __future__ import annotations
