@@ -96,3 +96,23 @@ def test_file_names_are_plain(spark, tmpdir_path):
     write(tmpdir_path, "my book+é.txt", BOOK.format(t="T", a="A", T="T", body="x"))
     books, _ = parse_books(read_texts(spark, tmpdir_path))
     assert [r.filename for r in books.collect()] == ["my book+é.txt"]
+
+
+def test_consecutive_ids_across_partitions(spark):
+    from quire.sources.books import consecutive_ids
+
+    names = spark.range(0, 3000, numPartitions=7).selectExpr("concat('b', lpad(cast(id * 7919 % 3000 as string), 5, '0')) AS filename")
+    ids = consecutive_ids(names.repartition(5), "filename", 100, "file_id").collect()
+    got = sorted((r.filename, r.file_id) for r in ids)
+    assert [i for _, i in got] == list(range(101, 3101))  # consecutive, in name order
+
+
+def test_word_chunks_edges(spark):
+    books = spark.createDataFrame(
+        [("f", "t", "a", " a b "), ("g", "t", "a", "x")], "filename string, title string, author string, content string"
+    )
+    rows = {(r.filename, r.seq_no): r.content for r in word_chunks(books, 2).collect()}
+    # words: '' a b '' -> wordno 1..4; chunk 0 = word 1, chunk 1 = words 2-3, chunk 2 = word 4
+    assert rows == {("f", 1): "", ("f", 2): "a b", ("f", 3): "", ("g", 1): "x"}
+    rows = [r.content for r in word_chunks(books.filter("filename = 'g'"), 1).collect()]
+    assert rows == ["x"]  # size 1: wordno/1 >= 1, so no empty first chunk
