@@ -156,6 +156,10 @@ def q_search_headline(spark, sf_dir):
     return search_full(_index(spark, sf_dir), Q_FULL, "logical", semantic=False)
 
 
+def q_search_headline_not(spark, sf_dir):
+    return search_full(_index(spark, sf_dir), Q_FAST_NOT, "logical", semantic=False)
+
+
 def q_search_semantic(spark, sf_dir):
     return search_full(_index(spark, sf_dir), Q_FULL, "logical", semantic=True)
 
@@ -343,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_fast_tables": q_search_fast_tables,
         "search_headline": q_search_headline,
         "search_semantic": q_search_semantic,
+        "search_headline_not": q_search_headline_not,
         "file_contents": q_file_contents,
         "file_matches": q_file_matches,
         "terms_ordered": q_terms_ordered,
@@ -381,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "search_fast_tables": O.SEARCH_FAST,
         "search_headline": O.SEARCH_HEADLINE,
         "search_semantic": O.SEARCH_SEMANTIC,
+        "search_headline_not": O.SEARCH_HEADLINE_NOT,
         "file_contents": O.FILE_CONTENTS,
         "file_matches": O.FILE_MATCHES,
         "terms_ordered": O.TERMS_ORDERED,

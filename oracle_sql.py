@@ -651,3 +651,13 @@ SEARCH_FAST_NOT = headline_sql(
     {"with": term_spans("with")},
     "IN_with",
 )
+
+# E2 with a negation: "with | !the" (books whose only matching fragments lack
+# 'the' and hold no 'with' show their first 15 words, unmarked)
+SEARCH_HEADLINE_NOT = whole_book_sql(
+    f"{has('with')} OR NOT {has('the')}",
+    {"with": wterm("with")},
+    "r_with",
+    ["with"],
+    False,
+)
