@@ -40,6 +40,8 @@ Q_FULL = "(of <-> the) & this"
 Q_MATCHES = "(of <-> the) | with"
 Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
 Q_FAST_NOT = "with | !the"
+Q_MATCHES_NOT = "of <1> !the"
+Q_DISTANCE_OR = "(of | in) <2> the"
 
 
 def _index(spark: SparkSession, sf_dir: str, config: str = "simple") -> TextIndex:
@@ -103,6 +105,11 @@ def q_word_distance(spark, sf_dir):
     return spans.select(*_long("file_id", "sequence_no", "s", "e"))
 
 
+def q_distance_or(spark, sf_dir):
+    _, _, spans, _ = _spans(spark, sf_dir, Q_DISTANCE_OR, "logical")
+    return spans.select(*_long("file_id", "sequence_no", "s", "e"))
+
+
 def q_matching_files(spark, sf_dir):
     _, _, _, frags = _spans(spark, sf_dir, Q_FILES, "logical")
     return frags.select(F.col("file_id").cast("long").alias("file_id")).distinct()
@@ -324,6 +331,11 @@ def q_search_english(spark, sf_dir):
     return search_fast(_index(spark, sf_dir, "english"), Q_ENGLISH, "logical")
 
 
+def q_file_matches_not(spark, sf_dir):
+    m = file_matches(_index(spark, sf_dir), Q_MATCHES_NOT, "logical")
+    return m.select(*_long("file_id", "sequence_no", "s"), "term")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: fast-headline corpus search on sf0.001."""
     return q_search_fast(spark, SMOKE_DIR)
@@ -339,6 +351,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "logical_or": _frags(Q_OR),
         "logical_not": _frags(Q_NOT),
         "word_distance": q_word_distance,
+        "distance_or": q_distance_or,
         "matching_files": q_matching_files,
         "cover_density": q_cover_density,
         "top5_covers": q_top5_covers,
@@ -350,6 +363,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_headline_not": q_search_headline_not,
         "file_contents": q_file_contents,
         "file_matches": q_file_matches,
+        "file_matches_not": q_file_matches_not,
         "terms_ordered": q_terms_ordered,
         "highlight_results": q_highlight_results,
         "result_count": q_result_count,
@@ -378,6 +392,7 @@ def oracle_sql() -> dict[str, str]:
         "logical_or": O.LOGICAL_OR,
         "logical_not": O.LOGICAL_NOT,
         "word_distance": O.WORD_DISTANCE,
+        "distance_or": O.DISTANCE_OR,
         "matching_files": O.MATCHING_FILES,
         "cover_density": O.COVER_DENSITY,
         "top5_covers": O.TOP5_COVERS,
@@ -389,6 +404,7 @@ def oracle_sql() -> dict[str, str]:
         "search_headline_not": O.SEARCH_HEADLINE_NOT,
         "file_contents": O.FILE_CONTENTS,
         "file_matches": O.FILE_MATCHES,
+        "file_matches_not": O.FILE_MATCHES_NOT,
         "terms_ordered": O.TERMS_ORDERED,
         "highlight_results": O.HIGHLIGHT_RESULTS,
         "result_count": O.RESULT_COUNT,

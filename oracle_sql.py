@@ -661,3 +661,32 @@ SEARCH_HEADLINE_NOT = whole_book_sql(
     ["with"],
     False,
 )
+
+
+def _matches_sql(spans_sql: str) -> str:
+    return with_base(f"""
+sp AS ({spans_sql}),
+d AS (SELECT DISTINCT file_id, sequence_no, s, e FROM sp),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, sequence_no ORDER BY s, e) AS rn FROM d QUALIFY rn <= 50)
+SELECT r.file_id, r.sequence_no, r.s,
+       trim(regexp_replace(string_agg(t.tok, ' ' ORDER BY t.pos), '\\s+', ' ', 'g')) AS term
+FROM r JOIN tok t ON t.file_id = r.file_id AND t.sequence_no = r.sequence_no AND t.pos BETWEEN r.s AND r.e
+GROUP BY r.file_id, r.sequence_no, r.s, r.e
+""")
+
+
+# "of <1> !the": every 'of' not followed by 'the'
+FILE_MATCHES_NOT = _matches_sql("""
+  SELECT a.file_id, a.sequence_no, a.pos AS s, a.pos AS e FROM post a
+  WHERE a.lexeme = 'of' AND NOT EXISTS (
+    SELECT 1 FROM post b WHERE b.file_id = a.file_id AND b.sequence_no = a.sequence_no
+      AND b.pos = a.pos + 1 AND b.lexeme = 'the')""")
+
+# "(of | in) <2> the": spans from an 'of' or 'in' to a 'the' two positions later
+DISTANCE_OR = with_base("""
+x AS (SELECT 1)
+SELECT a.file_id, a.sequence_no, a.pos AS s, b.pos AS e
+FROM post a JOIN post b
+  ON a.file_id = b.file_id AND a.sequence_no = b.sequence_no AND b.pos = a.pos + 2
+WHERE a.lexeme IN ('of', 'in') AND b.lexeme = 'the'
+""")
