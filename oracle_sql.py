@@ -1,8 +1,12 @@
 """DuckDB SQL that recomputes each registered query from the driver tables.
 
-Written independently of the Spark plans: phrases by self-joins, covers by
-their definition (minimal intervals holding the query), headlines by row-wise
-string aggregation. Tables are the driver's pre-registered views.
+Written independently of the Spark plans: tokens and positions by unnest and
+row numbers, phrases and word distances by self-joins, negated operands by
+NOT EXISTS, fragment covers by their definition (minimal intervals holding the
+query, checked on every candidate pair), headlines by row-wise string
+aggregation, whole-book headlines (E2/E3) on books re-tokenized here (covers by
+running maxima over end positions), Porter rules rendered as SQL lambdas.
+Tables are the driver's pre-registered views.
 """
 
 from __future__ import annotations
