@@ -87,6 +87,20 @@ class TextIndex:
         # number of bucket directories of the path layout
         self.buckets = int(buckets)
 
+    def cache(self) -> "TextIndex":
+        """Keep a lazy index's tables in executor memory (spilling to disk) for
+        repeated searches in one session; ``unpersist`` releases them."""
+        for df in (self.files, self.fragments, self.postings):
+            if df is not None:
+                df.persist()
+        return self
+
+    def unpersist(self) -> "TextIndex":
+        for df in (self.files, self.fragments, self.postings):
+            if df is not None:
+                df.unpersist()
+        return self
+
     @property
     def book_fields_on_fragments(self) -> bool:
         return all(c in self.fragments.columns for c in BOOK_FIELDS)

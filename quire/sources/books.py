@@ -42,10 +42,13 @@ def list_text_files(spark: SparkSession, directory: str, glob: str = "*.txt", re
 
 
 def ls_files(
-    spark: SparkSession, path: str, predicate: Column | None = None, sort: str | Column = "filename"
+    spark: SparkSession, path: str, predicate: Column | str | None = None, sort: str | Column = "filename"
 ) -> DataFrame:
-    """Every file under ``path`` as ``(filename)``, filtered by a Column
-    predicate and ordered by ``sort`` (no SQL text is spliced in)."""
+    """Every file under ``path`` as ``(filename)``, filtered by a predicate
+    (a Column, or a SQL expression over ``filename`` parsed by Spark as one
+    expression — never spliced into a command) and ordered by ``sort``."""
+    if isinstance(predicate, str):
+        predicate = F.expr(predicate)
     df = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

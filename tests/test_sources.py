@@ -116,3 +116,8 @@ def test_word_chunks_edges(spark):
     assert rows == {("f", 1): "", ("f", 2): "a b", ("f", 3): "", ("g", 1): "x"}
     rows = [r.content for r in word_chunks(books.filter("filename = 'g'"), 1).collect()]
     assert rows == ["x"]  # size 1: wordno/1 >= 1, so no empty first chunk
+
+
+def test_ls_files_sql_predicate(spark, book_dir):
+    names = [os.path.basename(r.filename) for r in ls_files(spark, book_dir, "filename LIKE '%b.txt'").collect()]
+    assert names == ["b.txt"]
