@@ -12,12 +12,19 @@ enough that fragment borders are exercised on the driver texts.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle_sql as O
+# the package and the oracle module live next to this file
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+import oracle_sql as O  # noqa: E402
 from quire.operators.match import covers
 from quire.operators.headline import top_covers
 from quire.operators.query import compile_query
