@@ -42,3 +42,13 @@ def test_link_and_present(spark):
     )
     assert one(spark, link_to_file(F.col("h"), F.lit(7)), "h string", (None,)) is None
     assert one(spark, present_text(F.col("h")), "h string", ("  a \n\t b  ",)) == "a b"
+
+
+def test_highlight_marks_again_inside_marks(spark):
+    # terms are folded longest first; a shorter term then matches inside the
+    # first mark (the text " man" follows "old" there)
+    terms = one(spark, ordered_terms(F.col("t")), "t array<string>", (["man", "old man"],))
+    got = one(spark, highlight(F.col("t"), F.col("c")), "t array<string>, c string", (terms, "an old man"))
+    assert got == (
+        "an <span class='search-result'>old <span class='search-result'>man</span> </span> "
+    )
