@@ -83,10 +83,15 @@ def covered_flags(chains, with_marks: bool = False) -> Column:
     """``_cov``: for positions ``_lo .. _lo+size(_lx)-1`` whether an occurrence
     of one of ``chains`` (words or phrases) covers it, checked on the window's
     own lexemes ``_lx``; with ``with_marks`` also whether a span of ``marks``
-    does. One SQL expression, evaluated once per position."""
+    does. One SQL expression, evaluated once per position.
+
+    Arrays used inside per-position lambdas are first bound to lambda variables
+    (a one-element ``transform``): referenced there directly, Catalyst may
+    inline their projection and recompute them for every position.
+    """
 
     def lex_at(x: str) -> str:
-        return f"get(_lx, {x} - _lo)"
+        return f"get(lx, {x} - _lo)"
 
     alts = []
     for ch in chains:
@@ -96,31 +101,33 @@ def covered_flags(chains, with_marks: bool = False) -> Column:
     if with_marks:
         alts.append("exists(coalesce(marks, array()), m -> m.s <= q AND q <= m.e)")
     body = " OR ".join(alts) if alts else "false"
-    return F.expr(f"transform(sequence(_lo, _lo + size(_lx) - 1), q -> {body})")
+    return F.expr(f"element_at(transform(array(_lx), lx -> transform(sequence(_lo, _lo + size(lx) - 1), q -> {body})), 1)")
 
 
-def render_runs(tokens: str = "content_array", token_at: str | None = None) -> Column:
+def render_runs(tokens: str = "content_array", offset: str = "0") -> Column:
     """Tokens ``_ws.._we`` joined by blanks; each run of covered positions
-    (``_cov``) is wrapped in one ``<b>…</b>``. ``token_at`` is the SQL of the
-    token at position ``p`` (default ``element_at(<tokens>, p)``)."""
-    tok = token_at or f"element_at({tokens}, p)"
-    c = "coalesce(get(_cov, {x} - _lo), false)"
+    (``_cov``) is wrapped in one ``<b>…</b>``. Position ``p`` is element
+    ``p - offset`` of the ``tokens`` array."""
+    c = "coalesce(get(b.c, {x} - _lo), false)"
     here, prev, nxt = c.format(x="p"), c.format(x="p - 1"), c.format(x="p + 1")
     return F.expr(
+        f"element_at(transform(array(named_struct('c', _cov, 't', {tokens})), b -> "
         f"array_join(transform(sequence(_ws, _we), p -> concat("
         f"CASE WHEN {here} AND (p = _ws OR NOT {prev}) THEN {sql_str(MARK_OPEN)} ELSE '' END, "
-        f"{tok}, "
-        f"CASE WHEN {here} AND (p = _we OR NOT {nxt}) THEN {sql_str(MARK_CLOSE)} ELSE '' END)), ' ')"
+        f"element_at(b.t, p - {offset}), "
+        f"CASE WHEN {here} AND (p = _we OR NOT {nxt}) THEN {sql_str(MARK_CLOSE)} ELSE '' END)), ' ')), 1)"
     )
 
 
-def render_words(words: list[str], tokens: str = "content_array", token_at: str | None = None) -> Column:
-    """Tokens ``_ws.._we``; each token whose lexeme is a query word is marked on its own."""
-    tok = token_at or f"element_at({tokens}, p)"
+def render_words(words: list[str], tokens: str = "content_array", offset: str = "0") -> Column:
+    """Tokens ``_ws.._we``; each token whose lexeme is a query word is marked on
+    its own. Position ``p`` is element ``p - offset`` of ``tokens``."""
     wanted = ", ".join(sql_str(w) for w in sorted(set(words))) or "NULL"
-    hit = f"coalesce(get(_lx, p - _lo) IN ({wanted}), false)"
+    hit = f"coalesce(get(b.l, p - _lo) IN ({wanted}), false)"
+    tok = f"element_at(b.t, p - {offset})"
     return F.expr(
+        f"element_at(transform(array(named_struct('l', _lx, 't', {tokens})), b -> "
         f"array_join(transform(sequence(_ws, _we), p -> CASE WHEN {hit} "
         f"THEN concat({sql_str(MARK_OPEN)}, {tok}, {sql_str(MARK_CLOSE)}) "
-        f"ELSE {tok} END), ' ')"
+        f"ELSE {tok} END), ' ')), 1)"
     )

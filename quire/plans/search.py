@@ -187,16 +187,15 @@ def search_full(
     win = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sequence_no", part.alias("t")))).alias("_p"))
     win = win.withColumn("_toks", F.flatten(F.transform("_p", lambda x: x["t"])))
     win = win.withColumn("_lx", F.transform("_toks", lambda t: lexeme(t, index.config)))
-    token_at = "element_at(_toks, p - _lo + 1)"
     if semantic:
         follows = [a for a in q.positive if isinstance(a, Follow)]
         if follows:
             ids = [q.atom_id(a) for a in follows]
             win = win.join(span_marks(spans.filter(F.col("atom").isin(ids))).drop("sequence_no"), "file_id", "left")
         win = win.withColumn("_cov", covered_flags(chains, with_marks=bool(follows)))
-        piece = render_runs(token_at=token_at)
+        piece = render_runs("_toks", offset="(_lo - 1)")
     else:
-        piece = render_words(positive_lexemes(q.root), token_at=token_at)
+        piece = render_words(positive_lexemes(q.root), "_toks", offset="(_lo - 1)")
     heads = win.withColumn("piece", piece).groupBy("file_id", *meta).agg(
         join_pieces(F.col("piece"), F.coalesce(F.col("s"), F.lit(0))).alias("headline")
     )
