@@ -71,7 +71,8 @@ def q_fragments(spark, sf_dir):
 
 def q_token_positions(spark, sf_dir):
     fr = _index(spark, sf_dir).fragments
-    x = fr.select("file_id", "sequence_no", F.posexplode("content_array").alias("i", "token"), "content_tsv")
+    x = fr.select("file_id", "sequence_no", F.posexplode_outer("content_array").alias("i", "token"), "content_tsv")
+    x = x.filter(F.col("token").isNotNull())
     return x.select(
         *_long("file_id", "sequence_no"),
         (F.col("i") + 1).cast("long").alias("pos"),

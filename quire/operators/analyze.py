@@ -69,10 +69,16 @@ def fragments(
         lambda f: F.struct(F.array_join(f, " ").alias("content"), F.filter(f, is_word).alias("words")),
     )
     kept = F.filter(parts, lambda p: F.size(p["words"]) > 0)
+    # the fragment array is materialized once (it feeds two expressions below)
+    raw = raw.select("file_id", *keep, kept.alias("_kept"))
     # word_offset: words of the book before this fragment (fragments tile the
     # book's words in order), so book position = word_offset + pos
-    sizes = F.transform(kept, lambda p: F.size(p["words"]))
-    out = raw.select("file_id", *keep, sizes.alias("_n"), F.posexplode(kept).alias("_i", "_f"))
+    sizes = F.transform("_kept", lambda p: F.size(p["words"]))
+    # an outer generator gets no inferred `size(...) > 0` filter, which Catalyst
+    # would push below the projections and so tokenize every book again; the
+    # null row of a book without fragments is dropped after the generator
+    out = raw.select("file_id", *keep, sizes.alias("_n"), F.posexplode_outer("_kept").alias("_i", "_f"))
+    out = out.filter(F.col("_f").isNotNull())
     return out.select(
         "file_id",
         *keep,
@@ -89,7 +95,8 @@ def vocabulary(frags: DataFrame, config: str = "english") -> DataFrame:
     """T6 vocabulary job: ``(lexeme, term)`` for every distinct simple lexeme
     that the configuration keeps (stop words left out), each stemmed once."""
     check_config(config)
-    lex = frags.select(F.explode("content_tsv.lexeme").alias("lexeme")).distinct()
+    lex = frags.select(F.explode_outer("content_tsv.lexeme").alias("lexeme")).filter(F.col("lexeme").isNotNull())
+    lex = lex.distinct()
     if config == "simple":
         return lex.select("lexeme", F.col("lexeme").alias("term"))
     from quire.functions.stem import ENGLISH_STOP_WORDS, porter_stem
@@ -110,8 +117,8 @@ def variants(frags: DataFrame, terms: list[str], config: str) -> dict[str, str]:
     # Porter rewrites suffixes only and never lengthens a word: a word stems to
     # t only if it starts with t's first letter and is at least as long, so only
     # those words of the vocabulary are stemmed.
-    lex = frags.select(F.explode("content_tsv.lexeme").alias("lexeme")).distinct()
-    cand = lex.filter(
+    lex = frags.select(F.explode_outer("content_tsv.lexeme").alias("lexeme")).filter(F.col("lexeme").isNotNull())
+    cand = lex.distinct().filter(
         F.substring("lexeme", 1, 1).isin(sorted({t[0] for t in terms}))
         & (F.length("lexeme") >= min(len(t) for t in terms))
         & ~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS))
@@ -141,7 +148,7 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
             mapping = variants(frags, lexemes, config)
             wanted = sorted(mapping)
         tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted)) if wanted else F.array().cast(frags.schema["content_tsv"].dataType)
-    rows = frags.select("file_id", "sequence_no", F.explode(tsv).alias("_p"))
+    rows = frags.select("file_id", "sequence_no", F.explode_outer(tsv).alias("_p")).filter(F.col("_p").isNotNull())
     rows = rows.select(
         F.col("_p.lexeme").alias("lexeme"),
         "file_id",

@@ -140,10 +140,16 @@ def parse_books(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFr
 def parse_books_all(raw: DataFrame) -> DataFrame:
     """S6 set-based parser: every title x every author x every body of a file
     (full path as ``filename``); a file missing any part gives no row."""
-    t = raw.select(F.col("path").alias("filename"), "value", F.explode(F.regexp_extract_all("value", F.lit(TITLE_ALL), 1)).alias("title"))
-    a = t.select("filename", "value", "title", F.explode(F.regexp_extract_all("value", F.lit(AUTHOR_ALL), 1)).alias("author"))
-    return a.select(
-        "filename", "title", "author", F.explode(F.regexp_extract_all("value", F.lit(BODY_ALL), 1)).alias("content")
+    # outer generators + a null filter after them: an inner explode would get an
+    # inferred size filter that evaluates each regex over the whole book twice
+    def each(df, cols, pattern, name):
+        x = df.select(*cols, F.explode_outer(F.regexp_extract_all("value", F.lit(pattern), 1)).alias(name))
+        return x.filter(F.col(name).isNotNull())
+
+    t = each(raw.select(F.col("path").alias("filename"), "value"), ["filename", "value"], TITLE_ALL, "title")
+    a = each(t, ["filename", "value", "title"], AUTHOR_ALL, "author")
+    return each(a, ["filename", "title", "author", "value"], BODY_ALL, "content").select(
+        "filename", "title", "author", "content"
     )
 
 
@@ -166,7 +172,8 @@ def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS) -> DataFrame:
         ),
     )
     kept = F.filter(chunks, lambda c: F.size(c) > 0)
-    x = books.select("filename", "title", "author", F.posexplode(kept).alias("i", "chunk"))
+    x = books.select("filename", "title", "author", F.posexplode_outer(kept).alias("i", "chunk"))
+    x = x.filter(F.col("chunk").isNotNull())  # (outer: no inferred filter re-splitting the book)
     return x.select(
         (F.col("i") + 1).cast("long").alias("seq_no"),
         "filename",
