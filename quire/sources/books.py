@@ -163,7 +163,10 @@ def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS) -> DataFrame:
     n = int(size)
     if n < 1:
         raise ValueError("size must be positive")
-    words = F.split(F.col("content"), WORD_SPLIT, -1)
+    # the split is materialized once: used inside the per-chunk lambda as an
+    # expression it would be recomputed for every chunk
+    books = books.select("filename", "title", "author", F.split(F.col("content"), WORD_SPLIT, -1).alias("_w"))
+    words = F.col("_w")
     last = F.floor(F.size(words) / n).cast("int")
     chunks = F.transform(
         F.sequence(F.lit(0), last),
