@@ -145,3 +145,17 @@ def test_english_written_index_same_results(spark, tmpdir_path):
         want = sorted(tuple(r) for r in search_files(lazy, text, "logical", strategy).collect())
         got = sorted(tuple(r) for r in search_files(written, text, "logical", strategy).collect())
         assert got == want and want, text
+
+
+def test_word_offsets_tile_each_book(spark, index, frags):
+    rows = index.fragments.select("file_id", "sequence_no", "word_offset", "n_words", "content_array", "title").collect()
+    by_book = {}
+    for r in sorted(rows, key=lambda r: (r.file_id, r.sequence_no)):
+        by_book.setdefault(r.file_id, []).append(r)
+    titles = {r.file_id: r.title for r in corpus_files(spark, SF).select("file_id", "title").collect()}
+    for fid, rs in by_book.items():
+        offset = 0
+        for r in rs:
+            assert r.word_offset == offset and r.n_words == len(r.content_array) > 0
+            assert r.title == titles[fid]
+            offset += r.n_words
