@@ -218,3 +218,18 @@ def test_pruned_fragment_reads_same_results(spark, tmpdir_path):
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         )
         assert "SelectedBucketsCount" in plan
+
+
+def test_single_book_reads_one_bucket(spark, tmpdir_path):
+    from quire.sources.corpus import corpus_files
+
+    tables = TextIndex.build(corpus_files(spark, "/root/testdata/sf0.001"), 60).write_tables(
+        "onebook_t", buckets=8, path=tmpdir_path + "/t"
+    )
+    df = file_matches(tables, "of <-> the", "logical", 7)
+    plan = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    want = sorted(r.term for r in file_matches(TextIndex.build(corpus_files(spark, "/root/testdata/sf0.001"), 60), "of <-> the", "logical", 7).collect())
+    assert sorted(r.term for r in df.collect()) == want
