@@ -32,6 +32,15 @@ from quire.plans.index import TextIndex
 from quire.plans.search import file_contents, file_matches, match, search_fast, search_full
 from quire.sources.corpus import corpus_files
 
+try:  # the training-data operators are optional: without them all else works
+    from quire.llm import queries as _llm
+except ImportError:
+    _llm = None
+try:
+    import corpus_pipeline as _pipeline
+except ImportError:
+    _pipeline = None
+
 FRAGMENT_TOKENS = O.FRAGMENT_TOKENS
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -349,8 +358,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_search_fast(spark, SMOKE_DIR)
 
 
+def _shipped(query: Callable) -> Callable:
+    """Python workers import the package from where this file lies."""
+
+    def run(spark, sf_dir):
+        env = spark.sparkContext.environment
+        if _HERE not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [_HERE, env.get("PYTHONPATH", "")]))
+        return query(spark, sf_dir)
+
+    return run
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = dict(_llm.QUERIES) if _llm else {}
+    if _pipeline:
+        found["pipeline"] = _pipeline.run
+    return {name: _shipped(query) for name, query in found.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **_llm_queries(),
         "fragments": q_fragments,
         "token_positions": q_token_positions,
         "lexeme_postings": q_lexeme_postings,
@@ -392,6 +421,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **(_llm.ORACLE_SQL if _llm else {}),
+        **({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {}),
         "fragments": O.FRAGMENTS,
         "token_positions": O.TOKEN_POSITIONS,
         "lexeme_postings": O.LEXEME_POSTINGS,
