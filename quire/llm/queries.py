@@ -26,8 +26,15 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_codes": op4_token_codes,
+    "op6_near_dedup": op6_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -81,8 +81,9 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column into blocks of about ``limit`` bytes (one text at least)."""
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[Block]:
+    """Cut a string column into blocks of about ``limit`` bytes and at most ``rows``
+    texts (one text at least)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not pa.types.is_large_string(texts.type):
@@ -98,12 +99,12 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         sizes = np.where(np.asarray(texts.is_valid()), sizes, 0)
         if (np.diff(off) != sizes).any():  # a null slot may own bytes
             texts = texts.fill_null("")
-            yield from blocks(texts, limit)
+            yield from blocks(texts, limit, rows)
             return
     at = 0
     while at < n:
         end = int(np.searchsorted(off, off[at] + limit, side="right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, max(end, at + 1), at + rows)
         yield Block(at, raw[off[at] : off[end]], off[at : end + 1] - off[at])
         at = end
 
@@ -192,3 +193,27 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     first = np.zeros(len(sizes), np.int64)
     np.cumsum(sizes[:-1], out=first[1:])
     return np.arange(total) + np.repeat(starts - first, sizes)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of a sorted stream: the values of its first ``keys`` columns and the
+    rows that share them (a group may span batches)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for c in batch.columns[:keys]:
+            code = np.asarray(c.dictionary_encode().indices.fill_null(-1))
+            change[1:] |= code[1:] != code[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
