@@ -20,6 +20,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality_attention import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality_rules import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_codes import token_index
 
@@ -32,9 +45,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_attention": op1_quality_attention,
+    "op2_quality_rules": op2_quality_rules,
     "op4_token_codes": op4_token_codes,
     "op6_near_dedup": op6_near_dedup,
+    "op8_katz_scores": op8_katz_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
