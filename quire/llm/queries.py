@@ -39,6 +39,12 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import found_items
+
+    return found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.near_dedup import near_groups
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_quality_rules": op2_quality_rules,
     "op4_token_codes": op4_token_codes,
+    "op5_decontaminate": op5_decontaminate,
     "op6_near_dedup": op6_near_dedup,
     "op8_katz_scores": op8_katz_scores,
 }
