@@ -33,6 +33,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_codes import token_index
 
@@ -60,6 +66,7 @@ def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_token_codes": op4_token_codes,
     "op5_decontaminate": op5_decontaminate,
     "op6_near_dedup": op6_near_dedup,
