@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import oracles
 from quire.llm.shared import table
 
 
@@ -57,6 +58,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.katz import katz_scores
 
@@ -72,6 +79,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(given.unionByName(added))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_quality_rules": op2_quality_rules,
@@ -79,8 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_codes": op4_token_codes,
     "op5_decontaminate": op5_decontaminate,
     "op6_near_dedup": op6_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_katz_scores": op8_katz_scores,
     "op9_chat": op9_chat,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": oracles.LINE_DEDUP,
+    "op10_mixing": oracles.mixing("documents"),
+}
