@@ -58,6 +58,7 @@ Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
 Q_FAST_NOT = "with | !the"
 Q_MATCHES_NOT = "of <1> !the"
 Q_DISTANCE_OR = "(of | in) <2> the"
+Q_DISTANCE_NESTED = "(of | (of & in)) <1> the"
 
 
 def _index(spark: SparkSession, sf_dir: str, config: str = "simple") -> TextIndex:
@@ -127,6 +128,11 @@ def q_distance_or(spark, sf_dir):
     return spans.select(*_long("file_id", "sequence_no", "s", "e"))
 
 
+def q_distance_nested(spark, sf_dir):
+    _, _, spans, _ = _spans(spark, sf_dir, Q_DISTANCE_NESTED, "logical")
+    return spans.select(*_long("file_id", "sequence_no", "s", "e"))
+
+
 def q_matching_files(spark, sf_dir):
     _, _, _, frags = _spans(spark, sf_dir, Q_FILES, "logical")
     return frags.select(F.col("file_id").cast("long").alias("file_id")).distinct()
@@ -197,6 +203,11 @@ def q_file_matches(spark, sf_dir):
     return m.select(*_long("file_id", "sequence_no", "s"), "term")
 
 
+def q_file_matches_capped(spark, sf_dir):
+    m = file_matches(_index(spark, sf_dir), Q_MATCHES, "logical", limit=2)
+    return m.select(*_long("file_id", "sequence_no", "s"), "term")
+
+
 # --- presentation ------------------------------------------------------------
 def q_terms_ordered(spark, sf_dir):
     from quire.plans.render import file_terms
@@ -333,6 +344,29 @@ def q_index_stream(spark, sf_dir):
     )
 
 
+def q_index_stream_versions(spark, sf_dir):
+    """T9 with two versions of some books in one micro-batch: every document, then
+    those flagged low quality once more with their title line added."""
+    from quire.plans.index import TextIndex
+    from quire.sources.corpus import table
+    from quire.streaming.feed import start_index_feed
+
+    run = _shared_folder(spark, "quire-index-versions")
+    docs = table(spark, sf_dir, "documents")
+    docs.write.parquet(run + "/in/first")
+    flagged = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    later = docs.join(flagged, "doc_id", "left_semi")
+    later.withColumn("text", F.concat(F.substring_index("text", "\n", 1), F.lit("\n"), F.col("text"))).write.parquet(run + "/in/second")
+    q = start_index_feed(spark, run + "/in/*", run + "/index", run + "/checkpoint", max_tokens=FRAGMENT_TOKENS, buckets=STREAM_BUCKETS)
+    q.awaitTermination()
+    fr = TextIndex.load(spark, run + "/index", max_tokens=FRAGMENT_TOKENS).fragments
+    return fr.select(
+        *_long("file_id", "sequence_no"),
+        F.size("content_array").cast("long").alias("n_words"),
+        F.array_join("content_array", " ").alias("words"),
+    )
+
+
 # --- english configuration ---------------------------------------------------
 def q_english_vocabulary(spark, sf_dir):
     """T6 vocabulary job: every distinct simple lexeme with its english lexeme
@@ -389,6 +423,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "logical_not": _frags(Q_NOT),
         "word_distance": q_word_distance,
         "distance_or": q_distance_or,
+        "distance_nested": q_distance_nested,
         "matching_files": q_matching_files,
         "cover_density": q_cover_density,
         "top5_covers": q_top5_covers,
@@ -401,6 +436,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_contents": q_file_contents,
         "file_matches": q_file_matches,
         "file_matches_not": q_file_matches_not,
+        "file_matches_capped": q_file_matches_capped,
         "terms_ordered": q_terms_ordered,
         "highlight_results": q_highlight_results,
         "result_count": q_result_count,
@@ -414,6 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_upsert": q_index_upsert,
         "index_delete": q_index_delete,
         "index_stream": q_index_stream,
+        "index_stream_versions": q_index_stream_versions,
         "english_vocabulary": q_english_vocabulary,
         "search_english": q_search_english,
     }
@@ -432,6 +469,7 @@ def oracle_sql() -> dict[str, str]:
         "logical_not": O.LOGICAL_NOT,
         "word_distance": O.WORD_DISTANCE,
         "distance_or": O.DISTANCE_OR,
+        "distance_nested": O.DISTANCE_NESTED,
         "matching_files": O.MATCHING_FILES,
         "cover_density": O.COVER_DENSITY,
         "top5_covers": O.TOP5_COVERS,
@@ -444,6 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "file_contents": O.FILE_CONTENTS,
         "file_matches": O.FILE_MATCHES,
         "file_matches_not": O.FILE_MATCHES_NOT,
+        "file_matches_capped": O.FILE_MATCHES_CAPPED,
         "terms_ordered": O.TERMS_ORDERED,
         "highlight_results": O.HIGHLIGHT_RESULTS,
         "result_count": O.RESULT_COUNT,
@@ -457,6 +496,7 @@ def oracle_sql() -> dict[str, str]:
         "index_upsert": O.INDEX_UPSERT,
         "index_delete": O.INDEX_DELETE,
         "index_stream": O.INDEX_STREAM,
+        "index_stream_versions": O.INDEX_STREAM_VERSIONS,
         "english_vocabulary": O.ENGLISH_VOCABULARY,
         "search_english": O.SEARCH_ENGLISH,
     }

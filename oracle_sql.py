@@ -31,7 +31,7 @@ def base(max_tokens: int | None = FRAGMENT_TOKENS, files_sql: str = FILES) -> st
 files AS ({files_sql}),
 raw AS MATERIALIZED (
   SELECT file_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS i
-  FROM (SELECT file_id, regexp_extract_all(content, '\\S+') AS toks FROM files)),
+  FROM (SELECT file_id, regexp_extract_all(content, '[^ \\t\\n\\x0B\\f\\r]+') AS toks FROM files)),
 rawk AS (SELECT file_id, {k} AS k, i, tok FROM raw),
 tok AS MATERIALIZED (
   SELECT file_id,
@@ -74,10 +74,9 @@ SELECT lexeme, file_id, sequence_no, pos FROM post
 # phrase "of the": consecutive positions
 PHRASE_MATCH = with_base("""
 x AS (SELECT 1)
-SELECT a.file_id, a.sequence_no, a.pos AS s, b.pos AS e
-FROM post a JOIN post b
-  ON a.file_id = b.file_id AND a.sequence_no = b.sequence_no AND b.pos = a.pos + 1
-WHERE a.lexeme = 'of' AND b.lexeme = 'the'
+SELECT file_id, sequence_no, pos AS s, pos + 1 AS e
+FROM (SELECT *, lead(lexeme) OVER (PARTITION BY file_id, sequence_no ORDER BY pos) AS nxt FROM post)
+WHERE lexeme = 'of' AND nxt = 'the'
 """)
 
 
@@ -102,10 +101,9 @@ LOGICAL_NOT = frags_where(f"NOT {has('the')}")
 # "of <2> the": 'the' exactly two positions after 'of'
 WORD_DISTANCE = with_base("""
 x AS (SELECT 1)
-SELECT a.file_id, a.sequence_no, a.pos AS s, b.pos AS e
-FROM post a JOIN post b
-  ON a.file_id = b.file_id AND a.sequence_no = b.sequence_no AND b.pos = a.pos + 2
-WHERE a.lexeme = 'of' AND b.lexeme = 'the'
+SELECT file_id, sequence_no, pos AS s, pos + 2 AS e
+FROM (SELECT *, lead(lexeme, 2) OVER (PARTITION BY file_id, sequence_no ORDER BY pos) AS nxt FROM post)
+WHERE lexeme = 'of' AND nxt = 'the'
 """)
 
 # "(of <-> the) & !and": books with a fragment holding the phrase and no 'and'
@@ -348,8 +346,11 @@ mt AS (
 dt AS (SELECT DISTINCT file_id, term FROM mt WHERE term IS NOT NULL),
 tl AS (SELECT file_id, list(term ORDER BY length(term) DESC, term) AS terms FROM dt GROUP BY file_id)"""
 
-_Q = "'"
-_MARK = "<span class=" + _Q * 2 + "search-result" + _Q * 2 + ">"
+# The html of the presentation, as SQL string content ('' is one quote).
+_MARK = "<span class=''search-result''>"
+_DIV = "<div class=''chapter-title''>"
+_LINK = "<a class=''file-link'' href=''#file/"
+_LINK_CLOSE = "''>"
 
 
 def highlight_sql(terms: str, content: str) -> str:
@@ -380,7 +381,6 @@ SELECT file_id, {count_sql('html')} AS n_results FROM h
 
 JS_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CHAPTER = r"\n[Cc][Hh][Aa][Pp][Tt][Ee][Rr]" + JS_SPACE + r"[^\n]+"
-_DIV = "<div class=" + _Q * 2 + "chapter-title" + _Q * 2 + ">"
 
 
 def clean_sql(col: str) -> str:
@@ -405,11 +405,10 @@ h AS (SELECT file_id, CASE WHEN len(coalesce(terms, [])) > 0 THEN {highlight_sql
 SELECT file_id, html, {count_sql('html')} AS n_results FROM h
 """)
 
-_LINK = "<a class=" + _Q * 2 + "file-link" + _Q * 2 + " href=" + _Q * 2 + "#file/"
 LINK_HEADLINES = SEARCH_FAST.replace(
     "SELECT b.file_id, hl.headline, files.title, files.author",
     "SELECT b.file_id, replace(replace(hl.headline, '<b>', "
-    f"'{_LINK}' || CAST(b.file_id AS VARCHAR) || '{_Q * 2}>'), '</b>', '</a>') AS headline, files.title, files.author",
+    f"'{_LINK}' || CAST(b.file_id AS VARCHAR) || '{_LINK_CLOSE}'), '</b>', '</a>') AS headline, files.title, files.author",
 )
 
 # --- ingest (S4-S13, E6) ---------------------------------------------------------
@@ -689,8 +688,23 @@ FILE_MATCHES_NOT = _matches_sql("""
 # "(of | in) <2> the": spans from an 'of' or 'in' to a 'the' two positions later
 DISTANCE_OR = with_base("""
 x AS (SELECT 1)
-SELECT a.file_id, a.sequence_no, a.pos AS s, b.pos AS e
-FROM post a JOIN post b
-  ON a.file_id = b.file_id AND a.sequence_no = b.sequence_no AND b.pos = a.pos + 2
-WHERE a.lexeme IN ('of', 'in') AND b.lexeme = 'the'
+SELECT file_id, sequence_no, pos AS s, pos + 2 AS e
+FROM (SELECT *, lead(lexeme, 2) OVER (PARTITION BY file_id, sequence_no ORDER BY pos) AS nxt FROM post)
+WHERE lexeme IN ('of', 'in') AND nxt = 'the'
 """)
+
+# "(of | (of & in)) <1> the": each span once, though 'of' is an operand twice; an 'in'
+# counts in fragments that hold an 'of' as well
+DISTANCE_NESTED = with_base("""
+n AS (
+  SELECT *, lead(lexeme) OVER w AS nxt, bool_or(lexeme = 'of') OVER f AS has_of
+  FROM post WINDOW w AS (PARTITION BY file_id, sequence_no ORDER BY pos), f AS (PARTITION BY file_id, sequence_no))
+SELECT file_id, sequence_no, pos AS s, pos + 1 AS e FROM n
+WHERE nxt = 'the' AND (lexeme = 'of' OR (lexeme = 'in' AND has_of))
+""")
+
+# E5 with a cap of 2 matches per fragment
+FILE_MATCHES_CAPPED = FILE_MATCHES.replace("rn <= 50", "rn <= 2")
+
+# T9 with two versions of some books in one batch: the later one counts, as in an upsert
+INDEX_STREAM_VERSIONS = INDEX_UPSERT

@@ -64,11 +64,11 @@ def _node_spans(node, cs: DataFrame, q: Query) -> DataFrame:
     if isinstance(node, Chain):
         return cs.filter(F.col("cid") == q.chain_id(node)).select(*SPAN_COLS)
     if isinstance(node, Or):
-        return reduce(DataFrame.unionByName, [_node_spans(p, cs, q) for p in node.parts])
+        return reduce(DataFrame.unionByName, [_node_spans(p, cs, q) for p in node.parts]).distinct()
     if isinstance(node, And):
         spans = [_node_spans(p, cs, q) for p in node.parts]
         both = reduce(lambda a, b: a.join(b, KEYS, "left_semi"), [s.select(*KEYS) for s in spans])
-        return reduce(DataFrame.unionByName, spans).join(both.distinct(), KEYS, "left_semi")
+        return reduce(DataFrame.unionByName, spans).distinct().join(both.distinct(), KEYS, "left_semi")
     if isinstance(node, Follow):
         n = node.distance
         if isinstance(node.right, Not):
@@ -81,7 +81,9 @@ def _node_spans(node, cs: DataFrame, q: Query) -> DataFrame:
             return b.join(a, [*KEYS, "k"], "left_anti").select(*SPAN_COLS)
         a = _node_spans(node.left, cs, q).select(*KEYS, "s", (F.col("e") + n).alias("k"))
         b = _node_spans(node.right, cs, q).select(*KEYS, F.col("s").alias("k"), "e")
-        return a.join(b, [*KEYS, "k"]).select(*SPAN_COLS)
+        out = a.join(b, [*KEYS, "k"]).select(*SPAN_COLS)
+        # spans of one chain have one length, so only wider operands can meet twice
+        return out if isinstance(node.left, Chain) and isinstance(node.right, Chain) else out.distinct()
     raise ValueError(f"no span meaning for {node!r}")
 
 

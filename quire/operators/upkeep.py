@@ -23,12 +23,14 @@ from quire.session import require_checkpoint_dir
 
 
 def latest_versions(changes: DataFrame, order_col: str | None) -> DataFrame:
-    """One row per ``file_id``: the newest by ``order_col`` (two versions of one
-    book in the same batch)."""
+    """One row per ``file_id``: the newest by ``order_col``. Without an order two
+    versions of one book cannot be told apart, so a second one fails the job."""
+    book = Window.partitionBy("file_id")
     if order_col is None:
-        return changes
-    w = Window.partitionBy("file_id").orderBy(F.col(order_col).desc())
-    return changes.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
+        twice = F.raise_error(F.concat(F.lit("two versions of one book and no order_col: file_id "), F.col("file_id").cast("string")))
+        x = changes.withColumn("_v", F.count("*").over(book))
+        return x.withColumn("file_id", F.when(F.col("_v") > 1, twice.cast("long")).otherwise(F.col("file_id"))).drop("_v")
+    return changes.withColumn("_v", F.row_number().over(book.orderBy(F.col(order_col).desc()))).filter("_v = 1").drop("_v")
 
 
 def upsert(index: TextIndex, changes: DataFrame, order_col: str | None = None) -> TextIndex:

@@ -4,7 +4,7 @@
   per book: ``ts_fast_headline`` (covers within fragments), ``ts_headline`` and
   ``ts_semantic_headline`` (covers over whole books, served from the index).
 * ``file_contents`` - one book (or all).
-* ``file_matches`` - matched passages of one book (or all), at most 50 per fragment.
+* ``file_matches`` - matched passages of one book (or all), at most ``limit`` per fragment.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from quire.operators.headline import (
 )
 from quire.operators.match import KEYS, atom_spans, cover_rows, matching_fragments, with_truth
 from quire.operators.query import And, Chain, Follow, Not, Or, Query, compile_query
-from quire.plans.index import BOOK_FIELDS, PRUNE_MIN_BYTES, TextIndex
+from quire.plans.index import BOOK_FIELDS, TextIndex
 
 STRATEGIES = ("ts_headline", "ts_semantic_headline", "ts_fast_headline")
-# Fixed value: matches listed per fragment.
+# Default number of matches listed per fragment (an argument of the call).
 MATCHES_PER_FRAGMENT = 50
 
 FAST_SCHEMA = "file_id long, headline string, title string, author string"
@@ -104,7 +104,7 @@ def _with_pieces(
     return x.withColumn("piece", render_runs(tokens))
 
 
-def search_fast(index: TextIndex, query: str, mode: str = "logical", prune_bytes: int = PRUNE_MIN_BYTES) -> DataFrame:
+def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFrame:
     """``file_id, headline, title, author``; headline = up to 5 best covers
     over pre-computed fragments, joined by ' ... ' (best last).
 
@@ -121,7 +121,7 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical", prune_bytes
     rows = cover_rows(spans, q, index.universe())
     meta = ["title", "author"] if index.book_fields_on_fragments else []
     top = top_covers(rows)
-    top = index.join_fragments(top, ["content_array", *meta], frags=index.fragments_of(top, prune_bytes))
+    top = index.join_fragments(top, ["content_array", *meta])
     top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
     heads = top.groupBy("file_id", *meta).agg(join_pieces(piece, -F.col("rn")).alias("headline"))
@@ -130,9 +130,7 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical", prune_bytes
     return heads.select("file_id", "headline", "title", "author")
 
 
-def search_full(
-    index: TextIndex, query: str, mode: str = "logical", semantic: bool = False, prune_bytes: int = PRUNE_MIN_BYTES
-) -> DataFrame:
+def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: bool = False) -> DataFrame:
     """``file_id, filename, title, author, headline`` for books with a
     matching fragment; the headline is cut from the whole book.
 
@@ -171,7 +169,7 @@ def search_full(
     # tokens of positions _lo.._hi from the fragments that overlap them (with the
     # book fields, when fragments carry them)
     meta = list(BOOK_FIELDS) if index.book_fields_on_fragments else []
-    f = index.fragments_of(books, prune_bytes).select(
+    f = index.fragment_rows().select(
         F.col("file_id").alias("_f"), "sequence_no", "word_offset", "n_words", "content_array", *meta
     )
     pairs = rows.join(
@@ -222,8 +220,10 @@ def file_contents(index: TextIndex, file_id: int | None = None) -> DataFrame:
     return index.file_rows(int(file_id)).select(*cols)
 
 
-def file_matches(index: TextIndex, query: str, mode: str = "logical", file_id: int | None = None) -> DataFrame:
-    """E5: matched passages as ``term``, first 50 per fragment by position.
+def file_matches(
+    index: TextIndex, query: str, mode: str = "logical", file_id: int | None = None, limit: int = MATCHES_PER_FRAGMENT
+) -> DataFrame:
+    """E5: matched passages as ``term``, the first ``limit`` per fragment by position.
 
     With ``file_id=None`` every book is searched and ``file_id, sequence_no, s``
     are kept with the term.
@@ -236,7 +236,7 @@ def file_matches(index: TextIndex, query: str, mode: str = "logical", file_id: i
     spans, _ = match(index, q, fid)
     spans = spans.filter(F.col("atom").isin(_positive_ids(q))).select(*KEYS, "s", "e").distinct()
     w = Window.partitionBy(*KEYS).orderBy("s", "e")
-    spans = spans.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MATCHES_PER_FRAGMENT)
+    spans = spans.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(limit))
     out = index.join_fragments(spans, ["content_array"], fid).select(
         *KEYS,
         "s",

@@ -3,12 +3,14 @@ assign file ids.
 
 Reading is ``spark.read.text(wholetext=True)`` (one row per file, split by the
 file source); parsing is ``regexp_extract`` with a per-row pattern built from
-the parsed title. Nothing is collected: only the reject list of a strict load
-is looked at on the driver, and only a bounded sample of its names.
+the parsed title. Nothing is collected: the rejects of a strict load are a table
+in the shared folder, of which the driver sees the count and the first name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ BODY_ALL = (
 TXT_NAME = ".txt"  # matched as a regex: '.' is any character
 WORD_SPLIT = r"\s"
 DEFAULT_CHUNK_WORDS = 8000
-REJECT_SAMPLE = 20
 
 BOOK_SCHEMA = "filename string, title string, author string, content string"
 
@@ -114,7 +115,8 @@ def parse_books(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFr
 
     Returns ``(books, rejects)``: books ``(filename, title, author, content)`` with
     the base file name; rejects ``(path, reason)`` lack a title, an author or a
-    body. ``strict=True`` raises ValueError naming rejected files instead.
+    body. ``strict=True`` raises ValueError if there are any; the error names the
+    table (in the shared folder) that lists every rejected file.
     """
     title, author, body = parse_strict_columns(F.col("value"))
     parsed = raw.select(
@@ -130,10 +132,14 @@ def parse_books(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFr
     )
     rejects = parsed.filter(~ok).select("path", reason.alias("reason"))
     if strict:
-        bad = rejects.limit(REJECT_SAMPLE).collect()
-        if bad:
-            names = ", ".join(f"{r.path} ({r.reason})" for r in bad)
-            raise ValueError(f"cannot parse book file(s): {names}")
+        from quire.session import require_checkpoint_dir
+
+        listed = f"{require_checkpoint_dir(raw.sparkSession)}/quire-rejects-{uuid.uuid4().hex}"
+        rejects.write.parquet(listed)
+        told = raw.sparkSession.read.schema(rejects.schema).parquet(listed)
+        n, first = told.agg(F.count("*"), F.min("path")).first()
+        if n:
+            raise ValueError(f"cannot parse {n} book file(s), the first is {first}; all are listed in {listed}")
     return books, rejects
 
 

@@ -1,7 +1,8 @@
 """Keep a written index current as book rows arrive (Structured Streaming).
 
 A file source (Parquet rows of ``documents`` by default) feeds
-``foreachBatch``; each micro-batch keeps the newest version of every book,
+``foreachBatch``; each micro-batch keeps the newest version of every book (by
+``order_col``, else by file modification time, path and row in the file),
 then rewrites only the index buckets its books fall in (``apply_changes``).
 A batch replayed after a failure rewrites the same buckets with the same rows,
 so the sink is idempotent and the checkpoint gives exactly-once results.
@@ -20,6 +21,8 @@ from quire.plans.index import DEFAULT_BUCKETS, TextIndex
 from quire.sources.books import file_path
 from quire.sources.corpus import files_from_documents
 
+# Columns that say which of two versions in a batch arrived later.
+ARRIVAL = ("_arrived", "_from", "_row")
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -33,16 +36,18 @@ def upsert_batches(
     buckets: int | None = None,
 ):
     """``foreachBatch`` function: upsert each micro-batch into the index at
-    ``index_path``; with ``order_col`` the newest row per ``key_col`` wins."""
+    ``index_path``; the newest row per ``key_col`` wins, by ``order_col`` or by
+    where the row came from (``ARRIVAL``)."""
     from quire.functions.text import DEFAULT_MAX_TOKENS
 
     tokens = DEFAULT_MAX_TOKENS if max_tokens is None else max_tokens
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if order_col is not None:
-            w = Window.partitionBy(key_col).orderBy(F.col(order_col).desc())
-            batch = batch.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
+        newest = [order_col] if order_col is not None else [c for c in ARRIVAL if c in batch.columns]
+        if newest:
+            w = Window.partitionBy(key_col).orderBy(*[F.col(c).desc() for c in newest])
+            batch = batch.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v", *ARRIVAL)
         if not TextIndex.exists(spark, index_path):
             TextIndex.create_empty(spark, index_path, config, tokens, buckets or DEFAULT_BUCKETS)
         index = TextIndex.load(spark, index_path, config, tokens)
@@ -73,6 +78,9 @@ def start_index_feed(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source)
+    if order_col is None:
+        row = F.col("_metadata.row_index") if fmt == "parquet" else F.lit(0)
+        stream = stream.select("*", F.col("_metadata.file_modification_time").alias("_arrived"), F.col("_metadata.file_path").alias("_from"), row.alias("_row"))
     run = upsert_batches(index_path, to_files, order_col, config, max_tokens, buckets=buckets)
     writer = stream.writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)

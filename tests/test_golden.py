@@ -199,25 +199,44 @@ def test_attach_tables_in_a_fresh_catalog(spark, tmpdir_path):
     del first
 
 
-def test_pruned_fragment_reads_same_results(spark, tmpdir_path):
-    """The two-step read (result book ids first, then fragments by IN list) that
-    large indexes use gives the same answers (forced here with prune_bytes=0)."""
+def test_layouts_agree_and_planning_runs_no_job(spark, tmpdir_path):
+    """One lazy plan at every size: building a search runs nothing."""
     from quire.plans.search import search_fast, search_full
     from quire.sources.corpus import corpus_files
 
     lazy = TextIndex.build(corpus_files(spark, "/root/testdata/sf0.001"), 60)
     layouts = [lazy.write(tmpdir_path + "/p"), lazy.write_tables("prune_t", buckets=4, path=tmpdir_path + "/t")]
+    sc = spark.sparkContext
     for text in ["(of <-> the) | (was & with)", "with | !the"]:
         want = sorted(tuple(r) for r in search_fast(lazy, text).collect())
         want_full = sorted(tuple(r) for r in search_full(lazy, text, semantic=True).collect())
         for idx in layouts:
-            assert sorted(tuple(r) for r in search_fast(idx, text, prune_bytes=0).collect()) == want
-            got = sorted(tuple(r) for r in search_full(idx, text, semantic=True, prune_bytes=0).collect())
-            assert got == want_full
-        plan = search_fast(layouts[1], text, prune_bytes=0)._jdf.queryExecution().explainString(
-            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        )
-        assert "SelectedBucketsCount" in plan
+            group = f"plan-{idx.co_partitioned}-{len(text)}"
+            sc.setJobGroup(group, "planning only")
+            fast, full = search_fast(idx, text), search_full(idx, text, semantic=True)
+            assert list(sc.statusTracker().getJobIdsForGroup(group)) == []
+            sc.setJobGroup("run", "")
+            assert sorted(tuple(r) for r in fast.collect()) == want
+            assert sorted(tuple(r) for r in full.collect()) == want_full
+
+
+def test_blanks_are_the_same_for_text_and_query(spark):
+    nb = "of\u00a0the"  # a no-break space parts no words, on either side
+    files = spark.createDataFrame([(1, "f", "t", "a", f"one {nb} two"), (2, "g", "t", "a", "one of the two")], "file_id long, filename string, title string, author string, content string")
+    idx = TextIndex.build(files, 60)
+    for text, mode, found in [(nb, "phrase", [1]), (nb, "logical", [1]), ("of the", "phrase", [2]), (f"one <1> {nb}", "logical", [1])]:
+        assert [r.file_id for r in search_files(idx, text, mode).collect()] == found
+
+
+def test_spans_of_or_in_a_distance_come_once(spark):
+    from quire.operators.query import compile_query
+    from quire.plans.search import match
+
+    files = spark.createDataFrame([(1, "f", "t", "a", "a b c a b")], "file_id long, filename string, title string, author string, content string")
+    idx = TextIndex.build(files, 60)
+    for text in ["(a | a) <1> b", "((a & b) | a) <1> b", "((a | a) & b) <1> b"]:
+        spans, _ = match(idx, compile_query(spark, text, "logical"))
+        assert sorted((r.s, r.e) for r in spans.collect()) == [(1, 2), (4, 5)]
 
 
 def test_single_book_reads_one_bucket(spark, tmpdir_path):
