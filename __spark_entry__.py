@@ -208,6 +208,27 @@ def q_file_matches_capped(spark, sf_dir):
     return m.select(*_long("file_id", "sequence_no", "s"), "term")
 
 
+def _one_book(spark, sf_dir) -> int:
+    """The English book of the smallest id."""
+    from quire.sources.corpus import table
+
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").agg(F.min("doc_id")).first()[0]
+
+
+def q_file_contents_one(spark, sf_dir):
+    return file_contents(_index(spark, sf_dir), _one_book(spark, sf_dir))
+
+
+def q_file_matches_one(spark, sf_dir):
+    return file_matches(_index(spark, sf_dir), Q_MATCHES, "logical", _one_book(spark, sf_dir))
+
+
+def q_render_file_one(spark, sf_dir):
+    from quire.plans.render import render_file
+
+    return render_file(_index(spark, sf_dir), Q_MATCHES, "logical", _one_book(spark, sf_dir))
+
+
 # --- presentation ------------------------------------------------------------
 def q_terms_ordered(spark, sf_dir):
     from quire.plans.render import file_terms
@@ -238,7 +259,9 @@ def q_clean_content(spark, sf_dir):
     from quire.functions.present import clean_content
 
     files = corpus_files(spark, sf_dir)
-    body = F.concat(F.lit("Title: "), F.col("title"), F.lit("\r\n\r\n"), F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")))
+    chapter = F.concat(F.lit("\r\nChapter 7: "), F.col("title"), F.lit("\r\nCHAPTER\r\n"))
+    chapter = F.when(F.col("file_id") % 11 == 1, chapter).otherwise(F.lit(""))
+    body = F.concat(F.lit("Title: "), F.col("title"), F.lit("\r\n\r\n"), F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")), chapter)
     return files.select("file_id", clean_content(body).alias("html"))
 
 
@@ -272,6 +295,13 @@ def q_parse_books_strict(spark, sf_dir):
     return books
 
 
+def q_parse_books_rejects(spark, sf_dir):
+    from quire.sources.books import parse_books
+
+    _, rejects = parse_books(_raw_books(spark, sf_dir))
+    return rejects
+
+
 def q_parse_books_all(spark, sf_dir):
     from quire.sources.books import parse_books_all
 
@@ -281,7 +311,7 @@ def q_parse_books_all(spark, sf_dir):
 def q_word_chunks(spark, sf_dir):
     from quire.sources.books import word_chunks
 
-    return word_chunks(q_parse_books_strict(spark, sf_dir), CHUNK_WORDS)
+    return word_chunks(q_parse_books_all(spark, sf_dir), CHUNK_WORDS)
 
 
 def q_ingest_files(spark, sf_dir):
@@ -291,6 +321,28 @@ def q_ingest_files(spark, sf_dir):
     return files
 
 
+def q_ingest_index(spark, sf_dir):
+    """Raw books -> written files, fragments and postings; the postings."""
+    idx, _ = TextIndex.ingest(_raw_books(spark, sf_dir), _shared_folder(spark, "quire-ingest"), max_tokens=FRAGMENT_TOKENS, buckets=STREAM_BUCKETS)
+    return idx.postings.select("lexeme", *_long("file_id", "sequence_no", "pos"))
+
+
+def q_txt_names(spark, sf_dir):
+    """S3 over names that end in different ways."""
+    from quire.sources.books import txt_like
+    from quire.sources.corpus import table
+
+    part = lambda *x: F.concat(F.col("source"), *x)
+    doc, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    name = (
+        F.when(kind == 0, part(F.lit("/"), doc, F.lit(".txt")))
+        .when(kind == 1, part(F.lit("/"), doc, F.lit(".md")))
+        .when(kind == 2, part(F.lit("/"), doc, F.lit("_txt.old")))
+        .otherwise(part(F.lit("/txt"), doc))
+    )
+    return table(spark, sf_dir, "documents").select(name.alias("name")).filter(txt_like(F.col("name")))
+
+
 # --- upkeep ------------------------------------------------------------------
 def q_index_upsert(spark, sf_dir):
     """Books flagged low quality in ``labels`` are re-cleaned (title line added
@@ -322,6 +374,18 @@ def q_index_delete(spark, sf_dir):
     return fr.select(*_long("file_id", "sequence_no"), F.size("content_array").cast("long").alias("n_words"))
 
 
+def q_corpus_emptied(spark, sf_dir):
+    """S11 through T10: every book deleted, its fragments with it."""
+    from quire.operators.upkeep import delete
+
+    idx = _index(spark, sf_dir)
+    left = delete(idx, idx.files.select("file_id"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    rows = count(left.files, "n_files").withColumn("n_fragments", F.lit(0).cast("long"))
+    more = count(left.fragments, "n_fragments").withColumn("n_files", F.lit(0).cast("long"))
+    return rows.unionByName(more).agg(F.sum("n_files").alias("n_files"), F.sum("n_fragments").alias("n_fragments"))
+
+
 def q_index_stream(spark, sf_dir):
     """The documents table arrives as a file stream; every micro-batch is
     upserted into a written index under the shared checkpoint folder."""
@@ -437,6 +501,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_matches": q_file_matches,
         "file_matches_not": q_file_matches_not,
         "file_matches_capped": q_file_matches_capped,
+        "file_contents_one": q_file_contents_one,
+        "file_matches_one": q_file_matches_one,
+        "render_file_one": q_render_file_one,
         "terms_ordered": q_terms_ordered,
         "highlight_results": q_highlight_results,
         "result_count": q_result_count,
@@ -445,6 +512,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "link_headlines": q_link_headlines,
         "parse_books_strict": q_parse_books_strict,
         "parse_books_all": q_parse_books_all,
+        "parse_books_rejects": q_parse_books_rejects,
+        "txt_names": q_txt_names,
+        "ingest_index": q_ingest_index,
+        "corpus_emptied": q_corpus_emptied,
         "word_chunks": q_word_chunks,
         "ingest_files": q_ingest_files,
         "index_upsert": q_index_upsert,
@@ -483,6 +554,9 @@ def oracle_sql() -> dict[str, str]:
         "file_matches": O.FILE_MATCHES,
         "file_matches_not": O.FILE_MATCHES_NOT,
         "file_matches_capped": O.FILE_MATCHES_CAPPED,
+        "file_contents_one": O.FILE_CONTENTS_ONE,
+        "file_matches_one": O.FILE_MATCHES_ONE,
+        "render_file_one": O.RENDER_FILE_ONE,
         "terms_ordered": O.TERMS_ORDERED,
         "highlight_results": O.HIGHLIGHT_RESULTS,
         "result_count": O.RESULT_COUNT,
@@ -491,6 +565,10 @@ def oracle_sql() -> dict[str, str]:
         "link_headlines": O.LINK_HEADLINES,
         "parse_books_strict": O.PARSE_BOOKS_STRICT,
         "parse_books_all": O.PARSE_BOOKS_ALL,
+        "parse_books_rejects": O.PARSE_BOOKS_REJECTS,
+        "txt_names": O.TXT_NAMES,
+        "ingest_index": O.INGEST_INDEX,
+        "corpus_emptied": O.CORPUS_EMPTIED,
         "word_chunks": O.WORD_CHUNKS,
         "ingest_files": O.INGEST_FILES,
         "index_upsert": O.INDEX_UPSERT,

@@ -391,7 +391,8 @@ def clean_sql(col: str) -> str:
 
 
 CRLF = "chr(13) || chr(10)"
-CRLF_BODY = f"'Title: ' || title || {CRLF} || {CRLF} || replace(content, chr(10), {CRLF})"
+CHAPTER_LINE = f"CASE WHEN file_id % 11 = 1 THEN {CRLF} || 'Chapter 7: ' || title || {CRLF} || 'CHAPTER' || {CRLF} ELSE '' END"
+CRLF_BODY = f"'Title: ' || title || {CRLF} || {CRLF} || replace(content, chr(10), {CRLF}) || {CHAPTER_LINE}"
 
 CLEAN_CONTENT = with_base(f"""
 x AS (SELECT 1)
@@ -415,10 +416,14 @@ LINK_HEADLINES = SEARCH_FAST.replace(
 RAW_BOOKS = f"""
 rb AS (
   SELECT file_id, filename AS path,
-         'Title: ' || title || {CRLF} || 'Author: ' || author || {CRLF} || {CRLF}
+         'Title: ' || title || {CRLF}
+         || CASE WHEN file_id % 11 = 5 THEN 'Title: Another ' || title || {CRLF} ELSE '' END
+         || CASE WHEN file_id % 11 <> 7 THEN 'Author: ' || author || {CRLF} ELSE '' END
+         || CASE WHEN file_id % 11 = 3 THEN 'Author: Also ' || author || {CRLF} ELSE '' END || {CRLF}
          || '*** START OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF}
          || replace(content, chr(10), {CRLF}) || {CRLF}
-         || '*** END OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF} AS value
+         || '*** END OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF}
+         || CASE WHEN file_id % 11 = 9 AND NOT contains(title, 'ß') THEN {CRLF} || '*** END OF THE PROJECT GUTENBERG EBOOK ' || upper(title) || ' ***' || {CRLF} ELSE '' END AS value
   FROM files),
 pt AS (
   SELECT path, value,
@@ -426,7 +431,7 @@ pt AS (
          nullif(regexp_extract(value, 'Author: ([^\\r\\n]+)[\\r\\n]', 1), '') AS author
   FROM rb),
 pb AS (
-  SELECT string_split(path, '/')[-1] AS filename, title, author,
+  SELECT path, string_split(path, '/')[-1] AS filename, title, author,
          nullif(regexp_extract(value,
            '(?s)\\*\\*\\* START OF THE PROJECT GUTENBERG EBOOK \\Q' || upper(title)
            || '\\E \\*\\*\\*(.+)\\*\\*\\* END OF THE PROJECT GUTENBERG EBOOK \\Q'
@@ -438,7 +443,12 @@ PARSE_BOOKS_STRICT = with_base(RAW_BOOKS + """
 SELECT filename, title, author, content FROM books
 """)
 
-PARSE_BOOKS_ALL = with_base(RAW_BOOKS + """
+PARSE_BOOKS_REJECTS = with_base(RAW_BOOKS + """
+SELECT path, CASE WHEN title IS NULL THEN 'no title' WHEN author IS NULL THEN 'no author' ELSE 'no body' END AS reason
+FROM pb WHERE title IS NULL OR author IS NULL OR content IS NULL
+""")
+
+_BOOKS_ALL = """
 SELECT rb.path AS filename, t.title, a.author, c.content
 FROM rb,
      unnest(regexp_extract_all(rb.value, 'Title: ([^\\r]+)', 1)) AS t(title),
@@ -446,16 +456,20 @@ FROM rb,
      unnest(regexp_extract_all(rb.value,
        '\\*\\*\\* START OF THE PROJECT GUTENBERG EBOOK [^\\r]+\\r([\\w|\\W]+)\\*\\*\\* END OF THE PROJECT GUTENBERG EBOOK',
        1)) AS c(content)
-""")
+"""
+PARSE_BOOKS_ALL = with_base(RAW_BOOKS + _BOOKS_ALL)
 
 CHUNK_WORDS = 1000
 WORD_CHUNKS = with_base(RAW_BOOKS + f""",
-ws AS (SELECT filename, title, author, string_split_regex(content, '\\s') AS w FROM books),
-wn AS (SELECT filename, title, author, unnest(w) AS word, unnest(generate_series(1, len(w))) AS wordno FROM ws),
+allb AS ({_BOOKS_ALL}),
+ws AS (SELECT filename, title, author, content, string_split_regex(content, '\\s') AS w FROM allb),
+wi AS (SELECT filename, title, author, content, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM ws),
+wn AS (SELECT filename, title, author, word,
+              row_number() OVER (PARTITION BY filename ORDER BY title, author, content, i) AS wordno FROM wi),
 ch AS (SELECT filename, title, max(author) AS author, wordno // {CHUNK_WORDS} AS chunk,
               string_agg(word, ' ' ORDER BY wordno) AS content
        FROM wn GROUP BY filename, title, wordno // {CHUNK_WORDS})
-SELECT CAST(row_number() OVER (PARTITION BY filename ORDER BY chunk) AS BIGINT) AS seq_no,
+SELECT CAST(row_number() OVER (PARTITION BY filename ORDER BY title, chunk) AS BIGINT) AS seq_no,
        filename, title, author, content
 FROM ch
 """)
@@ -464,6 +478,33 @@ INGEST_FILES = with_base(RAW_BOOKS + """
 SELECT CAST(row_number() OVER (ORDER BY filename) AS BIGINT) AS file_id, filename, title, author, content FROM books
 """)
 
+# The postings of the ingested books
+INGEST_INDEX = with_base("""
+x AS (SELECT 1)
+SELECT lexeme, file_id, sequence_no, pos FROM post
+""", files_sql=INGEST_FILES)
+
+# S3: every other name ends in another way; '.' is any character
+TXT_NAMES = """
+SELECT name FROM (
+  SELECT CASE doc_id % 4 WHEN 0 THEN source || '/' || doc_id || '.txt' WHEN 1 THEN source || '/' || doc_id || '.md'
+                         WHEN 2 THEN source || '/' || doc_id || '_txt.old' ELSE source || '/txt' || doc_id END AS name
+  FROM documents)
+WHERE regexp_matches(name, '.txt')
+"""
+
+# Nothing is left
+CORPUS_EMPTIED = "SELECT (count(*) - count(*))::BIGINT AS n_files, 0::BIGINT AS n_fragments FROM documents"
+
+# single-book forms: the English book of the smallest id
+_ONE = "(SELECT min(doc_id) FROM documents WHERE lang = 'en')"
+FILE_CONTENTS_ONE = with_base(f"""
+x AS (SELECT 1)
+SELECT filename, title, author, content FROM files WHERE file_id = {_ONE}
+""")
+FILE_MATCHES_ONE = f"SELECT term FROM ({FILE_MATCHES}) WHERE file_id = {_ONE}"
+RENDER_FILE_ONE = f"SELECT * FROM ({RENDER_FILE}) WHERE file_id = {_ONE}"
+
 # --- upkeep (T8, T10) --------------------------------------------------------------
 UPDATED_FILES = """
   SELECT f.file_id, f.filename, f.title, f.author,

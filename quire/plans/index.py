@@ -273,6 +273,18 @@ class TextIndex:
         self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
         return TextIndex.load(self.spark, path)
 
+    @classmethod
+    def ingest(
+        cls, raw: DataFrame, path: str, config: str = "simple", max_tokens: int | None = DEFAULT_MAX_TOKENS,
+        buckets: int = DEFAULT_BUCKETS, strict: bool = False,
+    ) -> tuple["TextIndex", DataFrame]:
+        """Raw book files ``(path, value)`` -> the written ``files``, ``fragments``
+        and ``postings`` under ``path``, plus the rejects."""
+        from quire.sources.books import ingest
+
+        files, rejects = ingest(raw, strict=strict)
+        return cls.build(files, max_tokens, config).write(path, buckets=buckets), rejects
+
     @classmethod
     def create_empty(
         cls,

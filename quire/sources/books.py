@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values: book file layout (header lines and body markers) ---
@@ -110,39 +110,53 @@ def parse_strict_columns(value: Column) -> tuple[Column, Column, Column]:
     return title, author, body
 
 
-def parse_books(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S5 strict parser over ``raw(path, value)``.
-
-    Returns ``(books, rejects)``: books ``(filename, title, author, content)`` with
-    the base file name; rejects ``(path, reason)`` lack a title, an author or a
-    body. ``strict=True`` raises ValueError if there are any; the error names the
-    table (in the shared folder) that lists every rejected file.
-    """
+def parsed_books(raw: DataFrame) -> DataFrame:
+    """S5 over ``raw(path, value)``: path, base file name, title, author, content and
+    ``reason`` (null for a book; else what is missing)."""
     title, author, body = parse_strict_columns(F.col("value"))
     parsed = raw.select(
         "path", base_name(F.col("path")).alias("filename"), title.alias("title"), author.alias("author"),
         body.alias("content"),
     )
-    ok = F.col("title").isNotNull() & F.col("author").isNotNull() & F.col("content").isNotNull()
-    books = parsed.filter(ok).select("filename", "title", "author", "content")
     reason = (
         F.when(F.col("title").isNull(), F.lit("no title"))
         .when(F.col("author").isNull(), F.lit("no author"))
-        .otherwise(F.lit("no body"))
+        .when(F.col("content").isNull(), F.lit("no body"))
     )
-    rejects = parsed.filter(~ok).select("path", reason.alias("reason"))
-    if strict:
-        from quire.session import require_checkpoint_dir
+    return parsed.withColumn("reason", reason)
+
 
-        listed = f"{require_checkpoint_dir(raw.sparkSession)}/quire-rejects-{uuid.uuid4().hex}"
+def split_parsed(parsed: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(books, rejects)`` of ``parsed_books`` rows. ``strict=True`` raises ValueError
+    if there are rejects; the error names the table (in the shared folder) that lists
+    every rejected file."""
+    books = parsed.filter("reason is null").select("filename", "title", "author", "content")
+    rejects = parsed.filter("reason is not null").select("path", "reason")
+    if strict:
+        listed = shared_path(parsed.sparkSession, "quire-rejects")
         rejects.write.parquet(listed)
-        told = raw.sparkSession.read.schema(rejects.schema).parquet(listed)
+        told = parsed.sparkSession.read.schema(rejects.schema).parquet(listed)
         n, first = told.agg(F.count("*"), F.min("path")).first()
         if n:
             raise ValueError(f"cannot parse {n} book file(s), the first is {first}; all are listed in {listed}")
     return books, rejects
 
 
+def parse_books(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S5 strict parser over ``raw(path, value)`` (lazy).
+
+    Returns ``(books, rejects)``: books ``(filename, title, author, content)`` with
+    the base file name; rejects ``(path, reason)`` lack a title, an author or a body.
+    """
+    return split_parsed(parsed_books(raw), strict)
+
+
+def shared_path(spark: SparkSession, prefix: str) -> str:
+    from quire.session import require_checkpoint_dir
+
+    return f"{require_checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
 def parse_books_all(raw: DataFrame) -> DataFrame:
     """S6 set-based parser: every title x every author x every body of a file
     (full path as ``filename``); a file missing any part gives no row."""
@@ -161,34 +175,43 @@ def parse_books_all(raw: DataFrame) -> DataFrame:
 
 def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS) -> DataFrame:
     """Split each body on every single blank (empty words kept), number
-    the words from 1 per book, cut at ``wordno / size`` (so the first chunk
-    holds ``size - 1`` words), join by one blank and number the chunks.
+    the words of a file from 1 (its rows in order of title, author and content), group
+    by title and ``wordno / size`` (so the first chunk holds ``size - 1`` words), join
+    by one blank, take the largest author and number the chunks per file.
 
-    ``(seq_no, filename, title, author, content)``; narrow per book, no shuffle.
+    ``(seq_no, filename, title, author, content)``; one shuffle, by file name: no group
+    is larger than a chunk, and only a file's own rows meet.
     """
     n = int(size)
     if n < 1:
         raise ValueError("size must be positive")
     # the split is materialized once: used inside the per-chunk lambda as an
     # expression it would be recomputed for every chunk
-    books = books.select("filename", "title", "author", F.split(F.col("content"), WORD_SPLIT, -1).alias("_w"))
-    words = F.col("_w")
-    last = F.floor(F.size(words) / n).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.when(k == 0, F.slice(words, 1, n - 1) if n > 1 else F.array().cast("array<string>")).otherwise(
-            F.slice(words, k * n, n)
-        ),
-    )
-    kept = F.filter(chunks, lambda c: F.size(c) > 0)
-    x = books.select("filename", "title", "author", F.posexplode_outer(kept).alias("i", "chunk"))
-    x = x.filter(F.col("chunk").isNotNull())  # (outer: no inferred filter re-splitting the book)
-    return x.select(
-        (F.col("i") + 1).cast("long").alias("seq_no"),
+    rows = books.select("filename", "title", "author", "content", F.split(F.col("content"), WORD_SPLIT, -1).alias("_w"))
+    in_order = Window.partitionBy("filename").orderBy("title", "author", "content")
+    before = F.coalesce(F.sum(F.size("_w")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_o", before.cast("int")).drop("content")
+    words, offset = F.col("_w"), F.col("_o")
+    first, last = F.floor((offset + 1) / n).cast("int"), F.floor((offset + F.size(words)) / n).cast("int")
+
+    def cut(k: Column) -> Column:
+        """Words ``max(k n, offset + 1) .. min(k n + n - 1, offset + size)`` of the file."""
+        start = F.greatest(k * n - offset, F.lit(1))
+        end = F.least(k * n + n - 1 - offset, F.size(words))
+        return F.struct(k.alias("k"), (offset + start).alias("at"), F.slice(words, start, end - start + 1).alias("w"))
+
+    # (outer: no inferred filter re-splitting the book)
+    cuts = rows.select("filename", "title", "author", F.explode_outer(F.transform(F.sequence(first, last), cut)).alias("c"))
+    cuts = cuts.filter(F.col("c").isNotNull() & (F.size("c.w") > 0)).select("filename", "title", "author", "c.k", "c.at", "c.w")
+    parts = F.array_sort(F.collect_list(F.struct("at", "w")))
+    chunks = cuts.groupBy("filename", "title", "k").agg(F.max("author").alias("author"), parts.alias("_p"))
+    numbered = Window.partitionBy("filename").orderBy("title", "k")
+    return chunks.select(
+        F.row_number().over(numbered).cast("long").alias("seq_no"),
         "filename",
         "title",
         "author",
-        F.array_join("chunk", " ").alias("content"),
+        F.array_join(F.flatten(F.transform("_p", lambda p: p["w"])), " ").alias("content"),
     )
 
 
@@ -208,8 +231,6 @@ def consecutive_ids(keys: DataFrame, key: str, start: Column | int = 0, name: st
     require_checkpoint_dir(spark)
     ranked = ranked.checkpoint(eager=True)
     sizes = ranked.groupBy("_part").agg(F.max("_local").alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     start_col = start if isinstance(start, Column) else F.lit(start)
@@ -252,21 +273,38 @@ def not_null_checked(df: DataFrame, cols=("file_id", "filename", "title", "autho
 
 
 def ingest(raw: DataFrame, existing: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Raw files -> ``files`` rows with new ids, plus the rejects."""
-    books, rejects = parse_books(raw, strict)
+    """Raw files -> ``files`` rows with new ids, plus the rejects. Each book is
+    read and parsed once: the parsed rows are a table in the shared folder, from which
+    ids (file names alone), books and rejects are read."""
+    spark, parsed = raw.sparkSession, parsed_books(raw)
+    path = shared_path(spark, "quire-parsed")
+    parsed.write.parquet(path)
+    books, rejects = split_parsed(spark.read.schema(parsed.schema).parquet(path), strict)
     return assign_file_ids(books, existing), rejects
 
 
 # --- raw books made from the driver's documents (both engines build them alike) ---
+#: Of every ``VARIED`` books by id: 3 has a second author, 5 a second title, 7 no author,
+#: 9 its END line twice (inside the body, then at its end).
+VARIED = 11
+
+
 def raw_books_from_files(files: DataFrame) -> DataFrame:
     """``(path, value)``: title, author and START/END marker lines around the
     text, lines ended by CRLF, as a book file looks."""
     up = F.upper(F.col("title"))
+    kind = F.pmod(F.col("file_id"), F.lit(VARIED))
+    line = lambda when, *parts: F.when(when, F.concat(*parts)).otherwise(F.lit(""))
+    end = F.concat(F.lit("\r\n"), F.lit(END_MARK), up, F.lit(MARK_TAIL + "\r\n"))
     value = F.concat(
         F.lit("Title: "), F.col("title"), F.lit("\r\n"),
-        F.lit("Author: "), F.col("author"), F.lit("\r\n\r\n"),
+        line(kind == 5, F.lit("Title: Another "), F.col("title"), F.lit("\r\n")),
+        line(kind != 7, F.lit("Author: "), F.col("author"), F.lit("\r\n")),
+        line(kind == 3, F.lit("Author: Also "), F.col("author"), F.lit("\r\n")),
+        F.lit("\r\n"),
         F.lit(START_MARK), up, F.lit(MARK_TAIL + "\r\n"),
         F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")),
-        F.lit("\r\n"), F.lit(END_MARK), up, F.lit(MARK_TAIL + "\r\n"),
+        end,
+        line((kind == 9) & ~F.contains("title", F.lit("ß")), end),  # engines differ on its capital
     )
     return files.select(F.col("filename").alias("path"), value.alias("value"))
