@@ -31,6 +31,7 @@ a component. Empty table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +43,21 @@ from quire.llm.components import components
 from quire.llm.shared import run_folder, written
 from quire.llm.textblocks import blocks, grams, mix64, runs, words
 
-COORDINATES = 320
+COORDINATES = 224
 MISSED = 1e-5  # allowed chance that a link at the threshold shares no bucket
-BLOCK_MEMBERS = 256
+BANDS = 32  # at most so many bands: their rows are what is shuffled
+BLOCK_MEMBERS = 512
 BLOCK_COLUMNS = 4096
 BLOCK_TEXTS = 2048
 
 
 def banding(percent: int) -> tuple[int, int]:
     """Rows per band and bands: the longest rows that still find a link."""
-    best = (1, COORDINATES)
-    for rows in range(1, 13):
-        bands = COORDINATES // rows
-        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+    best = (1, BANDS)
+    for rows in range(1, COORDINATES // 2):
+        same = (percent / 100) ** rows
+        bands = 1 if same >= 1 else math.ceil(math.log(MISSED) / math.log(1 - same))
+        if bands <= min(BANDS, COORDINATES // rows):
             best = rows, bands
     return best
 
@@ -143,16 +146,17 @@ def prepare(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """digest, set (ascending 64-bit shingle hashes)."""
+    """id, set (ascending 64-bit shingle hashes); a row per different text of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), rows=BLOCK_TEXTS):
+            for block in blocks(batch.column(1), rows=BLOCK_TEXTS):
                 value, bounds = shingle_sets(block, shingle)
-                each = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["digest", "set"])
+                sets = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, set binary").filter("digest is not null").dropDuplicates(["digest"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, set binary")
+    return rows.filter("length(set) > 0").dropDuplicates(["id", "set"])
 
 
 # ------------------------------------------------------------------ verification
@@ -168,9 +172,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    x = pairs.join(sets.select(F.col("digest").alias("u"), F.col("set").alias("set_u")), "u")
-    x = x.join(sets.select(F.col("digest").alias("v"), F.col("set").alias("set_v")), "v")
-    return x.select("u", "v", "set_u", "set_v").mapInArrow(run, "u binary, v binary")
+    x = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
+    x = x.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
+    return x.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
 def _root(parent: list[int], i: int) -> int:
@@ -219,7 +223,7 @@ def link_forest(labels: np.ndarray, sets: list[np.ndarray], sides: np.ndarray |
 
 
 def _forests(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members(bucket, digest, label) of open buckets -> links (u, v).
+    """members(bucket, id, label) of open buckets -> links (u, v).
 
     In each bucket the largest label's members stand on one side, all others on the
     other. Each side is dealt to blocks; a row group is a block of the first with a
@@ -230,12 +234,12 @@ def _forests(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     top = by_label.groupBy("bucket").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"))
     ceil = lambda c: F.ceil(c / BLOCK_MEMBERS).cast("int")
     x = members.join(top, "bucket").select(
-        "bucket", "digest", "label",
+        "bucket", "id", "label",
         (F.col("label") == F.col("top.label")).alias("main"),
         ceil(F.col("top.n")).alias("left"),
         ceil(F.col("m") - F.col("top.n")).alias("right"),
     )
-    x = x.withColumn("block", F.pmod(F.xxhash64("digest", "bucket"), F.when(F.col("main"), F.col("left")).otherwise(F.col("right"))).cast("int"))
+    x = x.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("main"), F.col("left")).otherwise(F.col("right"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     # cells: (-1 - block of the largest label, block of the others) or (block, block) of the others
@@ -246,9 +250,9 @@ def _forests(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     x = x.withColumn("cell", F.explode(F.when(F.col("main"), for_main).otherwise(for_rest)))
     # a cell of one label has no pair to compare
-    x = x.select("bucket", "cell.i", "cell.j", "digest", "label", F.when(F.col("main"), -1).otherwise(F.col("block")).alias("side"))
+    x = x.select("bucket", "cell.i", "cell.j", "id", "label", F.when(F.col("main"), -1).otherwise(F.col("block")).alias("side"))
     busy = x.groupBy("bucket", "i", "j").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").drop("a", "b")
-    x = x.join(busy, ["bucket", "i", "j"]).join(sets, "digest").select("bucket", "i", "j", "digest", "label", "side", "set")
+    x = x.join(busy, ["bucket", "i", "j"]).join(sets, "id").select("bucket", "i", "j", "id", "label", "side", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in runs(batches, 3):
@@ -257,11 +261,11 @@ def _forests(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             links = link_forest(labels, sets_, np.asarray(rows["side"]) if i != j else None, percent)
             if links:
                 u, v = (pa.array(k, pa.int64()) for k in zip(*links))
-                ids = rows["digest"].combine_chunks()
+                ids = rows["id"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(u), ids.take(v)], names=["u", "v"])
 
     key = ["bucket", "i", "j"]
-    return x.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u binary, v binary")
+    return x.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
 
 # ------------------------------------------------------------------ the operator
@@ -274,27 +278,24 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     class_of = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
     # one row of each class carries its buckets; equal sets have equal buckets
     lead = known.join(class_of, "digest").filter("doc_id = id").dropDuplicates(["digest"])
-    entries = lead.select("id", "digest", F.posexplode("buckets").alias("band", "hash")).select("id", "digest", F.xxhash64("band", "hash").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first < last")
+    entries = lead.select("id", F.posexplode("buckets").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     members = written(entries.join(shared.select("bucket", "first"), "bucket"), f"{folder}/members")
 
-    pairs = members.groupBy("digest").agg(F.min("first").alias("v")).filter("digest <> v").select(F.col("digest").alias("u"), "v")
+    pairs = members.groupBy("id").agg(F.min("first").alias("v")).filter("id > v").select(F.col("id").alias("u"), "v")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle), f"{folder}/sets")
     direct = written(_verified(pairs, sets, percent), f"{folder}/direct")
-    label = components(direct).withColumnRenamed("id", "digest")
+    label = components(direct)
 
-    labelled = members.select("bucket", "digest").join(label, "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("label"))
+    labelled = members.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("bucket")
     rest = written(labelled.join(open_, "bucket"), f"{folder}/open")
     more = written(_forests(rest, sets, percent), f"{folder}/more")
 
-    # links between classes as links between their smallest documents, and each copy
-    # with its class (rows of one doc_id are one node, even where their sets differ)
-    ids = lead.select("digest", "id")
-    named = direct.union(more).join(ids.toDF("u", "i"), "u").join(ids.toDF("v", "j"), "v").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    # rows of one doc_id are one node, linked with the classes of all its texts
     own = known.join(class_of, "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    final = components(named.union(own)).withColumnRenamed("id", "doc_id")
+    final = components(direct.union(more).union(own)).withColumnRenamed("id", "doc_id")
     out = prepared.join(final, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
