@@ -45,14 +45,36 @@ from quire.llm.textblocks import blocks, mix64, runs, words
 CHUNK_BYTES = 8 << 20
 ORDER = 2
 K = 5
-CODES, DOCS, CONTEXT = 0, -1, 100  # kinds of rows; an order n >= 1 marks counts, CONTEXT + n contexts
+CODES, CONTEXT = 0, 100  # kinds of rows; an order n >= 1 marks counts, CONTEXT + n contexts
 ROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 ROW_SQL = "chunk long, kind int, bucket long, a binary, b binary"
 BEGIN, END = mix64(np.array([1, 2], np.uint64))
 
 
-def _row(chunk: int, kind: int, bucket: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [kind], "bucket": [bucket], "a": [a.tobytes()], "b": [b.tobytes()]}, schema=ROW)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one blob: each by byte planes (small numbers leave whole planes of
+    zeros), compressed, behind its two sizes."""
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+        small = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        out += [len(raw).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small]
+    return b"".join(out)
+
+
+def unpack(blob, *kinds: str) -> list[np.ndarray]:
+    view, at, out = memoryview(blob), 0, []
+    for kind in kinds:
+        n, size = int.from_bytes(view[at : at + 8], "little"), int.from_bytes(view[at + 8 : at + 16], "little")
+        at += 16 + size
+        item = np.dtype(kind).itemsize
+        raw = np.frombuffer(pa.decompress(view[at - size : at], n, "zstd") if n else b"", np.uint8)
+        out.append(raw.reshape(item, -1).T.copy().view(kind).reshape(-1))
+    return out
+
+
+def _row(chunk: int | None, kind: int, bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [kind], "bucket": [bucket], "a": [a], "b": [b]}, schema=ROW)
 
 
 # ------------------------------------------------------------------ the model
@@ -107,7 +129,8 @@ class Stats:
 
 # ------------------------------------------------------------------ chunks
 def encode_chunks(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
-    """Two rows per chunk: token codes with their vocabulary; documents with offsets."""
+    """A row per chunk: token codes (the most frequent word is 0) with their
+    vocabulary; documents with offsets."""
     n, out_fold = held_out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +143,12 @@ def encode_chunks(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
             if not held:
                 return
             hashes, counts, ids, null, train = (np.concatenate(x) for x in zip(*held))
-            vocab, codes = np.unique(hashes, return_inverse=True)
+            vocab, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
             bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-            yield _row(base + made, CODES, 0, codes.astype(np.int32), vocab)
-            about = np.stack([ids, null.astype(np.int64), train.astype(np.int64)])
-            yield _row(base + made, DOCS, 0, about, bounds)
+            yield _row(base + made, CODES, 0, pack(rank[codes], vocab[order]), pack(ids, null.astype(np.uint8), train.astype(np.uint8), bounds))
             held, size, made = [], 0, made + 1
 
         for batch in batches:
@@ -151,11 +175,10 @@ class Chunk:
         self.parts: dict[int, list] = {}
         for kind, a, b in zip(rows["kind"].to_pylist(), rows["a"], rows["b"]):
             self.parts.setdefault(kind, []).append((a.as_buffer(), b.as_buffer()))
-        codes, vocab = self.parts[CODES][0]
-        about, bounds = self.parts[DOCS][0]
-        self.codes, self.vocab = np.frombuffer(codes, np.int32), np.frombuffer(vocab, np.uint64)
-        self.ids, self.null, self.train = np.frombuffer(about, np.int64).reshape(3, -1)
-        self.bounds, self.buckets = np.frombuffer(bounds, np.int64), buckets
+        codes, docs = self.parts[CODES][0]
+        self.codes, self.vocab = unpack(codes, "<i4", "<u8")
+        self.ids, self.null, self.train, self.bounds = unpack(docs, "<i8", "u1", "u1", "<i8")
+        self.buckets = buckets
         self.train_token = np.repeat(self.train.astype(bool), np.diff(self.bounds))
         self._context = {1: np.zeros(len(self.codes), np.uint64)}
 
@@ -173,7 +196,7 @@ class Chunk:
         return self._context[n]
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-gram keys, ascending, and each token's place among them."""
+        """Distinct n-gram keys, in the same order at every call, and each token's place among them."""
         if n == 1:
             return self.vocab, self.codes
         return np.unique(mix64(self.context(n) ^ self.vocab[self.codes]), return_inverse=True)
@@ -189,7 +212,7 @@ class Chunk:
         order, _, _ = self.dealt(keys)
         got = []
         for k, what in enumerate((a, b)):
-            flat = np.concatenate([np.frombuffer(x[k], what) for x in self.parts.get(kind, [])] or [np.zeros(0, what)])
+            flat = np.concatenate([unpack(x[k], what)[0] for x in self.parts.get(kind, [])] or [np.zeros(0, what)])
             value = np.zeros(len(keys), flat.dtype)
             value[order] = flat
             got.append(value)
@@ -222,17 +245,19 @@ def _chunks(rows: DataFrame, work) -> DataFrame:
 
 
 def count_requests(encoded: DataFrame, order: int, buckets: int) -> DataFrame:
-    def work(chunk: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = Chunk(group, buckets)
-        for n in range(1, order + 1):
-            keys, place = c.grams(n)
-            counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
-            by, met, begin = c.dealt(keys)
-            keys, counts = keys[by], counts[by]
-            for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-                yield _row(chunk, n, bucket, keys[a:b], counts[a:b])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):  # a row is a whole chunk
+                c = Chunk(pa.Table.from_batches([batch.slice(i, 1)]), buckets)
+                for n in range(1, order + 1):
+                    keys, place = c.grams(n)
+                    counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
+                    by, met, begin = c.dealt(keys)
+                    keys, counts = keys[by], counts[by]
+                    for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
+                        yield _row(chunk, n, bucket, pack(keys[a:b]), pack(counts[a:b]))
 
-    return _chunks(encoded, work)
+    return encoded.mapInArrow(run, ROW_SQL)
 
 
 def answer_counts(requests: DataFrame) -> DataFrame:
@@ -240,8 +265,8 @@ def answer_counts(requests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
-            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["a"]]
-            own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["b"]])
+            keys = [unpack(x.as_buffer(), "<u8")[0] for x in group["a"]]
+            own = np.concatenate([unpack(x.as_buffer(), "<u4")[0] for x in group["b"]])
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.bincount(place, weights=own, minlength=len(uniq)).astype(np.int64)
             owner = np.zeros(len(place), np.uint8)
@@ -250,11 +275,11 @@ def answer_counts(requests: DataFrame) -> DataFrame:
             owner[asked[first]] = 1
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
-                yield _row(chunk, kind, bucket, counts[place[at : at + len(k)]].astype(np.uint32), owner[at : at + len(k)])
+                yield _row(chunk, kind, bucket, pack(counts[place[at : at + len(k)]].astype(np.uint32)), pack(owner[at : at + len(k)]))
                 at += len(k)
             n_r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[: K + 2]
             n_r[0] = 0
-            yield _row(None, kind, bucket, np.concatenate([n_r, [counts.sum(), (counts > 0).sum()]]).astype(np.int64), np.zeros(0))
+            yield _row(None, kind, bucket, pack(np.concatenate([n_r, [counts.sum(), (counts > 0).sum()]]).astype(np.int64)), b"")
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
 
@@ -270,7 +295,7 @@ def read_stats(answers: DataFrame) -> Stats:
         for b in batches:
             sums: dict[int, np.ndarray] = {}
             for kind, a in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[kind] = sums.get(kind, 0) + np.frombuffer(a.as_buffer(), np.int64)
+                sums[kind] = sums.get(kind, 0) + unpack(a.as_buffer(), "<i8")[0]
             yield pa.RecordBatch.from_pydict({"kind": pa.array(list(sums), pa.int32()), "s": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
     parts = answers.filter("chunk is null").select("kind", "a").mapInArrow(run, "kind int, s array<long>")
@@ -294,7 +319,7 @@ def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> Dat
         by, met, begin = c.dealt(contexts)
         contexts, sums = contexts[by], sums[by]
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            yield _row(chunk, CONTEXT + n, bucket, contexts[a:b], sums[a:b])
+            yield _row(chunk, CONTEXT + n, bucket, pack(contexts[a:b]), pack(sums[a:b]))
 
     return _chunks(rows, work)
 
@@ -304,15 +329,15 @@ def answer_contexts(requests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
-            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["a"]]
-            sums = np.concatenate([np.frombuffer(x.as_buffer(), np.float64).reshape(-1, 3) for x in group["b"]])
+            keys = [unpack(x.as_buffer(), "<u8")[0] for x in group["a"]]
+            sums = np.concatenate([unpack(x.as_buffer(), "<f8")[0].reshape(-1, 3) for x in group["b"]])
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             total, mass, lower = (np.bincount(place, weights=sums[:, i], minlength=len(uniq)) for i in range(3))
             alpha, below = context_weights(total, mass, lower), denominator(total, mass)
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
                 here = place[at : at + len(k)]
-                yield _row(chunk, kind, bucket, below[here], alpha[here])
+                yield _row(chunk, kind, bucket, pack(below[here]), pack(alpha[here]))
                 at += len(k)
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
