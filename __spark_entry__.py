@@ -55,6 +55,7 @@ Q_FAST = "(of <-> the) | (was & with)"
 Q_FULL = "(of <-> the) & this"
 Q_MATCHES = "(of <-> the) | with"
 Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
+Q_ENGLISH_PHRASE = "rely and ly"
 Q_FAST_NOT = "with | !the"
 Q_MATCHES_NOT = "of <1> !the"
 Q_DISTANCE_OR = "(of | in) <2> the"
@@ -446,6 +447,30 @@ def q_search_english(spark, sf_dir):
     return search_fast(_index(spark, sf_dir, "english"), Q_ENGLISH, "logical")
 
 
+def _written_english(spark, sf_dir) -> TextIndex:
+    """An english index as deployed: stems are in the written postings."""
+    return _index(spark, sf_dir, "english").write(_shared_folder(spark, "quire-english"), buckets=STREAM_BUCKETS)
+
+
+def q_search_headline_english(spark, sf_dir):
+    return search_full(_written_english(spark, sf_dir), Q_ENGLISH, "logical", semantic=False)
+
+
+def q_search_semantic_english(spark, sf_dir):
+    return search_full(_written_english(spark, sf_dir), Q_ENGLISH, "logical", semantic=True)
+
+
+def q_file_matches_english(spark, sf_dir):
+    m = file_matches(_written_english(spark, sf_dir), Q_ENGLISH, "logical")
+    return m.select(*_long("file_id", "sequence_no", "s"), "term")
+
+
+def q_phrase_english(spark, sf_dir):
+    """A phrase over a stop word."""
+    spans, _ = match(_written_english(spark, sf_dir), compile_query(spark, Q_ENGLISH_PHRASE, "phrase", "english"))
+    return spans.select(*_long("file_id", "sequence_no", "s", "e"))
+
+
 def q_file_matches_not(spark, sf_dir):
     m = file_matches(_index(spark, sf_dir), Q_MATCHES_NOT, "logical")
     return m.select(*_long("file_id", "sequence_no", "s"), "term")
@@ -524,6 +549,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_stream_versions": q_index_stream_versions,
         "english_vocabulary": q_english_vocabulary,
         "search_english": q_search_english,
+        "search_headline_english": q_search_headline_english,
+        "search_semantic_english": q_search_semantic_english,
+        "file_matches_english": q_file_matches_english,
+        "phrase_english": q_phrase_english,
     }
 
 
@@ -577,4 +606,8 @@ def oracle_sql() -> dict[str, str]:
         "index_stream_versions": O.INDEX_STREAM_VERSIONS,
         "english_vocabulary": O.ENGLISH_VOCABULARY,
         "search_english": O.SEARCH_ENGLISH,
+        "search_headline_english": O.SEARCH_HEADLINE_ENGLISH,
+        "search_semantic_english": O.SEARCH_SEMANTIC_ENGLISH,
+        "file_matches_english": O.FILE_MATCHES_ENGLISH,
+        "phrase_english": O.PHRASE_ENGLISH,
     }

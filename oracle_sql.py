@@ -533,10 +533,53 @@ SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
 
 
 # --- english configuration (T6): Porter (1980) rules rendered as DuckDB SQL -----------
-def _stem_tables():
-    from quire.functions import stem as S
+# --- Fixed values: Spark's default English stop words
+# (pyspark.ml.feature.StopWordsRemover.loadDefaultStopWords("english")), 181 words.
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through",
+    "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd",
+    "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've",
+    "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't",
+    "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't", "couldn't",
+    "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's",
+    "where's", "who's", "why's", "would",
+)
 
-    return S
+# --- Fixed values: Porter (1980) suffix rules, as (suffix, replacement, condition).
+# Conditions: "" none, "m>0", "m>1", "*v*" (stem has a vowel), "ion" (m>1 and stem ends s/t).
+STEP_1A = (("sses", "ss", ""), ("ies", "i", ""), ("ss", "ss", ""), ("s", "", ""))
+STEP_1C = (("y", "i", "*v*"),)
+STEP_2 = (
+    ("ational", "ate", "m>0"), ("tional", "tion", "m>0"), ("enci", "ence", "m>0"), ("anci", "ance", "m>0"),
+    ("izer", "ize", "m>0"), ("abli", "able", "m>0"), ("alli", "al", "m>0"), ("entli", "ent", "m>0"),
+    ("eli", "e", "m>0"), ("ousli", "ous", "m>0"), ("ization", "ize", "m>0"), ("ation", "ate", "m>0"),
+    ("ator", "ate", "m>0"), ("alism", "al", "m>0"), ("iveness", "ive", "m>0"), ("fulness", "ful", "m>0"),
+    ("ousness", "ous", "m>0"), ("aliti", "al", "m>0"), ("iviti", "ive", "m>0"), ("biliti", "ble", "m>0"),
+)
+STEP_3 = (
+    ("icate", "ic", "m>0"), ("ative", "", "m>0"), ("alize", "al", "m>0"), ("iciti", "ic", "m>0"),
+    ("ical", "ic", "m>0"), ("ful", "", "m>0"), ("ness", "", "m>0"),
+)
+STEP_4 = (
+    ("al", "", "m>1"), ("ance", "", "m>1"), ("ence", "", "m>1"), ("er", "", "m>1"), ("ic", "", "m>1"),
+    ("able", "", "m>1"), ("ible", "", "m>1"), ("ant", "", "m>1"), ("ement", "", "m>1"), ("ment", "", "m>1"),
+    ("ent", "", "m>1"), ("ion", "", "ion"), ("ou", "", "m>1"), ("ism", "", "m>1"), ("ate", "", "m>1"),
+    ("iti", "", "m>1"), ("ous", "", "m>1"), ("ive", "", "m>1"), ("ize", "", "m>1"),
+)
+# Step 1b: (m>0) eed -> ee; (*v*) ed -> ; (*v*) ing -> ; after ed/ing: at -> ate, bl -> ble,
+# iz -> ize, a double consonant other than l/s/z loses one letter, (m=1 and *o) adds e.
+STEP_1B_TAILS = (("at", "ate"), ("bl", "ble"), ("iz", "ize"))
+DOUBLE_CONSONANT = "(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|zz)$"
+MIN_STEM_LENGTH = 3  # words of one or two letters are left as they are
 
 
 class _Vars:
@@ -605,12 +648,10 @@ def _rules_sql(x: str, rules) -> str:
 
 
 def _step1b_sql(x: str) -> str:
-    S = _stem_tables()
-
     def tidy(s: str, ps: str) -> str:
-        parts = [f"WHEN ends_with({s}, '{a}') THEN {_cut_sql(s, len(a))} || '{b}'" for a, b in S.STEP_1B_TAILS]
+        parts = [f"WHEN ends_with({s}, '{a}') THEN {_cut_sql(s, len(a))} || '{b}'" for a, b in STEP_1B_TAILS]
         parts.append(
-            f"WHEN regexp_matches({s}, '{S.DOUBLE_CONSONANT}') AND NOT regexp_matches({s}, '[lsz]$') "
+            f"WHEN regexp_matches({s}, '{DOUBLE_CONSONANT}') AND NOT regexp_matches({s}, '[lsz]$') "
             f"THEN {_cut_sql(s, 1)}"
         )
         parts.append(f"WHEN {_m_sql(ps)} = 1 AND {_cvc_sql(s, ps)} THEN {s} || 'e'")
@@ -644,20 +685,18 @@ def _step5_sql(x: str) -> str:
 
 
 def porter_sql(x: str) -> str:
-    S = _stem_tables()
-    s = _rules_sql(x, S.STEP_1A)
+    s = _rules_sql(x, STEP_1A)
     s = _step1b_sql(s)
-    s = _rules_sql(s, S.STEP_1C)
-    s = _rules_sql(s, S.STEP_2)
-    s = _rules_sql(s, S.STEP_3)
-    s = _rules_sql(s, S.STEP_4)
+    s = _rules_sql(s, STEP_1C)
+    s = _rules_sql(s, STEP_2)
+    s = _rules_sql(s, STEP_3)
+    s = _rules_sql(s, STEP_4)
     s = _step5_sql(s)
-    return f"CASE WHEN length({x}) >= {S.MIN_STEM_LENGTH} THEN {s} ELSE {x} END"
+    return f"CASE WHEN length({x}) >= {MIN_STEM_LENGTH} THEN {s} ELSE {x} END"
 
 
 def english_sql(simple: str) -> str:
-    S = _stem_tables()
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in S.ENGLISH_STOP_WORDS)
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
     return f"CASE WHEN {simple} IN ({stops}) THEN NULL ELSE {porter_sql(simple)} END"
 
 
@@ -749,3 +788,34 @@ FILE_MATCHES_CAPPED = FILE_MATCHES.replace("rn <= 50", "rn <= 2")
 
 # T9 with two versions of some books in one batch: the later one counts, as in an upsert
 INDEX_STREAM_VERSIONS = INDEX_UPSERT
+
+
+# --- english whole-book headlines, matches and a phrase over a stop word -------------
+def english(sql: str) -> str:
+    """The same SQL on stems: words of the stop list keep their place without a lexeme."""
+    for tok in ("tok", "r.tok"):
+        simple = f"regexp_replace(lower({tok}), '{EDGE}', '', 'g')"
+        sql = sql.replace(f"{simple} AS lexeme", f"{english_sql(simple)} AS lexeme")
+    sql = sql.replace("pos FROM tok)", "pos FROM tok WHERE lexeme IS NOT NULL)")
+    return sql.replace("1 AS sequence_no, pos FROM wtok)", "1 AS sequence_no, pos FROM wtok WHERE lexeme IS NOT NULL)")
+
+
+_EN_MATCH = (
+    f"EXISTS (SELECT 1 FROM ({_EN_PH}) z WHERE z.file_id = f.file_id AND z.sequence_no = f.sequence_no) "
+    f"OR ({has('ble')} AND {has('ly')})"
+)
+_EN_ATOMS = {"tioning": wphrase("tion", "ing"), "ble": wterm("ble"), "ly": wterm("ly")}
+_EN_START = "greatest(r_tioning, CASE WHEN r_ble IS NOT NULL AND r_ly IS NOT NULL THEN least(r_ble, r_ly) END)"
+SEARCH_HEADLINE_ENGLISH = english(whole_book_sql(_EN_MATCH, _EN_ATOMS, _EN_START, ["tion", "ing", "ble", "ly"], False))
+SEARCH_SEMANTIC_ENGLISH = english(whole_book_sql(_EN_MATCH, _EN_ATOMS, _EN_START, ["tion", "ing", "ble", "ly"], True))
+FILE_MATCHES_ENGLISH = english(_matches_sql(f"""
+  SELECT x.* FROM ({_EN_PH} UNION ALL {term_spans('ble')} UNION ALL {term_spans('ly')}) x
+  JOIN (SELECT f.file_id, f.sequence_no FROM frag f WHERE {_EN_MATCH}) m USING (file_id, sequence_no)"""))
+
+# phrase "rely and ly": the stop word holds a position between both stems
+PHRASE_ENGLISH = english(with_base("""
+x AS (SELECT 1)
+SELECT a.file_id, a.sequence_no, a.pos AS s, b.pos AS e
+FROM post a JOIN post b ON a.file_id = b.file_id AND a.sequence_no = b.sequence_no AND b.pos = a.pos + 2
+WHERE a.lexeme = 'reli' AND b.lexeme = 'ly'
+"""))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import DEFAULT_MAX_TOKENS, is_word, simple_lexeme, tokens
 
 CONFIGS = ("simple", "english")
+SALTS = 16  # keys that a word's postings are spread over in the vocabulary join
 
 
 def check_config(config: str) -> str:
@@ -105,48 +106,20 @@ def vocabulary(frags: DataFrame, config: str = "english") -> DataFrame:
     return kept.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
 
 
-def variants(frags: DataFrame, terms: list[str], config: str) -> dict[str, str]:
-    """Corpus words whose configured lexeme is one of ``terms``: a bounded
-    lookup (only the query's own terms come back to the driver)."""
-    if config == "simple":
-        return {t: t for t in terms}
-    if not terms:
-        return {}
-    from quire.functions.stem import ENGLISH_STOP_WORDS, porter_stem
-
-    # Porter rewrites suffixes only and never lengthens a word: a word stems to
-    # t only if it starts with t's first letter and is at least as long, so only
-    # those words of the vocabulary are stemmed.
-    lex = frags.select(F.explode_outer("content_tsv.lexeme").alias("lexeme")).filter(F.col("lexeme").isNotNull())
-    cand = lex.distinct().filter(
-        F.substring("lexeme", 1, 1).isin(sorted({t[0] for t in terms}))
-        & (F.length("lexeme") >= min(len(t) for t in terms))
-        & ~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS))
-    )
-    stems = cand.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
-    rows = stems.filter(F.col("term").isin(sorted(set(terms)))).collect()
-    return {r["lexeme"]: r["term"] for r in rows}
-
-
 def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "simple") -> DataFrame:
     """Inverted index rows ``(lexeme, file_id, sequence_no, pos)``.
 
     With ``lexemes`` the vector is filtered *before* the explode, so only query
     hits become rows (the in-plan equivalent of an index lookup). Under a
     configuration other than ``simple`` the simple lexemes are mapped to the
-    configured ones: through a literal map of the query's word variants when
-    ``lexemes`` is given, else by a join with the vocabulary (stop words are
-    dropped before that join, so its hottest keys never shuffle).
+    configured ones by a salted join with the vocabulary (of the query's stems, when
+    ``lexemes`` is given); stop words are dropped before that join. A written index
+    holds the stems, so its searches do without.
     """
     check_config(config)
     tsv = F.col("content_tsv")
-    mapping = None
-    if lexemes is not None:
-        if config == "simple":
-            wanted = sorted(set(lexemes))
-        else:
-            mapping = variants(frags, lexemes, config)
-            wanted = sorted(mapping)
+    if lexemes is not None and config == "simple":
+        wanted = sorted(set(lexemes))
         tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted)) if wanted else F.array().cast(frags.schema["content_tsv"].dataType)
     rows = frags.select("file_id", "sequence_no", F.explode_outer(tsv).alias("_p")).filter(F.col("_p").isNotNull())
     rows = rows.select(
@@ -157,14 +130,16 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
     )
     if config == "simple":
         return rows
-    if mapping is not None:
-        if not mapping:
-            return rows
-        lookup = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
-        return rows.select(F.element_at(lookup, F.col("lexeme")).alias("lexeme"), "file_id", "sequence_no", "pos")
     from quire.functions.stem import ENGLISH_STOP_WORDS
 
     rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
     voc = vocabulary(frags, config)
-    return rows.join(voc, "lexeme").select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos")
+    if lexemes is not None:  # the words of the query's stems only
+        wanted = sorted(set(lexemes))
+        voc = voc.filter(F.col("term").isin(wanted) if wanted else F.lit(False))
+    # frequent words of other languages are no stop words here: their postings are
+    # spread over SALTS keys (a vocabulary row each)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("file_id", "sequence_no"), F.lit(SALTS)).cast("int"))
+    voc = voc.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(voc, ["lexeme", "_salt"]).select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos")
 
