@@ -45,7 +45,7 @@ TABLE_SCHEMAS = {
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
     "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, "
     "filename string, title string, author string, bucket int",
-    "postings": "lexeme string, file_id long, sequence_no int, pos int, bucket int",
+    "postings": "lexeme string, file_id long, sequence_no int, pos int, word_offset int, bucket int",
 }
 
 
@@ -109,14 +109,14 @@ class TextIndex:
         return cls(files, fragments(files, max_tokens, config, keep=BOOK_FIELDS), None, config, max_tokens)
 
     def hits(self, lexemes: list[str], file_id: int | None = None) -> DataFrame:
-        """Posting rows ``(lexeme, file_id, sequence_no, pos)`` of the given lexemes."""
+        """Posting rows ``(lexeme, file_id, sequence_no, pos, word_offset)`` of the given lexemes."""
         if self.postings is not None:
             p = self.postings
             if file_id is not None:
                 if "bucket" in p.columns:  # path layout: prune the bucket directory
                     p = p.filter(F.col("bucket") == file_id % self.buckets)
                 p = p.filter(F.col("file_id") == file_id)  # bucketed tables prune buckets themselves
-            return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select("lexeme", *KEYS, "pos")
+            return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select("lexeme", *KEYS, "pos", "word_offset")
         frags = self.fragments
         if file_id is not None:
             frags = frags.filter(F.col("file_id") == file_id)

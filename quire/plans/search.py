@@ -148,13 +148,20 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
         return _empty(index, FULL_SCHEMA)
-    _, frags = match(index, q)
-    books = frags.select("file_id").distinct()
-    layout = index.fragment_rows().select(*KEYS, "word_offset", "n_words").join(books, "file_id", "left_semi")
-    hits = index.hits(q.lexemes).join(layout, KEYS).select(
+    # one read and one shuffle of the hits, by book, serves both levels (the exchange
+    # is reused): fragment truth, with a fragment named by its word offset, and covers
+    # on book positions
+    hits = index.hits(q.lexemes).select("lexeme", "file_id", "word_offset", "pos")
+    if not index.co_partitioned:
+        hits = hits.repartition("file_id")
+    by_offset = F.col("word_offset").alias("sequence_no")
+    in_fragments = atom_spans(hits.select("lexeme", "file_id", by_offset, "pos"), q, True)
+    books = matching_fragments(in_fragments, q, index.fragment_rows().select("file_id", by_offset)).select("file_id").distinct()
+    layout = index.fragment_rows().select("file_id", "word_offset", "n_words").join(books, "file_id", "left_semi")
+    in_book = hits.join(books, "file_id", "left_semi").select(
         "lexeme", "file_id", F.lit(1).alias("sequence_no"), (F.col("pos") + F.col("word_offset")).alias("pos")
     )
-    spans = atom_spans(hits, q, index.co_partitioned)  # book keys: (file_id, 1)
+    spans = atom_spans(in_book, q, True)  # book keys: (file_id, 1)
     top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False)).drop("sequence_no")
     sizes = layout.groupBy("file_id").agg(F.max(F.col("word_offset") + F.col("n_words")).alias("_n"))
     rows = sizes.join(top, "file_id", "left")  # a book without cover keeps one row of nulls
