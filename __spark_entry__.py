@@ -347,16 +347,17 @@ def q_txt_names(spark, sf_dir):
 # --- upkeep ------------------------------------------------------------------
 def q_index_upsert(spark, sf_dir):
     """Books flagged low quality in ``labels`` are re-cleaned (title line added
-    again) and re-indexed; all other fragments stay as they are."""
-    from quire.operators.upkeep import upsert
+    again) and re-indexed in a written index; all other fragments stay as they are."""
+    from quire.operators.upkeep import apply_changes
     from quire.sources.corpus import table
 
-    idx = _index(spark, sf_dir)
+    path = _shared_folder(spark, "quire-upsert")
+    idx = _index(spark, sf_dir).write(path, buckets=STREAM_BUCKETS)
     flagged = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("file_id"))
     changed = idx.files.join(flagged, "file_id", "left_semi").withColumn(
         "content", F.concat(F.col("title"), F.lit("\n"), F.col("content"))
     )
-    fr = upsert(idx, changed).fragments
+    fr = apply_changes(idx, path, changes=changed).fragments
     return fr.select(
         *_long("file_id", "sequence_no"),
         F.size("content_array").cast("long").alias("n_words"),
@@ -365,13 +366,15 @@ def q_index_upsert(spark, sf_dir):
 
 
 def q_index_delete(spark, sf_dir):
-    """Books flagged toxic in ``labels`` are deleted with their fragments."""
-    from quire.operators.upkeep import delete
+    """Books flagged toxic in ``labels`` are deleted from a written index with their
+    fragments; then its versions are compacted."""
+    from quire.operators.upkeep import apply_changes, compact
     from quire.sources.corpus import table
 
-    idx = _index(spark, sf_dir)
+    path = _shared_folder(spark, "quire-delete")
+    idx = _index(spark, sf_dir).write(path, buckets=STREAM_BUCKETS)
     gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_id"))
-    fr = delete(idx, gone).fragments
+    fr = compact(apply_changes(idx, path, deleted_ids=gone), path).fragments
     return fr.select(*_long("file_id", "sequence_no"), F.size("content_array").cast("long").alias("n_words"))
 
 

@@ -106,9 +106,11 @@ def vocabulary(frags: DataFrame, config: str = "english") -> DataFrame:
     return kept.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
 
 
-def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "simple") -> DataFrame:
-    """Inverted index rows ``(lexeme, file_id, sequence_no, pos, word_offset)`` (T7);
-    ``word_offset + pos`` is the position in the whole book.
+def postings(
+    frags: DataFrame, lexemes: list[str] | None = None, config: str = "simple", offsets: bool = False
+) -> DataFrame:
+    """Inverted index rows ``(lexeme, file_id, sequence_no, pos)`` (T7); with
+    ``offsets`` also ``word_offset``: ``word_offset + pos`` is the place in the book.
 
     With ``lexemes`` the vector is filtered *before* the explode, so only query
     hits become rows (the in-plan equivalent of an index lookup). Under a
@@ -122,13 +124,14 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
     if lexemes is not None and config == "simple":
         wanted = sorted(set(lexemes))
         tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted)) if wanted else F.array().cast(frags.schema["content_tsv"].dataType)
-    rows = frags.select("file_id", "sequence_no", "word_offset", F.explode_outer(tsv).alias("_p")).filter(F.col("_p").isNotNull())
+    more = ["word_offset"] if offsets else []
+    rows = frags.select("file_id", "sequence_no", *more, F.explode_outer(tsv).alias("_p")).filter(F.col("_p").isNotNull())
     rows = rows.select(
         F.col("_p.lexeme").alias("lexeme"),
         "file_id",
         "sequence_no",
         F.col("_p.pos").alias("pos"),
-        "word_offset",
+        *more,
     )
     if config == "simple":
         return rows
@@ -143,5 +146,5 @@ def postings(frags: DataFrame, lexemes: list[str] | None = None, config: str = "
     # spread over SALTS keys (a vocabulary row each)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("file_id", "sequence_no"), F.lit(SALTS)).cast("int"))
     voc = voc.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(voc, ["lexeme", "_salt"]).select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos", "word_offset")
+    return salted.join(voc, ["lexeme", "_salt"]).select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos", *more)
 

@@ -2,23 +2,20 @@
 changes (T8), drop them with the book (T10), empty the corpus (S11).
 
 The relational core is an anti-join on the changed ids plus a union of the
-re-analysed books. For a written index, only the touched ``bucket`` partitions
-are rewritten (dynamic partition overwrite, staged through the checkpoint
-folder because Spark cannot overwrite a path it is reading); a bucket left
-without rows is overwritten with an empty file explicitly, since a dynamic
-overwrite never sees it.
+re-analysed books. A written index takes a batch as a further version: the changed
+books' rows, the ids of changed and deleted books, and a marker that makes them
+visible together (see ``quire.plans.index``).
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.analyze import fragments, postings
-from quire.plans.index import BOOK_FIELDS, DEFAULT_BUCKETS, TextIndex, bucket_of, read_table
+from quire.operators.analyze import fragments
+from quire.plans.index import BOOK_FIELDS, COMMIT_SCHEMA, DEFAULT_BUCKETS, FILES_COLUMNS, FILES_SCHEMA, TextIndex, commit, write_version
 from quire.session import require_checkpoint_dir
 
 
@@ -62,73 +59,43 @@ def clear(index: TextIndex) -> TextIndex:
 
 
 # --- written index ------------------------------------------------------------
-def _staging(spark, path: str) -> str:
-    from quire.session import checkpoint_dir
-
-    root = checkpoint_dir(spark) or os.path.join(path, "_staging")
-    return os.path.join(root, "quire-staging-" + uuid.uuid4().hex)
-
-
-def _rewrite(spark, table_path: str, new_rows: DataFrame, touched: list[int], sort_cols: list[str]) -> None:
-    stage = _staging(spark, table_path)
-    new_rows.repartitionByRange("bucket", *sort_cols[:2]).sortWithinPartitions("bucket", *sort_cols).write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(stage)
-    staged = spark.read.schema(new_rows.schema).parquet(stage)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
-    present = {r[0] for r in staged.select("bucket").distinct().collect()}  # at most `touched` values
-    schema = staged.drop("bucket").schema
-    for b in sorted(set(touched) - present):
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(os.path.join(table_path, f"bucket={b}"))
-    _remove(spark, stage)  # its rows are committed to the table now
-
-
-def _remove(spark, path: str) -> None:
-    """Delete a staging folder through the Hadoop file system of the session."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def apply_changes(
     index: TextIndex, path: str, changes: DataFrame | None = None, deleted_ids: DataFrame | None = None,
     order_col: str | None = None,
 ) -> TextIndex:
-    """T8/T10 on a written index: rewrite only the buckets of changed or deleted
-    books. Returns the reloaded index."""
+    """T8/T10 on a written index: append a version that holds the changed books and
+    names them and the deleted ones. What is written grows with the batch, not with
+    the index. Returns the reloaded index."""
     spark = index.spark
     require_checkpoint_dir(spark)
-    parts = []
-    # Inputs are pinned by a reliable checkpoint (bounded by the batch) before any
-    # table is rewritten: they may be derived from the very tables rewritten below.
-    if changes is not None:
-        changes = latest_versions(changes, order_col).select("file_id", "filename", "title", "author", "content")
-        changes = changes.checkpoint(eager=True)
-        parts.append(changes.select("file_id"))
-    if deleted_ids is not None:
-        deleted_ids = deleted_ids.select("file_id").checkpoint(eager=True)
-        parts.append(deleted_ids)
-    if not parts:
+    if changes is None and deleted_ids is None:
         return index
-    ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ids = ids.distinct().withColumn("bucket", bucket_of("file_id", index.buckets))
-    # touched bucket numbers: at most index.buckets values
-    touched = [r[0] for r in ids.select("bucket").distinct().collect()]
-    tb = F.col("bucket").isin(touched)
-
-    files = index.files.filter(tb).join(ids.select("file_id"), "file_id", "left_anti")
-    frags = index.fragments.filter(tb).join(ids.select("file_id"), "file_id", "left_anti")
-    if changes is not None:
-        files = files.unionByName(changes.withColumn("bucket", bucket_of("file_id", index.buckets)), allowMissingColumns=True)
-        fresh = fragments(changes, index.max_tokens, index.config, keep=BOOK_FIELDS).withColumn(
-            "bucket", bucket_of("file_id", index.buckets)
-        )
-        frags = frags.unionByName(fresh)
-    _rewrite(spark, os.path.join(path, "files"), files, touched, ["file_id"])
-    _rewrite(spark, os.path.join(path, "fragments"), frags, touched, ["file_id", "sequence_no"])
-    frags_now = read_table(spark, path, "fragments").filter(F.col("bucket").isin(touched))
-    posts = postings(frags_now.drop("bucket"), config=index.config).withColumn("bucket", bucket_of("file_id", index.buckets))
-    _rewrite(spark, os.path.join(path, "postings"), posts, touched, ["lexeme", "file_id", "sequence_no", "pos"])
+    now = TextIndex.load(spark, path, index.config, index.max_tokens)
+    version, base = now.version + 1, spark.read.schema(COMMIT_SCHEMA).json(os.path.join(path, "_commits")).agg(F.max("base")).first()[0]
+    # Inputs are pinned by a reliable checkpoint (bounded by the batch): they may be
+    # derived from the index itself, and are read four times.
+    if changes is None:
+        changes = spark.createDataFrame([], FILES_SCHEMA)
+    changes = latest_versions(changes, order_col).select(*FILES_COLUMNS).checkpoint(eager=True)
+    ids = changes.select("file_id")
+    if deleted_ids is not None:
+        deleted_ids = deleted_ids.select(F.col("file_id").cast("long").alias("file_id")).checkpoint(eager=True)
+        changes = changes.join(deleted_ids, "file_id", "left_anti")
+        ids = ids.unionByName(deleted_ids)
+    write_version(spark, path, version, changes, fragments(changes, now.max_tokens, now.config, keep=BOOK_FIELDS), now.config, now.buckets)
+    ids.distinct().write.mode("overwrite").parquet(os.path.join(path, "changed", f"version={version}"))
+    commit(spark, path, version, base)
+    return TextIndex.load(spark, path, index.config, index.max_tokens)
+
+
+def compact(index: TextIndex, path: str) -> TextIndex:
+    """Fold all versions into a new base, the only one that later loads read. The files
+    of older versions may be deleted when no loaded index shows them any more."""
+    spark = index.spark
+    now = TextIndex.load(spark, path, index.config, index.max_tokens)
+    write_version(spark, path, now.version + 1, now.files, now.fragments, now.config, now.buckets)
+    commit(spark, path, now.version + 1, now.version + 1)
     return TextIndex.load(spark, path, index.config, index.max_tokens)
 
 
-__all__ = ["upsert", "delete", "clear", "apply_changes", "latest_versions", "DEFAULT_BUCKETS"]
+__all__ = ["upsert", "delete", "clear", "apply_changes", "compact", "latest_versions", "DEFAULT_BUCKETS"]

@@ -4,10 +4,12 @@ Three forms, one API (``TextIndex``):
 
 * lazy - built from a ``files`` frame, re-derived by every read (the registered
   queries use it, so their work grows with the input);
-* path layout (``write`` / ``load``) - all three tables partitioned by
+* path layout (``write`` / ``load``) - all three tables partitioned by ``version`` and
   ``bucket = pmod(file_id, buckets)``: one book's rows share a directory
-  (partition pruning for single-book reads and for selective results, upkeep
-  rewrites only touched buckets);
+  (partition pruning for single-book reads and for selective results). Upkeep appends
+  a version with the changed books only; a row counts if no later version names its
+  book. One marker per version in ``_commits`` makes its rows of all three tables
+  visible together, to indexes loaded after it; ``compact`` folds versions into one;
 * catalog tables (``write_tables`` / ``load_tables`` / ``attach_tables``) - all
   three bucketed by ``file_id`` into the same number of buckets, so searches
   run co-located, without shuffles.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +42,16 @@ FRAGMENT_COLUMNS = [
 ]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
 META_SCHEMA = "buckets int, config string, max_tokens int"
+COMMIT_SCHEMA = "version long, base long"
+# Books that a version replaces or deletes.
+CHANGED_SCHEMA = "file_id long, version long"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
-    "files": FILES_SCHEMA + ", bucket int",
+    "files": FILES_SCHEMA + ", version long, bucket int",
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
     "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, "
-    "filename string, title string, author string, bucket int",
-    "postings": "lexeme string, file_id long, sequence_no int, pos int, word_offset int, bucket int",
+    "filename string, title string, author string, version long, bucket int",
+    "postings": "lexeme string, file_id long, sequence_no int, pos int, word_offset int, version long, bucket int",
 }
 
 
@@ -69,6 +75,7 @@ class TextIndex:
         max_tokens: int | None = DEFAULT_MAX_TOKENS,
         co_partitioned: bool = False,
         buckets: int = DEFAULT_BUCKETS,
+        version: int = 0,
     ):
         self.files = files
         self.fragments = frags
@@ -80,6 +87,8 @@ class TextIndex:
         self.co_partitioned = co_partitioned
         # number of bucket directories of the path layout
         self.buckets = int(buckets)
+        # newest version of the path layout that this index shows
+        self.version = int(version)
 
     def cache(self) -> "TextIndex":
         """Keep a lazy index's tables in executor memory (spilling to disk) for
@@ -120,7 +129,7 @@ class TextIndex:
         frags = self.fragments
         if file_id is not None:
             frags = frags.filter(F.col("file_id") == file_id)
-        return postings(frags, lexemes, self.config)
+        return postings(frags, lexemes, self.config, offsets=True)
 
     def fragment_rows(self, file_id: int | None = None) -> DataFrame:
         f = self.fragments
@@ -190,7 +199,7 @@ class TextIndex:
         save(not_null_checked(self.files.select(*FILES_COLUMNS)), f"{name}_files", ["file_id"])
         save(self.fragments.select(*FRAGMENT_COLUMNS), f"{name}_fragments", ["file_id", "sequence_no"])
         frags = self.spark.table(f"{name}_fragments")
-        save(postings(frags, config=self.config), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
+        save(postings(frags, config=self.config, offsets=True), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
         if path is not None:
             meta = [(buckets, self.config, self.max_tokens)]
             self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(
@@ -210,7 +219,7 @@ class TextIndex:
             "postings": "lexeme, file_id, sequence_no, pos",
         }
         for table, sort in sorts.items():
-            cols = TABLE_SCHEMAS[table].replace(", bucket int", "")
+            cols = TABLE_SCHEMAS[table].replace(", version long, bucket int", "")
             location = os.path.join(path, f"{name}_{table}").replace("'", "\\'")
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name}_{table} ({cols}) USING parquet "
@@ -236,41 +245,19 @@ class TextIndex:
     def write(self, path: str, mode: str = "overwrite", buckets: int | None = None) -> "TextIndex":
         """Write files, fragments and postings under ``path``; return the loaded index.
 
-        ``buckets`` (default: this index's) sets the number of ``bucket=``
-        directories; upkeep rewrites whole buckets, so size them to the
-        update batches (thousands at 100 TB)."""
+        ``buckets`` (default: this index's) sets the number of ``bucket=`` directories
+        of each version."""
         n = int(buckets or self.buckets)
-        # Range partitioning on (bucket, key): many tasks share a big bucket, each
-        # writes one sorted key range, so file statistics stay tight at any size.
-        from quire.sources.books import not_null_checked
-
-        files = not_null_checked(self.files.select(*FILES_COLUMNS)).withColumn("bucket", bucket_of("file_id", n))
-        frags = self.fragments.withColumn("bucket", bucket_of("file_id", n))
-        (
-            files.repartitionByRange("bucket", "file_id")
-            .sortWithinPartitions("bucket", "file_id")
-            .write.mode(mode)
-            .partitionBy("bucket")
-            .parquet(os.path.join(path, "files"))
-        )
-        (
-            frags.repartitionByRange("bucket", "file_id", "sequence_no")
-            .sortWithinPartitions("bucket", "file_id", "sequence_no")
-            .write.mode(mode)
-            .partitionBy("bucket")
-            .parquet(os.path.join(path, "fragments"))
-        )
-        frags_written = read_table(self.spark, path, "fragments").drop("bucket")
-        posts = postings(frags_written, config=self.config).withColumn("bucket", bucket_of("file_id", n))
-        (
-            posts.repartitionByRange("bucket", "lexeme", "file_id")
-            .sortWithinPartitions("bucket", "lexeme", "file_id", "sequence_no", "pos")
-            .write.mode(mode)
-            .partitionBy("bucket")
-            .parquet(os.path.join(path, "postings"))
-        )
+        if mode != "overwrite":
+            raise ValueError("a written index is replaced as a whole; change it with apply_changes")
+        for name in TABLE_SCHEMAS:  # no version of an index that stood here before stays
+            empty = self.spark.createDataFrame([], TABLE_SCHEMAS[name])
+            empty.write.mode("overwrite").partitionBy("version", "bucket").parquet(os.path.join(path, name))
+        self.spark.createDataFrame([], CHANGED_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(os.path.join(path, "changed"))
         meta = [(n, self.config, self.max_tokens)]
         self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
+        write_version(self.spark, path, 0, self.files, self.fragments, self.config, n)
+        self.spark.createDataFrame([(0, 0)], COMMIT_SCHEMA).coalesce(1).write.mode("overwrite").partitionBy("version").json(os.path.join(path, "_commits"))
         return TextIndex.load(self.spark, path)
 
     @classmethod
@@ -300,21 +287,65 @@ class TextIndex:
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "postings"))
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        try:
+            return bool(spark.read.schema(META_SCHEMA).json(os.path.join(path, "_meta")).take(1))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
 
     @classmethod
     def load(
         cls, spark: SparkSession, path: str, config: str | None = None, max_tokens: int | None = None
     ) -> "TextIndex":
-        """Open a written index; settings not given come from its ``_meta``."""
+        """Open the newest committed version of a written index; settings not given come
+        from its ``_meta``."""
         meta = spark.read.schema(META_SCHEMA).json(os.path.join(path, "_meta")).first()
+        commits = spark.read.schema(COMMIT_SCHEMA).json(os.path.join(path, "_commits"))
+        version, base = commits.orderBy(F.col("version").desc()).select("version", "base").first()
+        shown = {name: live_rows(spark, path, name, base, version) for name in TABLE_SCHEMAS}
         return cls(
-            read_table(spark, path, "files"),
-            read_table(spark, path, "fragments"),
-            read_table(spark, path, "postings"),
+            shown["files"],
+            shown["fragments"],
+            shown["postings"],
             config or meta["config"],
             max_tokens if max_tokens is not None else meta["max_tokens"],
             buckets=meta["buckets"],
+            version=version,
         )
+
+
+def live_rows(spark: SparkSession, path: str, name: str, base: int, version: int) -> DataFrame:
+    """The rows of a table that count at ``version``: of each book those of the newest
+    version that names it. Only books changed since ``base`` (the last compaction) are
+    joined; an index without changes is read as it is."""
+    rows = read_table(spark, path, name).filter((F.col("version") >= base) & (F.col("version") <= version))
+    if version == base:
+        return rows
+    changed = spark.read.schema(CHANGED_SCHEMA).parquet(os.path.join(path, "changed"))
+    changed = changed.filter((F.col("version") > base) & (F.col("version") <= version))
+    newest = changed.groupBy("file_id").agg(F.max("version").alias("_newest"))
+    return rows.join(newest, "file_id", "left").filter(F.col("_newest").isNull() | (F.col("version") == F.col("_newest"))).drop("_newest")
+
+
+def write_version(spark: SparkSession, path: str, version: int, files: DataFrame, frags: DataFrame, config: str, buckets: int) -> None:
+    """Write one version's rows of all three tables (invisible until its commit). A
+    repeated attempt replaces the same folders.
+
+    Range partitioning on (bucket, key): many tasks share a big bucket, each writes one
+    sorted key range, so file statistics stay tight at any size."""
+    from quire.sources.books import not_null_checked
+
+    def save(df: DataFrame, name: str, key: str, order: list[str]) -> None:
+        df = df.withColumn("bucket", bucket_of("file_id", buckets)).repartitionByRange("bucket", key, "file_id")
+        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, name, f"version={version}"))
+
+    save(not_null_checked(files.select(*FILES_COLUMNS)), "files", "file_id", ["file_id"])
+    save(frags.select(*FRAGMENT_COLUMNS), "fragments", "file_id", ["file_id", "sequence_no"])
+    own = read_table(spark, path, "fragments").filter(F.col("version") == version).drop("version", "bucket")
+    save(postings(own, config=config, offsets=True), "postings", "lexeme", ["lexeme", "file_id", "sequence_no", "pos"])
+
+
+def commit(spark: SparkSession, path: str, version: int, base: int) -> None:
+    """Make a version visible: one small file."""
+    spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").json(os.path.join(path, "_commits", f"version={version}"))

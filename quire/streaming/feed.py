@@ -3,9 +3,9 @@
 A file source (Parquet rows of ``documents`` by default) feeds
 ``foreachBatch``; each micro-batch keeps the newest version of every book (by
 ``order_col``, else by file modification time, path and row in the file),
-then rewrites only the index buckets its books fall in (``apply_changes``).
-A batch replayed after a failure rewrites the same buckets with the same rows,
-so the sink is idempotent and the checkpoint gives exactly-once results.
+then appends them as a version of the index (``apply_changes``). A batch replayed
+after a failure puts the same rows over the same books, so the sink is idempotent
+and the checkpoint gives exactly-once results.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ def start_index_feed(
     buckets: int | None = None,
 ) -> StreamingQuery:
     """Start the feed; ``available_now`` processes what is there and stops.
-    ``buckets`` sizes a new index (each micro-batch rewrites the buckets its
-    books fall in)."""
+    ``buckets`` sizes a new index. Call ``compact`` now and then: every version
+    since the last is joined out of each read."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -97,8 +97,8 @@ def book_batches(
 ):
     """``foreachBatch`` function for raw book files ``(path, mtime, value)``:
     parse (strict parser), keep the newest delivery of each file name, reuse the
-    id of a known file name and number new ones after the largest id, then
-    rewrite the touched buckets. Rejected files go to
+    id of a known file name and number new ones after the largest id, then append
+    them as a version. Rejected files go to
     ``<index_path>/_rejects/epoch=<batch>`` (or raise with ``strict``). Every
     step is idempotent, so a replayed batch leaves the same index."""
     from quire.functions.text import DEFAULT_MAX_TOKENS

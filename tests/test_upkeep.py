@@ -133,3 +133,42 @@ def test_book_file_feed(spark, tmpdir_path):
     assert search_files(idx, "old <-> man", "logical").count() == 0  # old text of a.txt is gone
     rejected = spark.read.parquet(os.path.join(path, "_rejects")).collect()
     assert [os.path.basename(r.path) for r in rejected] == ["bad.txt"]
+
+
+def test_written_bytes_grow_with_the_batch(spark, tmpdir_path):
+    """A change appends its own rows; searches and compaction see them as a rebuild."""
+    from quire.operators.upkeep import compact
+    from quire.plans.search import search_files
+    from quire.sources.corpus import corpus_files
+
+    path = os.path.join(tmpdir_path, "idx")
+    files = corpus_files(spark, "/root/testdata/sf0.001")
+    first = TextIndex.build(files, 60).write(path, buckets=4)
+
+    def size(version):
+        return sum(os.path.getsize(os.path.join(d, f)) for t in ("files", "fragments", "postings") for d, _, fs in os.walk(os.path.join(path, t, f"version={version}")) for f in fs)
+
+    change = files.filter("file_id = 7").withColumn("content", F.lit("whales of the sea"))
+    idx = apply_changes(first, path, changes=change, deleted_ids=spark.createDataFrame([(9,)], "file_id long"))
+    assert 0 < size(1) < size(0) / 20
+    assert first.fragments.filter("file_id = 9").count() > 0  # a loaded index keeps showing its version
+    rebuilt = TextIndex.build(files.filter("file_id not in (7, 9)").unionByName(change), 60)
+    for now in (idx, compact(idx, path)):
+        assert frag_set(now) == frag_set(rebuilt)
+        for strategy in ("ts_fast_headline", "ts_semantic_headline"):
+            want = sorted(map(tuple, search_files(rebuilt, "of <-> the", "logical", strategy).collect()))
+            assert sorted(map(tuple, search_files(now, "of <-> the", "logical", strategy).collect())) == want
+    assert TextIndex.load(spark, path).version == 2
+    # a version without its marker does not count
+    os.makedirs(os.path.join(path, "changed", "version=3"), exist_ok=True)
+    files.select("file_id").write.mode("overwrite").parquet(os.path.join(path, "changed", "version=3"))
+    assert frag_set(TextIndex.load(spark, path)) == frag_set(rebuilt)
+
+
+def test_two_versions_without_an_order_fail(spark):
+    import pytest
+
+    idx = TextIndex.build(spark.createDataFrame([(1, "g1", "G1", "A", G1)], SCHEMA), 8)
+    twice = spark.createDataFrame([(1, "g1", "G1", "A", "x"), (1, "g1", "G1", "A", "y")], SCHEMA)
+    with pytest.raises(Exception, match="two versions of one book"):
+        upsert(idx, twice).fragments.collect()
