@@ -157,7 +157,8 @@ class WordEncoder:
     text are those of its words in order. Where it also splits letters from what
     follows, a word's closing run of ASCII non-letters is a part of its own; where
     it lowers letters, parts that differ in A-Z / a-z only are one. Parts are kept
-    by 64-bit hash, at most ``CACHED_WORDS`` (then the store starts anew)."""
+    by 64-bit hash, at most ``CACHED_WORDS`` or a block's own (then the store
+    starts anew)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -178,8 +179,6 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > CACHED_WORDS and len(self.keys):
-            self._clear()
         ids, sizes, raw = [], [], data.tobytes()
         for a in range(0, len(keys), 4096):
             joined = b" ".join([raw[s:e] for s, e in zip(starts[a : a + 4096].tolist(), ends[a : a + 4096].tolist())])
@@ -218,10 +217,13 @@ class WordEncoder:
             starts, ends, bounds = *parts, places[bounds]
         keys, first, back = np.unique(hash_spans(lowered(block.data) if self.lower else block.data, starts, ends), return_index=True, return_inverse=True)
         place, missing = self._places(keys)
-        while missing.any():  # again if the store was begun anew
+        if len(self.keys) + int(missing.sum()) > CACHED_WORDS:  # begin anew with this block's parts
+            self._clear()
+            missing[:] = True
+        if missing.any():
             fresh = first[missing]
             self._learn(keys[missing], block.data, starts[fresh], ends[fresh])
-            place, missing = self._places(keys)
+            place, _ = self._places(keys)
         size = self.sizes[place][back]
         total = np.concatenate([[0], np.cumsum(size)])[bounds]
         firsts = total + np.arange(block.n + 1)
