@@ -80,3 +80,62 @@ def mixing_ctes(documents: str, rounds: int = 8, temper: float = 0.9) -> str:
 def mixing(documents: str) -> str:
     return f"""WITH {mixing_ctes(documents)}
 SELECT doc_id, m_source AS source, m_lang AS lang, m_topic AS topic, mix_tokens AS n_tokens, round(p, 9) AS probability FROM drawn"""
+
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+
+def _base32(hex40: str) -> str:
+    """Base32 of 20 bytes given as 40 hex digits: five digits are four characters."""
+    out = []
+    for g in range(8):
+        value = f"('0x' || substr({hex40}, {5 * g + 1}, 5))::BIGINT"
+        out += [f"substr({_BASE32}, (({value} >> {shift}) & 31)::INT + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(out)
+
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+g AS (SELECT body, max(page_id) AS first FROM p GROUP BY body)
+SELECT p.page_id, octet_length(encode(p.body))::BIGINT AS payload_bytes, {_base32('p.sha')} AS payload_digest,
+       CASE WHEN p.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = g.first THEN NULL ELSE g.first END AS refers_to
+FROM p JOIN g USING (body)
+"""
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.a, ways.v FROM reach JOIN ways ON reach.b = ways.u
+), least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+# Inside texts a control string gets one backslash after its first character.
+_ESCAPED = r"regexp_replace({x}, '([<\[])(\\*(?:/s>|s>|/INST\]|INST\]))', '\1\\\2', 'g')"
+
+CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         3 + sum(17 + length({_ESCAPED.format(x='role')}) + length({_ESCAPED.format(x='text')})) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM t
+"""

@@ -99,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": oracles.WARC,
+    "op6_near_dedup": oracles.NEAR_DEDUP,
     "op7_line_dedup": oracles.LINE_DEDUP,
+    "op9_chat": oracles.CHAT,
     "op10_mixing": oracles.mixing("documents"),
 }
