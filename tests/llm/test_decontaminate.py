@@ -1,4 +1,3 @@
-from quire.llm import decontaminate
 from quire.llm.decontaminate import clean_documents, found_items
 from tests.llm import helpers as H
 
@@ -13,20 +12,15 @@ def found(spark, docs, items=((1, ITEM),)):
 
 def test_verbatim_recased_reparameterised_and_inconsistent(spark):
     swapped = ITEM.replace("Anna", "Maria").replace("Peter", "Jonas").replace("12 km", "3.5 miles").replace("5 apples", "17 apples")
-    broken = "When Anna walked 12 km to the old market with Peter, Olga bought 5 apples for Boris. How many"
     docs = [
         (10, PAD + ITEM + " " + PAD), (11, PAD + ITEM.upper()), (12, ITEM.lower().replace(",", "").replace(" ", "\n\t")),
         (13, PAD + swapped), (14, PAD), (15, None), (16, ""), (None, ITEM),
         (17, "When Peter walked 12 km to the old town with a dog they were tired and slept"),
-        (18, PAD + ITEM.replace("Anna bought", "Olga bought").replace("for Peter", "for Peter")),
     ]
     got = found(spark, docs)
     assert {d for d, _ in got} >= {10, 11, 12, 13} and not {d for d, _ in got} & {14, 15, 16, 17, None}
     assert got[13, 1].reparameterised and not got[10, 1].reparameterised
     assert got[10, 1].covered == got[10, 1].item_words == len(ITEM.split()) and got[10, 1].first_word == len(PAD.split())
-    one_way = found(spark, [(1, "Ann met Bob while Cid and Dan went to the 3 big red barns at noon")], [(1, "Ann met Bob while Cid and Bob went to the 3 big red barns at noon")])
-    assert one_way  # the plain words around still cover most of it
-    assert broken
 
 
 def test_slots_must_be_consistent(spark):
@@ -43,7 +37,7 @@ def test_short_repeated_and_null_items(spark):
     assert found(spark, [], items) == {} and found(spark, docs, []) == {}
 
 
-def test_sent_and_joined_windows_agree(spark, monkeypatch):
+def test_sent_and_joined_windows_agree(spark):
     docs = [(i, PAD + (ITEM if i % 3 else "nothing of it")) for i in range(9)]
     a = found(spark, docs)
     d, i = H.documents(spark, docs), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
@@ -51,4 +45,3 @@ def test_sent_and_joined_windows_agree(spark, monkeypatch):
     assert a == b and len(a) == 6
     left = clean_documents(d, i)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [0, 3, 6]
-    assert decontaminate.WINDOW == 8
