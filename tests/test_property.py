@@ -84,13 +84,13 @@ def test_matching_equals_contract(spark, texts, size, text):
         (k, q.atom_id(a), s, e) for k in want_frags for a in q.positive for s, e in spans(a, frags[k])
     }
     got_spans_df, got_frags_df = match(index, q)
-    got_frags = {(r.file_id, r.sequence_no) for r in got_frags_df.collect()}
-    assert got_frags == want_frags, text
+    got_frags = sorted((r.file_id, r.sequence_no) for r in got_frags_df.collect())
+    assert got_frags == sorted(want_frags), text  # lists: each once
     pos_ids = {q.atom_id(a) for a in q.positive}
-    got_spans = {
+    got_spans = sorted(
         ((r.file_id, r.sequence_no), r.atom, r.s, r.e) for r in got_spans_df.collect() if r.atom in pos_ids
-    }
-    assert got_spans == want_spans, text
+    )
+    assert got_spans == sorted(want_spans), text
 
 
 def holds(node, lex, s, e):
@@ -132,5 +132,5 @@ def test_covers_equal_definition(spark, texts, size, text):
                         and not holds(q.root, lex, s, e - 1):
                     want.add((k, s, e))
     spans_df, _ = match(index, q)
-    got = {((r.file_id, r.sequence_no), r.s, r.e) for r in covers(spans_df, q).collect()}
-    assert got == want, text
+    got = sorted(((r.file_id, r.sequence_no), r.s, r.e) for r in covers(spans_df, q).collect())
+    assert got == sorted(want), text
