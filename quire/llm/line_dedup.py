@@ -37,38 +37,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def placed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
-    """Lines with words of ``keyed(doc, doc_id, text)``, with their word offsets,
-    windows and selected fingerprints."""
+    """Lines with words of ``keyed(doc, doc_id, text)``: word offsets, and of the window
+    on each side (null where the text has too few words) its selected fingerprint with
+    its place, and the digest of all its lines."""
     lines = keyed.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc", "doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("digest"), F.regexp_count("line", F.lit(WORD)).alias("n")).filter("n > 0")
+    md5 = lambda c: F.unhex(F.md5(c))
+    lines = lines.select("doc", "doc_id", "pos", md5(F.col("line").cast("binary")).alias("digest"), F.regexp_count("line", F.lit(WORD)).alias("n")).filter("n > 0")
     one = lines.repartition("doc").dropDuplicates(["doc", "pos"])
     doc = Window.partitionBy("doc")
     start = F.coalesce(F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     one = one.withColumn("start", start).withColumn("end", F.col("start") + F.col("n")).withColumn("total", F.sum("n").over(doc))
     ahead = doc.orderBy("start").rangeBetween(0, min_words - 1)
     back = doc.orderBy("end").rangeBetween(1 - min_words, 0)
-    content = lambda w: F.md5(F.array_join(F.collect_list("digest").over(w), "").cast("binary"))
-    return one.select(
-        "doc", "doc_id", "pos", "n", "start", "end",
-        F.when(F.col("total") - F.col("start") >= min_words, F.min(F.struct("digest", "pos")).over(ahead)).alias("selected"),
-        F.when(F.col("total") - F.col("start") >= min_words, content(ahead)).alias("ahead"),
-        F.when(F.col("end") >= min_words, content(back)).alias("back"),
-    )
+
+    def window(w, whole) -> list:
+        hexed = F.array_join(F.transform(F.collect_list("digest").over(w), F.hex), "")
+        return [F.when(whole, F.min(F.struct("digest", "pos")).over(w)), F.when(whole, md5(hexed.cast("binary")))]
+
+    # a line of min_words is the same window on both sides
+    sides = window(ahead, F.col("total") - F.col("start") >= min_words) + window(back, (F.col("end") >= min_words) & (F.col("n") < min_words))
+    return one.select("doc", "doc_id", "pos", "n", "start", "end", *[c.alias(name) for c, name in zip(sides, ("print_a", "lines_a", "print_b", "lines_b"))])
 
 
 def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, pos, n) of the lines to delete."""
     placed = written(placed_lines(keyed, min_words), run_folder(keyed.sparkSession, "lines"))
-    prints = placed.filter("selected is not null").select("doc", F.col("selected.digest").alias("print"), F.col("selected.pos").alias("at")).distinct()
-    shared = prints.groupBy("print").agg(F.count("*").alias("places")).filter("places > 1").select("print")
-    hit_docs = prints.join(shared, "print").select("doc").distinct()
-
-    ahead = placed.filter("selected is not null").withColumn("print", F.col("selected.digest")).join(shared, "print")
-    back = placed.filter("back is not null").join(hit_docs, "doc")
-    place = F.struct("doc_id", "doc", "pos").alias("place")
-    windows = ahead.select(F.lit("a").alias("side"), F.col("ahead").alias("content"), place).union(back.select(F.lit("b"), F.col("back"), place))
-    first = windows.groupBy("side", "content").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").drop("last")
-    later = windows.join(first, ["side", "content"]).filter(~F.col("place").eqNullSafe(F.col("first")))
+
+    def side(x: str) -> DataFrame:
+        fingerprint = [F.col(f"print_{x}.digest").alias("print"), F.xxhash64("doc", f"print_{x}.pos").alias("at")]
+        return placed.filter(F.col(f"print_{x}").isNotNull()).select(*fingerprint, F.lit(x).alias("side"), F.col(f"lines_{x}").alias("lines"), "doc_id", "doc", "pos")
+
+    windows = side("a").union(side("b"))
+    shared = windows.groupBy("print").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x < y").select("print")
+    # windows of shared fingerprints only; their whole lines decide
+    near = windows.join(shared, "print").select("side", "lines", F.struct("doc_id", "doc", "pos").alias("place"))
+    first = near.groupBy("side", "lines").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").drop("last")
+    later = near.join(first, ["side", "lines"]).filter(~F.col("place").eqNullSafe(F.col("first")))
     marks = later.groupBy(F.col("place.doc").alias("doc"), F.col("place.pos").alias("pos")).agg(F.max((F.col("side") == "a").cast("int")).alias("a"), F.max((F.col("side") == "b").cast("int")).alias("b"))
 
     marked = placed.select("doc", "pos", "n", "start", "end").join(marks.select("doc").distinct(), "doc").join(marks, ["doc", "pos"], "left")
