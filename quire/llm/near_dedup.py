@@ -49,6 +49,7 @@ BANDS = 32  # at most so many bands: their rows are what is shuffled
 BLOCK_MEMBERS = 512
 BLOCK_COLUMNS = 4096
 BLOCK_TEXTS = 2048
+BLOCK_BYTES = 4 << 20  # sketches make several hundred rounds per block
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -121,7 +122,7 @@ def prepare(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0)
-            for block in blocks(batch.column(1), rows=BLOCK_TEXTS):
+            for block in blocks(batch.column(1), limit=BLOCK_BYTES, rows=BLOCK_TEXTS):
                 value, bounds = shingle_sets(block, shingle)
                 coordinates = sketches(value, bounds)
                 bucket = np.zeros((block.n, bands), np.uint64)
@@ -150,7 +151,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), rows=BLOCK_TEXTS):
+            for block in blocks(batch.column(1), limit=BLOCK_BYTES, rows=BLOCK_TEXTS):
                 value, bounds = shingle_sets(block, shingle)
                 sets = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(sets, pa.binary())], names=["id", "set"])

@@ -44,6 +44,7 @@ END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 CACHED_WORDS = 2_000_000
 RANK_BITS = 512
+BLOCK_BYTES = 4 << 20  # parts are looked up once per block
 
 
 # ------------------------------------------------------------------ the codes
@@ -278,7 +279,7 @@ def write_token_files(docs: DataFrame, vocab: str, folder: str) -> DataFrame:
                 doc = batch.column(0)
                 null = np.asarray(doc.is_null())
                 ids_ = np.asarray(doc.fill_null(0), np.int64)
-                for block in blocks(batch.column(1)):
+                for block in blocks(batch.column(1), BLOCK_BYTES):
                     ids, firsts = enc.encode(block)
                     rows = slice(block.first, block.first + block.n)
                     held.append((ids, ids_[rows], null[rows], np.diff(firsts)))
