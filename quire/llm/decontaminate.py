@@ -7,10 +7,13 @@ Words lose ASCII punctuation at both ends and A-Z is lowered. A template replace
 * units (``UNITS``) right after a number, or joined to one (``5kg``)      -> <unit>
 * names (a capital A-Z first, then small letters; not opening a sentence) -> <name>
 
-and keeps the replaced word as the slot's value. Two kinds of windows of
+and keeps the replaced word as the slot's value. Three kinds of windows of
 ``WINDOW`` words are hashed: *plain* (numbers and units replaced, names kept as
-words, so that a change of case does not matter) and *template* (names replaced
-as well). A window needs ``MIN_FIXED`` words that are not slots.
+words, so that a change of case does not matter), *template* (names replaced as
+well) and *verbatim* (nothing replaced). Plain and template windows need
+``MIN_FIXED`` words that are not slots; verbatim ones need nothing, so a copy of
+any item is found, sums, tables and number series too. In scripts written without
+blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) a character is a word.
 
 1. Windows of all items; then one pass over the documents that emits only those
    of their windows whose hash an item has (the items' hashes are sent to the
@@ -18,11 +21,13 @@ as well). A window needs ``MIN_FIXED`` words that are not slots.
    of the documents goes to the join, same result).
 2. Hash join of windows; for each (document, item, diagonal = shift between both)
    the slots must be consistent: a value of the item always became the same value
-   of the document and no two became one, in each of num / name / unit.
+   of the document and no two became one, in each of num / name / unit. Verbatim
+   windows count whatever the slots.
 3. An item is found in a document if consistent windows cover ``MIN_PERCENT`` of
    the item's words on one diagonal, or ``MIN_RUN`` words in all; an item of
-   fewer words than a window must be found whole as a sequence of plain words
-   (``WINDOW`` shrinks to it, ``MIN_ITEM`` words at least).
+   fewer words than a window must be found whole (``WINDOW`` shrinks to it; with
+   placeholders from ``MIN_ITEM`` words on, verbatim from one word on if its words
+   hold ``MIN_BYTES`` bytes).
 
 Cases: null or blank texts have no windows; null ids of documents or items are
 ignored (they cannot be named in the result); equal items or documents: a row per
@@ -40,11 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import run_folder, written
-from quire.llm.textblocks import blocks, grams, hash_spans, lowered, mix64, words
+from quire.llm.textblocks import Words, blocks, grams, hash_spans, lowered, mix64, words
 
 WINDOW = 8
 MIN_ITEM = 4
 MIN_FIXED = 4
+MIN_BYTES = 3
 MIN_PERCENT = 50
 MIN_RUN = 13
 SENT_WINDOWS = 1_000_000
@@ -67,6 +73,7 @@ _DIGIT[48:58], _CAPITAL[65:91], _SMALL[97:123] = True, True, True
 _SMALL[128:] = True
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:"]] = True
+PLAIN, TEMPLATE, VERBATIM = 0, 1, 2
 _MEASURE = re.compile(rb"[0-9][0-9.,:/]*([a-z]+)$")
 
 
@@ -80,13 +87,40 @@ def _units() -> np.ndarray:
 _UNIT_HASHES = _units()
 
 
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each character of a script written without blanks."""
+    second = np.append(data[1:], np.uint8(0))
+    three = (data >= 0xE3) & (data <= 0xE9)  # U+3000 .. U+9FFF
+    three |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+    three |= (data == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    four = (data == 0xF0) & (second >= 0xA0)  # U+20000 and beyond
+    at = np.flatnonzero(three | four)
+    return at, np.minimum(at + 3 + four[at], len(data))
+
+
+def _split(w: Words, data: np.ndarray) -> Words:
+    """Words cut before and after every such character."""
+    at, after = _unspaced(data)
+    if not len(at):
+        return w
+    inside = np.zeros(len(data) + 1, bool)  # a cut at a word's own edge changes nothing
+    inside[at] = inside[after] = True
+    inside[w.ends] = False
+    inside[w.starts] = True
+    blank = np.ones(len(data) + 1, np.int8)
+    blank[:-1] = np.cumsum(np.bincount(w.starts, minlength=len(data) + 1) - np.bincount(w.ends, minlength=len(data) + 1))[:-1] == 0
+    starts = np.flatnonzero(inside & (blank == 0))
+    stop = np.minimum(np.append(starts[1:], len(data)), w.ends[np.searchsorted(w.starts, starts, side="right") - 1])
+    return Words(starts, stop, np.searchsorted(starts, np.append(w.starts, len(data))[w.bounds]))
+
+
 class Canonical:
     """The words of a block without blank-only parts: plain hash, slot kind
     (0 none, 1 num, 2 name, 3 unit) and byte span of each."""
 
     def __init__(self, block):
-        w = words(block, hashed=False)
         data = block.data
+        w = _split(words(block, hashed=False), data)
         inner = np.where(~_EDGE[data], np.arange(len(data)), -1)
         last = np.maximum.accumulate(inner) if len(data) else inner
         nxt = np.where(~_EDGE[data], np.arange(len(data)), len(data))
@@ -125,17 +159,23 @@ class Canonical:
         self.template = np.where(name & ~num & ~unit, NAME, self.plain)
 
     def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(channel, hashes, first words): plain windows, then those with names."""
+        """(channel, hashes, first words): plain windows, those with names, verbatim ones."""
         fixed = np.concatenate([[0], np.cumsum(self.kind == 0)])
         named = np.concatenate([[0], np.cumsum(self.kind == 2)])
-        for channel, what in enumerate((self.plain, self.template)):
+        chars = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        for channel, what in enumerate((self.plain, self.template, self.word)):
             h, at = grams(what, self.bounds, size)
-            loose = fixed[at + size] - fixed[at]
-            names = named[at + size] - named[at]
-            ok = loose + (names if channel == 0 else 0) >= min(MIN_FIXED, size)
-            if channel:
-                ok &= names > 0  # else the plain window says it all
-            yield channel, mix64(h[ok] ^ np.uint64(2 * size + channel)), at[ok]
+            if channel == VERBATIM:
+                ok = chars[at + size] - chars[at] >= MIN_BYTES
+            elif size < MIN_ITEM:
+                continue
+            else:
+                loose = fixed[at + size] - fixed[at]
+                names = named[at + size] - named[at]
+                ok = loose + (names if channel == PLAIN else 0) >= min(MIN_FIXED, size)
+                if channel == TEMPLATE:
+                    ok &= names > 0  # else the plain window says it all
+            yield channel, mix64(h[ok] ^ np.uint64(3 * size + channel)), at[ok]
 
 
 _UNIT_SET = set(UNITS)
@@ -165,8 +205,10 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes, wanted: np.ndarray | None
                         at, part = at_[some], row_[some]
                         span = (at[:, None] + np.arange(size)).reshape(-1)
                         kind = c.kind[span].copy()
-                        if channel == 0:
+                        if channel == PLAIN:
                             kind[kind == 2] = 0
+                        elif channel == VERBATIM:
+                            kind[:] = 0
                         is_slot = kind > 0
                         per = is_slot.reshape(-1, size).sum(axis=1)
                         slots = pa.ListArray.from_arrays(
@@ -189,7 +231,7 @@ def found_items(docs: DataFrame, items: DataFrame, sent: int = SENT_WINDOWS) ->
     item found in it: doc_id, item_id, covered (words of the item), item_words,
     reparameterised (a slot's value differs), first_word (place in the document)."""
     spark: SparkSession = docs.sparkSession
-    sizes = list(range(MIN_ITEM, WINDOW + 1))
+    sizes = list(range(1, WINDOW + 1))
     item_rows = _named(items, "item_id").mapInArrow(lambda b: _windows(b, sizes, None), WINDOW_SQL)
     item_windows = written(item_rows, run_folder(spark, "templates"))
     hashes = item_windows.select("h", "size").distinct()
@@ -211,13 +253,13 @@ def found_items(docs: DataFrame, items: DataFrame, sent: int = SENT_WINDOWS) ->
     hits = d.join(i, ["h", "channel", "size"])
     # a diagonal holds at most the item's own windows, so its sets are bounded by the item
     value = F.transform(F.arrays_zip("slots", "doc_slots"), lambda z: F.struct(z["slots"]["kind"].alias("kind"), z["slots"]["value"].alias("of"), z["doc_slots"]["value"].alias("to")))
-    plain = F.col("channel") == 0
+    plain = F.col("channel") != TEMPLATE
     diagonal = hits.withColumn("value", value).groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.first("length").alias("length"),
         F.first("size").alias("size"),
         *[
             x
-            for tag, when in (("plain", plain), ("all", F.lit(True)))
+            for tag, when in (("plain", plain), ("verbatim", F.col("channel") == VERBATIM), ("all", F.lit(True)))
             for x in (
                 F.collect_set(F.when(when, F.col("pos"))).alias(f"{tag}_at"),
                 F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col("value"))))).alias(f"{tag}_slots"),
@@ -234,8 +276,8 @@ def found_items(docs: DataFrame, items: DataFrame, sent: int = SENT_WINDOWS) ->
         consistent = (kinds("of") == F.size(slots)) & (kinds("to") == F.size(slots))
         return F.when(consistent, F.struct(covered.alias("covered"), same.alias("same")))
 
-    # all windows together, or the plain ones alone where a name was replaced inconsistently
-    diagonal = diagonal.select("doc_id", "item_id", "shift", "length", F.greatest(judged("all"), judged("plain")).alias("j")).select("doc_id", "item_id", "shift", "length", "j.*")
+    # all windows together, or those without names or without any slot where the slots are inconsistent
+    diagonal = diagonal.select("doc_id", "item_id", "shift", "length", F.greatest(judged("all"), judged("plain"), judged("verbatim")).alias("j")).select("doc_id", "item_id", "shift", "length", "j.*")
     enough = (100 * F.col("covered") >= MIN_PERCENT * F.col("length")) | (F.col("covered") >= MIN_RUN)
     best = F.max(F.struct("covered", "same", (-F.col("shift")).alias("at"))).alias("best")
     found = diagonal.filter(enough).groupBy("doc_id", "item_id").agg(F.first("length").alias("item_words"), best)

@@ -45,3 +45,18 @@ def test_sent_and_joined_windows_agree(spark):
     assert a == b and len(a) == 6
     left = clean_documents(d, i)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [0, 3, 6]
+
+
+def test_verbatim_copies_of_sums_short_items_and_unspaced_scripts(spark):
+    series = " ".join(str(7 * i % 61) for i in range(40))
+    table = "Year 2001 2002 2003 2004 2005 2006 2007 2008 Sales 11 12 13 14 15 16 17 18"
+    items = [(1, "Compute 12 + 34 * 56 - 78"), (2, "Define osmosis briefly"), (3, series), (4, table), (5, "東京の人口は何人ですか"), (6, "Photosynthesis?"), (7, "国")]
+    docs = [
+        (1, PAD + "Compute 12 + 34 * 56 - 78 " + PAD), (2, PAD + "define osmosis, briefly! " + PAD), (3, PAD + series), (4, PAD + table + " " + PAD),
+        (5, "次の質問:東京の人口は何人ですか?答えは"), (6, "what is photosynthesis"), (8, "Compute 12 + 34 * 56 - 79"), (9, "define osmosis very briefly"), (10, "東京の面積は"), (11, None),
+        (12, "中国 "),
+    ]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (12, 7)}
+    assert got[5, 5].covered == got[5, 5].item_words == 11 and got[5, 5].first_word == 4
+    assert got[3, 3].covered == 40 and not got[3, 3].reparameterised
