@@ -7,7 +7,9 @@ Words lose ASCII punctuation at both ends and A-Z is lowered. A template replace
 * units (``UNITS``) right after a number, or joined to one (``5kg``)      -> <unit>
 * names (a capital A-Z first, then small letters; not opening a sentence) -> <name>
 
-and keeps the replaced word as the slot's value. Three kinds of windows of
+and keeps the replaced word as the slot's value. Names, or numbers, that follow each
+other are one placeholder, their run is its value (``Anna Maria Berg``, ``3 1/2``).
+Three kinds of windows of
 ``WINDOW`` words are hashed: *plain* (numbers and units replaced, names kept as
 words, so that a change of case does not matter), *template* (names replaced as
 well) and *verbatim* (nothing replaced). Plain and template windows need
@@ -23,8 +25,13 @@ blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) a character is a word.
    the slots must be consistent: a value of the item always became the same value
    of the document and no two became one, in each of num / name / unit. Verbatim
    windows count whatever the slots.
-3. An item is found in a document if consistent windows cover ``MIN_PERCENT`` of
-   the item's words on one diagonal, or ``MIN_RUN`` words in all; an item of
+3. Words put in or left out, and runs of another length, move the rest of an item to
+   another diagonal. Diagonals less than the item's length apart are judged together
+   (bands of twice that length, each diagonal in two): from the one that covers most
+   on, each that covers more words of the item is added if its slots agree with those
+   before it.
+4. An item is found in a document if the windows so gathered cover ``MIN_PERCENT`` of
+   the item's words, or ``MIN_RUN`` words; an item of
    fewer words than a window must be found whole (``WINDOW`` shrinks to it; with
    placeholders from ``MIN_ITEM`` words on, verbatim from one word on if its words
    hold ``MIN_BYTES`` bytes).
@@ -154,48 +161,67 @@ class Canonical:
             found = _MEASURE.match(low[self.starts[i] : self.ends[i]].tobytes())
             num[i] = bool(found and found[1].decode() in _UNIT_SET)
         self.kind = np.where(num, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.int8)
-        self.word = plain
+        self.word, self.n = plain, block.n
         self.plain = np.where(num, NUM, np.where(unit, UNIT, plain))
         self.template = np.where(name & ~num & ~unit, NAME, self.plain)
 
-    def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(channel, hashes, first words): plain windows, those with names, verbatim ones."""
-        fixed = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        named = np.concatenate([[0], np.cumsum(self.kind == 2)])
-        chars = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
-        for channel, what in enumerate((self.plain, self.template, self.word)):
-            h, at = grams(what, self.bounds, size)
-            if channel == VERBATIM:
-                ok = chars[at + size] - chars[at] >= MIN_BYTES
-            elif size < MIN_ITEM:
-                continue
-            else:
-                loose = fixed[at + size] - fixed[at]
-                names = named[at + size] - named[at]
-                ok = loose + (names if channel == PLAIN else 0) >= min(MIN_FIXED, size)
-                if channel == TEMPLATE:
-                    ok &= names > 0  # else the plain window says it all
-            yield channel, mix64(h[ok] ^ np.uint64(3 * size + channel)), at[ok]
+    def channels(self) -> Iterator[Channel]:
+        yield Channel(PLAIN, self, self.plain, np.where(self.kind == 2, 0, self.kind))
+        yield Channel(TEMPLATE, self, self.template, self.kind)
+        yield Channel(VERBATIM, self, self.word, np.zeros_like(self.kind))
+
+
+class Channel:
+    """The words of a block with runs of names or numbers as one: hash, slot kind and
+    value of each element, and the word it begins at (``first``, one more at the end)."""
+
+    def __init__(self, number: int, c: Canonical, what: np.ndarray, kind: np.ndarray):
+        n = len(what)
+        begins = np.ones(n, bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] != 1) & (kind[1:] != 2)) | (c.row[1:] != c.row[:-1])
+        at = np.flatnonzero(begins)
+        self.number, self.first = number, np.append(at, n)
+        self.hashes, self.kind, self.row = what[at], kind[at], c.row[at]
+        self.bounds = np.searchsorted(self.row, np.arange(c.n + 1))
+        place = np.arange(n) - np.repeat(at, np.diff(self.first))
+        self.value = np.add.reduceat(mix64(c.word ^ mix64(place.astype(np.uint64))), at) if n else c.word
+        self.names = c.kind[at] == 2
+        self.chars = np.concatenate([[0], np.cumsum(c.ends - c.starts)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first elements."""
+        h, at = grams(self.hashes, self.bounds, size)
+        if self.number == VERBATIM:
+            ok = self.chars[at + size] - self.chars[at] >= MIN_BYTES
+        else:
+            fixed = np.concatenate([[0], np.cumsum(self.kind == 0)])
+            ok = fixed[at + size] - fixed[at] >= min(MIN_FIXED, size) if size >= MIN_ITEM else np.zeros(len(at), bool)
+            if self.number == TEMPLATE:
+                named = np.concatenate([[0], np.cumsum(self.names)])
+                ok &= named[at + size] > named[at]  # else the plain window says it all
+        return mix64(h[ok] ^ np.uint64(3 * size + self.number)), at[ok]
 
 
 _UNIT_SET = set(UNITS)
-WINDOW_SQL = "id long, channel int, size int, h long, pos long, length long, slots array<struct<kind:int,value:long>>"
+WINDOW_SQL = "id long, channel int, size int, h long, pos long, span int, length long, slots array<struct<kind:int,value:long>>"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Windows of texts (id, text); ``sizes``: by number of words, or a list."""
     slot = pa.struct([("kind", pa.int32()), ("value", pa.int64())])
-    schema = pa.schema([("id", pa.int64()), ("channel", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("pos", pa.int64()), ("length", pa.int64()), ("slots", pa.list_(slot))])
+    schema = pa.schema([("id", pa.int64()), ("channel", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("pos", pa.int64()), ("span", pa.int32()), ("length", pa.int64()), ("slots", pa.list_(slot))])
     for batch in batches:
         ids = np.asarray(batch.column(0))
         for block in blocks(batch.column(1)):
-            c = Canonical(block)
-            length = np.diff(c.bounds)
-            for size in sizes:
-                for channel, h, at in c.windows(size):
+            canonical = Canonical(block)
+            length = np.diff(canonical.bounds)
+            for c in canonical.channels():
+                elements = np.diff(c.bounds)
+                for size in sizes:
+                    h, at = c.windows(size)
                     row = c.row[at]
                     # an item is cut into windows of one size only: its own length if that is less
-                    keep = np.ones(len(at), bool) if wanted is not None else np.minimum(length[row], WINDOW) == size
+                    keep = np.ones(len(at), bool) if wanted is not None else np.minimum(elements[row], WINDOW) == size
                     if wanted is not None and len(wanted):
                         place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                         keep = wanted[place] == h
@@ -203,23 +229,22 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes, wanted: np.ndarray | None
                     for a in range(0, len(at_), 1 << 16):
                         some = slice(a, a + (1 << 16))
                         at, part = at_[some], row_[some]
-                        span = (at[:, None] + np.arange(size)).reshape(-1)
-                        kind = c.kind[span].copy()
-                        if channel == PLAIN:
-                            kind[kind == 2] = 0
-                        elif channel == VERBATIM:
-                            kind[:] = 0
+                        around = (at[:, None] + np.arange(size)).reshape(-1)
+                        kind = c.kind[around]
                         is_slot = kind > 0
                         per = is_slot.reshape(-1, size).sum(axis=1)
                         slots = pa.ListArray.from_arrays(
                             pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()),
-                            pa.StructArray.from_arrays([pa.array(kind[is_slot], pa.int32()), pa.array(c.word[span][is_slot].view(np.int64))], fields=list(slot)),
+                            pa.StructArray.from_arrays([pa.array(kind[is_slot], pa.int32()), pa.array(c.value[around][is_slot].view(np.int64))], fields=list(slot)),
                         )
-                        n = len(at)
+                        n, first = len(at), c.first[at]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[block.first + part], pa.int64()), pa.array(np.full(n, channel, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(h_[some].view(np.int64)), pa.array(at - c.bounds[part]), pa.array(length[part]), slots],
+                            [
+                                pa.array(ids[block.first + part], pa.int64()), pa.array(np.full(n, c.number, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(h_[some].view(np.int64)),
+                                pa.array(first - canonical.bounds[part]), pa.array(c.first[at + size] - first, pa.int32()), pa.array(length[part]), slots,
+                            ],
                             schema=schema,
-                        )
+                        )
 
 
 def _named(df: DataFrame, key: str) -> DataFrame:
@@ -247,40 +272,59 @@ def found_items(docs: DataFrame, items: DataFrame, sent: int = SENT_WINDOWS) ->
     doc_windows = _named(docs, "doc_id").mapInArrow(lambda b: _windows(b, used, shared.value), WINDOW_SQL)
 
     d = doc_windows.select(F.col("id").alias("doc_id"), "channel", "size", "h", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
-    i = item_windows.select(F.col("id").alias("item_id"), "channel", "size", "h", "pos", "length", "slots")
+    i = item_windows.select(F.col("id").alias("item_id"), "channel", "size", "h", "pos", "span", "length", "slots")
     if n <= sent:
         i = F.broadcast(i)  # n rows of equal size at most per distinct window; checked above
     hits = d.join(i, ["h", "channel", "size"])
     # a diagonal holds at most the item's own windows, so its sets are bounded by the item
     value = F.transform(F.arrays_zip("slots", "doc_slots"), lambda z: F.struct(z["slots"]["kind"].alias("kind"), z["slots"]["value"].alias("of"), z["doc_slots"]["value"].alias("to")))
-    plain = F.col("channel") != TEMPLATE
+    used_by = (("all", F.lit(True)), ("plain", F.col("channel") != TEMPLATE), ("verbatim", F.col("channel") == VERBATIM))
     diagonal = hits.withColumn("value", value).groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.first("length").alias("length"),
-        F.first("size").alias("size"),
         *[
             x
-            for tag, when in (("plain", plain), ("verbatim", F.col("channel") == VERBATIM), ("all", F.lit(True)))
+            for tag, when in used_by
             for x in (
-                F.collect_set(F.when(when, F.col("pos"))).alias(f"{tag}_at"),
+                F.collect_set(F.when(when, F.struct("pos", "span"))).alias(f"{tag}_at"),
                 F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col("value"))))).alias(f"{tag}_slots"),
             )
         ],
     )
 
-    def judged(tag: str):
-        """Words covered on the diagonal and whether a slot's value differs, if its slots are consistent."""
-        slots, at = F.col(f"{tag}_slots"), F.col(f"{tag}_at")
+    def consistent(slots):
         kinds = lambda name: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"].alias("kind"), s[name].alias("v")))))
-        covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("size") - 1)))))
-        same = ~F.exists(slots, lambda s: s["of"] != s["to"])
-        consistent = (kinds("of") == F.size(slots)) & (kinds("to") == F.size(slots))
-        return F.when(consistent, F.struct(covered.alias("covered"), same.alias("same")))
+        return (kinds("of") == F.size(slots)) & (kinds("to") == F.size(slots))
+
+    def covered(tag: str):
+        return F.array_distinct(F.flatten(F.transform(f"{tag}_at", lambda w: F.sequence(w["pos"], w["pos"] + w["span"] - 1))))
+
+    def judged(tag: str):
+        """What one kind of windows covers on the diagonal, if its slots are consistent."""
+        return F.when(consistent(F.col(f"{tag}_slots")), F.struct(covered(tag).alias("words"), F.col(f"{tag}_slots").alias("slots")))
 
     # all windows together, or those without names or without any slot where the slots are inconsistent
-    diagonal = diagonal.select("doc_id", "item_id", "shift", "length", F.greatest(judged("all"), judged("plain"), judged("verbatim")).alias("j")).select("doc_id", "item_id", "shift", "length", "j.*")
+    parts = F.array_compact(F.array(*[judged(tag) for tag, _ in used_by]))
+    pieces = diagonal.select("doc_id", "item_id", "shift", "length", F.explode(parts).alias("p")).filter("size(p.words) > 0")
+    # diagonals less than the item's length apart share a band; a band holds at most 2 x length of them
+    width = F.greatest("length", F.lit(WINDOW))
+    band = F.floor(F.col("shift") / width)
+    pieces = pieces.withColumn("band", F.explode(F.array(band, band - 1)))
+    # the largest first; the same diagonal's other kinds follow it and only add what it lacks
+    piece = F.struct((-F.size("p.words")).alias("less"), F.size("p.slots").alias("n_slots"), "shift", "p.words", "p.slots")
+    bands = pieces.groupBy("doc_id", "item_id", "band").agg(F.first("length").alias("length"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+
+    def gathered(so_far, x):
+        words, slots = F.array_union(so_far["words"], x["words"]), F.array_union(so_far["slots"], x["slots"])
+        more = (F.size(words) > F.size(so_far["words"])) & consistent(slots)
+        return F.when(more, F.struct(words.alias("words"), slots.alias("slots"))).otherwise(so_far)
+
+    first = F.col("pieces")[0]
+    start = F.struct(first["words"].alias("words"), first["slots"].alias("slots"))
+    bands = bands.select("doc_id", "item_id", "length", first["shift"].alias("shift"), F.aggregate(F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))), start, gathered).alias("g"))
+    bands = bands.select("doc_id", "item_id", "length", "shift", F.size("g.words").alias("covered"), (~F.exists("g.slots", lambda s: s["of"] != s["to"])).alias("same"))
     enough = (100 * F.col("covered") >= MIN_PERCENT * F.col("length")) | (F.col("covered") >= MIN_RUN)
     best = F.max(F.struct("covered", "same", (-F.col("shift")).alias("at"))).alias("best")
-    found = diagonal.filter(enough).groupBy("doc_id", "item_id").agg(F.first("length").alias("item_words"), best)
+    found = bands.filter(enough).groupBy("doc_id", "item_id").agg(F.first("length").alias("item_words"), best)
     return found.select(
         "doc_id", "item_id",
         F.col("best.covered").cast("long").alias("covered"),

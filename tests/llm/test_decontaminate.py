@@ -60,3 +60,28 @@ def test_verbatim_copies_of_sums_short_items_and_unspaced_scripts(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (12, 7)}
     assert got[5, 5].covered == got[5, 5].item_words == 11 and got[5, 5].first_word == 4
     assert got[3, 3].covered == 40 and not got[3, 3].reparameterised
+
+
+def test_changed_word_counts_split_an_item_over_diagonals(spark):
+    plain = "one may ask why rivers bend so often while canals stay straight over long flat plains where nothing stops them from turning at all"
+    w = plain.split()
+    more, less = [*w[:8], "perhaps", *w[8:16], "really", *w[16:]], "zero " * 60
+    named = "one may ask why rivers bend so for Anna Berg while canals stay straight by Peter Holm flat plains where nothing stops them today"
+    short = named.replace("Anna Berg", "Olga").replace("Peter Holm", "Ida")
+    long = named.replace("Anna Berg", "Olga Maria Klein").replace("Peter Holm", "Ida")
+    mixed = "Mix 3 1/2 cups of flour with warm milk then add 2 1/4 spoons of butter and bake"
+    items = [(1, plain), (2, named), (3, mixed)]
+    docs = [
+        (1, PAD + " ".join(more)), (2, PAD + short), (3, PAD + long + " " + PAD), (4, PAD + mixed.replace("3 1/2", "4").replace("2 1/4", "6")),
+        (5, " ".join([*w[:8], *less.split(), *w[16:]])), (6, PAD + plain + " " + plain),
+    ]
+    got = found(spark, docs, items)
+    assert set(got) >= {(1, 1), (2, 2), (3, 2), (4, 3), (6, 1)} and (5, 1) not in got
+    assert got[1, 1].covered == 24 and got[1, 1].first_word == len(PAD.split()) and not got[1, 1].reparameterised
+    assert got[2, 2].covered == 24 and got[2, 2].reparameterised and got[4, 3].reparameterised
+    assert got[6, 1].covered == 24 and got[6, 1].first_word == len(PAD.split())
+    # a slot's value must stay the same on all diagonals: 'Anna Berg' became two names
+    twice = "when Anna Berg walks over the old stone bridge then people greet Anna Berg with songs from the small town"
+    same, differ = twice.replace("Anna Berg", "Olga"), twice.replace("Anna Berg", "Olga", 1).replace("Anna Berg", "Ida")
+    got = found(spark, [(1, PAD + same), (2, PAD + differ)], [(9, twice)])
+    assert got[1, 9].covered == got[1, 9].item_words and got[2, 9].covered < got[2, 9].item_words
