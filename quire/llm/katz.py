@@ -220,11 +220,11 @@ class Chunk:
 
     def probabilities(self, upto: int, stats: Stats) -> np.ndarray:
         """P of every token by the model of order ``upto``."""
-        counts, _ = self.answer(1, self.vocab, "<u4", "u1")
+        counts, _ = self.answer(1, self.vocab, "<i8", "u1")
         p = stats.word_probability(counts.astype(np.int64))[self.codes]
         for n in range(2, upto + 1):
             keys, place = self.grams(n)
-            counts, _ = self.answer(n, keys, "<u4", "u1")
+            counts, _ = self.answer(n, keys, "<i8", "u1")
             c = counts.astype(np.int64)[place]
             contexts, at = np.unique(self.context(n), return_inverse=True)
             total, alpha = self.answer(CONTEXT + n, contexts, "<f8", "<f8")
@@ -275,7 +275,7 @@ def answer_counts(requests: DataFrame) -> DataFrame:
             owner[asked[first]] = 1
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
-                yield _row(chunk, kind, bucket, pack(counts[place[at : at + len(k)]].astype(np.uint32)), pack(owner[at : at + len(k)]))
+                yield _row(chunk, kind, bucket, pack(counts[place[at : at + len(k)]]), pack(owner[at : at + len(k)]))
                 at += len(k)
             n_r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[: K + 2]
             n_r[0] = 0
@@ -308,7 +308,7 @@ def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> Dat
     def work(chunk: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
         c = Chunk(group, buckets)
         keys, place = c.grams(n)
-        counts, owned = c.answer(n, keys, "<u4", "u1")
+        counts, owned = c.answer(n, keys, "<i8", "u1")
         first = np.zeros(len(keys), np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]  # a token of each n-gram
         mine = first[owned > 0]
@@ -371,7 +371,7 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, 1):
             c = Chunk(group, buckets)
-            counts = c.answer(1, c.vocab, "<u4", "u1")[0].astype(np.int64)
+            counts = c.answer(1, c.vocab, "<i8", "u1")[0].astype(np.int64)
             base = np.log10((counts + 1) / (stats.n + stats.v + 1))[c.codes]
             score = np.log10(c.probabilities(order, stats))
             at = c.bounds[:-1]  # every document has its end token

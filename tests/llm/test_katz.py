@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import katz
@@ -97,3 +98,19 @@ def test_nulls_repeats_and_no_training(spark):
 def test_discounts():
     assert model_discounts(np.array([0, 1000, 400, 200, 120, 80, 60])).tolist() != [1.0, 0.5]
     assert model_discounts(np.zeros(7)).tolist() == [1.0, 0.5]
+
+
+def test_corpus_counts_beyond_32_bits(spark):
+    """Two chunks of 3 * 10**9 copies of one word each: the count that goes back is their sum."""
+    keys, each = np.array([7, 9], np.uint64), np.array([3_000_000_000, 1], np.uint32)
+    rows = [(chunk, 1, 0, katz.pack(keys), katz.pack(each)) for chunk in (0, 1)]
+    answers = katz.answer_counts(spark.createDataFrame(rows, katz.ROW_SQL))
+    tokens = katz.pack(np.array([0, 1], np.int32), keys), katz.pack(np.zeros(1, np.int64), np.zeros(1, np.uint8), np.ones(1, np.uint8), np.array([0, 2]))
+    for chunk in (0, 1):
+        back = [r for r in answers.collect() if r.chunk == chunk]
+        table = pa.table({"kind": [katz.CODES, 1], "a": [tokens[0], back[0].a], "b": [tokens[1], back[0].b]}, schema=pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]))
+        c = katz.Chunk(table, 1)
+        stats = katz.read_stats(answers)
+        assert stats.n == 6_000_000_002
+        got = c.probabilities(1, stats)
+        assert abs(got[0] - 6e9 / stats.n) < 1e-6
