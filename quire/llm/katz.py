@@ -43,11 +43,12 @@ from quire.llm.shared import crc_fold, run_folder
 from quire.llm.textblocks import blocks, mix64, runs, words
 
 CHUNK_BYTES = 8 << 20
-ORDER = 2
+ORDER = 3
 K = 5
 CODES, CONTEXT = 0, 100  # kinds of rows; an order n >= 1 marks counts, CONTEXT + n contexts
 ROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 ROW_SQL = "chunk long, kind int, bucket long, a binary, b binary"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BEGIN, END = mix64(np.array([1, 2], np.uint64))
 
 
@@ -73,6 +74,15 @@ def unpack(blob, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in any order; ascending ones take less room, as their steps are small."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob) -> np.ndarray:
+    return np.cumsum(unpack(blob, "<u8")[0], dtype=np.uint64)
+
+
 def _row(chunk: int | None, kind: int, bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [kind], "bucket": [bucket], "a": [a], "b": [b]}, schema=ROW)
 
@@ -202,8 +212,9 @@ class Chunk:
         return np.unique(mix64(self.context(n) ^ self.vocab[self.codes]), return_inverse=True)
 
     def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys in bucket order: the order, the buckets met and where each begins."""
-        bucket = keys % np.uint64(self.buckets)
+        """Keys in bucket order: the order, the buckets met and where each begins.
+        A bucket is a range of keys, so ascending keys stay so and lie close together."""
+        bucket = (keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         met, begin = np.unique(bucket[order], return_index=True)
         return order, met.astype(np.int64), np.append(begin, len(keys))
@@ -255,7 +266,7 @@ def count_requests(encoded: DataFrame, order: int, buckets: int) -> DataFrame:
                     by, met, begin = c.dealt(keys)
                     keys, counts = keys[by], counts[by]
                     for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-                        yield _row(chunk, n, bucket, pack(keys[a:b]), pack(counts[a:b]))
+                        yield _row(chunk, n, bucket, pack_keys(keys[a:b]), pack(counts[a:b]))
 
     return encoded.mapInArrow(run, ROW_SQL)
 
@@ -265,7 +276,7 @@ def answer_counts(requests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
-            keys = [unpack(x.as_buffer(), "<u8")[0] for x in group["a"]]
+            keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
             own = np.concatenate([unpack(x.as_buffer(), "<u4")[0] for x in group["b"]])
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.bincount(place, weights=own, minlength=len(uniq)).astype(np.int64)
@@ -313,39 +324,48 @@ def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> Dat
         first[place[::-1]] = np.arange(len(place))[::-1]  # a token of each n-gram
         mine = first[owned > 0]
         lower = c.probabilities(n - 1, stats)[mine]
-        contexts, at = np.unique(c.context(n), return_inverse=True)
-        at, k = at[mine], counts[owned > 0].astype(np.int64)
-        sums = np.stack([np.bincount(at, weights=x, minlength=len(contexts)) for x in (k, discounted(k, stats.d[n]), lower)], axis=1)
+        contexts, whole = np.unique(c.context(n), return_inverse=True)
+        at, k = whole[mine], counts[owned > 0].astype(np.int64)
+        backs_off = np.zeros(len(contexts))  # alpha is asked for where a token of the chunk has no count
+        backs_off[whole[(counts == 0)[place]]] = 1
+        sums = np.stack([*[np.bincount(at, weights=x, minlength=len(contexts)) for x in (k, discounted(k, stats.d[n]), lower)], backs_off], axis=1)
         by, met, begin = c.dealt(contexts)
         contexts, sums = contexts[by], sums[by]
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            yield _row(chunk, CONTEXT + n, bucket, pack(contexts[a:b]), pack(sums[a:b]))
+            yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[a:b].T))
 
     return _chunks(rows, work)
 
 
 def answer_contexts(requests: DataFrame) -> DataFrame:
-    """Denominator and alpha of each context back to the chunks that hold it."""
+    """Denominator and alpha (0 where not asked for) of each context back to the chunks that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
-            keys = [unpack(x.as_buffer(), "<u8")[0] for x in group["a"]]
-            sums = np.concatenate([unpack(x.as_buffer(), "<f8")[0].reshape(-1, 3) for x in group["b"]])
+            keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
+            sums = np.concatenate([np.stack(unpack(x.as_buffer(), *["<f8"] * 4), axis=1) for x in group["b"]])
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             total, mass, lower = (np.bincount(place, weights=sums[:, i], minlength=len(uniq)) for i in range(3))
             alpha, below = context_weights(total, mass, lower), denominator(total, mass)
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
                 here = place[at : at + len(k)]
-                yield _row(chunk, kind, bucket, pack(below[here]), pack(alpha[here]))
+                yield _row(chunk, kind, bucket, pack(below[here]), pack(np.where(sums[at : at + len(k), 3] > 0, alpha[here], 0.0)))
                 at += len(k)
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
-    """Written in the shared folder, partitioned by kind (order), and read back."""
-    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    """Written in the shared folder, partitioned by kind (order), and read back; the
+    step's shuffle files are deleted as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return back.select("chunk", F.col("kind").cast("int").alias("kind"), "bucket", "a", "b")
 
@@ -362,8 +382,8 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     stats = read_stats(answers)
     rows = encoded.union(answers.filter("chunk is not null"))
     for n in range(2, order + 1):
-        contexts = answer_contexts(context_requests(rows, n, stats, buckets))
-        rows = rows.union(_kept(contexts, f"{folder}/contexts-{n}"))
+        below = rows.filter(f"kind <= {n} or kind > {CONTEXT}")  # no counts of higher orders
+        rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets)), f"{folder}/contexts-{n}"))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

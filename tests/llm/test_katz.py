@@ -103,7 +103,7 @@ def test_discounts():
 def test_corpus_counts_beyond_32_bits(spark):
     """Two chunks of 3 * 10**9 copies of one word each: the count that goes back is their sum."""
     keys, each = np.array([7, 9], np.uint64), np.array([3_000_000_000, 1], np.uint32)
-    rows = [(chunk, 1, 0, katz.pack(keys), katz.pack(each)) for chunk in (0, 1)]
+    rows = [(chunk, 1, 0, katz.pack_keys(keys), katz.pack(each)) for chunk in (0, 1)]
     answers = katz.answer_counts(spark.createDataFrame(rows, katz.ROW_SQL))
     tokens = katz.pack(np.array([0, 1], np.int32), keys), katz.pack(np.zeros(1, np.int64), np.zeros(1, np.uint8), np.ones(1, np.uint8), np.array([0, 2]))
     for chunk in (0, 1):
@@ -114,3 +114,14 @@ def test_corpus_counts_beyond_32_bits(spark):
         assert stats.n == 6_000_000_002
         got = c.probabilities(1, stats)
         assert abs(got[0] - 6e9 / stats.n) < 1e-6
+
+
+def test_registered_order_is_three(spark, tmp_path):
+    """Only the word two places back tells 'x m p' from 'y m q': the query's scores are the trigram model's."""
+    from quire.llm.queries import op8_katz_scores
+
+    rows = [(i, "x m p" if i % 2 else "y m q") for i in range(60)]
+    H.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in op8_katz_scores(spark, str(tmp_path)).collect()}
+    want, two = brute(rows, 3), brute(rows, 2)
+    assert all(got[d] == pytest.approx(want[d]) for d in got) and got[0][-1] != pytest.approx(two[0][-1])
