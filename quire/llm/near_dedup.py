@@ -53,13 +53,21 @@ BLOCK_BYTES = 4 << 20  # sketches make several hundred rounds per block
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """Rows per band and bands: the longest rows that still find a link."""
-    best = (1, BANDS)
+    """Rows per band and bands: the longest rows that still find a link; for low
+    percents one row and more than ``BANDS`` bands."""
+    best = None
     for rows in range(1, COORDINATES // 2):
         same = (percent / 100) ** rows
+        if 1 - same == 1:
+            break
         bands = 1 if same >= 1 else math.ceil(math.log(MISSED) / math.log(1 - same))
         if bands <= min(BANDS, COORDINATES // rows):
             best = rows, bands
+    if best is None:
+        bands = math.ceil(math.log(MISSED) / math.log(1 - percent / 100)) if percent > 0 else COORDINATES + 1
+        if bands > COORDINATES:
+            raise ValueError(f"{percent} percent needs more than {COORDINATES} coordinates to miss at most {MISSED} of the links")
+        best = 1, bands
     return best
 
 

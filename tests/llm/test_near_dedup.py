@@ -81,3 +81,15 @@ def test_forest_links_all_that_is_linked():
     sets = [np.array(sorted(x), np.uint64) for x in ({1, 2, 3, 4}, {1, 2, 3, 4, 5}, {1, 2, 3, 5, 4}, {9}, {9, 10})]
     links = link_forest(np.arange(5), sets, None, 80)
     assert len(links) == 2 and {0, 1, 2} == {i for e in links for i in e}
+
+
+def test_low_percents_keep_the_promised_miss():
+    for percent in range(6, 101):
+        rows, bands = banding(percent)
+        assert rows * bands <= 224 and (1 - (percent / 100) ** rows) ** bands <= 1e-5
+    for percent in (0, 1, 5):
+        try:
+            banding(percent)
+        except ValueError:
+            continue
+        raise AssertionError(percent)
