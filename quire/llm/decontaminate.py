@@ -273,8 +273,8 @@ def found_items(docs: DataFrame, items: DataFrame, sent: int = SENT_WINDOWS) ->
 
     d = doc_windows.select(F.col("id").alias("doc_id"), "channel", "size", "h", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
     i = item_windows.select(F.col("id").alias("item_id"), "channel", "size", "h", "pos", "span", "length", "slots")
-    if n <= sent:
-        i = F.broadcast(i)  # n rows of equal size at most per distinct window; checked above
+    if n <= sent and item_windows.count() <= sent:  # equal items share hashes, not rows
+        i = F.broadcast(i)
     hits = d.join(i, ["h", "channel", "size"])
     # a diagonal holds at most the item's own windows, so its sets are bounded by the item
     value = F.transform(F.arrays_zip("slots", "doc_slots"), lambda z: F.struct(z["slots"]["kind"].alias("kind"), z["slots"]["value"].alias("of"), z["doc_slots"]["value"].alias("to")))

@@ -85,3 +85,11 @@ def test_changed_word_counts_split_an_item_over_diagonals(spark):
     same, differ = twice.replace("Anna Berg", "Olga"), twice.replace("Anna Berg", "Olga", 1).replace("Anna Berg", "Ida")
     got = found(spark, [(1, PAD + same), (2, PAD + differ)], [(9, twice)])
     assert got[1, 9].covered == got[1, 9].item_words and got[2, 9].covered < got[2, 9].item_words
+
+
+def test_copies_of_an_item_are_not_broadcast(spark):
+    d, i = H.documents(spark, [(1, PAD + ITEM)]), spark.createDataFrame([(k, ITEM) for k in range(30)], "item_id long, text string")
+    for sent, hinted in ((200, False), (1_000_000, True)):
+        out = found_items(d, i, sent=sent)
+        assert ("strategy=broadcast" in out._jdf.queryExecution().logical().toString()) == hinted
+        assert out.count() == 30
