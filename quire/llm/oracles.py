@@ -139,3 +139,28 @@ WITH c AS (
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM t
 """
+
+
+def centroids(rounds: int = 10) -> str:
+    """Lloyd rounds over 64 integer components and 8 centroids, every distance anew."""
+    ctes = """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: TRY_CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, q FROM v ORDER BY h, q LIMIT 8)
+)"""
+    for k in range(rounds + 1):
+        ctes += f""", a{k} AS MATERIALIZED (
+  SELECT vec_id, v.q, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - m.q[i]) * (v.q[i] - m.q[i])))::BIGINT AS d
+  FROM v, c{k} m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+)"""
+        if k < rounds:
+            ctes += f""", c{k + 1} AS MATERIALIZED (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q
+  FROM (SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, q FROM c{k} WHERE c NOT IN (SELECT c FROM a{k})
+)"""
+    return f"""WITH {ctes}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c"""

@@ -85,6 +85,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_quality_rules": op2_quality_rules,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_scores": op8_katz_scores,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_chat": oracles.CHAT,
     "op10_mixing": oracles.mixing("documents"),
+    "op13_centroids": oracles.centroids(),
 }

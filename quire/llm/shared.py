@@ -35,3 +35,9 @@ def fold(doc_id: Column, n: int) -> Column:
 def crc_fold(doc_id, n: int) -> int:
     """The same remainder in Python."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % n
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
