@@ -141,6 +141,36 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 """
 
 
+# 3988292384: the polynomial of crc32, bits reversed.
+_CRC32 = """xor(list_reduce(list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i::INT, 1))::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda r, k: CASE WHEN (r & 1) = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH given AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format(x='conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), parts AS (
+  SELECT i.conv_id, g.turn, 0 AS side, g.pos FROM ids i JOIN given g ON g.conv_id = i.base AND g.pos < i.h
+  UNION ALL SELECT i.conv_id, g.turn, 1, g.pos FROM ids i JOIN given g ON g.conv_id = i.conv_id AND g.pos >= i.h
+), whole AS MATERIALIZED (SELECT i.conv_id, coalesce(list(turn ORDER BY side, pos) FILTER (turn IS NOT NULL), []) AS seq FROM ids i LEFT JOIN parts p USING (conv_id) GROUP BY i.conv_id
+), member AS MATERIALIZED (SELECT conv_id, d AS depth, seq[1:d] AS prefix, len(seq) = d AS ends FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM whole)
+), node AS MATERIALIZED (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(prefix[-1].t) END AS own
+  FROM member GROUP BY prefix, depth
+), kids AS MATERIALIZED (SELECT prefix[:-2] AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+), full_node AS MATERIALIZED (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM node n LEFT JOIN kids k USING (prefix)
+), under AS (
+  SELECT prefix[1:d] AS prefix, sum(own)::BIGINT AS saved, (count(*) FILTER (n_children = 0))::BIGINT AS leaves
+  FROM (SELECT prefix, own, n_children, unnest(range(depth + 1)) AS d FROM full_node) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, u.leaves AS n_leaves, u.saved AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN under u USING (prefix) LEFT JOIN node p ON f.depth > 0 AND p.prefix = f.prefix[:-2]
+"""
+
+
 def centroids(rounds: int = 10) -> str:
     """Lloyd rounds over 64 integer components and 8 centroids, every distance anew."""
     ctes = """v AS MATERIALIZED (

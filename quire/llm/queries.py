@@ -85,6 +85,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.centroids import centroid_clusters
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_scores": op8_katz_scores,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_centroids": op13_centroids,
 }
 
@@ -111,5 +118,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_chat": oracles.CHAT,
     "op10_mixing": oracles.mixing("documents"),
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
     "op13_centroids": oracles.centroids(),
 }
