@@ -85,6 +85,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_scores": op8_katz_scores,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_pii": op11_pii,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_centroids": op13_centroids,
 }
