@@ -148,3 +148,52 @@ def postings(
     voc = voc.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(voc, ["lexeme", "_salt"]).select(F.col("term").alias("lexeme"), "file_id", "sequence_no", "pos", *more)
 
+
+def position_lists(frags: DataFrame, lexemes: list[str] | None = None, config: str = "simple") -> DataFrame:
+    """The inverted index as position lists (T7): one row per lexeme and fragment,
+    ``(lexeme, file_id, sequence_no, positions, word_offset)``, positions ascending.
+
+    Narrow under ``simple``: a fragment's vector is sorted and cut where the lexeme
+    changes, in its own row. Other configurations map each list's lexeme through the
+    vocabulary (a salted join, as in ``postings``) and merge the lists that share a stem."""
+    check_config(config)
+    wanted = None if lexemes is None else sorted(set(lexemes))
+    tsv = F.col("content_tsv")
+    if wanted is not None and config == "simple":
+        tsv = F.filter(tsv, lambda x: x["lexeme"].isin(wanted)) if wanted else F.slice(tsv, 1, 0)
+    # arrays used inside lambdas are bound to lambda variables, so that they are computed once
+    firsts = "CASE WHEN size(v) = 0 THEN array() ELSE filter(sequence(1, size(v)), i -> i = 1 OR v[i - 1].lexeme <> v[i - 2].lexeme) END"
+    lists = (
+        "transform(b, (a, k) -> named_struct('lexeme', v[a - 1].lexeme, 'positions', "
+        "transform(slice(v, a, coalesce(get(b, k + 1), size(v) + 1) - a), x -> x.pos)))"
+    )
+    cut = F.expr(f"element_at(transform(array(_v), v -> element_at(transform(array({firsts}), b -> {lists}), 1)), 1)")
+    rows = frags.select("file_id", "sequence_no", "word_offset", F.array_sort(tsv).alias("_v"))
+    rows = rows.select("file_id", "sequence_no", "word_offset", F.explode_outer(cut).alias("_l")).filter(F.col("_l").isNotNull())
+    rows = rows.select(F.col("_l.lexeme").alias("lexeme"), "file_id", "sequence_no", F.col("_l.positions").alias("positions"), "word_offset")
+    if config == "simple":
+        return rows
+    from quire.functions.stem import ENGLISH_STOP_WORDS
+
+    rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
+    voc = vocabulary(frags, config)
+    if wanted is not None:  # the words of the query's stems only
+        voc = voc.filter(F.col("term").isin(wanted) if wanted else F.lit(False))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("file_id", "sequence_no"), F.lit(SALTS)).cast("int"))
+    voc = voc.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mapped = salted.join(voc, ["lexeme", "_salt"])
+    merged = mapped.groupBy(F.col("term").alias("lexeme"), "file_id", "sequence_no").agg(
+        F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("word_offset").alias("word_offset")
+    )
+    return merged
+
+
+def occurrences(lists: DataFrame) -> DataFrame:
+    """Position lists as one row per occurrence: ``(lexeme, file_id, sequence_no, pos, word_offset)``."""
+    x = lists.select("lexeme", "file_id", "sequence_no", F.explode_outer("positions").alias("pos"), "word_offset")
+    return x.filter(F.col("pos").isNotNull())
+
+
+def lexicon(lists: DataFrame) -> DataFrame:
+    """``(lexeme, n_fragments)``: in how many fragments each lexeme stands."""
+    return lists.groupBy("lexeme").agg(F.count("*").alias("n_fragments"))

@@ -1,9 +1,11 @@
 """Match operators: phrase/word spans, word distance, boolean truth per fragment,
 minimal covers with their density.
 
-Input is a *hits* frame ``(lexeme, file_id, sequence_no, pos)`` holding only the
-query's lexemes (an index lookup). It is hash-partitioned once on
-``(file_id, sequence_no)``; every later aggregate, window and semi-join keys on
+Input is a frame of position lists ``(lexeme, file_id, sequence_no, positions)``
+holding only the query's lexemes (an index lookup): a row per lexeme and fragment. It is
+hash-partitioned once on ``(file_id, sequence_no)``, and phrases are intersections of
+shifted lists inside a fragment's row (``list_spans``); whole books, whose lists span
+fragments, take a row per occurrence (``chain_spans``). Either way every later aggregate, window and semi-join keys on
 a superset of that, so the whole match stage runs without another shuffle and
 no group is larger than one fragment.
 """
@@ -59,6 +61,28 @@ def chain_spans(hits: DataFrame, q: Query, partitioned: bool = False) -> DataFra
     return g.filter(F.col("c") == F.col("n")).select(*KEYS, "cid", "s", (F.col("s") + F.col("last")).alias("e"))
 
 
+def list_spans(lists: DataFrame, q: Query, partitioned: bool = False) -> DataFrame:
+    """Spans ``(file_id, sequence_no, cid, s, e)`` of every chain of the query, from
+    position lists: a fragment's lists meet in one row, and a phrase's anchors are the
+    positions common to its words' lists, each moved back by the word's offset."""
+    if not partitioned:  # lists of a bucketed index already sit with their book
+        lists = lists.repartition(*KEYS)
+    x = lists.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("_m"))
+
+    def moved(lexeme: str, off: int) -> Column:
+        places = F.element_at("_m", F.lit(lexeme))
+        return F.transform(places, lambda p: p - off) if off else places
+
+    def spans(cid: int, chain: Chain) -> Column:
+        anchors = reduce(F.array_intersect, [moved(lx, off) for off, lx in chain.terms])  # null when a word is missing
+        return F.transform(anchors, lambda a: F.struct(F.lit(cid).alias("cid"), a.alias("s"), (a + chain.last).alias("e")))
+
+    none = F.array().cast("array<struct<cid:int,s:int,e:int>>")
+    found = F.concat(*[F.coalesce(spans(cid, ch), none) for cid, ch in enumerate(q.chains)])
+    x = x.select(*KEYS, F.explode_outer(found).alias("_s")).filter(F.col("_s").isNotNull())
+    return x.select(*KEYS, "_s.cid", "_s.s", "_s.e")
+
+
 def _node_spans(node, cs: DataFrame, q: Query) -> DataFrame:
     """Spans ``(file_id, sequence_no, s, e)`` of a positive node."""
     if isinstance(node, Chain):
@@ -88,10 +112,12 @@ def _node_spans(node, cs: DataFrame, q: Query) -> DataFrame:
 
 
 def atom_spans(hits: DataFrame, q: Query, partitioned: bool = False) -> DataFrame:
-    """Spans ``(file_id, sequence_no, atom, s, e)`` of the boolean-level atoms.
+    """Spans ``(file_id, sequence_no, atom, s, e)`` of the boolean-level atoms, from
+    position lists or from occurrences.
 
     ``partitioned``: the hits are already hash-partitioned by ``file_id``."""
-    cs = chain_spans(hits, q, partitioned)
+    chained = list_spans if "positions" in hits.columns else chain_spans
+    cs = chained(hits, q, partitioned)
     parts = []
     chain_atoms = [(q.atom_id(a), q.chain_id(a)) for a in q.atoms if isinstance(a, Chain)]
     if chain_atoms:

@@ -1,4 +1,10 @@
-"""The text index: ``files``, ``fragments`` and ``postings`` tables.
+"""The text index: ``files``, ``fragments``, ``postings`` and ``lexicon`` tables.
+
+Postings are position lists: a row per lexeme and fragment with the ascending positions
+(``TextIndex.lists``; ``TextIndex.postings`` shows a row per occurrence). The lexicon has
+the number of fragments of each lexeme: a search reads the lists of its rarest required
+words first and, where that pays, filters the others by their fragments or books while
+they are scanned (``TextIndex.match_lists``).
 
 Three forms, one API (``TextIndex``):
 
@@ -15,7 +21,8 @@ Three forms, one API (``TextIndex``):
   run co-located, without shuffles.
 
 In both written forms postings are sorted by lexeme inside each file, so Parquet
-statistics skip row groups and pages for ``lexeme IN (...)``.
+statistics skip row groups and pages for ``lexeme IN (...)``; dictionaries and bloom
+filters skip files whose range covers a word that they do not hold.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import DEFAULT_MAX_TOKENS
-from quire.operators.analyze import check_config, fragments, postings
+from quire.operators.analyze import check_config, fragments, lexicon, occurrences, position_lists
+from quire.operators.query import Query, pivot
 
 KEYS = ["file_id", "sequence_no"]
 DEFAULT_BUCKETS = 64
@@ -51,8 +59,15 @@ TABLE_SCHEMAS = {
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
     "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, "
     "filename string, title string, author string, version long, bucket int",
-    "postings": "lexeme string, file_id long, sequence_no int, pos int, word_offset int, version long, bucket int",
+    "postings": "lexeme string, file_id long, sequence_no int, positions array<int>, word_offset int, version long, bucket int",
 }
+LEXICON_SCHEMA = "lexeme string, n_fragments long, version long"
+# Parquet options of written postings: words outside a file's dictionary pages are in a bloom filter.
+POSTINGS_OPTIONS = {"parquet.bloom.filter.enabled#lexeme": "true", "parquet.bloom.filter.expected.ndv#lexeme": "100000"}
+# Fragments of the rarest words that are sent to all executors (16 bytes each), by the lexicon's count.
+SENT_FRAGMENTS = 200_000
+# The others are filtered when they stand in this many times more fragments.
+PAYS = 4
 
 
 def bucket_of(file_id, buckets: int = DEFAULT_BUCKETS) -> F.Column:
@@ -76,10 +91,14 @@ class TextIndex:
         co_partitioned: bool = False,
         buckets: int = DEFAULT_BUCKETS,
         version: int = 0,
+        words: DataFrame | None = None,
     ):
         self.files = files
         self.fragments = frags
-        self.postings = posts
+        # written position lists and lexicon (none in a lazy index)
+        self.lists = posts
+        self.lexicon = words
+        self._counts: dict[str, int] = {}
         self.config = check_config(config)
         self.max_tokens = max_tokens
         # True when all three tables are bucketed by file_id alike (catalog tables):
@@ -93,13 +112,13 @@ class TextIndex:
     def cache(self) -> "TextIndex":
         """Keep a lazy index's tables in executor memory (spilling to disk) for
         repeated searches in one session; ``unpersist`` releases them."""
-        for df in (self.files, self.fragments, self.postings):
+        for df in (self.files, self.fragments, self.lists):
             if df is not None:
                 df.persist()
         return self
 
     def unpersist(self) -> "TextIndex":
-        for df in (self.files, self.fragments, self.postings):
+        for df in (self.files, self.fragments, self.lists):
             if df is not None:
                 df.unpersist()
         return self
@@ -117,19 +136,65 @@ class TextIndex:
         """Lazy index over ``files`` (nothing runs until a read)."""
         return cls(files, fragments(files, max_tokens, config, keep=BOOK_FIELDS), None, config, max_tokens)
 
+    @property
+    def postings(self) -> DataFrame | None:
+        """Written postings, a row per occurrence; None in a lazy index."""
+        return None if self.lists is None else occurrences(self.lists)
+
+    def hit_lists(self, lexemes: list[str], file_id: int | None = None) -> DataFrame:
+        """Position lists ``(lexeme, file_id, sequence_no, positions, word_offset)`` of the
+        given lexemes."""
+        cols = ["lexeme", *KEYS, "positions", "word_offset"]
+        if self.lists is None:
+            return position_lists(self.fragment_rows(file_id), lexemes, self.config).select(*cols)
+        p = self.lists
+        if file_id is not None:
+            if "bucket" in p.columns:  # path layout: prune the bucket directory
+                p = p.filter(F.col("bucket") == file_id % self.buckets)
+            p = p.filter(F.col("file_id") == file_id)  # bucketed tables prune buckets themselves
+        return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select(*cols)
+
     def hits(self, lexemes: list[str], file_id: int | None = None) -> DataFrame:
         """Posting rows ``(lexeme, file_id, sequence_no, pos, word_offset)`` of the given lexemes."""
-        if self.postings is not None:
-            p = self.postings
-            if file_id is not None:
-                if "bucket" in p.columns:  # path layout: prune the bucket directory
-                    p = p.filter(F.col("bucket") == file_id % self.buckets)
-                p = p.filter(F.col("file_id") == file_id)  # bucketed tables prune buckets themselves
-            return p.filter(F.col("lexeme").isin(sorted(set(lexemes)))).select("lexeme", *KEYS, "pos", "word_offset")
-        frags = self.fragments
-        if file_id is not None:
-            frags = frags.filter(F.col("file_id") == file_id)
-        return postings(frags, lexemes, self.config, offsets=True)
+        return occurrences(self.hit_lists(lexemes, file_id))
+
+    def counts(self, lexemes: list[str]) -> dict[str, int] | None:
+        """Fragments of each lexeme by the lexicon (versions added up, so never too few);
+        None without a lexicon. One small read per new word, kept with the index."""
+        if self.lexicon is None:
+            return None
+        new = sorted(set(lexemes) - set(self._counts))
+        if new:
+            rows = self.lexicon.filter(F.col("lexeme").isin(new)).groupBy("lexeme").agg(F.sum("n_fragments").alias("n")).collect()
+            self._counts.update(dict.fromkeys(new, 0) | {r["lexeme"]: r["n"] for r in rows})
+        return {w: self._counts[w] for w in lexemes}
+
+    def match_lists(self, q: Query, file_id: int | None = None, by_book: bool = False) -> DataFrame:
+        """The position lists that decide ``q``, rarest words first.
+
+        Every matching fragment holds one of the query's pivot words (``pivot``). Where
+        the other words stand in ``PAYS`` times more fragments, their lists are read only
+        for the fragments (``by_book``: the books) of the pivot: a semi-join at the scan,
+        before any shuffle, against keys that are broadcast when the lexicon bounds them
+        by ``SENT_FRAGMENTS``; on the path layout it prunes bucket folders too. Rows of
+        matching fragments (books) are the same as in ``hit_lists``."""
+        counts = None if file_id is not None else self.counts(q.lexemes)
+        found = None if counts is None else pivot(q.root, counts)
+        if found is None:
+            return self.hit_lists(q.lexemes, file_id)
+        cost, words = found
+        others = [w for w in q.lexemes if w not in words]
+        if sum(counts[w] for w in others) < PAYS * cost or not others:
+            return self.hit_lists(q.lexemes)
+        keys = ["file_id"] if by_book else KEYS
+        rare = self.hit_lists(sorted(words))
+        where = rare.select(*keys).distinct()
+        lists = self.lists.filter(F.col("lexeme").isin(others))
+        if "bucket" in self.lists.columns:
+            where, keys = where.withColumn("bucket", bucket_of("file_id", self.buckets)), ["bucket", *keys]
+        if cost <= SENT_FRAGMENTS:
+            where = F.broadcast(where)
+        return rare.unionByName(lists.join(where, keys, "left_semi").select(*rare.columns))
 
     def fragment_rows(self, file_id: int | None = None) -> DataFrame:
         f = self.fragments
@@ -182,11 +247,12 @@ class TextIndex:
         """
         n = buckets * max(1, int(files_per_bucket))
 
-        def save(df: DataFrame, table: str, sort_cols: list[str]) -> None:
+        def save(df: DataFrame, table: str, sort_cols: list[str], options: dict | None = None) -> None:
             w = (
                 df.repartition(n, "file_id")
                 .write.mode("overwrite")
                 .format("parquet")
+                .options(**(options or {}))
                 .bucketBy(buckets, "file_id")
                 .sortBy(*sort_cols)
             )
@@ -199,7 +265,10 @@ class TextIndex:
         save(not_null_checked(self.files.select(*FILES_COLUMNS)), f"{name}_files", ["file_id"])
         save(self.fragments.select(*FRAGMENT_COLUMNS), f"{name}_fragments", ["file_id", "sequence_no"])
         frags = self.spark.table(f"{name}_fragments")
-        save(postings(frags, config=self.config, offsets=True), f"{name}_postings", ["lexeme", "file_id", "sequence_no", "pos"])
+        save(position_lists(frags, config=self.config), f"{name}_postings", ["lexeme", "file_id", "sequence_no"], POSTINGS_OPTIONS)
+        words = lexicon(self.spark.table(f"{name}_postings")).repartitionByRange("lexeme").sortWithinPartitions("lexeme")
+        w = words.write.mode("overwrite").format("parquet")
+        (w if path is None else w.option("path", os.path.join(path, f"{name}_lexicon"))).saveAsTable(f"{name}_lexicon")
         if path is not None:
             meta = [(buckets, self.config, self.max_tokens)]
             self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(
@@ -216,7 +285,7 @@ class TextIndex:
         sorts = {
             "files": "file_id",
             "fragments": "file_id, sequence_no",
-            "postings": "lexeme, file_id, sequence_no, pos",
+            "postings": "lexeme, file_id, sequence_no",
         }
         for table, sort in sorts.items():
             cols = TABLE_SCHEMAS[table].replace(", version long, bucket int", "")
@@ -226,6 +295,8 @@ class TextIndex:
                 f"CLUSTERED BY (file_id) SORTED BY ({sort}) INTO {int(meta['buckets'])} BUCKETS "
                 f"LOCATION '{location}'"
             )
+        location = os.path.join(path, f"{name}_lexicon").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_lexicon (lexeme string, n_fragments long) USING parquet LOCATION '{location}'")
         return cls.load_tables(spark, name, meta["config"], meta["max_tokens"])
 
     @classmethod
@@ -239,6 +310,7 @@ class TextIndex:
             config,
             max_tokens,
             co_partitioned=True,
+            words=spark.table(f"{name}_lexicon"),
         )
 
     # --- persistence -----------------------------------------------------
@@ -253,6 +325,7 @@ class TextIndex:
         for name in TABLE_SCHEMAS:  # no version of an index that stood here before stays
             empty = self.spark.createDataFrame([], TABLE_SCHEMAS[name])
             empty.write.mode("overwrite").partitionBy("version", "bucket").parquet(os.path.join(path, name))
+        self.spark.createDataFrame([], LEXICON_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(os.path.join(path, "lexicon"))
         self.spark.createDataFrame([], CHANGED_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(os.path.join(path, "changed"))
         meta = [(n, self.config, self.max_tokens)]
         self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
@@ -312,6 +385,7 @@ class TextIndex:
             max_tokens if max_tokens is not None else meta["max_tokens"],
             buckets=meta["buckets"],
             version=version,
+            words=spark.read.schema(LEXICON_SCHEMA).parquet(os.path.join(path, "lexicon")).filter((F.col("version") >= base) & (F.col("version") <= version)),
         )
 
 
@@ -336,14 +410,16 @@ def write_version(spark: SparkSession, path: str, version: int, files: DataFrame
     sorted key range, so file statistics stay tight at any size."""
     from quire.sources.books import not_null_checked
 
-    def save(df: DataFrame, name: str, key: str, order: list[str]) -> None:
+    def save(df: DataFrame, name: str, key: str, order: list[str], options: dict | None = None) -> None:
         df = df.withColumn("bucket", bucket_of("file_id", buckets)).repartitionByRange("bucket", key, "file_id")
-        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, name, f"version={version}"))
+        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").options(**(options or {})).partitionBy("bucket").parquet(os.path.join(path, name, f"version={version}"))
 
     save(not_null_checked(files.select(*FILES_COLUMNS)), "files", "file_id", ["file_id"])
     save(frags.select(*FRAGMENT_COLUMNS), "fragments", "file_id", ["file_id", "sequence_no"])
     own = read_table(spark, path, "fragments").filter(F.col("version") == version).drop("version", "bucket")
-    save(postings(own, config=config, offsets=True), "postings", "lexeme", ["lexeme", "file_id", "sequence_no", "pos"])
+    save(position_lists(own, config=config), "postings", "lexeme", ["lexeme", "file_id", "sequence_no"], POSTINGS_OPTIONS)
+    own = read_table(spark, path, "postings").filter(F.col("version") == version)
+    lexicon(own).repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(os.path.join(path, "lexicon", f"version={version}"))
 
 
 def commit(spark: SparkSession, path: str, version: int, base: int) -> None:

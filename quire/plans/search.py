@@ -66,7 +66,7 @@ def match(index: TextIndex, q: Query, file_id: int | None = None) -> tuple[DataF
     ``spans(file_id, sequence_no, atom, s, e)`` are the atom matches inside those
     fragments; ``fragments(file_id, sequence_no)`` the matching fragment keys.
     """
-    spans = atom_spans(index.hits(q.lexemes, file_id), q, index.co_partitioned)
+    spans = atom_spans(index.match_lists(q, file_id), q, index.co_partitioned)
     frags = matching_fragments(spans, q, index.universe(file_id))
     return with_truth(spans, q), frags
 
@@ -117,7 +117,7 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     q = compile_query(index.spark, query, mode, index.config)
     if q.empty:
         return _empty(index, FAST_SCHEMA)
-    spans = atom_spans(index.hits(q.lexemes), q, index.co_partitioned)
+    spans = atom_spans(index.match_lists(q), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
     meta = ["title", "author"] if index.book_fields_on_fragments else []
     top = top_covers(rows)
@@ -151,14 +151,15 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     # one read and one shuffle of the hits, by book, serves both levels (the exchange
     # is reused): fragment truth, with a fragment named by its word offset, and covers
     # on book positions
-    hits = index.hits(q.lexemes).select("lexeme", "file_id", "word_offset", "pos")
+    lists = index.match_lists(q, by_book=True).select("lexeme", "file_id", "word_offset", "positions")
     if not index.co_partitioned:
-        hits = hits.repartition("file_id")
+        lists = lists.repartition("file_id")
     by_offset = F.col("word_offset").alias("sequence_no")
-    in_fragments = atom_spans(hits.select("lexeme", "file_id", by_offset, "pos"), q, True)
+    in_fragments = atom_spans(lists.select("lexeme", "file_id", by_offset, "positions"), q, True)
     books = matching_fragments(in_fragments, q, index.fragment_rows().select("file_id", by_offset)).select("file_id").distinct()
     layout = index.fragment_rows().select("file_id", "word_offset", "n_words").join(books, "file_id", "left_semi")
-    in_book = hits.join(books, "file_id", "left_semi").select(
+    in_book = lists.join(books, "file_id", "left_semi").select("lexeme", "file_id", "word_offset", F.explode_outer("positions").alias("pos"))
+    in_book = in_book.filter(F.col("pos").isNotNull()).select(
         "lexeme", "file_id", F.lit(1).alias("sequence_no"), (F.col("pos") + F.col("word_offset")).alias("pos")
     )
     spans = atom_spans(in_book, q, True)  # book keys: (file_id, 1)
