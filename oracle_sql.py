@@ -46,7 +46,7 @@ post AS (SELECT lexeme, file_id, sequence_no, pos FROM tok)"""
 
 
 def with_base(body: str, max_tokens: int | None = FRAGMENT_TOKENS, files_sql: str = FILES) -> str:
-    return "WITH " + base(max_tokens, files_sql) + ",\n" + body
+    return "WITH RECURSIVE " + base(max_tokens, files_sql) + ",\n" + body
 
 
 FRAGMENTS = with_base("""
@@ -187,6 +187,25 @@ FROM r QUALIFY rn <= 5
 )
 
 
+def apart_sql(rows: str, order: str) -> str:
+    """CTE ``top``: the greedy choice, pick by pick: the best cover first, then always the
+    next in rank whose window overlaps none of those picked, five at most."""
+    return f"""
+rk AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {order}) AS rk,
+         greatest(1, CASE WHEN e - s + 1 >= 15 THEN s ELSE s - (15 - (e - s + 1)) // 2 END) AS wa,
+         CASE WHEN e - s + 1 >= 15 THEN least(e, s + 34) ELSE s - (15 - (e - s + 1)) // 2 + 14 END AS wz
+  FROM {rows}),
+pick(file_id, round, rk, taken) AS (
+  SELECT file_id, 1, rk, [{{'q': sequence_no, 'a': wa, 'z': wz}}] FROM rk WHERE rk = 1
+  UNION ALL
+  SELECT p.file_id, p.round + 1, min(c.rk), list_append(p.taken, arg_min({{'q': c.sequence_no, 'a': c.wa, 'z': c.wz}}, c.rk))
+  FROM pick p JOIN rk c ON c.file_id = p.file_id AND c.rk > p.rk
+  WHERE p.round < 5 AND (c.s IS NULL OR len(list_filter(p.taken, lambda t: t.a IS NOT NULL AND t.q = c.sequence_no AND t.a <= c.wz AND c.wa <= t.z)) = 0)
+  GROUP BY p.file_id, p.round, p.taken),
+top AS (SELECT rk.*, p.round AS rn FROM pick p JOIN rk USING (file_id, rk)),"""
+
+
 def headline_sql(match_cond: str, atoms: dict[str, str], holds: str, english: bool = False) -> str:
     """E1 (fast headline) for fragments matching ``match_cond`` (SQL over alias f)."""
     return (with_base_english if english else with_base)(
@@ -194,8 +213,7 @@ def headline_sql(match_cond: str, atoms: dict[str, str], holds: str, english: bo
         + f""",
 m AS (SELECT f.file_id, f.sequence_no FROM frag f WHERE {match_cond}),
 ms AS (SELECT sp.* FROM sp JOIN m USING (file_id, sequence_no)),
-r AS (SELECT m.file_id, m.sequence_no, c.s, c.e, c.density FROM m LEFT JOIN cov c USING (file_id, sequence_no)),
-top AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {TOP_ORDER}) AS rn FROM r QUALIFY rn <= 5),
+r AS (SELECT m.file_id, m.sequence_no, c.s, c.e, c.density FROM m LEFT JOIN cov c USING (file_id, sequence_no)),{apart_sql('r', TOP_ORDER)}
 nl AS (SELECT file_id, sequence_no, max(pos) AS n FROM tok GROUP BY ALL),
 w0 AS (
   SELECT t.file_id, t.sequence_no, t.rn, t.s, t.e, nl.n,
@@ -276,10 +294,7 @@ st AS (SELECT file_id, e, {start_expr} AS s FROM run),
 cv AS (SELECT file_id, s, e, 16.0 / greatest(16, e - s + 1) AS density
        FROM (SELECT *, lag(s) OVER (PARTITION BY file_id ORDER BY e) AS prev FROM st)
        WHERE s IS NOT NULL AND (prev IS NULL OR s > prev)),
-r AS (SELECT m.file_id, cv.s, cv.e, cv.density FROM m LEFT JOIN cv USING (file_id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY file_id
-                    ORDER BY density DESC NULLS FIRST, (e - s) ASC NULLS FIRST, s ASC NULLS FIRST) AS rn
-        FROM r QUALIFY rn <= 5),
+r AS (SELECT m.file_id, 1 AS sequence_no, cv.s, cv.e, cv.density FROM m LEFT JOIN cv USING (file_id)),{apart_sql('r', TOP_ORDER)}
 nl AS (SELECT file_id, max(pos) AS n FROM wtok GROUP BY file_id),
 w0 AS (SELECT t.file_id, t.rn, t.s, t.e, nl.n,
               CASE WHEN t.e - t.s + 1 >= 15 THEN t.s ELSE t.s - (15 - (t.e - t.s + 1)) // 2 END AS ws0

@@ -44,6 +44,38 @@ def top_covers(rows: DataFrame, k: int = TOP_COVERS) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
+#: Other covers whose window can overlap a given window: windows are at most MAX_WORDS
+#: long and begin at most MIN_WORDS // 2 before their cover, and minimal covers of one
+#: text have distinct starts.
+NEAR_COVERS = 2 * (MAX_WORDS - 1) + MIN_WORDS // 2
+
+
+def apart_covers(rows: DataFrame, k: int = TOP_COVERS) -> DataFrame:
+    """Up to ``k`` covers per file whose widened windows do not overlap (``rn`` 1..k):
+    best first, each that overlaps one taken before is passed over.
+
+    A taken window rules out at most ``NEAR_COVERS`` others, so the choice lies in the
+    first ``(k - 1) * (NEAR_COVERS + 1) + 1`` by rank: those are found by a group limit,
+    and only they meet in a row per file. Rows without a cover overlap nothing."""
+    ws, we = window_bounds(F.col("s"), F.col("e"), F.lit(2**31 - 1))  # a text's end cuts no overlap
+    window = lambda c: F.when(F.col("s").isNotNull(), c)
+    x = top_covers(rows, (k - 1) * (NEAR_COVERS + 1) + 1).withColumns({"_a": window(ws), "_z": window(we)})
+    cols = [c for c in rows.columns if c != "file_id"]
+    listed = F.array_sort(F.collect_list(F.struct("rn", "_a", "_z", *cols)))
+    x = x.groupBy("file_id").agg(listed.alias("_c"))
+
+    def overlaps(c: Column, d: Column) -> Column:
+        near = (c["sequence_no"] == d["sequence_no"]) & (c["_a"] <= d["_z"]) & (d["_a"] <= c["_z"])
+        return F.coalesce(near, F.lit(False))
+
+    def take(taken: Column, c: Column) -> Column:
+        return F.when((F.size(taken) >= k) | F.exists(taken, lambda d: overlaps(c, d)), taken).otherwise(F.concat(taken, F.array(c)))
+
+    chosen = F.aggregate("_c", F.slice("_c", 1, 0), take)
+    x = x.select("file_id", F.posexplode(chosen).alias("_i", "_t"))
+    return x.select("file_id", *[F.col(f"_t.{c}").alias(c) for c in cols], (F.col("_i") + 1).alias("rn"))
+
+
 def span_marks(spans: DataFrame) -> DataFrame:
     """Per fragment, the match spans as ``marks array<struct<s,e>>``."""
     return spans.groupBy(*KEYS).agg(F.collect_list(F.struct("s", "e")).alias("marks"))

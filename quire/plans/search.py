@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from quire.functions.text import present_text
 from quire.operators.analyze import lexeme
 from quire.operators.headline import (
+    apart_covers,
     covered_flags,
     join_pieces,
     lexeme_window,
     render_runs,
     render_words,
     span_marks,
-    top_covers,
     window_bounds,
 )
 from quire.operators.match import KEYS, atom_spans, cover_rows, matching_fragments, with_truth
@@ -105,8 +105,8 @@ def _with_pieces(
 
 
 def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFrame:
-    """``file_id, headline, title, author``; headline = up to 5 best covers
-    over pre-computed fragments, joined by ' ... ' (best last).
+    """``file_id, headline, title, author``; headline = up to 5 best covers over
+    pre-computed fragments whose windows do not overlap, joined by ' ... ' (best last).
 
     One postings lookup, one shuffle of the hits by fragment (none on bucketed
     tables), then windows on that partitioning (truth, covers, the null row of
@@ -120,7 +120,7 @@ def search_fast(index: TextIndex, query: str, mode: str = "logical") -> DataFram
     spans = atom_spans(index.match_lists(q), q, index.co_partitioned)
     rows = cover_rows(spans, q, index.universe())
     meta = ["title", "author"] if index.book_fields_on_fragments else []
-    top = top_covers(rows)
+    top = apart_covers(rows)
     top = index.join_fragments(top, ["content_array", *meta])
     top = _with_pieces(top, q, index.config, lambda: with_truth(spans, q))
     piece = F.when(F.col("s").isNotNull(), F.col("piece"))
@@ -141,7 +141,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     The book is not re-analysed: fragments tile its words in order, so a
     posting's book position is ``word_offset + pos``. Covers are computed per
     book on those positions (phrases may cross fragment borders, as in the
-    whole text), and each window's tokens are gathered from the few fragments
+    whole text), up to five whose windows do not overlap are taken, and each window's tokens are gathered from the few fragments
     it overlaps (a join on ``file_id`` with a range condition, at most five
     windows per book).
     """
@@ -163,7 +163,7 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
         "lexeme", "file_id", F.lit(1).alias("sequence_no"), (F.col("pos") + F.col("word_offset")).alias("pos")
     )
     spans = atom_spans(in_book, q, True)  # book keys: (file_id, 1)
-    top = top_covers(cover_rows(spans, q, None, truth=False, keep_empty=False)).drop("sequence_no")
+    top = apart_covers(cover_rows(spans, q, None, truth=False, keep_empty=False)).drop("sequence_no")
     sizes = layout.groupBy("file_id").agg(F.max(F.col("word_offset") + F.col("n_words")).alias("_n"))
     rows = sizes.join(top, "file_id", "left")  # a book without cover keeps one row of nulls
 
@@ -196,8 +196,11 @@ def search_full(index: TextIndex, query: str, mode: str = "logical", semantic: b
     if semantic:
         follows = [a for a in q.positive if isinstance(a, Follow)]
         if follows:
-            ids = [q.atom_id(a) for a in follows]
-            win = win.join(span_marks(spans.filter(F.col("atom").isin(ids))).drop("sequence_no"), "file_id", "left")
+            # only the spans that reach into one of a book's (five) windows are gathered
+            near = spans.filter(F.col("atom").isin([q.atom_id(a) for a in follows])).select(F.col("file_id").alias("_f"), F.col("s").alias("_s"), F.col("e").alias("_e"))
+            inside = rows.join(near, (F.col("file_id") == F.col("_f")) & (F.col("_s") <= F.col("_we")) & (F.col("_e") >= F.col("_ws")))
+            marks = inside.groupBy("file_id", "_rk").agg(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("marks"))
+            win = win.join(marks, ["file_id", "_rk"], "left")
         win = win.withColumn("_cov", covered_flags(chains, with_marks=bool(follows)))
         piece = render_runs("_toks", offset="(_lo - 1)")
     else:
