@@ -10,12 +10,15 @@ visible together (see ``quire.plans.index``).
 from __future__ import annotations
 
 import os
+import time
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.analyze import fragments
-from quire.plans.index import BOOK_FIELDS, COMMIT_SCHEMA, DEFAULT_BUCKETS, FILES_COLUMNS, FILES_SCHEMA, TextIndex, commit, write_version
+from quire.plans.index import BOOK_FIELDS, DEFAULT_BUCKETS, FILES_COLUMNS, FILES_SCHEMA, TextIndex, bucket_of, commit, committed, write_version
 from quire.session import require_checkpoint_dir
 
 
@@ -59,43 +62,98 @@ def clear(index: TextIndex) -> TextIndex:
 
 
 # --- written index ------------------------------------------------------------
+TRIES = 10  # versions that other writers may take before this one
+
+
+def _committed_once(spark: SparkSession, path: str, write: Callable[[TextIndex, int, str], int]) -> None:
+    """``write(index, version, writer)`` writes a version of the newest index and gives
+    its base. If another writer commits that version first, its rows are never shown, and
+    it is written again on top of the other's."""
+    for k in range(TRIES):
+        now = TextIndex.load(spark, path)
+        version, writer = now.version + 1, uuid.uuid4().hex
+        base = write(now, version, writer)
+        if commit(spark, path, version, base, writer):
+            return
+        time.sleep(0.1 * 2**k)  # the other marker's content may still be on its way
+    raise RuntimeError(f"{TRIES} versions of {path} were committed by other writers meanwhile")
+
+
+def kinds_of_change(index: TextIndex, changes: DataFrame) -> DataFrame:
+    """``changes`` with ``kind``: ``new`` book, changed ``text``, changed ``fields`` only,
+    or the ``same``. Texts are compared by digest; on the path layout only the buckets of
+    the changed books are read."""
+    rows = index.files
+    on = ["file_id"]
+    if "bucket" in rows.columns:
+        on, changes = ["bucket", "file_id"], changes.withColumn("bucket", bucket_of("file_id", index.buckets))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    old = rows.select(*on, F.struct("filename", "title", "author").alias("_fields"), digest("content").alias("_digest"))
+    x = changes.join(old, on, "left")
+    kind = (
+        F.when(F.col("_digest").isNull(), "new")
+        .when(F.col("_digest") != digest("content"), "text")
+        .when(F.struct("filename", "title", "author") != F.col("_fields"), "fields")
+        .otherwise("same")
+    )
+    return x.select(*FILES_COLUMNS, kind.alias("kind"))
+
+
 def apply_changes(
     index: TextIndex, path: str, changes: DataFrame | None = None, deleted_ids: DataFrame | None = None,
     order_col: str | None = None,
 ) -> TextIndex:
     """T8/T10 on a written index: append a version that holds the changed books and
     names them and the deleted ones. What is written grows with the batch, not with
-    the index. Returns the reloaded index."""
+    the index: new books and books whose text changed are analysed; books of which only
+    other fields changed keep their postings and take over their fragments with the new
+    fields; a book that is the same is not written. Writers at the same time take turns
+    (no change is lost; of one book, the version committed last counts). Returns the
+    reloaded index."""
     spark = index.spark
     require_checkpoint_dir(spark)
     if changes is None and deleted_ids is None:
         return index
-    now = TextIndex.load(spark, path, index.config, index.max_tokens)
-    version, base = now.version + 1, spark.read.schema(COMMIT_SCHEMA).json(os.path.join(path, "_commits")).agg(F.max("base")).first()[0]
     # Inputs are pinned by a reliable checkpoint (bounded by the batch): they may be
-    # derived from the index itself, and are read four times.
+    # derived from the index itself, and are read several times.
     if changes is None:
         changes = spark.createDataFrame([], FILES_SCHEMA)
     changes = latest_versions(changes, order_col).select(*FILES_COLUMNS).checkpoint(eager=True)
-    ids = changes.select("file_id")
     if deleted_ids is not None:
-        deleted_ids = deleted_ids.select(F.col("file_id").cast("long").alias("file_id")).checkpoint(eager=True)
+        deleted_ids = deleted_ids.select(F.col("file_id").cast("long").alias("file_id")).distinct().checkpoint(eager=True)
         changes = changes.join(deleted_ids, "file_id", "left_anti")
-        ids = ids.unionByName(deleted_ids)
-    write_version(spark, path, version, changes, fragments(changes, now.max_tokens, now.config, keep=BOOK_FIELDS), now.config, now.buckets)
-    ids.distinct().write.mode("overwrite").parquet(os.path.join(path, "changed", f"version={version}"))
-    commit(spark, path, version, base)
+
+    def write(now: TextIndex, version: int, writer: str) -> int:
+        rows = kinds_of_change(now, changes).filter("kind <> 'same'").checkpoint(eager=True)
+        fields = rows.filter("kind = 'fields'")
+        analysed = fragments(rows.filter("kind <> 'fields'"), now.max_tokens, now.config, keep=BOOK_FIELDS)
+        renamed = now.fragments.drop(*BOOK_FIELDS).join(fields.select("file_id", *BOOK_FIELDS), "file_id").select(analysed.columns)
+        write_version(spark, path, version, writer, rows, analysed.unionByName(renamed), now.config, now.buckets, kept=fields.select("file_id"))
+        ids = rows.select("file_id", (F.col("kind") != "fields").alias("text"))
+        if deleted_ids is not None:
+            ids = ids.unionByName(deleted_ids.withColumn("text", F.lit(True)))
+        ids.write.mode("overwrite").parquet(os.path.join(path, "changed", f"version={version}", f"writer={writer}"))
+        return committed(spark, path)[0][0]
+
+    _committed_once(spark, path, write)
     return TextIndex.load(spark, path, index.config, index.max_tokens)
 
 
 def compact(index: TextIndex, path: str) -> TextIndex:
     """Fold all versions into a new base, the only one that later loads read. The files
     of older versions may be deleted when no loaded index shows them any more."""
-    spark = index.spark
-    now = TextIndex.load(spark, path, index.config, index.max_tokens)
-    write_version(spark, path, now.version + 1, now.files, now.fragments, now.config, now.buckets)
-    commit(spark, path, now.version + 1, now.version + 1)
-    return TextIndex.load(spark, path, index.config, index.max_tokens)
+
+    def write(now: TextIndex, version: int, writer: str) -> int:
+        write_version(index.spark, path, version, writer, now.files, now.fragments, now.config, now.buckets)
+        return version
+
+    _committed_once(index.spark, path, write)
+    return TextIndex.load(index.spark, path, index.config, index.max_tokens)
+
+
+def empty(index: TextIndex, path: str) -> TextIndex:
+    """S11 on a written index: a version that deletes every book, folded into an empty base."""
+    return compact(apply_changes(index, path, deleted_ids=index.files.select("file_id")), path)
 
 
-__all__ = ["upsert", "delete", "clear", "apply_changes", "compact", "latest_versions", "DEFAULT_BUCKETS"]
+__all__ = ["upsert", "delete", "clear", "apply_changes", "compact", "empty", "kinds_of_change", "latest_versions", "DEFAULT_BUCKETS"]

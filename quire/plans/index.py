@@ -14,8 +14,9 @@ Three forms, one API (``TextIndex``):
   ``bucket = pmod(file_id, buckets)``: one book's rows share a directory
   (partition pruning for single-book reads and for selective results). Upkeep appends
   a version with the changed books only; a row counts if no later version names its
-  book. One marker per version in ``_commits`` makes its rows of all three tables
-  visible together, to indexes loaded after it; ``compact`` folds versions into one;
+  book. A writer's rows lie under a folder of its own (``writer``), and one marker per
+  version in ``_commits``, which only one writer can make, shows the rows of that writer
+  in all tables together, to indexes loaded after it; ``compact`` folds versions into one;
 * catalog tables (``write_tables`` / ``load_tables`` / ``attach_tables``) - all
   three bucketed by ``file_id`` into the same number of buckets, so searches
   run co-located, without shuffles.
@@ -27,8 +28,11 @@ filters skip files whose range covers a word that they do not hold.
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,20 +54,22 @@ FRAGMENT_COLUMNS = [
 ]
 FILES_SCHEMA = "file_id long, filename string, title string, author string, content string"
 META_SCHEMA = "buckets int, config string, max_tokens int"
-COMMIT_SCHEMA = "version long, base long"
-# Books that a version replaces or deletes.
-CHANGED_SCHEMA = "file_id long, version long"
+COMMIT_SCHEMA = "base long, writer string, version long"
+# Books that a version replaces or deletes; text: their postings too.
+CHANGED_SCHEMA = "file_id long, text boolean, version long, writer string"
+OWN = ", version long, writer string"
 # Schemas of the written tables (read with them, so an empty table still loads).
 TABLE_SCHEMAS = {
-    "files": FILES_SCHEMA + ", version long, bucket int",
+    "files": FILES_SCHEMA + OWN + ", bucket int",
     "fragments": "file_id long, sequence_no int, content_array array<string>, "
     "content_tsv array<struct<lexeme:string,pos:int>>, content string, word_offset int, n_words int, "
-    "filename string, title string, author string, version long, bucket int",
-    "postings": "lexeme string, file_id long, sequence_no int, positions array<int>, word_offset int, version long, bucket int",
+    "filename string, title string, author string" + OWN + ", bucket int",
+    "postings": "lexeme string, file_id long, sequence_no int, positions array<int>, word_offset int" + OWN + ", bucket int",
 }
-LEXICON_SCHEMA = "lexeme string, n_fragments long, version long"
-# Parquet options of written postings: words outside a file's dictionary pages are in a bloom filter.
-POSTINGS_OPTIONS = {"parquet.bloom.filter.enabled#lexeme": "true", "parquet.bloom.filter.expected.ndv#lexeme": "100000"}
+LEXICON_SCHEMA = "lexeme string, n_fragments long" + OWN
+# Parquet options of written postings: words outside a file's dictionary pages are in a
+# bloom filter, sized by the words that the file holds.
+POSTINGS_OPTIONS = {"parquet.bloom.filter.enabled#lexeme": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 # Fragments of the rarest words that are sent to all executors (16 bytes each), by the lexicon's count.
 SENT_FRAGMENTS = 200_000
 # The others are filtered when they stand in this many times more fragments.
@@ -74,8 +80,11 @@ def bucket_of(file_id, buckets: int = DEFAULT_BUCKETS) -> F.Column:
     return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(int(buckets))).cast("int")
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(os.path.join(path, name))
+def read_versions(spark: SparkSession, path: str, name: str, schema: str, versions: list[tuple[int, str]]) -> DataFrame:
+    """The rows that the given (version, writer) pairs wrote; no other folder is looked at."""
+    folder = os.path.join(path, name)
+    paths = [os.path.join(folder, f"version={v}", f"writer={w}") for v, w in versions]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 class TextIndex:
@@ -288,7 +297,7 @@ class TextIndex:
             "postings": "lexeme, file_id, sequence_no",
         }
         for table, sort in sorts.items():
-            cols = TABLE_SCHEMAS[table].replace(", version long, bucket int", "")
+            cols = TABLE_SCHEMAS[table].replace(OWN + ", bucket int", "")
             location = os.path.join(path, f"{name}_{table}").replace("'", "\\'")
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name}_{table} ({cols}) USING parquet "
@@ -322,15 +331,14 @@ class TextIndex:
         n = int(buckets or self.buckets)
         if mode != "overwrite":
             raise ValueError("a written index is replaced as a whole; change it with apply_changes")
-        for name in TABLE_SCHEMAS:  # no version of an index that stood here before stays
-            empty = self.spark.createDataFrame([], TABLE_SCHEMAS[name])
-            empty.write.mode("overwrite").partitionBy("version", "bucket").parquet(os.path.join(path, name))
-        self.spark.createDataFrame([], LEXICON_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(os.path.join(path, "lexicon"))
-        self.spark.createDataFrame([], CHANGED_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(os.path.join(path, "changed"))
+        for name in (*TABLE_SCHEMAS, "lexicon", "changed", "_commits"):  # nothing of an index that stood here before stays
+            remove(self.spark, os.path.join(path, name))
         meta = [(n, self.config, self.max_tokens)]
         self.spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
-        write_version(self.spark, path, 0, self.files, self.fragments, self.config, n)
-        self.spark.createDataFrame([(0, 0)], COMMIT_SCHEMA).coalesce(1).write.mode("overwrite").partitionBy("version").json(os.path.join(path, "_commits"))
+        writer = uuid.uuid4().hex
+        write_version(self.spark, path, 0, writer, self.files, self.fragments, self.config, n)
+        if not commit(self.spark, path, 0, 0, writer):
+            raise RuntimeError(f"another writer began an index at {path}")
         return TextIndex.load(self.spark, path)
 
     @classmethod
@@ -374,9 +382,8 @@ class TextIndex:
         """Open the newest committed version of a written index; settings not given come
         from its ``_meta``."""
         meta = spark.read.schema(META_SCHEMA).json(os.path.join(path, "_meta")).first()
-        commits = spark.read.schema(COMMIT_SCHEMA).json(os.path.join(path, "_commits"))
-        version, base = commits.orderBy(F.col("version").desc()).select("version", "base").first()
-        shown = {name: live_rows(spark, path, name, base, version) for name in TABLE_SCHEMAS}
+        versions = committed(spark, path)
+        shown = {name: live_rows(spark, path, name, versions) for name in TABLE_SCHEMAS}
         return cls(
             shown["files"],
             shown["fragments"],
@@ -384,44 +391,74 @@ class TextIndex:
             config or meta["config"],
             max_tokens if max_tokens is not None else meta["max_tokens"],
             buckets=meta["buckets"],
-            version=version,
-            words=spark.read.schema(LEXICON_SCHEMA).parquet(os.path.join(path, "lexicon")).filter((F.col("version") >= base) & (F.col("version") <= version)),
+            version=versions[-1][0],
+            words=read_versions(spark, path, "lexicon", LEXICON_SCHEMA, versions),
         )
 
 
-def live_rows(spark: SparkSession, path: str, name: str, base: int, version: int) -> DataFrame:
-    """The rows of a table that count at ``version``: of each book those of the newest
-    version that names it. Only books changed since ``base`` (the last compaction) are
-    joined; an index without changes is read as it is."""
-    rows = read_table(spark, path, name).filter((F.col("version") >= base) & (F.col("version") <= version))
-    if version == base:
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def committed(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, writer) of the newest base (compaction) and all versions after it."""
+    rows = spark.read.schema(COMMIT_SCHEMA).json(os.path.join(path, "_commits")).collect()  # a row per version
+    newest = max(rows, key=lambda r: r["version"])
+    return sorted((r["version"], r["writer"]) for r in rows if r["version"] >= newest["base"])
+
+
+def live_rows(spark: SparkSession, path: str, name: str, versions: list[tuple[int, str]]) -> DataFrame:
+    """The rows of a table that count: of each book those of the newest version that
+    names it (for postings: that changed its text). Only books changed since the last
+    compaction are joined; an index without changes is read as it is."""
+    rows = read_versions(spark, path, name, TABLE_SCHEMAS[name], versions)
+    if len(versions) == 1:
         return rows
-    changed = spark.read.schema(CHANGED_SCHEMA).parquet(os.path.join(path, "changed"))
-    changed = changed.filter((F.col("version") > base) & (F.col("version") <= version))
+    changed = read_versions(spark, path, "changed", CHANGED_SCHEMA, versions[1:])
+    if name == "postings":
+        changed = changed.filter("text")
     newest = changed.groupBy("file_id").agg(F.max("version").alias("_newest"))
     return rows.join(newest, "file_id", "left").filter(F.col("_newest").isNull() | (F.col("version") == F.col("_newest"))).drop("_newest")
 
 
-def write_version(spark: SparkSession, path: str, version: int, files: DataFrame, frags: DataFrame, config: str, buckets: int) -> None:
-    """Write one version's rows of all three tables (invisible until its commit). A
-    repeated attempt replaces the same folders.
+def write_version(
+    spark: SparkSession, path: str, version: int, writer: str, files: DataFrame, frags: DataFrame, config: str, buckets: int, kept: DataFrame | None = None
+) -> None:
+    """Write one version's rows of all tables (invisible until its commit). Books of
+    ``kept`` (file_id) keep the postings that they have.
 
     Range partitioning on (bucket, key): many tasks share a big bucket, each writes one
     sorted key range, so file statistics stay tight at any size."""
     from quire.sources.books import not_null_checked
 
+    at = lambda name: os.path.join(path, name, f"version={version}", f"writer={writer}")
+
     def save(df: DataFrame, name: str, key: str, order: list[str], options: dict | None = None) -> None:
         df = df.withColumn("bucket", bucket_of("file_id", buckets)).repartitionByRange("bucket", key, "file_id")
-        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").options(**(options or {})).partitionBy("bucket").parquet(os.path.join(path, name, f"version={version}"))
+        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").options(**(options or {})).partitionBy("bucket").parquet(at(name))
 
+    mine = [(version, writer)]
     save(not_null_checked(files.select(*FILES_COLUMNS)), "files", "file_id", ["file_id"])
     save(frags.select(*FRAGMENT_COLUMNS), "fragments", "file_id", ["file_id", "sequence_no"])
-    own = read_table(spark, path, "fragments").filter(F.col("version") == version).drop("version", "bucket")
+    own = read_versions(spark, path, "fragments", TABLE_SCHEMAS["fragments"], mine).select(*FRAGMENT_COLUMNS)
+    if kept is not None:
+        own = own.join(kept, "file_id", "left_anti")
     save(position_lists(own, config=config), "postings", "lexeme", ["lexeme", "file_id", "sequence_no"], POSTINGS_OPTIONS)
-    own = read_table(spark, path, "postings").filter(F.col("version") == version)
-    lexicon(own).repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(os.path.join(path, "lexicon", f"version={version}"))
-
-
-def commit(spark: SparkSession, path: str, version: int, base: int) -> None:
-    """Make a version visible: one small file."""
-    spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").json(os.path.join(path, "_commits", f"version={version}"))
+    own = read_versions(spark, path, "postings", TABLE_SCHEMAS["postings"], mine)
+    lexicon(own).repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(at("lexicon"))
+
+
+def commit(spark: SparkSession, path: str, version: int, base: int, writer: str) -> bool:
+    """Make a writer's version visible: one small file, which must not be there yet.
+    False if another writer made this version."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_commits", f"version={version}", "marker.json"))
+    try:
+        out = marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(json.dumps({"base": base, "writer": writer}).encode())
+    out.close()
+    return True
