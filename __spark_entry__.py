@@ -379,15 +379,85 @@ def q_index_delete(spark, sf_dir):
 
 
 def q_corpus_emptied(spark, sf_dir):
-    """S11 through T10: every book deleted, its fragments with it."""
-    from quire.operators.upkeep import delete
+    """S11 on a written index: its rows before and after every book is deleted."""
+    from quire.operators.upkeep import empty
 
-    idx = _index(spark, sf_dir)
-    left = delete(idx, idx.files.select("file_id"))
+    path = _shared_folder(spark, "quire-emptied")
+    before = _index(spark, sf_dir).write(path, buckets=STREAM_BUCKETS)
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    rows = count(left.files, "n_files").withColumn("n_fragments", F.lit(0).cast("long"))
-    more = count(left.fragments, "n_fragments").withColumn("n_files", F.lit(0).cast("long"))
-    return rows.unionByName(more).agg(F.sum("n_files").alias("n_files"), F.sum("n_fragments").alias("n_fragments"))
+    rows = lambda idx, when: count(idx.files, "n_files").crossJoin(count(idx.fragments, "n_fragments")).crossJoin(count(idx.postings, "n_postings")).withColumn("moment", F.lit(when))  # noqa: E731  one row each
+    first = rows(before, "before")
+    return first.unionByName(rows(empty(before, path), "after"))
+
+
+def q_index_update_kinds(spark, sf_dir):
+    """T8 with every kind of change in one batch on a written index: texts (books flagged
+    low quality), titles only, books sent again as they are, new books."""
+    from quire.operators.upkeep import apply_changes
+    from quire.sources.corpus import table
+
+    path = _shared_folder(spark, "quire-kinds")
+    idx = _index(spark, sf_dir).write(path, buckets=STREAM_BUCKETS)
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("file_id")).distinct()
+    text = idx.files.join(low, "file_id", "left_semi").withColumn("content", F.concat("title", F.lit("\n"), "content"))
+    rest = idx.files.join(low, "file_id", "left_anti")
+    title = rest.filter("file_id % 5 = 1").withColumn("title", F.concat(F.lit("Renamed "), F.col("title")))
+    same = rest.filter("file_id % 5 = 2")
+    new = idx.files.filter("file_id % 10 = 3").withColumn("file_id", F.col("file_id") + O.NEW_BOOKS)
+    batch = text.unionByName(title).unionByName(same).unionByName(new)
+    now = apply_changes(idx, path, changes=batch)
+    fr = now.fragments.select(*_long("file_id", "sequence_no"), "title", F.size("content_array").cast("long").alias("n_words"), F.array_join("content_array", " ").alias("words"))
+    found = now.postings.groupBy(*_long("file_id", "sequence_no")).agg(F.count("*").alias("n_postings"))
+    return fr.join(found, ["file_id", "sequence_no"])
+
+
+def _book_folder(spark, sf_dir) -> str:
+    """The raw books as text files in nested folders of the shared folder."""
+    from quire.sources.books import write_texts
+
+    path = _shared_folder(spark, "quire-books")
+    write_texts(_raw_books(spark, sf_dir), path)
+    return path
+
+
+def q_list_text_files(spark, sf_dir):
+    """S1 over nested folders."""
+    from quire.sources.books import list_text_files, shelf_name
+
+    found = list_text_files(spark, _book_folder(spark, sf_dir), recursive=True)
+    return found.select(shelf_name(F.col("path")).alias("name"))
+
+
+def q_ls_files(spark, sf_dir):
+    """Files under a folder that fit a predicate, in order, with their rank."""
+    from quire.sources.books import consecutive_ids, ls_files, shelf_name
+
+    found = ls_files(spark, _book_folder(spark, sf_dir), "filename LIKE '%1.txt/%'", "filename")
+    ranked = consecutive_ids(found, "filename", name="file_rank")
+    return ranked.select(shelf_name(F.col("filename")).alias("name"), "file_rank")
+
+
+def q_read_books(spark, sf_dir):
+    """Whole files read back from nested folders and parsed."""
+    from quire.sources.books import parse_books, read_texts, shelf_name
+
+    raw = read_texts(spark, _book_folder(spark, sf_dir), recursive=True)
+    books, _ = parse_books(raw.withColumn("path", shelf_name(F.col("path"))))
+    return books
+
+
+def q_append_books(spark, sf_dir):
+    """Two loads whose files overlap; the second adds only what is new."""
+    from quire.sources.books import append_books, raw_books_from_files
+
+    files = corpus_files(spark, sf_dir)
+    none = files.limit(0).select("file_id", "filename", "title", "author", "content")
+    first, _ = append_books(raw_books_from_files(files.filter("file_id % 3 <> 0")), none)
+    path = _shared_folder(spark, "quire-append")
+    first.write.parquet(path)
+    held = spark.read.schema(first.schema).parquet(path)
+    more, _ = append_books(raw_books_from_files(files.filter("file_id % 3 <> 1")), held)
+    return held.unionByName(more)
 
 
 def q_index_stream(spark, sf_dir):
@@ -544,6 +614,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "txt_names": q_txt_names,
         "ingest_index": q_ingest_index,
         "corpus_emptied": q_corpus_emptied,
+        "index_update_kinds": q_index_update_kinds,
+        "list_text_files": q_list_text_files,
+        "ls_files": q_ls_files,
+        "read_books": q_read_books,
+        "append_books": q_append_books,
         "word_chunks": q_word_chunks,
         "ingest_files": q_ingest_files,
         "index_upsert": q_index_upsert,
@@ -601,6 +676,11 @@ def oracle_sql() -> dict[str, str]:
         "txt_names": O.TXT_NAMES,
         "ingest_index": O.INGEST_INDEX,
         "corpus_emptied": O.CORPUS_EMPTIED,
+        "index_update_kinds": O.INDEX_UPDATE_KINDS,
+        "list_text_files": O.LIST_TEXT_FILES,
+        "ls_files": O.LS_FILES,
+        "read_books": O.PARSE_BOOKS_STRICT,
+        "append_books": O.APPEND_BOOKS,
         "word_chunks": O.WORD_CHUNKS,
         "ingest_files": O.INGEST_FILES,
         "index_upsert": O.INDEX_UPSERT,

@@ -508,8 +508,31 @@ SELECT name FROM (
 WHERE regexp_matches(name, '.txt')
 """
 
-# Nothing is left
-CORPUS_EMPTIED = "SELECT (count(*) - count(*))::BIGINT AS n_files, 0::BIGINT AS n_fragments FROM documents"
+# Every book's file
+LIST_TEXT_FILES = "SELECT source || '/' || doc_id || '.txt' AS name FROM documents"
+
+# Those whose id ends in 1, in order of their path
+LS_FILES = """
+SELECT source || '/' || doc_id || '.txt' AS name,
+       row_number() OVER (ORDER BY 'shelf=' || source || '/book=' || doc_id || '.txt/') AS file_rank
+FROM documents WHERE doc_id % 10 = 1
+"""
+
+# A first load of two thirds, then one that overlaps it
+APPEND_BOOKS = with_base(RAW_BOOKS + """,
+ids AS (SELECT f.file_id AS old_id, b.* FROM books b JOIN files f ON f.filename LIKE '%/' || b.filename),
+one AS (SELECT row_number() OVER (ORDER BY filename) AS file_id, filename, title, author, content FROM ids WHERE old_id % 3 <> 0),
+two AS (SELECT (SELECT max(file_id) FROM one) + row_number() OVER (ORDER BY filename) AS file_id, filename, title, author, content FROM ids WHERE old_id % 3 = 0)
+SELECT * FROM one UNION ALL SELECT * FROM two
+""")
+
+# What was there, and that nothing is left
+CORPUS_EMPTIED = with_base("""
+x AS (SELECT 1)
+SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM (SELECT DISTINCT file_id, sequence_no FROM tok)) AS n_fragments,
+       (SELECT count(*) FROM post) AS n_postings, 'before' AS moment
+UNION ALL SELECT 0, 0, 0, 'after'
+""")
 
 # single-book forms: the English book of the smallest id
 _ONE = "(SELECT min(doc_id) FROM documents WHERE lang = 'en')"
@@ -527,6 +550,22 @@ UPDATED_FILES = """
               THEN f.title || chr(10) || f.content ELSE f.content END AS content
   FROM (""" + FILES + """) f"""
 
+# every kind of change: texts, titles, the same again, new books
+NEW_BOOKS = 10_000_000
+CHANGED_FILES = f"""
+  SELECT f.file_id, f.filename, CASE WHEN l.doc_id IS NULL AND f.file_id % 5 = 1 THEN 'Renamed ' || f.title ELSE f.title END AS title,
+         f.author, CASE WHEN l.doc_id IS NULL THEN f.content ELSE f.title || chr(10) || f.content END AS content
+  FROM ({FILES}) f LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = f.file_id
+  UNION ALL SELECT f.file_id + {NEW_BOOKS}, f.filename, f.title, f.author, f.content FROM ({FILES}) f WHERE f.file_id % 10 = 3"""
+
+INDEX_UPDATE_KINDS = with_base("""
+wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORDER BY pos) AS words
+       FROM tok GROUP BY file_id, sequence_no),
+np AS (SELECT file_id, sequence_no, count(*) AS n_postings FROM post GROUP BY file_id, sequence_no)
+SELECT wd.file_id, wd.sequence_no, files.title, wd.n_words, wd.words, np.n_postings
+FROM wd JOIN files USING (file_id) JOIN np ON np.file_id = wd.file_id AND np.sequence_no = wd.sequence_no
+""", files_sql=CHANGED_FILES)
+
 INDEX_UPSERT = with_base("""
 wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORDER BY pos) AS words
        FROM tok GROUP BY file_id, sequence_no)

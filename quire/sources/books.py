@@ -283,6 +283,34 @@ def ingest(raw: DataFrame, existing: DataFrame | None = None, strict: bool = Fal
     return assign_file_ids(books, existing), rejects
 
 
+def append_books(raw: DataFrame, existing: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S9/S10 that may be repeated: of the raw files only books that ``existing`` does not
+    hold - by file name and digest of the content - get ids, after its largest, in order
+    of file name and digest. Loading a folder again adds what is new in it, and nothing
+    else. Returns the new rows of ``files`` and the rejects."""
+    books, rejects = parse_books(raw, strict=strict)
+    digest = F.sha2(F.col("content").cast("binary"), 256).alias("_digest")
+    known = existing.select("filename", digest)
+    fresh = books.select("*", digest).join(known, ["filename", "_digest"], "left_anti").dropDuplicates(["filename", "_digest"])
+    fresh = fresh.withColumn("_key", F.concat("filename", F.lit("\u0000"), "_digest"))
+    start = existing.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+    ids = consecutive_ids(fresh.select("_key"), "_key", int(start), "file_id")
+    return fresh.join(ids, "_key").select("file_id", "filename", "title", "author", "content"), rejects
+
+
+def write_texts(raw: DataFrame, directory: str) -> None:
+    """Each row of ``raw(path, value)`` as a text file of its own in nested folders:
+    ``shelf=<folder of path>/book=<name>/``."""
+    shelf = F.regexp_replace("path", "/[^/]*$", "")
+    x = raw.select(shelf.alias("shelf"), base_name(F.col("path")).alias("book"), "value")
+    x.repartition("shelf", "book").write.partitionBy("shelf", "book").text(directory)
+
+
+def shelf_name(path: Column) -> Column:
+    """The ``path`` that a file of ``write_texts`` was written for."""
+    return F.concat_ws("/", F.regexp_extract(path, "/shelf=([^/]*)/", 1), F.regexp_extract(path, "/book=([^/]*)/", 1))
+
+
 # --- raw books made from the driver's documents (both engines build them alike) ---
 #: Of every ``VARIED`` books by id: 3 has a second author, 5 a second title, 7 no author,
 #: 9 its END line twice (inside the body, then at its end).
