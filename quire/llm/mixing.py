@@ -97,8 +97,8 @@ def draw(doc_id: Column, salt: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def _drawn(docs: DataFrame, targets, rounds: int) -> DataFrame:
-    x = described(docs)
+def _drawn(x: DataFrame, targets, rounds: int) -> DataFrame:
+    """The drawn rows of described documents, with their probability ``_p``."""
     cells = raked_cells(x, targets, rounds).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_p"))
     if cells.count() <= SENT_CELLS:  # a few MB, checked
         cells = F.broadcast(cells)
@@ -107,11 +107,14 @@ def _drawn(docs: DataFrame, targets, rounds: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The drawn documents: doc_id, source, lang, topic, n_tokens, probability."""
-    x = _drawn(docs, targets, rounds)
+    """The drawn documents: doc_id, source, lang, topic, n_tokens, probability. Texts are
+    read once: what the counts and the draw need of them is a small table."""
+    x = described(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang")
+    x = _drawn(written(x, f"{run_folder(docs.sparkSession, 'described')}/documents"), targets, rounds)
     return x.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_p", 9).alias("probability"))
 
 
 def sampled_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The drawn rows of ``docs`` with all their columns."""
-    return _drawn(docs, targets, rounds).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The drawn rows of ``docs`` with all their columns, whatever these are called."""
+    x = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_doc"))
+    return _drawn(described(x), targets, rounds).select("_doc.*")

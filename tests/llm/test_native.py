@@ -87,3 +87,14 @@ def test_odd_rows_are_drawn_as_defined(spark):
     assert got.columns == d.columns and not {900, 901} & set(ids) and ids.count(3) in (0, 2, 3, 1)
     assert sorted(ids, key=str) == sorted([r.doc_id for r in mixed(d).collect()], key=str)
     assert mixed(H.documents(spark, [])).count() == 0
+
+
+def test_names_of_extra_columns_do_not_matter(spark):
+    plain = H.documents(spark, mix_rows(60), extra=False)
+    odd = plain
+    for name in ("_words", "_tokens", "_p", "_n0", "_topic", "_doc", "probability"):
+        odd = odd.withColumn(name, F.lit(7))
+    got = sampled_documents(odd)
+    assert got.columns == odd.columns and got.filter("_tokens <> 7 or _p <> 7 or _words <> 7").count() == 0
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(got) == ids(sampled_documents(plain)) == ids(mixed(odd))
