@@ -8,7 +8,7 @@ the last return the columns of ``documents``; the last returns the token index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import run_folder, table, written
@@ -21,22 +21,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows under a key of their own, pinned in the shared folder: (row, doc) with all
+    columns in ``doc``, and (doc_id = row, text) for the operators. So null and repeated
+    doc_ids are documents like others, and no column name can clash."""
+    x = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    x = written(x, run_folder(spark, f"pipeline-{name}"))
+    return x, x.select(F.col("row").alias("doc_id"), "doc.text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 80 percent)."""
+    """One document of each group of near-duplicates (five words, 80 percent): that of the
+    smallest doc_id (null last)."""
     from quire.llm.near_dedup import near_groups
 
-    kept = near_groups(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    # equal ids are one document: the row of the smallest text hash stays
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(once)).filter("_row = 1").drop("_row")
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    keyed, texts = _keyed(spark, docs, "near")
+    groups = near_groups(texts, shingle=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    id_ = F.col("doc.doc_id")
+    ranked = groups.join(keyed.select("row", F.struct(id_.isNull().alias("none"), id_.alias("id"), "row").alias("rank")), "row")
+    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("first")).select("first.row")
+    return keyed.join(kept, "row", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    from quire.llm.decontaminate import clean_documents
+    """Documents in which no benchmark item was found (items of a null id count too)."""
+    from quire.llm.decontaminate import found_items
 
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    keyed, texts = _keyed(spark, docs, "clean")
+    items = table(spark, sf_dir, "benchmark").select(F.monotonically_increasing_id().alias("item_id"), "text")
+    found = found_items(texts, items).select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(found, "row", "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

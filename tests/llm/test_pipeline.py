@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -48,3 +49,15 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_are_documents_like_others(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(9, "a b c d"), (9, "q r s t u v"), (11, "q r s t u v"), (4, "a b c d"), (20, "x y z one"), (20, "x y z two"), (None, long), (None, long), (30, long), (None, "alone")]
+    docs = H.documents(spark, rows).withColumns({"_row": F.lit(1), "row": F.lit(2), "doc": F.lit("x")})
+    got = P.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(4, "a b c d"), (9, "q r s t u v"), (20, "x y z one"), (20, "x y z two"), (30, long), (None, "alone")], key=str)
+    spark.createDataFrame([(None, long), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = P.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([r for r in rows if r[1] != long], key=str)
