@@ -158,7 +158,7 @@ def test_distance_shapes(golden, text, spans):
 
 
 def test_query_grammar_errors(golden):
-    for bad in ["a &", "(a | b", "a <x> b", "!a <1> !b", "a | <1> b", ")"]:
+    for bad in ["a &", "(a | b", "a <x> b", "!a <1> !b", "a | <1> b", ")", "whale:*"]:
         with pytest.raises(ValueError):
             compile_query(golden.spark, bad, "logical")
     assert compile_query(golden.spark, "   ", "logical").empty
