@@ -16,6 +16,9 @@ one entry per chunk, whatever its frequency: no hot key, and no token rows move.
   make alpha(h) = (1 - sum d c / c(h)) / (1 - sum P), so that the probabilities of
   every context add up to exactly 1. A context without any discounted count counts
   one more in its denominator, so that some mass is left to back off with.
+* rounds: words and pairs are counted first, then each longer order by itself, and its
+  contexts are asked for in ``ROUNDS`` rounds of buckets, so that the shuffle files of
+  one round at a time are on disk; every bucket has its round.
 * scores: per token, P_n = d c / c(h) if c > 0, else alpha(h) P_{n-1}; a context
   never seen passes through. Order 1: d c / N, and what the discounts leave is the
   probability of the one unknown word. Tokens before the first are a begin mark.
@@ -44,6 +47,7 @@ from quire.llm.textblocks import blocks, mix64, runs, words
 
 CHUNK_BYTES = 8 << 20
 ORDER = 3
+ROUNDS = 3
 K = 5
 CODES, CONTEXT = 0, 100  # kinds of rows; an order n >= 1 marks counts, CONTEXT + n contexts
 ROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -255,12 +259,12 @@ def _chunks(rows: DataFrame, work) -> DataFrame:
     return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, ROW_SQL)
 
 
-def count_requests(encoded: DataFrame, order: int, buckets: int) -> DataFrame:
+def count_requests(encoded: DataFrame, orders: list[int], buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):  # a row is a whole chunk
                 c = Chunk(pa.Table.from_batches([batch.slice(i, 1)]), buckets)
-                for n in range(1, order + 1):
+                for n in orders:
                     keys, place = c.grams(n)
                     counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
                     by, met, begin = c.dealt(keys)
@@ -315,7 +319,10 @@ def read_stats(answers: DataFrame) -> Stats:
     return Stats([{"kind": r["kind"], "n_r": [r[f"s{i}"] for i in range(K + 2)], "total": r[f"s{K + 2}"], "types": r[f"s{K + 3}"]} for r in rows])
 
 
-def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> DataFrame:
+def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    """What each chunk asks of the buckets k of round ``turn = (i, m)``: k mod m is i."""
+    i, m = turn
+
     def work(chunk: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
         c = Chunk(group, buckets)
         keys, place = c.grams(n)
@@ -332,7 +339,8 @@ def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> Dat
         by, met, begin = c.dealt(contexts)
         contexts, sums = contexts[by], sums[by]
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[a:b].T))
+            if bucket % m == i:
+                yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[a:b].T))
 
     return _chunks(rows, work)
 
@@ -378,12 +386,16 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     folder = run_folder(spark, "katz")
     encoded = _kept(encode_chunks(docs, held_out), f"{folder}/encoded")
     buckets = max(1, encoded.filter(f"kind = {CODES}").count())
-    answers = _kept(answer_counts(count_requests(encoded, order, buckets)), f"{folder}/counts")
+    answers = _kept(answer_counts(count_requests(encoded, [1, 2][:order], buckets)), f"{folder}/counts")
+    for n in range(3, order + 1):
+        answers = answers.union(_kept(answer_counts(count_requests(encoded, [n], buckets)), f"{folder}/counts-{n}"))
     stats = read_stats(answers)
     rows = encoded.union(answers.filter("chunk is not null"))
     for n in range(2, order + 1):
         below = rows.filter(f"kind <= {n} or kind > {CONTEXT}")  # no counts of higher orders
-        rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets)), f"{folder}/contexts-{n}"))
+        m = 1 if n == 2 else ROUNDS  # the contexts of pairs are words: few
+        for i in range(m):
+            rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets, (i, m))), f"{folder}/contexts-{n}-{i}"))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
