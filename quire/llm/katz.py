@@ -6,25 +6,28 @@ that n-gram's hash with the chunk's training count, and the corpus count travels
 back in the same order. A word or word pair that stands in every document is so
 one entry per chunk, whatever its frequency: no hot key, and no token rows move.
 
-* counts: requests of all orders, grouped by (order, bucket); answers are written
-  as a table partitioned by order. The first chunk that holds an n-gram owns it.
+* counts: a chunk's n-grams lie grouped by context, and a context's hash names the
+  bucket, so that all counts of a context meet in one place. Each n-gram gets its
+  corpus count back, each context its total, its least count (is any discounted?) and
+  whether some chunk holds a token there that training never saw. The first chunk that
+  holds an n-gram owns it. Answers are written as a table partitioned by order.
 * discounts: Good-Turing, d_r = (r*/r - a) / (1 - a), r* = (r+1) n_{r+1} / n_r,
   a = (K+1) n_{K+1} / n_1 for r <= K = 5. Where the counts of counts do not give
   0 < d_r < 1 for all r <= K, K is lowered; with none left, d_1 = 1/2.
-* contexts: for each context h, owners of its n-grams give sum c, sum d c and
-  sum P(w | h') over the words seen after h; grouped by the context's bucket they
-  make alpha(h) = (1 - sum d c / c(h)) / (1 - sum P), so that the probabilities of
+* contexts: only those with an unseen token need alpha(h): for them, owners of the
+  n-grams give sum c, sum (c - d c) and sum P(w | h') over the words seen after h, which
+  make alpha(h) = (sum (c - d c) / c(h)) / (1 - sum P), so that the probabilities of
   every context add up to exactly 1. A context without any discounted count counts
   one more in its denominator, so that some mass is left to back off with.
-* rounds: words and pairs are counted first, then each longer order by itself, and its
-  contexts are asked for in ``ROUNDS`` rounds of buckets, so that the shuffle files of
-  one round at a time are on disk; every bucket has its round.
+* rounds: words are counted first, then each longer order by itself; orders above 2 in
+  ``ROUNDS`` rounds of buckets, so that the shuffle files of one round at a time are on
+  disk; every bucket has its round.
 * scores: per token, P_n = d c / c(h) if c > 0, else alpha(h) P_{n-1}; a context
   never seen passes through. Order 1: d c / N, and what the discounts leave is the
   probability of the one unknown word. Tokens before the first are a begin mark.
 
-Tokens: words of the text with A-Z lowered, then one end. Words and n-grams are
-64-bit hashes. ``model_discounts``, ``context_weights`` are plain numpy.
+Tokens: words of the text with A-Z lowered, then one end. Words and contexts are
+64-bit hashes, an n-gram is its context and 48 bits more. ``model_discounts``, ``context_weights`` are plain numpy.
 
 Cases: null or empty text: the end token alone. Null doc_id: fold of the empty
 text (learned from); kept as null. Equal doc_ids or rows: a row each. No training
@@ -47,12 +50,13 @@ from quire.llm.textblocks import blocks, mix64, runs, words
 
 CHUNK_BYTES = 8 << 20
 ORDER = 3
-ROUNDS = 3
+ROUNDS = 2
 K = 5
 CODES, CONTEXT = 0, 100  # kinds of rows; an order n >= 1 marks counts, CONTEXT + n contexts
 ROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 ROW_SQL = "chunk long, kind int, bucket long, a binary, b binary"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LOW = np.uint64((1 << 48) - 1)
 BEGIN, END = mix64(np.array([1, 2], np.uint64))
 
 
@@ -110,14 +114,14 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
-def denominator(total: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """One more than the count where no discount leaves anything over."""
-    return np.where(total - mass <= 1e-9 * np.maximum(total, 1), total + 1.0, total)
+def denominator(total: np.ndarray, least: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """One more than the count where the least count is beyond the discounts."""
+    return total + np.where(least >= len(d), 1.0, 0.0)
 
 
-def context_weights(total: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """alpha of each context from sum c, sum d c and sum P(w | h')."""
-    left = 1 - mass / denominator(total, mass)
+def context_weights(total: np.ndarray, freed: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """alpha of each context from sum c, sum (c - d c) and sum P(w | h')."""
+    left = np.where(freed > 0, freed, 1.0) / (total + (freed <= 0))
     return np.where(total > 0, left / np.maximum(1 - lower, 1e-300), 1.0)
 
 
@@ -132,7 +136,7 @@ class Stats:
                 self.n, self.v = r["total"], r["types"]
                 few = np.array(r["n_r"], np.float64) * discounted(np.arange(K + 2), self.d[1])
                 mass = float(few[1:].sum()) + r["total"] - float((np.array(r["n_r"]) * np.arange(K + 2)).sum())
-        self.words_total = float(denominator(np.array(float(self.n)), np.array(mass)))
+        self.words_total = self.n + (mass >= self.n)
         self.unknown = 1 - mass / self.words_total if self.n else 1.0
 
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
@@ -194,58 +198,75 @@ class Chunk:
         self.ids, self.null, self.train, self.bounds = unpack(docs, "<i8", "u1", "u1", "<i8")
         self.buckets = buckets
         self.train_token = np.repeat(self.train.astype(bool), np.diff(self.bounds))
-        self._context = {1: np.zeros(len(self.codes), np.uint64)}
-
-    def context(self, n: int) -> np.ndarray:
-        """Hash of the n - 1 tokens before each token."""
-        if n not in self._context:
-            hashes = self.vocab[self.codes]
-            out = np.zeros(len(hashes), np.uint64)
-            at = np.arange(len(hashes)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-            for back in range(n - 1, 0, -1):
-                before = np.full(len(hashes), BEGIN, np.uint64)
-                before[back:] = np.where(at[back:] >= back, hashes[:-back], BEGIN)
-                out = mix64(out ^ before)
-            self._context[n] = out
-        return self._context[n]
+        self._contexts: dict[int, tuple] = {}
+        self._context_of: dict[int, np.ndarray] = {}
+        self._grams = {1: (self.vocab, self.codes)}
+
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the n - 1 tokens before each token, ascending, and each token's
+        place among them: the (n-1)-gram that ends one token earlier, or begin marks alone."""
+        if n not in self._contexts:
+            before, place = self.grams(n - 1)
+            start = np.zeros(1, np.uint64)
+            for _ in range(n - 1):
+                start = mix64(start ^ BEGIN)
+            keys = np.append(mix64(before) if n == 2 else before, start)
+            at = np.empty(len(place), np.int64)
+            at[1:] = place[:-1]
+            at[self.bounds[:-1]] = len(before)
+            met = np.flatnonzero(np.bincount(at, minlength=len(keys)))
+            met = met[np.argsort(keys[met])]
+            rank = np.zeros(len(keys), np.int64)
+            rank[met] = np.arange(len(met))
+            self._contexts[n] = keys[met], rank[at]
+        return self._contexts[n]
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-gram keys, in the same order at every call, and each token's place among them."""
-        if n == 1:
-            return self.vocab, self.codes
-        return np.unique(mix64(self.context(n) ^ self.vocab[self.codes]), return_inverse=True)
+        """Distinct n-gram keys, in the same order at every call (by context, if n > 1), and
+        each token's place among them."""
+        if n not in self._grams:
+            contexts, at = self.contexts(n)
+            pairs, place = np.unique(at * len(self.vocab) + self.codes, return_inverse=True)
+            self._context_of[n] = pairs // len(self.vocab)
+            self._grams[n] = mix64(contexts[self._context_of[n]] ^ self.vocab[pairs % len(self.vocab)]), place
+        return self._grams[n]
+
+    def sizes(self, n: int) -> np.ndarray:
+        """How many n-grams each context has."""
+        self.grams(n)
+        return np.bincount(self._context_of[n], minlength=len(self.contexts(n)[0]))
 
     def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys in bucket order: the order, the buckets met and where each begins.
         A bucket is a range of keys, so ascending keys stay so and lie close together."""
         bucket = (keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
-        met, begin = np.unique(bucket[order], return_index=True)
-        return order, met.astype(np.int64), np.append(begin, len(keys))
-
-    def answer(self, kind: int, keys: np.ndarray, a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
-        order, _, _ = self.dealt(keys)
-        got = []
-        for k, what in enumerate((a, b)):
-            flat = np.concatenate([unpack(x[k], what)[0] for x in self.parts.get(kind, [])] or [np.zeros(0, what)])
-            value = np.zeros(len(keys), flat.dtype)
-            value[order] = flat
-            got.append(value)
-        return got[0], got[1]
+        bucket = bucket[order].astype(np.int64)
+        begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return order, bucket[begin], np.append(begin, len(keys))
+
+    def answer(self, kind: int, column: int, *whats: str) -> list[np.ndarray]:
+        """The answers of a kind from all buckets, in bucket order."""
+        got = [unpack(x[column], *whats) for x in self.parts.get(kind, [])]
+        return [np.concatenate([x[i] for x in got] or [np.zeros(0, w)]) for i, w in enumerate(whats)]
+
+    def word_counts(self) -> np.ndarray:
+        counts = np.zeros(len(self.vocab), np.int64)
+        counts[self.dealt(self.vocab)[0]] = self.answer(1, 0, "<i8")[0]
+        return counts
 
     def probabilities(self, upto: int, stats: Stats) -> np.ndarray:
         """P of every token by the model of order ``upto``."""
-        counts, _ = self.answer(1, self.vocab, "<i8", "u1")
-        p = stats.word_probability(counts.astype(np.int64))[self.codes]
+        p = stats.word_probability(self.word_counts())[self.codes]
         for n in range(2, upto + 1):
-            keys, place = self.grams(n)
-            counts, _ = self.answer(n, keys, "<i8", "u1")
-            c = counts.astype(np.int64)[place]
-            contexts, at = np.unique(self.context(n), return_inverse=True)
-            total, alpha = self.answer(CONTEXT + n, contexts, "<f8", "<f8")
-            seen = c > 0
-            p = p * alpha[at]
-            p[seen] = (discounted(c, stats.d[n]) / np.maximum(total[at], 1e-300))[seen]
+            (_, place), (contexts, at) = self.grams(n), self.contexts(n)
+            counts, _ = self.answer(n, 0, "<i8", "u1")
+            total, least, asks = self.answer(n, 1, "<i8", "u1", "u1")
+            alpha = np.ones(len(contexts))
+            alpha[asks > 0] = self.answer(CONTEXT + n, 0, "<f8")[0]
+            each = discounted(counts, stats.d[n])
+            below = denominator(total, least, stats.d[n])[self._context_of[n]]
+            p = np.where((counts > 0)[place], (each / np.maximum(below, 1))[place], p * alpha[at])
         return p
 
 
@@ -259,42 +280,92 @@ def _chunks(rows: DataFrame, work) -> DataFrame:
     return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, ROW_SQL)
 
 
-def count_requests(encoded: DataFrame, orders: list[int], buckets: int) -> DataFrame:
+def count_requests(encoded: DataFrame, n: int, buckets: int, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    """The n-grams of each chunk with their training counts, for the buckets k of round
+    ``turn = (i, m)``: k mod m is i. Words: keys and counts; longer ones: contexts, and
+    the size of each with keys and counts of its n-grams."""
+    i, m = turn
+
+    def work(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+        keys, place = c.grams(n)
+        counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
+        outer = keys if n == 1 else c.contexts(n)[0]
+        by, met, begin = c.dealt(outer)
+        outer = outer[by]
+        if n == 1:
+            counts = counts[by]
+        else:
+            sizes = c.sizes(n)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+        for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
+            if bucket % m != i:
+                continue
+            if n == 1:
+                yield _row(chunk, n, bucket, pack_keys(outer[a:b]), pack(counts[a:b]))
+            else:
+                inner = slice(ends[a], ends[b])
+                yield _row(chunk, n, bucket, pack_keys(outer[a:b]), pack(sizes[a:b].astype(np.uint32), keys[inner] & LOW, counts[inner]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, chunk in enumerate(batch.column(0).to_pylist()):  # a row is a whole chunk
-                c = Chunk(pa.Table.from_batches([batch.slice(i, 1)]), buckets)
-                for n in orders:
-                    keys, place = c.grams(n)
-                    counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
-                    by, met, begin = c.dealt(keys)
-                    keys, counts = keys[by], counts[by]
-                    for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-                        yield _row(chunk, n, bucket, pack_keys(keys[a:b]), pack(counts[a:b]))
+            for k, chunk in enumerate(batch.column(0).to_pylist()):  # a row is a whole chunk
+                yield from work(chunk, Chunk(pa.Table.from_batches([batch.slice(k, 1)]), buckets))
 
     return encoded.mapInArrow(run, ROW_SQL)
 
 
+def _totals(kind: int, bucket: int, counts: np.ndarray) -> pa.RecordBatch:
+    n_r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[: K + 2]
+    n_r[0] = 0
+    return _row(None, kind, bucket, pack(np.concatenate([n_r, [counts.sum(), (counts > 0).sum()]]).astype(np.int64)), b"")
+
+
+def _answer_words(kind: int, bucket: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
+    keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
+    own = np.concatenate([unpack(x.as_buffer(), "<u4")[0] for x in group["b"]])
+    uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(place, weights=own, minlength=len(uniq)).astype(np.int64)
+    at = 0
+    for chunk, k in zip(group["chunk"].to_pylist(), keys):
+        yield _row(chunk, kind, bucket, pack(counts[place[at : at + len(k)]]), b"")
+        at += len(k)
+    yield _totals(kind, bucket, counts)
+
+
+def _answer_grams(kind: int, bucket: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
+    outer = [unpack_keys(x.as_buffer()) for x in group["a"]]
+    sizes, low, own = (np.concatenate(x) for x in zip(*(unpack(x.as_buffer(), "<u4", "<u8", "<u4") for x in group["b"])))
+    contexts, context = np.unique(np.concatenate(outer), return_inverse=True)
+    inner = np.repeat(context, sizes)
+    uniq, place = np.unique(mix64(contexts)[inner] ^ low, return_inverse=True)
+    counts = np.bincount(place, weights=own, minlength=len(uniq)).astype(np.int64)
+    of = np.empty(len(uniq), np.int64)
+    of[place] = inner
+    total = np.bincount(of, weights=counts, minlength=len(contexts)).astype(np.int64)
+    asks = ((np.bincount(of, weights=counts == 0, minlength=len(contexts)) > 0) & (total > 0)).astype(np.uint8)
+    least = np.full(len(contexts), K + 1, np.uint8)
+    for r in range(K, 0, -1):
+        least[of[counts == r]] = r
+    owner = np.zeros(len(place), np.uint8)
+    owned = np.full(len(uniq), -1)
+    asked = np.flatnonzero(own > 0)[::-1]
+    owned[place[asked]] = asked  # the first one is set last
+    owner[owned[owned >= 0]] = 1
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    for chunk, k in zip(group["chunk"].to_pylist(), outer):
+        grams, here = slice(ends[at], ends[at + len(k)]), context[at : at + len(k)]
+        yield _row(chunk, kind, bucket, pack(counts[place[grams]], owner[grams]), pack(total[here], least[here], asks[here]))
+        at += len(k)
+    yield _totals(kind, bucket, counts)
+
+
 def answer_counts(requests: DataFrame) -> DataFrame:
     """Corpus counts back to each chunk; a row of totals per bucket (chunk null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
-            keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
-            own = np.concatenate([unpack(x.as_buffer(), "<u4")[0] for x in group["b"]])
-            uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.bincount(place, weights=own, minlength=len(uniq)).astype(np.int64)
-            owner = np.zeros(len(place), np.uint8)
-            asked = np.flatnonzero(own > 0)
-            _, first = np.unique(place[asked], return_index=True)
-            owner[asked[first]] = 1
-            at = 0
-            for chunk, k in zip(group["chunk"].to_pylist(), keys):
-                yield _row(chunk, kind, bucket, pack(counts[place[at : at + len(k)]]), pack(owner[at : at + len(k)]))
-                at += len(k)
-            n_r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[: K + 2]
-            n_r[0] = 0
-            yield _row(None, kind, bucket, pack(np.concatenate([n_r, [counts.sum(), (counts > 0).sum()]]).astype(np.int64)), b"")
+            yield from (_answer_words if kind == 1 else _answer_grams)(kind, bucket, group)
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
 
@@ -319,46 +390,42 @@ def read_stats(answers: DataFrame) -> Stats:
     return Stats([{"kind": r["kind"], "n_r": [r[f"s{i}"] for i in range(K + 2)], "total": r[f"s{K + 2}"], "types": r[f"s{K + 3}"]} for r in rows])
 
 
-def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int, turn: tuple[int, int] = (0, 1)) -> DataFrame:
-    """What each chunk asks of the buckets k of round ``turn = (i, m)``: k mod m is i."""
-    i, m = turn
+def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> DataFrame:
+    """Sums over the n-grams that a chunk owns, for its contexts that need a weight."""
 
     def work(chunk: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
         c = Chunk(group, buckets)
         keys, place = c.grams(n)
-        counts, owned = c.answer(n, keys, "<i8", "u1")
-        first = np.zeros(len(keys), np.int64)
-        first[place[::-1]] = np.arange(len(place))[::-1]  # a token of each n-gram
-        mine = first[owned > 0]
-        lower = c.probabilities(n - 1, stats)[mine]
-        contexts, whole = np.unique(c.context(n), return_inverse=True)
-        at, k = whole[mine], counts[owned > 0].astype(np.int64)
-        backs_off = np.zeros(len(contexts))  # alpha is asked for where a token of the chunk has no count
-        backs_off[whole[(counts == 0)[place]]] = 1
-        sums = np.stack([*[np.bincount(at, weights=x, minlength=len(contexts)) for x in (k, discounted(k, stats.d[n]), lower)], backs_off], axis=1)
-        by, met, begin = c.dealt(contexts)
-        contexts, sums = contexts[by], sums[by]
+        contexts = c.contexts(n)[0]
+        counts, owned = c.answer(n, 0, "<i8", "u1")
+        asks = c.answer(n, 1, "<i8", "u1", "u1")[2] > 0
+        at = c._context_of[n]
+        mine = (owned > 0) & asks[at]
+        token = np.zeros(len(keys), np.int64)
+        token[place] = np.arange(len(place))  # a token of each n-gram
+        lower, k, at = c.probabilities(n - 1, stats)[token[mine]], counts[mine], at[mine]
+        freed = k - discounted(k, stats.d[n])
+        sums = np.stack([np.bincount(at, weights=x, minlength=len(contexts))[asks] for x in (k, freed, lower)])
+        contexts = contexts[asks]
+        _, met, begin = c.dealt(contexts)  # they ascend
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            if bucket % m == i:
-                yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[a:b].T))
+            yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[:, a:b]))
 
     return _chunks(rows, work)
 
 
 def answer_contexts(requests: DataFrame) -> DataFrame:
-    """Denominator and alpha (0 where not asked for) of each context back to the chunks that hold it."""
+    """alpha of each context back to the chunks that asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
             keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
-            sums = np.concatenate([np.stack(unpack(x.as_buffer(), *["<f8"] * 4), axis=1) for x in group["b"]])
+            sums = [np.concatenate(x) for x in zip(*(unpack(x.as_buffer(), *["<f8"] * 3) for x in group["b"]))]
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total, mass, lower = (np.bincount(place, weights=sums[:, i], minlength=len(uniq)) for i in range(3))
-            alpha, below = context_weights(total, mass, lower), denominator(total, mass)
+            alpha = context_weights(*(np.bincount(place, weights=x, minlength=len(uniq)) for x in sums))[place]
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
-                here = place[at : at + len(k)]
-                yield _row(chunk, kind, bucket, pack(below[here]), pack(np.where(sums[at : at + len(k), 3] > 0, alpha[here], 0.0)))
+                yield _row(chunk, kind, bucket, pack(alpha[at : at + len(k)]), b"")
                 at += len(k)
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
@@ -386,16 +453,17 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     folder = run_folder(spark, "katz")
     encoded = _kept(encode_chunks(docs, held_out), f"{folder}/encoded")
     buckets = max(1, encoded.filter(f"kind = {CODES}").count())
-    answers = _kept(answer_counts(count_requests(encoded, [1, 2][:order], buckets)), f"{folder}/counts")
-    for n in range(3, order + 1):
-        answers = answers.union(_kept(answer_counts(count_requests(encoded, [n], buckets)), f"{folder}/counts-{n}"))
+    answers = None
+    for n in range(1, order + 1):
+        m = 1 if n < 3 else ROUNDS
+        for i in range(m):
+            part = _kept(answer_counts(count_requests(encoded, n, buckets, (i, m))), f"{folder}/counts-{n}-{i}")
+            answers = part if answers is None else answers.union(part)
     stats = read_stats(answers)
     rows = encoded.union(answers.filter("chunk is not null"))
     for n in range(2, order + 1):
         below = rows.filter(f"kind <= {n} or kind > {CONTEXT}")  # no counts of higher orders
-        m = 1 if n == 2 else ROUNDS  # the contexts of pairs are words: few
-        for i in range(m):
-            rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets, (i, m))), f"{folder}/contexts-{n}-{i}"))
+        rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets)), f"{folder}/contexts-{n}"))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -403,7 +471,7 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, 1):
             c = Chunk(group, buckets)
-            counts = c.answer(1, c.vocab, "<i8", "u1")[0].astype(np.int64)
+            counts = c.word_counts()
             base = np.log10((counts + 1) / (stats.n + stats.v + 1))[c.codes]
             score = np.log10(c.probabilities(order, stats))
             at = c.bounds[:-1]  # every document has its end token
