@@ -166,7 +166,7 @@ def encode_chunks(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-            yield _row(base + made, CODES, 0, pack(rank[codes], vocab[order]), pack(ids, null.astype(np.uint8), train.astype(np.uint8), bounds))
+            yield _row(base + made, CODES, 0, pack(rank[codes]) + pack_keys(vocab[order]), pack(ids, null.astype(np.uint8), train.astype(np.uint8), bounds))
             held, size, made = [], 0, made + 1
 
         for batch in batches:
@@ -194,7 +194,8 @@ class Chunk:
         for kind, a, b in zip(rows["kind"].to_pylist(), rows["a"], rows["b"]):
             self.parts.setdefault(kind, []).append((a.as_buffer(), b.as_buffer()))
         codes, docs = self.parts[CODES][0]
-        self.codes, self.vocab = unpack(codes, "<i4", "<u8")
+        self.codes, steps = unpack(codes, "<i4", "<u8")
+        self.vocab = np.cumsum(steps, dtype=np.uint64)  # words of one frequency ascend
         self.ids, self.null, self.train, self.bounds = unpack(docs, "<i8", "u1", "u1", "<i8")
         self.buckets = buckets
         self.train_token = np.repeat(self.train.astype(bool), np.diff(self.bounds))
@@ -231,10 +232,22 @@ class Chunk:
             self._grams[n] = mix64(contexts[self._context_of[n]] ^ self.vocab[pairs % len(self.vocab)]), place
         return self._grams[n]
 
-    def sizes(self, n: int) -> np.ndarray:
-        """How many n-grams each context has."""
+    def context_of(self, n: int) -> np.ndarray:
+        """The place of each n-gram's context among the contexts."""
         self.grams(n)
-        return np.bincount(self._context_of[n], minlength=len(self.contexts(n)[0]))
+        return self._context_of[n]
+
+    def unseen(self, n: int, counts: np.ndarray) -> np.ndarray:
+        """Which contexts of the chunk have an n-gram here that training never saw."""
+        return np.bincount(self.context_of(n), weights=counts == 0, minlength=len(self.contexts(n)[0])) > 0
+
+    def seen_grams(self, n: int, stats: Stats) -> np.ndarray:
+        """P of each n-gram by the order n, where training saw it."""
+        if n == 1:
+            return stats.word_probability(self.word_counts())
+        counts, _ = self.answer(n, 0, "<i8", "u1")
+        total, least, _ = self.answer(n, 1, "<i8", "u1", "u1")
+        return discounted(counts, stats.d[n]) / np.maximum(denominator(total, least, stats.d[n]), 1)[self.context_of(n)]
 
     def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys in bucket order: the order, the buckets met and where each begins.
@@ -261,12 +274,10 @@ class Chunk:
         for n in range(2, upto + 1):
             (_, place), (contexts, at) = self.grams(n), self.contexts(n)
             counts, _ = self.answer(n, 0, "<i8", "u1")
-            total, least, asks = self.answer(n, 1, "<i8", "u1", "u1")
+            asks = self.answer(n, 1, "<i8", "u1", "u1")[2]
             alpha = np.ones(len(contexts))
-            alpha[asks > 0] = self.answer(CONTEXT + n, 0, "<f8")[0]
-            each = discounted(counts, stats.d[n])
-            below = denominator(total, least, stats.d[n])[self._context_of[n]]
-            p = np.where((counts > 0)[place], (each / np.maximum(below, 1))[place], p * alpha[at])
+            alpha[self.unseen(n, counts) & (asks > 0)] = self.answer(CONTEXT + n, 0, "<f8")[0]
+            p = np.where((counts > 0)[place], self.seen_grams(n, stats)[place], p * alpha[at])
         return p
 
 
@@ -287,24 +298,27 @@ def count_requests(encoded: DataFrame, n: int, buckets: int, turn: tuple[int, in
     i, m = turn
 
     def work(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
-        keys, place = c.grams(n)
-        counts = np.bincount(place[c.train_token], minlength=len(keys)).astype(np.uint32)
-        outer = keys if n == 1 else c.contexts(n)[0]
-        by, met, begin = c.dealt(outer)
-        outer = outer[by]
         if n == 1:
-            counts = counts[by]
-        else:
-            sizes = c.sizes(n)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
+            outer, place = c.grams(1)
+            counts = np.bincount(place[c.train_token], minlength=len(outer)).astype(np.uint32)
+            by, met, begin = c.dealt(outer)
+            for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
+                yield _row(chunk, n, bucket, pack_keys(outer[by[a:b]]), pack(counts[by[a:b]]))
+            return
+        outer, at = c.contexts(n)
+        _, met, begin = c.dealt(outer)
+        now = np.repeat(met % m == i, np.diff(begin))  # contexts of this round
+        here = np.flatnonzero(now[at])
+        pairs, place = np.unique(at[here] * len(c.vocab) + c.codes[here], return_inverse=True)
+        of = pairs // len(c.vocab)
+        keys = mix64(outer[of] ^ c.vocab[pairs % len(c.vocab)]) & LOW
+        counts = np.bincount(place[c.train_token[here]], minlength=len(pairs)).astype(np.uint32)
+        sizes = np.bincount(of, minlength=len(outer)).astype(np.uint32)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            if bucket % m != i:
-                continue
-            if n == 1:
-                yield _row(chunk, n, bucket, pack_keys(outer[a:b]), pack(counts[a:b]))
-            else:
+            if bucket % m == i:
                 inner = slice(ends[a], ends[b])
-                yield _row(chunk, n, bucket, pack_keys(outer[a:b]), pack(sizes[a:b].astype(np.uint32), keys[inner] & LOW, counts[inner]))
+                yield _row(chunk, n, bucket, pack_keys(outer[a:b]), pack(sizes[a:b], keys[inner], counts[inner]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,41 +405,46 @@ def read_stats(answers: DataFrame) -> Stats:
 
 
 def context_requests(rows: DataFrame, n: int, stats: Stats, buckets: int) -> DataFrame:
-    """Sums over the n-grams that a chunk owns, for its contexts that need a weight."""
+    """Sums over the n-grams that a chunk owns, for contexts that need a weight anywhere;
+    a flag where the chunk itself needs it. A word that training saw after a context it
+    saw after the shorter context too, so P(w | h') is that of a seen n-gram."""
 
     def work(chunk: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
         c = Chunk(group, buckets)
-        keys, place = c.grams(n)
-        contexts = c.contexts(n)[0]
+        place, contexts, of = c.grams(n)[1], c.contexts(n)[0], c.context_of(n)
         counts, owned = c.answer(n, 0, "<i8", "u1")
         asks = c.answer(n, 1, "<i8", "u1", "u1")[2] > 0
-        at = c._context_of[n]
-        mine = (owned > 0) & asks[at]
-        token = np.zeros(len(keys), np.int64)
-        token[place] = np.arange(len(place))  # a token of each n-gram
-        lower, k, at = c.probabilities(n - 1, stats)[token[mine]], counts[mine], at[mine]
+        needs = c.unseen(n, counts) & asks
+        mine = np.flatnonzero((owned > 0) & asks[of])
+        sends = needs.copy()
+        sends[of[mine]] = True
+        shorter = np.zeros(len(counts), np.int64)
+        shorter[place] = c.grams(n - 1)[1]
+        lower, k = c.seen_grams(n - 1, stats)[shorter[mine]], counts[mine]
         freed = k - discounted(k, stats.d[n])
-        sums = np.stack([np.bincount(at, weights=x, minlength=len(contexts))[asks] for x in (k, freed, lower)])
-        contexts = contexts[asks]
+        sums = np.stack([np.bincount(of[mine], weights=x, minlength=len(contexts))[sends] for x in (k, freed, lower)])
+        contexts, needs = contexts[sends], needs[sends].astype(np.uint8)
         _, met, begin = c.dealt(contexts)  # they ascend
         for bucket, a, b in zip(met.tolist(), begin[:-1], begin[1:]):
-            yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(*sums[:, a:b]))
+            yield _row(chunk, CONTEXT + n, bucket, pack_keys(contexts[a:b]), pack(needs[a:b], *sums[:, a:b]))
 
     return _chunks(rows, work)
 
 
 def answer_contexts(requests: DataFrame) -> DataFrame:
-    """alpha of each context back to the chunks that asked."""
+    """alpha of each context back to the chunks that need it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in runs(_keyed(batches), 2):
             keys = [unpack_keys(x.as_buffer()) for x in group["a"]]
-            sums = [np.concatenate(x) for x in zip(*(unpack(x.as_buffer(), *["<f8"] * 3) for x in group["b"]))]
+            needs, *sums = (np.concatenate(x) for x in zip(*(unpack(x.as_buffer(), "u1", *["<f8"] * 3) for x in group["b"])))
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             alpha = context_weights(*(np.bincount(place, weights=x, minlength=len(uniq)) for x in sums))[place]
             at = 0
             for chunk, k in zip(group["chunk"].to_pylist(), keys):
-                yield _row(chunk, kind, bucket, pack(alpha[at : at + len(k)]), b"")
+                here = slice(at, at + len(k))
+                if needs[here].any():
+                    yield _row(chunk, kind, bucket, pack(alpha[here][needs[here] > 0]), b"")
                 at += len(k)
 
     return requests.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW_SQL)
@@ -462,7 +481,7 @@ def katz_scores(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int
     stats = read_stats(answers)
     rows = encoded.union(answers.filter("chunk is not null"))
     for n in range(2, order + 1):
-        below = rows.filter(f"kind <= {n} or kind > {CONTEXT}")  # no counts of higher orders
+        below = rows.filter(F.col("kind").isin(CODES, n - 1, n))
         rows = rows.union(_kept(answer_contexts(context_requests(below, n, stats, buckets)), f"{folder}/contexts-{n}"))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
