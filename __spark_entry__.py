@@ -505,6 +505,37 @@ def q_index_stream_versions(spark, sf_dir):
     )
 
 
+def q_index_changes(spark, sf_dir):
+    """T9 and T10 by a feed of typed changes in three drops: every book; new texts of those
+    flagged low quality and deletes of the toxic ones; late older updates of both, which
+    change nothing, and every second toxic book once more."""
+    from quire.sources.corpus import table
+    from quire.streaming.changes import start_change_feed
+
+    run = _shared_folder(spark, "quire-index-changes")
+    files = _index(spark, sf_dir).files.select("file_id", "filename", "title", "author", "content")
+    flagged = lambda c: table(spark, sf_dir, "labels").filter(c).select(F.col("doc_id").alias("file_id")).distinct()
+    low, toxic = (files.join(flagged(c), "file_id", "left_semi") for c in ("quality = 0", "toxic = 1"))
+    event = lambda df, op, seq: df.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "*")
+    longer = lambda df: df.withColumn("content", F.concat("title", F.lit("\n"), "content"))
+    late = low.unionByName(toxic).withColumn("content", F.lit("late"))
+    drops = [
+        event(files, "insert", 1),
+        event(longer(low), "update", 3).unionByName(event(toxic, "delete", 5)),
+        event(late, "update", 2).unionByName(event(longer(toxic.filter("file_id % 2 = 0")), "insert", 7)),
+    ]
+    for k, drop in enumerate(drops):
+        drop.write.parquet(f"{run}/in/{k}")
+        q = start_change_feed(spark, run + "/in/*", run + "/index", run + "/checkpoint", max_tokens=FRAGMENT_TOKENS, buckets=STREAM_BUCKETS)
+        q.awaitTermination()
+    fr = TextIndex.load(spark, run + "/index", max_tokens=FRAGMENT_TOKENS).fragments
+    return fr.select(
+        *_long("file_id", "sequence_no"),
+        F.size("content_array").cast("long").alias("n_words"),
+        F.array_join("content_array", " ").alias("words"),
+    )
+
+
 # --- english configuration ---------------------------------------------------
 def q_english_vocabulary(spark, sf_dir):
     """T6 vocabulary job: every distinct simple lexeme with its english lexeme
@@ -625,6 +656,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_delete": q_index_delete,
         "index_stream": q_index_stream,
         "index_stream_versions": q_index_stream_versions,
+        "index_changes": q_index_changes,
         "english_vocabulary": q_english_vocabulary,
         "search_english": q_search_english,
         "search_headline_english": q_search_headline_english,
@@ -687,6 +719,7 @@ def oracle_sql() -> dict[str, str]:
         "index_delete": O.INDEX_DELETE,
         "index_stream": O.INDEX_STREAM,
         "index_stream_versions": O.INDEX_STREAM_VERSIONS,
+        "index_changes": O.INDEX_CHANGES,
         "english_vocabulary": O.ENGLISH_VOCABULARY,
         "search_english": O.SEARCH_ENGLISH,
         "search_headline_english": O.SEARCH_HEADLINE_ENGLISH,

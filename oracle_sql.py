@@ -843,6 +843,20 @@ FILE_MATCHES_CAPPED = FILE_MATCHES.replace("rn <= 50", "rn <= 2")
 # T9 with two versions of some books in one batch: the later one counts, as in an upsert
 INDEX_STREAM_VERSIONS = INDEX_UPSERT
 
+# What the feed of typed changes leaves
+FED_FILES = f"""
+  SELECT f.file_id, f.filename, f.title, f.author,
+         CASE WHEN l.low OR l.toxic THEN f.title || chr(10) || f.content ELSE f.content END AS content
+  FROM ({FILES}) f
+  LEFT JOIN (SELECT doc_id, bool_or(quality = 0) AS low, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = f.file_id
+  WHERE NOT (coalesce(l.toxic, false) AND f.file_id % 2 = 1)"""
+
+INDEX_CHANGES = with_base("""
+wd AS (SELECT file_id, sequence_no, count(*) AS n_words, string_agg(tok, ' ' ORDER BY pos) AS words
+       FROM tok GROUP BY file_id, sequence_no)
+SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
+""", files_sql=FED_FILES)
+
 
 # --- english whole-book headlines, matches and a phrase over a stop word -------------
 def english(sql: str) -> str:
