@@ -315,6 +315,13 @@ def q_word_chunks(spark, sf_dir):
     return word_chunks(q_parse_books_all(spark, sf_dir), CHUNK_WORDS)
 
 
+def q_word_chunks_over_all(spark, sf_dir):
+    """S13 with words numbered over all files."""
+    from quire.sources.books import word_chunks
+
+    return word_chunks(q_parse_books_all(spark, sf_dir), CHUNK_WORDS, over_all=True)
+
+
 def q_ingest_files(spark, sf_dir):
     from quire.sources.books import ingest
 
@@ -651,6 +658,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_books": q_read_books,
         "append_books": q_append_books,
         "word_chunks": q_word_chunks,
+        "word_chunks_over_all": q_word_chunks_over_all,
         "ingest_files": q_ingest_files,
         "index_upsert": q_index_upsert,
         "index_delete": q_index_delete,
@@ -714,6 +722,7 @@ def oracle_sql() -> dict[str, str]:
         "read_books": O.PARSE_BOOKS_STRICT,
         "append_books": O.APPEND_BOOKS,
         "word_chunks": O.WORD_CHUNKS,
+        "word_chunks_over_all": O.WORD_CHUNKS_OVER_ALL,
         "ingest_files": O.INGEST_FILES,
         "index_upsert": O.INDEX_UPSERT,
         "index_delete": O.INDEX_DELETE,

@@ -489,6 +489,11 @@ SELECT CAST(row_number() OVER (PARTITION BY filename ORDER BY title, chunk) AS B
 FROM ch
 """)
 
+# S13 with one numbering over all files, in order of their names
+WORD_CHUNKS_OVER_ALL = WORD_CHUNKS.replace(
+    "OVER (PARTITION BY filename ORDER BY title, author, content, i)", "OVER (ORDER BY filename, title, author, content, i)"
+)
+
 INGEST_FILES = with_base(RAW_BOOKS + """
 SELECT CAST(row_number() OVER (ORDER BY filename) AS BIGINT) AS file_id, filename, title, author, content FROM books
 """)

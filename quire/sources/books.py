@@ -173,11 +173,34 @@ def parse_books_all(raw: DataFrame) -> DataFrame:
     )
 
 
-def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS) -> DataFrame:
+def totals_before(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """``(key, name)``: the sum of ``amount`` over all smaller keys, for distinct keys.
+
+    A prefix sum in two levels: keys are range-partitioned and pinned by a reliable
+    checkpoint, summed inside each partition, and shifted by the totals of the earlier
+    partitions (a table with one row per partition)."""
+    from quire.session import require_checkpoint_dir
+
+    require_checkpoint_dir(rows.sparkSession)
+    ranked = rows.select(key, amount).repartitionByRange(key)
+    ranked = ranked.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranked.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_shift"))
+    inside = F.sum(amount).over(earlier(Window.partitionBy("_part").orderBy(key)))
+    local = ranked.select(key, "_part", F.coalesce(inside, F.lit(0)).alias("_local"))
+    # one row per partition: a proven bound for the broadcast
+    return local.join(F.broadcast(shifts), "_part").select(key, (F.col("_shift") + F.col("_local")).alias(name))
+
+
+def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS, over_all: bool = False) -> DataFrame:
     """Split each body on every single blank (empty words kept), number
     the words of a file from 1 (its rows in order of title, author and content), group
     by title and ``wordno / size`` (so the first chunk holds ``size - 1`` words), join
-    by one blank, take the largest author and number the chunks per file.
+    by one blank, take the largest author and number the chunks per file. With
+    ``over_all`` the words of all files are numbered in one run, files in order of their
+    names, so that a file's first chunk ends where the run's chunk does; chunks still hold
+    words of one file. The run is a prefix sum over the files' word counts.
 
     ``(seq_no, filename, title, author, content)``; one shuffle, by file name: no group
     is larger than a chunk, and only a file's own rows meet.
@@ -190,15 +213,19 @@ def word_chunks(books: DataFrame, size: int = DEFAULT_CHUNK_WORDS) -> DataFrame:
     rows = books.select("filename", "title", "author", "content", F.split(F.col("content"), WORD_SPLIT, -1).alias("_w"))
     in_order = Window.partitionBy("filename").orderBy("title", "author", "content")
     before = F.coalesce(F.sum(F.size("_w")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_o", before.cast("int")).drop("content")
+    rows = rows.withColumn("_o", before).drop("content")
+    if over_all:
+        counted = books.groupBy(F.coalesce("filename", F.lit("")).alias("_file")).agg(F.sum(F.size(F.split("content", WORD_SPLIT, -1))).alias("_n"))
+        start = totals_before(counted, "_file", "_n", "_start")
+        rows = rows.join(start, F.coalesce("filename", F.lit("")) == start["_file"]).withColumn("_o", F.col("_o") + F.col("_start"))
     words, offset = F.col("_w"), F.col("_o")
-    first, last = F.floor((offset + 1) / n).cast("int"), F.floor((offset + F.size(words)) / n).cast("int")
+    first, last = F.floor((offset + 1) / n), F.floor((offset + F.size(words)) / n)
 
     def cut(k: Column) -> Column:
         """Words ``max(k n, offset + 1) .. min(k n + n - 1, offset + size)`` of the file."""
         start = F.greatest(k * n - offset, F.lit(1))
         end = F.least(k * n + n - 1 - offset, F.size(words))
-        return F.struct(k.alias("k"), (offset + start).alias("at"), F.slice(words, start, end - start + 1).alias("w"))
+        return F.struct(k.alias("k"), (offset + start).alias("at"), F.slice(words, start.cast("int"), (end - start + 1).cast("int")).alias("w"))
 
     # (outer: no inferred filter re-splitting the book)
     cuts = rows.select("filename", "title", "author", F.explode_outer(F.transform(F.sequence(first, last), cut)).alias("c"))

@@ -121,3 +121,12 @@ def test_word_chunks_edges(spark):
 def test_ls_files_sql_predicate(spark, book_dir):
     names = [os.path.basename(r.filename) for r in ls_files(spark, book_dir, "filename LIKE '%b.txt'").collect()]
     assert names == ["b.txt"]
+
+
+def test_word_chunks_over_all(spark):
+    """Words are numbered through: 'b' begins in the middle of a chunk of the run."""
+    rows = [("a", "T", "A", "1 2 3 4"), ("b", "T", "A", "5 6 7"), ("b", "U", "B", "8"), ("c", "T", None, ""), ("d", "T", "A", "10 11 12")]
+    books = spark.createDataFrame(rows * 2, "filename string, title string, author string, content string").distinct()
+    got = sorted((r.filename, r.seq_no, r.content) for r in word_chunks(books.repartition(4), 3, over_all=True).collect())
+    assert got == [("a", 1, "1 2"), ("a", 2, "3 4"), ("b", 1, "5"), ("b", 2, "6 7"), ("b", 3, "8"), ("c", 1, ""), ("d", 1, "10 11"), ("d", 2, "12")]
+    assert word_chunks(books.limit(0), 3, over_all=True).count() == 0
