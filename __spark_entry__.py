@@ -56,6 +56,7 @@ Q_FULL = "(of <-> the) & this"
 Q_MATCHES = "(of <-> the) | with"
 Q_ENGLISH = "(tion <-> ing) | (ble & ly)"
 Q_ENGLISH_PHRASE = "rely and ly"
+Q_REVISED = "(thtiedly <-> erly) | (oned & ering)"
 Q_FAST_NOT = "with | !the"
 Q_MATCHES_NOT = "of <1> !the"
 Q_DISTANCE_OR = "(of | in) <2> the"
@@ -554,6 +555,21 @@ def q_english_vocabulary(spark, sf_dir):
     return lex.select("lexeme", english_lexeme(F.col("lexeme")).alias("stem"))
 
 
+def q_english_revised_vocabulary(spark, sf_dir):
+    """T6 vocabulary job under the revised rules (null for a word of their stop list)."""
+    from quire.functions.revised import revised_lexeme
+    from quire.operators.analyze import postings
+
+    lex = postings(_index(spark, sf_dir).fragments).select("lexeme").distinct()
+    return lex.select("lexeme", revised_lexeme(F.col("lexeme")).alias("stem"))
+
+
+def q_search_english_revised(spark, sf_dir):
+    """E1 on a written index of revised stems."""
+    index = _index(spark, sf_dir, "english_revised").write(_shared_folder(spark, "quire-revised"), buckets=STREAM_BUCKETS)
+    return search_fast(index, Q_REVISED, "logical")
+
+
 def q_search_english(spark, sf_dir):
     return search_fast(_index(spark, sf_dir, "english"), Q_ENGLISH, "logical")
 
@@ -667,6 +683,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_changes": q_index_changes,
         "english_vocabulary": q_english_vocabulary,
         "search_english": q_search_english,
+        "english_revised_vocabulary": q_english_revised_vocabulary,
+        "search_english_revised": q_search_english_revised,
         "search_headline_english": q_search_headline_english,
         "search_semantic_english": q_search_semantic_english,
         "file_matches_english": q_file_matches_english,
@@ -731,6 +749,8 @@ def oracle_sql() -> dict[str, str]:
         "index_changes": O.INDEX_CHANGES,
         "english_vocabulary": O.ENGLISH_VOCABULARY,
         "search_english": O.SEARCH_ENGLISH,
+        "english_revised_vocabulary": O.ENGLISH_REVISED_VOCABULARY,
+        "search_english_revised": O.SEARCH_ENGLISH_REVISED,
         "search_headline_english": O.SEARCH_HEADLINE_ENGLISH,
         "search_semantic_english": O.SEARCH_SEMANTIC_ENGLISH,
         "file_matches_english": O.FILE_MATCHES_ENGLISH,

@@ -777,6 +777,145 @@ v AS (SELECT DISTINCT lexeme FROM tok)
 SELECT lexeme, {english_sql('lexeme')} AS stem FROM v
 """)
 
+# --- english_revised: the revised English rules, written per step with their own tables ----
+# --- Fixed values: the words of the stop list end at "now"; words with a stem of their own.
+REVISED_STOP_WORDS = ENGLISH_STOP_WORDS[: ENGLISH_STOP_WORDS.index("now") + 1]
+REVISED_SPECIAL = (
+    ("skis", "ski"), ("skies", "sky"), ("dying", "die"), ("lying", "lie"), ("tying", "tie"), ("idly", "idl"),
+    ("gently", "gentl"), ("ugly", "ugli"), ("early", "earli"), ("only", "onli"), ("singly", "singl"),
+    ("sky", "sky"), ("news", "news"), ("howe", "howe"), ("atlas", "atlas"), ("cosmos", "cosmos"),
+    ("bias", "bias"), ("andes", "andes"),
+)
+REVISED_DONE = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+# --- Fixed values: (ending, what takes its place), the longest first.
+REVISED_2 = (
+    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
+    ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"),
+    ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"),
+    ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"),
+)
+REVISED_3 = (
+    ("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"),
+    ("ness", ""), ("ful", ""),
+)
+REVISED_4 = (
+    "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize",
+    "al", "er", "ic",
+)
+_REVISED_SHORT = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
+def revised_sql(x: str) -> str:
+    """Stem of ``x`` by the revised rules, null for a stop word: a row (w, a, b) goes
+    through the steps; a and b are the numbers of characters before R1 and R2."""
+
+    def let(value: str, body) -> str:
+        v = _Vars.new()
+        return f"list_transform([{value}], lambda {v}: {body(v)})[1]"
+
+    def step(row: str, body) -> str:
+        return let(row, lambda v: f"struct_pack(w := {body(f'{v}.w', f'{v}.a', f'{v}.b')}, a := {v}.a, b := {v}.b)")
+
+    def start(w: str) -> str:
+        region = "'^[^aeiouy]*[aeiouy]+[^aeiouy]'"
+        return f"CASE WHEN regexp_matches({w}, {region}) THEN length(regexp_extract({w}, {region})) ELSE length({w}) END"
+
+    def r1(w: str) -> str:
+        opening = "'^(gener|commun|arsen)'"
+        return f"CASE WHEN regexp_matches({w}, {opening}) THEN length(regexp_extract({w}, {opening})) ELSE {start(w)} END"
+
+    def ends(w: str, ending: str, then: str) -> str:
+        return f"WHEN ends_with({w}, '{ending}') THEN {then} "
+
+    def swap(w: str, ending: str, new: str, where: str, before: str = "TRUE") -> str:
+        n = len(ending)
+        return ends(w, ending, f"CASE WHEN length({w}) - {n} >= {where} AND {before} THEN {_cut_sql(w, n)} || '{new}' ELSE {w} END")
+
+    def step0(w, a, b):
+        return f"regexp_replace({w}, '(\\x27s\\x27|\\x27s|\\x27)$', '')"
+
+    def step1a(w, a, b):
+        ie = f"CASE WHEN length({w}) > 4 THEN {_cut_sql(w, 2)} ELSE {_cut_sql(w, 1)} END"
+        plain = f"CASE WHEN regexp_matches({_cut_sql(w, 2)}, '[aeiouy]') THEN {_cut_sql(w, 1)} ELSE {w} END"
+        return (
+            "CASE " + ends(w, "sses", _cut_sql(w, 2)) + ends(w, "ied", ie) + ends(w, "ies", ie)
+            + ends(w, "us", w) + ends(w, "ss", w) + ends(w, "s", plain) + f"ELSE {w} END"
+        )
+
+    def step1b(w, a, b):
+        def tidy(v: str) -> str:
+            return (
+                f"CASE WHEN regexp_matches({v}, '(at|bl|iz)$') THEN {v} || 'e' "
+                f"WHEN regexp_matches({v}, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN {_cut_sql(v, 1)} "
+                f"WHEN length({v}) = {a} AND regexp_matches({v}, '{_REVISED_SHORT}') THEN {v} || 'e' ELSE {v} END"
+            )
+
+        def off(ending: str) -> str:
+            x = _cut_sql(w, len(ending))
+            return ends(w, ending, f"CASE WHEN regexp_matches({x}, '[aeiouy]') THEN {let(x, tidy)} ELSE {w} END")
+
+        return (
+            "CASE " + swap(w, "eedly", "ee", a) + swap(w, "eed", "ee", a) + off("ingly") + off("edly") + off("ing") + off("ed")
+            + f"ELSE {w} END"
+        )
+
+    def step1c(w, a, b):
+        return f"regexp_replace({w}, '^(.+[^aeiouy])[yY]$', '\\1i', 's')"
+
+    def step2(w, a, b):
+        return (
+            "CASE " + "".join(swap(w, e, n, a) for e, n in REVISED_2)
+            + swap(w, "ogi", "og", a, f"ends_with({w}, 'logi')")
+            + swap(w, "li", "", a, f"regexp_matches({w}, '[cdeghkmnrt]li$')") + f"ELSE {w} END"
+        )
+
+    def step3(w, a, b):
+        endings = [swap(w, e, n, a) for e, n in REVISED_3]
+        return "CASE " + "".join([*endings, swap(w, "ative", "", b)]) + f"ELSE {w} END"
+
+    def step4(w, a, b):
+        endings = [swap(w, e, "", b) for e in REVISED_4]
+        return "CASE " + "".join([*endings, swap(w, "ion", "", b, f"regexp_matches({w}, '[st]ion$')")]) + f"ELSE {w} END"
+
+    def step5(w, a, b):
+        x, n = _cut_sql(w, 1), f"length({w}) - 1"
+        return (
+            f"CASE WHEN ends_with({w}, 'e') AND ({n} >= {b} OR ({n} >= {a} AND NOT regexp_matches({x}, '{_REVISED_SHORT}'))) "
+            f"OR ends_with({w}, 'll') AND {n} >= {b} THEN {x} ELSE {w} END"
+        )
+
+    def later(v: str) -> str:
+        row = v
+        for body in (step1b, step1c, step2, step3, step4, step5):
+            row = step(row, body)
+        done = ", ".join(f"'{w}'" for w in REVISED_DONE)
+        return f"CASE WHEN {v}.w IN ({done}) THEN {v}.w ELSE ({row}).w END"
+
+    def within(w: str) -> str:
+        def pack(a: str) -> str:
+            behind = let(f"substr({w}, {a} + 1)", start)
+            return f"struct_pack(w := {w}, a := {a}, b := {a} + {behind})"
+
+        return let(step(step(let(r1(w), pack), step0), step1a), later)
+
+    def stemmed(w: str) -> str:
+        own = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REVISED_SPECIAL)
+        marked = f"regexp_replace(regexp_replace({w}, '^\\x27', ''), '^y', 'Y')"
+        marked = f"regexp_replace({marked}, '([aeiouy])y', '\\1Y', 'g')"
+        stops = ", ".join(f"'{k}'" for k in REVISED_STOP_WORDS)
+        return (
+            f"CASE WHEN {w} IN ({stops}) THEN NULL WHEN length({w}) < 3 THEN {w} "
+            f"ELSE CASE {w} {own} ELSE replace({let(marked, within)}, 'Y', 'y') END END"
+        )
+
+    return let(x, stemmed)
+
+
+ENGLISH_REVISED_VOCABULARY = with_base(f"""
+v AS (SELECT DISTINCT lexeme FROM tok)
+SELECT lexeme, {revised_sql('lexeme')} AS stem FROM v
+""")
+
 # "(tion <-> ing) | (ble & ly)" on the english index
 _EN_PH = phrase_spans("tion", "ing")
 SEARCH_ENGLISH = headline_sql(
@@ -864,11 +1003,11 @@ SELECT file_id, sequence_no, CAST(n_words AS BIGINT) AS n_words, words FROM wd
 
 
 # --- english whole-book headlines, matches and a phrase over a stop word -------------
-def english(sql: str) -> str:
+def english(sql: str, lexeme_sql=english_sql) -> str:
     """The same SQL on stems: words of the stop list keep their place without a lexeme."""
     for tok in ("tok", "r.tok"):
         simple = f"regexp_replace(lower({tok}), '{EDGE}', '', 'g')"
-        sql = sql.replace(f"{simple} AS lexeme", f"{english_sql(simple)} AS lexeme")
+        sql = sql.replace(f"{simple} AS lexeme", f"{lexeme_sql(simple)} AS lexeme")
     sql = sql.replace("pos FROM tok)", "pos FROM tok WHERE lexeme IS NOT NULL)")
     return sql.replace("1 AS sequence_no, pos FROM wtok)", "1 AS sequence_no, pos FROM wtok WHERE lexeme IS NOT NULL)")
 
@@ -885,6 +1024,18 @@ FILE_MATCHES_ENGLISH = english(_matches_sql(f"""
   SELECT x.* FROM ({_EN_PH} UNION ALL {term_spans('ble')} UNION ALL {term_spans('ly')}) x
   JOIN (SELECT f.file_id, f.sequence_no FROM frag f WHERE {_EN_MATCH}) m USING (file_id, sequence_no)"""))
 
+# "(thtiedly <-> erly) | (oned & ering)" on the index of revised stems
+_RV_PH = phrase_spans("thti", "er")
+SEARCH_ENGLISH_REVISED = english(
+    headline_sql(
+        f"EXISTS (SELECT 1 FROM ({_RV_PH}) z WHERE z.file_id = f.file_id AND z.sequence_no = f.sequence_no) "
+        f"OR ({has('one')} AND {has('ere')})",
+        {"phrase": _RV_PH, "oned": term_spans("one"), "ering": term_spans("ere")},
+        "IN_phrase OR (IN_oned AND IN_ering)",
+    ),
+    revised_sql,
+)
+
 # phrase "rely and ly": the stop word holds a position between both stems
 PHRASE_ENGLISH = english(with_base("""
 x AS (SELECT 1)

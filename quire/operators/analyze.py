@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import DEFAULT_MAX_TOKENS, is_word, simple_lexeme, tokens
 
-CONFIGS = ("simple", "english")
+CONFIGS = ("simple", "english", "english_revised")
 SALTS = 16  # keys that a word's postings are spread over in the vocabulary join
 
 
@@ -22,15 +22,24 @@ def check_config(config: str) -> str:
     return config
 
 
+def stemming(config: str):
+    """Stop words, stemmer as a Column and its Python twin of a stemming configuration."""
+    from quire.functions import revised, stem
+
+    return {
+        "english": (stem.ENGLISH_STOP_WORDS, stem.porter_stem, stem.porter_stem_py),
+        "english_revised": (revised.STOP_WORDS, revised.revised_stem, revised.revised_stem_py),
+    }[config]
+
+
 def lexeme(token: Column, config: str = "simple") -> Column:
     """Lexeme of a word token; null when the configuration drops it (stop word)."""
     check_config(config)
     base = simple_lexeme(token)
     if config == "simple":
         return base
-    from quire.functions.stem import english_lexeme
-
-    return english_lexeme(base)
+    stops, stem, _ = stemming(config)
+    return F.when(base.isin(list(stops)), F.lit(None).cast("string")).otherwise(stem(base))
 
 
 def lexeme_vector(words: Column) -> Column:
@@ -100,10 +109,9 @@ def vocabulary(frags: DataFrame, config: str = "english") -> DataFrame:
     lex = lex.distinct()
     if config == "simple":
         return lex.select("lexeme", F.col("lexeme").alias("term"))
-    from quire.functions.stem import ENGLISH_STOP_WORDS, porter_stem
-
-    kept = lex.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
-    return kept.select("lexeme", porter_stem(F.col("lexeme")).alias("term"))
+    stops, stem, _ = stemming(config)
+    kept = lex.filter(~F.col("lexeme").isin(list(stops)))
+    return kept.select("lexeme", stem(F.col("lexeme")).alias("term"))
 
 
 def postings(
@@ -135,9 +143,7 @@ def postings(
     )
     if config == "simple":
         return rows
-    from quire.functions.stem import ENGLISH_STOP_WORDS
-
-    rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
+    rows = rows.filter(~F.col("lexeme").isin(list(stemming(config)[0])))
     voc = vocabulary(frags, config)
     if lexemes is not None:  # the words of the query's stems only
         wanted = sorted(set(lexemes))
@@ -173,9 +179,7 @@ def position_lists(frags: DataFrame, lexemes: list[str] | None = None, config: s
     rows = rows.select(F.col("_l.lexeme").alias("lexeme"), "file_id", "sequence_no", F.col("_l.positions").alias("positions"), "word_offset")
     if config == "simple":
         return rows
-    from quire.functions.stem import ENGLISH_STOP_WORDS
-
-    rows = rows.filter(~F.col("lexeme").isin(list(ENGLISH_STOP_WORDS)))
+    rows = rows.filter(~F.col("lexeme").isin(list(stemming(config)[0])))
     voc = vocabulary(frags, config)
     if wanted is not None:  # the words of the query's stems only
         voc = voc.filter(F.col("term").isin(wanted) if wanted else F.lit(False))
