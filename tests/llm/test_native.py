@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.line_dedup import dedup_lines
+from quire.llm.line_dedup import dedup_lines, extended, fingerprints, placed_lines, repeated_lines, seeds
 from quire.llm.mixing import described, mixed, raked_cells, sampled_documents
 from quire.llm.queries import ORACLE_SQL
 from tests.llm import helpers as H
@@ -59,6 +59,29 @@ def test_lines_empty_long_and_repeated(spark):
     assert dedup_lines(H.documents(spark, [])).count() == 0
 
 
+def test_only_shared_fingerprints_lead_to_windows(spark):
+    words = [f"w{i} v{i}" for i in range(400)]
+    rows = [(1, "\n".join(words)), (2, "\n".join(["own", *words[100:200], "end"])), (3, "\n".join(f"x{i} y{i}" for i in range(300)))]
+    keyed = H.documents(spark, rows).select("doc_id", "text").withColumn("doc", F.col("doc_id"))
+    placed = placed_lines(keyed, 20)
+    prints = fingerprints(placed)
+    chosen = {(r.doc, r.pos) for r in prints.collect()}
+    assert len(chosen) < 802 / 2  # windows of 10 lines: about two of eleven are selected
+    # each whole run of ten lines holds a chosen place, in the copy the same as in the original
+    for doc, n in ((1, 400), (3, 300)):
+        at = sorted(p for d, p in chosen if d == doc)
+        assert all(any(k <= p < k + 10 for p in at) for k in range(n - 9))
+    found = seeds(prints)
+    got = {(r.doc, r.pos) for r in found.collect()}
+    assert {d for d, _ in got} == {1, 2} and {p + 99 for d, p in got if d == 2} == {p for d, p in got if d == 1}
+    # lines of the third text are not extended, and without seeds nothing is
+    near = extended(placed, found, 20).collect()
+    assert {r.doc for r in near} == {1, 2} and any(r.lines_a for r in near) and any(r.lines_b for r in near)
+    assert extended(placed, found.limit(0), 20).count() == 0
+    cut = {(r.doc, r.pos) for r in repeated_lines(keyed, 20).collect()}
+    assert cut == {(2, k) for k in range(1, 101)}
+
+
 def mix_rows(n=600):
     rng = random.Random(9)
     pick = lambda items, w: rng.choices(items, w)[0]
