@@ -33,8 +33,8 @@ blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) a character is a word.
 4. An item is found in a document if the windows so gathered cover ``MIN_PERCENT`` of
    the item's words, or ``MIN_RUN`` words; an item of
    fewer words than a window must be found whole (``WINDOW`` shrinks to it; with
-   placeholders from ``MIN_ITEM`` words on, verbatim from one word on if its words
-   hold ``MIN_BYTES`` bytes).
+   placeholders from ``MIN_ITEM`` words on, verbatim from one word on). Of an item whose
+   words hold under ``MIN_BYTES`` bytes (``a b``) the words must fill whole lines.
 
 Cases: null or blank texts have no windows; null ids of documents or items are
 ignored (they cannot be named in the result); equal items or documents: a row per
@@ -139,7 +139,11 @@ class Canonical:
         # a word opens a sentence if it is a text's first or the word before it closes one
         opens = np.ones(len(row), bool)
         opens[1:] = (row[1:] != row[:-1]) | closes[:-1]
-        self.starts, self.ends, opens, row = starts[solid], ends[solid], opens[solid], row[solid]
+        line = np.cumsum(data == 10)[w.starts] if len(row) else row
+        self.starts, self.ends, opens, row, line = starts[solid], ends[solid], opens[solid], row[solid], line[solid]
+        # word k is the first of its line; so is the end of all words
+        self.line_first = np.ones(len(row) + 1, bool)
+        self.line_first[1:-1] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
         self.row, self.bounds = row, np.searchsorted(row, np.arange(block.n + 1))
         size = self.ends - self.starts
         low = lowered(data)
@@ -185,14 +189,14 @@ class Channel:
         self.bounds = np.searchsorted(self.row, np.arange(c.n + 1))
         place = np.arange(n) - np.repeat(at, np.diff(self.first))
         self.value = np.add.reduceat(mix64(c.word ^ mix64(place.astype(np.uint64))), at) if n else c.word
-        self.names = c.kind[at] == 2
+        self.names, self.line_first = c.kind[at] == 2, c.line_first
         self.chars = np.concatenate([[0], np.cumsum(c.ends - c.starts)])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and first elements."""
         h, at = grams(self.hashes, self.bounds, size)
         if self.number == VERBATIM:
-            ok = self.chars[at + size] - self.chars[at] >= MIN_BYTES
+            ok = (self.chars[at + size] - self.chars[at] >= MIN_BYTES) | (self.line_first[at] & self.line_first[at + size])
         else:
             fixed = np.concatenate([[0], np.cumsum(self.kind == 0)])
             ok = fixed[at + size] - fixed[at] >= min(MIN_FIXED, size) if size >= MIN_ITEM else np.zeros(len(at), bool)

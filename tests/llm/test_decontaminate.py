@@ -1,4 +1,7 @@
-from quire.llm.decontaminate import clean_documents, found_items
+import random
+import string
+
+from quire.llm.decontaminate import MIN_BYTES, MIN_PERCENT, MIN_RUN, WINDOW, clean_documents, found_items
 from tests.llm import helpers as H
 
 ITEM = "When Anna walked 12 km to the old market with Peter, Anna bought 5 apples for Peter. How many apples did she carry home?"
@@ -93,3 +96,58 @@ def test_copies_of_an_item_are_not_broadcast(spark):
         out = found_items(d, i, sent=sent)
         assert ("strategy=broadcast" in out._jdf.queryExecution().logical().toString()) == hinted
         assert out.count() == 30
+
+
+def test_tiny_items_fill_whole_lines(spark):
+    items = [(1, "a b"), (2, "x"), (3, "p\nq"), (4, "é"), (5, "?!")]
+    docs = [
+        (1, "a b"), (2, "see\n- a b.\nend"), (3, "a b c"), (4, "c a b"), (5, "a\nb"), (6, "X"), (7, "x x"), (8, "one\r\n x \r\ntwo"),
+        (9, "p\nq"), (10, "p q"), (11, "o p\nq"), (12, "É\né"), (13, "?!"), (14, ""), (15, "no\n\n\np\n\nq\nyes"),
+    ]
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 1), (5, 1), (6, 2), (8, 2), (9, 3), (10, 3), (15, 3), (12, 4)}
+
+
+def plain_words(text):
+    """Lower-case words without punctuation at their ends, and the line of each."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        out += [(x, k) for x in (w.strip(string.punctuation).lower() for w in line.split()) if x]
+    return [x for x, _ in out], [k for _, k in out]
+
+
+def brute_found(doc, item):
+    """Whether an item without numbers and names is in a document, and the words covered."""
+    d, lines = plain_words(doc)
+    i, _ = plain_words(item)
+    size = min(len(i), WINDOW)
+    if not size:
+        return None
+    tiny = sum(len(x.encode()) for x in i) < MIN_BYTES
+    covered = {}
+    for a in range(len(d) - size + 1):
+        whole = (a == 0 or lines[a - 1] != lines[a]) and (a + size == len(d) or lines[a + size - 1] != lines[a + size])
+        for b in range(len(i) - size + 1):
+            if d[a : a + size] == i[b : b + size] and (whole or not tiny):
+                covered.setdefault(a - b, set()).update(range(b, b + size))
+    width, best = max(len(i), WINDOW), 0
+    for band in {s // width for s in covered} | {s // width - 1 for s in covered}:
+        best = max(best, len(set().union(*[c for s, c in covered.items() if s // width in (band, band + 1)])))
+    return best if best and (100 * best >= MIN_PERCENT * len(i) or best >= MIN_RUN) else None
+
+
+def test_found_items_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocab = ["a", "b", "c.", "(d)", "ee", "f-g", "hh,", "\n", "iii", "jj\n", "-", "é", "to", "of", "x"]
+    text = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(rng.randint(0, 5), vocab)) for k in range(40)]
+    items += [(100 + k, text(rng.randint(6, 40), vocab)) for k in range(40)]
+    docs = [(k, text(rng.randint(0, 60), vocab)) for k in range(60)]
+    for k in range(60):  # parts of items, some cut or with a word put in
+        w = rng.choice(items[40:])[1].split(" ")
+        a, b = sorted(rng.randint(0, len(w)) for _ in range(2))
+        part = w[a:b] if k % 3 else w
+        part = [*part[: len(part) // 2], rng.choice(vocab), *part[len(part) // 2 :]] if k % 2 else part
+        docs.append((200 + k, " ".join([text(rng.randint(0, 20), vocab), *part, text(rng.randint(0, 9), vocab)])))
+    got = {k: r.covered for k, r in found(spark, docs, items).items()}
+    want = {(d, i): n for d, t in docs for i, x in items if (n := brute_found(t, x)) is not None}
+    assert got == want and len(want) > 300
