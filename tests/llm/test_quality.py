@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -118,3 +119,46 @@ def test_attention_gradient_and_bags():
     (block,) = blocks(pa.array(["", long, "a b", None]))
     x, bounds = passages(block)
     assert np.diff(bounds).tolist() == [1, 256, 1, 1] and not x[0, :-1].any() and x[1:257, :20].sum(axis=1).min() > 0
+
+
+def test_flat_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (300, 4)).astype(float)  # ties with the thresholds
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 1, 300) > 0).astype(float)
+    forest = train(x, y, np.array([1, -1, 0, 0]), trees=12, depth=3)
+    assert np.isinf(forest.threshold).any() and np.isfinite(forest.threshold).any()
+    odd = np.array([[np.inf, 0, 0, 0], [-np.inf, 9, 9, 9], [0, 0, 0, 0]], float)
+    rows = np.concatenate([x, odd])
+    want = []
+    for row in rows.tolist():
+        total = forest.prior
+        for feature, threshold, leaf in zip(forest.feature.tolist(), forest.threshold.tolist(), forest.leaf.tolist()):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        want.append(total)
+    assert forest.score(rows) == pytest.approx(want, abs=1e-12)
+    assert forest.score(rows[:0]).shape == (0,)
+
+
+def test_attention_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(6)
+    x, starts = rng.normal(0, 2, (11, 5)), [0, 1, 7, 9]
+    model = Model(rng.normal(0, 1, 5), rng.random(5) + 0.5)
+    p = {k: v.tolist() for k, v in model.p.items()}
+    product = lambda a, m: [sum(i * row[j] for i, row in zip(a, m)) for j in range(len(m[0]))]
+    scores, weights = [], []
+    for a, b in zip(starts, [*starts[1:], len(x)]):
+        bag = []
+        for row in x[a:b].tolist():
+            unit = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+            h = [math.tanh(v + c) for v, c in zip(product(unit, p["W"]), p["b"])]
+            gate = [math.tanh(v) / (1 + math.exp(-u)) for v, u in zip(product(h, p["V"]), product(h, p["U"]))]
+            bag.append((math.exp(sum(g * w for g, w in zip(gate, p["w"]))), h))
+        total = sum(e for e, _ in bag)
+        weights += [e / total for e, _ in bag]
+        z = [sum(e / total * h[j] for e, h in bag) for j in range(len(p["c"]))]
+        scores.append(1 / (1 + math.exp(-sum(v * c for v, c in zip(z, p["c"])) - p["d"][0])))
+    assert model.score(x, np.array(starts)) == pytest.approx(scores, abs=1e-12)
+    assert model.forward(x, np.array(starts))[5] == pytest.approx(weights, abs=1e-12)
