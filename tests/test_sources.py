@@ -130,3 +130,27 @@ def test_word_chunks_over_all(spark):
     got = sorted((r.filename, r.seq_no, r.content) for r in word_chunks(books.repartition(4), 3, over_all=True).collect())
     assert got == [("a", 1, "1 2"), ("a", 2, "3 4"), ("b", 1, "5"), ("b", 2, "6 7"), ("b", 3, "8"), ("c", 1, ""), ("d", 1, "10 11"), ("d", 2, "12")]
     assert word_chunks(books.limit(0), 3, over_all=True).count() == 0
+
+
+def test_written_texts(spark, tmpdir_path):
+    """A file for each path, whatever its name, and nothing beside it: no checksum files,
+    and racks that bound the folders which a listing deals to tasks."""
+    from quire.sources.books import RACKS, shelf_name, write_texts
+
+    rows = [(f"shelf{k % 40}/{k}.txt", f"text {k}\r\nend") for k in range(200)]
+    rows += [("a/b/c=d.txt", "x"), ("no folder", "y"), (None, "z"), ("", None), ("twice/t.txt", "1"), ("twice/t.txt", "1")]
+    folder = os.path.join(tmpdir_path, "books")
+    write_texts(spark.createDataFrame(rows, "path string, value string").repartition(7), folder)
+    files = [os.path.join(at, n) for at, _, names in os.walk(folder) for n in names]
+    assert len(files) == 204 and {os.path.basename(f) for f in files} == {"book.txt"}
+    racks = os.listdir(folder)
+    assert all(r.startswith("rack=") for r in racks) and len(racks) <= RACKS
+    found = read_texts(spark, folder, recursive=True).select(shelf_name(F.col("path")), "value").collect()
+    got = {tuple(r) for r in found}
+    assert {(f"shelf{k % 40}/{k}.txt", f"text {k}\r\nend\n") for k in range(200)} <= got
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert {v for p, v in got if p == "twice/t.txt"} == {"1\n1\n"} and {("a%2Fb/c%3Dd.txt", "x\n"), ("no folder/no folder", "y\n")} <= got
+    assert sorted(v for p, v in got if p == f"{none}/{none}") in (["\nz\n"], ["z\n\n"])
+    empty = os.path.join(tmpdir_path, "empty")
+    write_texts(spark.createDataFrame([], "path string, value string"), empty)
+    assert read_texts(spark, empty, recursive=True).count() == 0
