@@ -15,7 +15,7 @@ as ``{"source": {...}}``; for the others the marginal's own shares to the power
 no target; shares are rescaled to those that have.
 
 Only DataFrame functions. The cell table is small beside the corpus but never
-collected; one table per sweep is written in the shared folder.
+collected; one table per sweep and margin is written in the shared folder.
 
 Cases: null source or lang: the value ``''``. Null, empty or blank text: no tokens, no
 weight, never drawn. Null doc_id: drawn as the empty id. Equal rows: the same draw.
@@ -80,12 +80,13 @@ def raked_cells(described_docs: DataFrame, targets: dict[str, dict[str, float]]
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     goals = {m: written(target_shares(cells, m, (targets or {}).get(m)), f"{folder}/target-{m}") for m in MARGINS}
+    # a table per step: one that holds the sums of three margins has eight times the joins
     for k in range(rounds):
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("weight").alias("s")).join(goals[m], m)
             factor = sums.select(m, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(factor, m).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        now = written(now.select(*MARGINS, "tokens", "weight"), f"{folder}/sweep-{k}")
+            now = now.join(factor, m).withColumn("weight", F.col("weight") * F.col("f"))
+            now = written(now.select(*MARGINS, "tokens", "weight"), f"{folder}/sweep-{k}-{m}")
     ratio = F.col("weight") / F.col("tokens")
     most = now.agg(F.max(ratio)).first()[0] or 1.0
     return now.withColumn("probability", ratio / F.lit(float(most)))

@@ -78,3 +78,19 @@ def test_emptied(spark, tmpdir_path):
     idx = empty(TextIndex.build(books(spark, (1, "T", "old man"), (2, "T", "sea")), 8).write(path, buckets=2), path)
     assert [t.count() for t in (idx.files, idx.fragments, idx.postings, idx.lexicon)] == [0, 0, 0, 0]
     assert shown(apply_changes(idx, path, changes=books(spark, (3, "T", "again")))) == [(3, "T", "again")]
+
+
+def test_fragments_are_made_where_they_are_written(spark, tmpdir_path):
+    """Texts are dealt out, not fragments; an index of many books has many write tasks; and
+    what the newest version wrote is shown without a join."""
+    from quire.plans import index as plans
+
+    first = books(spark, *[(i, f"T{i}", f"walking walks walked the sea {i} " * 30) for i in range(40)])
+    for config in ("simple", "english"):
+        path = os.path.join(tmpdir_path, config)
+        idx = TextIndex.build(first, 10, config)
+        joins = idx.hit_lists(["walk"])._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in joins and "Exchange" not in joins
+        now = apply_changes(idx.write(path, buckets=2), path, changes=first)
+        assert shown(now) == shown(idx) and words(now) == words(idx)
+    assert plans.text_bytes(first) > 0 and plans.text_bytes(first.limit(0)) == 0
