@@ -91,6 +91,19 @@ def test_fragments_are_made_where_they_are_written(spark, tmpdir_path):
         idx = TextIndex.build(first, 10, config)
         joins = idx.hit_lists(["walk"])._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in joins and "Exchange" not in joins
-        now = apply_changes(idx.write(path, buckets=2), path, changes=first)
-        assert shown(now) == shown(idx) and words(now) == words(idx)
+        was = idx.write(path, buckets=2)
+        now = apply_changes(was, path, changes=first.filter("file_id < 3").withColumn("content", F.lit("the sea")))
+        assert shown(was) == shown(idx) and {r for r in words(now) if r[1] > 2} == {r for r in words(was) if r[1] > 2}
+        assert [r for r in shown(now) if r[0] < 3] == [(i, f"T{i}", "the sea") for i in range(3)]
     assert plans.text_bytes(first) > 0 and plans.text_bytes(first.limit(0)) == 0
+
+
+def test_a_book_that_comes_twice_is_found(spark, tmpdir_path):
+    from quire.operators.query import compile_query
+    from quire.plans.search import match
+
+    twice = books(spark, *[(1, "T", "walks by the sea")] * 2, (2, "U", "he walked"))
+    lazy = TextIndex.build(twice, 10, "english")
+    for idx in (lazy, lazy.write(os.path.join(tmpdir_path, "idx"), buckets=2)):
+        spans, _ = match(idx, compile_query(spark, "walk", "logical", "english"))
+        assert sorted((r.file_id, r.s, r.e) for r in spans.collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 2)]
